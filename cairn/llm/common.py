@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark import Broadcast, cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,3 +47,17 @@ def utf8_bytes(text: Column) -> Column:
 def ascii_lower(c: Column) -> Column:
     """Lower-case A-Z only."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def ship(spark: SparkSession, build, *args) -> Broadcast:
+    """Broadcast what builds a value (of a size that args bound); see shipped()."""
+    return spark.sparkContext.broadcast({"parts": cloudpickle.dumps((build, args))})
+
+
+def shipped(sent: Broadcast):
+    """The value of ship(): each Python worker builds it once, at first use."""
+    held = sent.value
+    if "value" not in held:
+        build, args = cloudpickle.loads(held["parts"])
+        held["value"] = build(*args)
+    return held["value"]

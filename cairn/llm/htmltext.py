@@ -123,7 +123,7 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool]]:
             elif tag in NOT_MAIN or tag == "header" and not main:
                 noise = True
             if not noise:
-                noise = any(NAMES.search(n[0] or n[1] or n[2] or "") for n in NAMED.finditer(m[3]))
+                noise = any(NAMES.search(n[1] or n[2] or n[3] or "") for n in NAMED.finditer(m[3]))
             stack.append((tag, noise, main))
     flush()
     return out

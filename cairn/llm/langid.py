@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cairn.llm.common import ship, shipped
+
 UNKNOWN = "und"
 #: Trigrams are hashed into 2^16 buckets.
 BUCKETS = 1 << 16
@@ -129,11 +131,10 @@ def predict(docs: DataFrame, langs: list[str], prob: np.ndarray, id_col: str = "
     Texts that are null or have no letter are `und` with score 0, as are all
     texts where nothing could be learnt.
     """
-    model = docs.sparkSession.sparkContext.broadcast(prob)
+    sent = ship(docs.sparkSession, lambda p: (letter_table(), p, np.log(p)), prob)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        letters, table = letter_table(), model.value
-        logs = np.log(table)
+        letters, table, logs = shipped(sent)
         for batch in batches:
             rows = [identify(t, table, logs, letters, penalty) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
@@ -153,12 +154,11 @@ def predict(docs: DataFrame, langs: list[str], prob: np.ndarray, id_col: str = "
 
 def keep_identified(docs: DataFrame, langs: list[str], prob: np.ndarray, text_col: str = "text", penalty: float = 3.0) -> DataFrame:
     """The rows of docs, with all their columns, that predict() doesn't call `und`."""
-    model = docs.sparkSession.sparkContext.broadcast(prob)
+    sent = ship(docs.sparkSession, lambda p: (letter_table(), p, np.log(p)), prob)
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        letters, table = letter_table(), model.value
-        logs = np.log(table)
+        letters, table, logs = shipped(sent)
         for batch in batches:
             yield batch.filter(pa.array([identify(t, table, logs, letters, penalty)[0] >= 0 for t in batch.column(at).to_pylist()], pa.bool_()))
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import checkpoint
+from cairn.llm.common import checkpoint, ship, shipped
 from cairn.llm.tokencount import id_encoder
 
 TIERS = (256, 512, 1024, 2048)
@@ -109,7 +109,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, tiers: tuple[int, ...
     rows are packed each.  Other columns are not read.
     """
     with open(tokenizer, encoding="utf-8") as f:
-        shipped = docs.sparkSession.sparkContext.broadcast(f.read())
+        sent = ship(docs.sparkSession, id_encoder, f.read())
     narrow = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     kind = narrow.schema["_id"].dataType.simpleString()
     schema = f"_id {kind}, {COLUMNS}"
@@ -117,7 +117,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, tiers: tuple[int, ...
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode = id_encoder(shipped.value)
+        encode = shipped(sent)
         packer, arrow_kind = Packer(tiers, TaskContext.get().partitionId() << LOCAL_BITS, step_tokens), None
         end = np.array([end_id], np.uint32)
         for batch in batches:

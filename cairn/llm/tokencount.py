@@ -18,7 +18,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm.common import fresh_dir, utf8_bytes
+from cairn.llm.common import fresh_dir, ship, shipped, utf8_bytes
 
 SCHEMA = "tokenizer string, content string, n_tokens long"
 #: The pre-tokenizer pattern of byte-level BPE files with use_regex (fixed value), in possessive form.
@@ -104,7 +104,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str | None = None, id_c
     with open(tokenizer, "rb") as f:
         content = f.read()
     version = hashlib.sha256(content).hexdigest()
-    shipped = spark.sparkContext.broadcast(content)
+    sent = ship(spark, count_encoder, tokenizer, content)
     cache = cache or fresh_dir(spark, "token-cache")
 
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -115,7 +115,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str | None = None, id_c
     misses = narrow.groupBy("_digest").agg(F.min("_spread").alias("_spread")).join(known, "_digest", "left_anti")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = count_encoder(tokenizer, shipped.value)
+        count = shipped(sent)
         for batch in batches:
             done: dict[str, int] = {}
             for digest, t in zip(batch.column(0).to_pylist(), batch.column(1)):
