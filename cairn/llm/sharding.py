@@ -13,14 +13,17 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from dataclasses import dataclass
+from itertools import accumulate
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.llm.common import checkpoint, utf8_bytes
 
 #: Keys use 62 bits, so that differences of keys stay in a long.
 KEY_BITS = 62
+#: Leading bits by which splitters are looked up.
+CELL_BITS = 10
 
 
 @dataclass
@@ -51,17 +54,21 @@ def keyed(docs: DataFrame, id_col: str, text_col: str, overhead: int) -> DataFra
     )
 
 
-def pick(edges: list[tuple[int, int]]) -> Column:
-    """The number of edges below the row's key: a balanced tree of comparisons on (h, t)."""
+def placed(rows: DataFrame, edges: list[tuple[int, int]], name: str) -> DataFrame:
+    """rows with the number of edges (sorted) below their key.
 
-    def tree(lo: int, hi: int) -> str:
-        if lo == hi:
-            return str(lo)
-        mid = (lo + hi) // 2
-        h, t = edges[mid]
-        return f"CASE WHEN h < {h}L OR (h = {h}L AND t <= {t}L) THEN {tree(lo, mid)} ELSE {tree(mid + 1, hi)} END"
-
-    return F.expr(tree(0, len(edges)))
+    The edges travel as a broadcast table of 2^CELL_BITS rows, one for each
+    leading part of h: how many edges lie before it, and those inside.
+    """
+    shift = KEY_BITS - CELL_BITS
+    inside: list[list[tuple[int, int]]] = [[] for _ in range(1 << CELL_BITS)]
+    for h, t in edges:
+        inside[h >> shift].append((h, t))
+    before = [0, *accumulate(map(len, inside))]
+    table = rows.sparkSession.createDataFrame([(i, before[i], x) for i, x in enumerate(inside)], "cell int, before int, edges array<struct<h: long, t: long>>")
+    below = F.size(F.filter("edges", lambda e: (e["h"] < F.col("h")) | ((e["h"] == F.col("h")) & (e["t"] < F.col("t")))))
+    joined = rows.withColumn("cell", F.shiftright("h", shift).cast("int")).join(F.broadcast(table), "cell")
+    return joined.withColumn(name, F.col("before") + F.when(F.size("edges") == 0, 0).otherwise(below)).drop("cell", "before", "edges")
 
 
 def splitters(rows: DataFrame, parts: int, tolerance: float, probes: int) -> tuple[list[tuple[int, int]], list[int]]:
@@ -85,21 +92,22 @@ def splitters(rows: DataFrame, parts: int, tolerance: float, probes: int) -> tup
             "j int, h0 long, h1 long, t0 long, t1 long, one boolean, step long",
         )
         edges = [(r.hi[0], r.hi[1] if r.lo[0] == r.hi[0] else 1 << KEY_BITS) for r in live]
-        inside = rows.withColumn("j", pick(edges)).join(F.broadcast(table), "j").filter("h >= h0 AND h <= h1 AND (NOT one OR t >= t0)")
+        inside = placed(rows, edges, "j").join(F.broadcast(table), "j").filter("h >= h0 AND h <= h1 AND (NOT one OR t >= t0)")
         cells = (
             inside.groupBy("j", F.expr("CASE WHEN one THEN (t - t0) DIV step ELSE (h - h0) DIV step END").alias("cell"))
             .agg(F.sum("size").alias("size"), F.count("*").alias("n"), F.min("h").alias("hmin"), F.max("h").alias("hmax"), F.min("t").alias("tmin"), F.max("t").alias("tmax"))
             .collect()
         )
-        cells.sort(key=lambda c: (c["j"], c["cell"]))
+        of: list[list[tuple]] = [[] for _ in live]
+        for c in sorted(map(tuple, cells)):
+            of[c[0]].append(c[2:])
         finer: list[Range] = []
-        for j, r in enumerate(live):
+        for r, own in zip(live, of):
             before, seen = r.before, r.rows_before
-            for c in (c for c in cells if c["j"] == j):
+            for size, n, hmin, hmax, tmin, tmax in own:
                 # The bounds in t mean something only where a cell has a single h.
-                lo, hi = (c["hmin"], c["tmin"]), (c["hmax"], c["tmax"])
-                finer.append(Range(lo, hi, before, c["size"], c["n"], seen))
-                before, seen = before + c["size"], seen + c["n"]
+                finer.append(Range((hmin, tmin), (hmax, tmax), before, size, n, seen))
+                before, seen = before + size, seen + n
         ends = [r.before + r.size for r in finer]
         for i in open_targets:
             r = finer[bisect_left(ends, targets[i])]
@@ -127,9 +135,9 @@ def shard(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: s
     rows = checkpoint(keyed(docs, id_col, text_col, overhead))
     parts = shards * runs
     edges, starts = splitters(rows, parts, tolerance, probes)
-    placed = rows.withColumn("part", pick(edges))
+    dealt = placed(rows, edges, "part")
     first = F.expr("array(" + ", ".join(f"{starts[p] - starts[p - p % runs]}L" for p in range(parts)) + ")")
     within = F.row_number().over(Window.partitionBy("part").orderBy("h", "t")).cast("long") - 1
-    return placed.select(
+    return dealt.select(
         F.col("id").alias(id_col), "size", "text_crc32", F.floor(F.col("part") / runs).cast("int").alias("shard"), (within + F.element_at(first, F.col("part") + 1)).alias("slot")
     )
