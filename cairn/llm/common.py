@@ -5,9 +5,12 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark import Broadcast, cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 #: ASCII white space, as a Java and Python regular expression class.
 SPACE = r"[\x20\x09-\x0D]"
@@ -44,6 +47,13 @@ def utf8_bytes(text: Column) -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
 
 
+def local_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A small table from the driver as an Arrow table, which takes no Python worker to read."""
+    fields = T.StructType.fromDDL(schema)
+    table = pa.Table.from_pylist([dict(zip(fields.names, r)) for r in rows], to_arrow_schema(fields))
+    return spark.createDataFrame(table, fields)
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-case A-Z only."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -18,7 +18,7 @@ from itertools import accumulate
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairn.llm.common import checkpoint, utf8_bytes
+from cairn.llm.common import checkpoint, local_table, utf8_bytes
 
 #: Keys use 62 bits, so that differences of keys stay in a long.
 KEY_BITS = 62
@@ -65,7 +65,7 @@ def placed(rows: DataFrame, edges: list[tuple[int, int]], name: str) -> DataFram
     for h, t in edges:
         inside[h >> shift].append((h, t))
     before = [0, *accumulate(map(len, inside))]
-    table = rows.sparkSession.createDataFrame([(i, before[i], x) for i, x in enumerate(inside)], "cell int, before int, edges array<struct<h: long, t: long>>")
+    table = local_table(rows.sparkSession, [(i, before[i], [{"h": h, "t": t} for h, t in x]) for i, x in enumerate(inside)], "cell int, before int, edges array<struct<h: long, t: long>>")
     below = F.size(F.filter("edges", lambda e: (e["h"] < F.col("h")) | ((e["h"] == F.col("h")) & (e["t"] < F.col("t")))))
     joined = rows.withColumn("cell", F.shiftright("h", shift).cast("int")).join(F.broadcast(table), "cell")
     return joined.withColumn(name, F.col("before") + F.when(F.size("edges") == 0, 0).otherwise(below)).drop("cell", "before", "edges")
@@ -87,7 +87,8 @@ def splitters(rows: DataFrame, parts: int, tolerance: float, probes: int) -> tup
         wanted = sorted({bisect_left(ends, targets[i]) for i in open_targets})
         live = [ranges[j] for j in wanted]
         # Cells of a range: equal steps of h, or of t where the range has one h only.
-        table = rows.sparkSession.createDataFrame(
+        table = local_table(
+            rows.sparkSession,
             [(j, r.lo[0], r.hi[0], r.lo[1], r.hi[1], r.lo[0] == r.hi[0], max(1, -(-((r.hi[1] - r.lo[1]) if r.lo[0] == r.hi[0] else (r.hi[0] - r.lo[0])) // probes))) for j, r in enumerate(live)],
             "j int, h0 long, h1 long, t0 long, t1 long, one boolean, step long",
         )

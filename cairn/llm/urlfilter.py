@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm.common import ascii_lower
+from cairn.llm.common import ascii_lower, local_table
 
 #: (verdict, rule): host, a slash, and the rest of the path prefix.
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
@@ -22,7 +22,7 @@ PREFIX = 8
 
 
 def rule_table(spark: SparkSession, rules=RULES) -> DataFrame:
-    return spark.createDataFrame(list(rules), "verdict string, rule string")
+    return local_table(spark, list(rules), "verdict string, rule string")
 
 
 def split_url(url) -> tuple:
