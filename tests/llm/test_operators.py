@@ -1,0 +1,173 @@
+"""The operators against plain Python on small fixtures with nulls, empty and repeated rows, ties and clashing columns."""
+
+import hashlib
+import zlib
+from collections import Counter
+
+import numpy as np
+import public_tokenizers
+import pytest
+from tokenizers import Tokenizer
+
+from cairn.llm import bpe, htmltext, langid, packing, quality, sharding, simhash, tokencount, topk, urlfilter
+from pyspark.sql import functions as F
+
+BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
+PROSE = "the cat sat on the mat and looked at a bird that sang in the old tree near our house while rain fell on stones"
+TEXTS = [None, "", " \n ", PROSE, PROSE, PROSE.upper(), PROSE + " today", "one two", "it's İstanbul <|endoftext|> 漢字 x", "a b c a b c a b c", "##### | %%% word", "x" * 3000 + " end", "line one\nline one\nother", PROSE * 30]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = [(i, t, 1, "clash") for i, t in enumerate(TEXTS)] + [(3, PROSE, 1, "clash"), (None, PROSE, 1, "clash")]
+    return spark.createDataFrame(rows, "doc_id long, text string, fp int, shard string").repartition(3, "doc_id")
+
+
+@pytest.fixture(scope="module")
+def empty(docs):
+    return docs.filter("doc_id < 0")
+
+
+def test_simhash_links_like_brute_force(docs, empty):
+    got = simhash.near_duplicates(docs, limit=4).collect()
+    fp = {i: simhash.fingerprint(t) for i, t in enumerate(TEXTS)}
+    root = {i: i for i in fp}
+    for _ in fp:
+        for a in fp:
+            for b in fp:
+                if (fp[a] ^ fp[b]).bit_count() <= 4:
+                    root[a] = root[b] = min(root[a], root[b])
+    assert len(got) == len(TEXTS) + 2
+    for r in got:
+        key = 3 if r.doc_id is None else r.doc_id
+        assert (r.fingerprint, r.component_id) == (f"{fp[key]:016x}", root[key])
+    assert simhash.near_duplicates(empty).count() == 0
+    kept = simhash.keep_first(docs)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted({root[i] for i in root})
+
+
+def test_trie_walk_finds_all_links(spark):
+    rng = np.random.default_rng(5)
+    keys = rng.integers(0, 1 << 63, 60, dtype=np.uint64)
+    for _ in range(4):
+        keys = np.append(keys, keys[rng.integers(0, len(keys), 60)] ^ (np.uint64(1) << rng.integers(0, 64, 60).astype(np.uint64)))
+    keys = np.unique(keys)
+    parent = np.arange(len(keys))
+    simhash.merge_roots(parent, *np.nonzero(np.bitwise_count(keys[:, None] ^ keys[None, :]) <= 4))
+    fps = spark.createDataFrame([(int(i), int(k)) for i, k in enumerate(keys.view(np.int64))], "rep long, fp long")
+    found = dict(simhash.components(simhash.hamming_forest(fps, 4, limit=16)).collect())
+    assert [found.get(i, i) for i in range(len(keys))] == parent.tolist()
+
+
+def test_quality_rules(docs, empty):
+    row = {r.doc_id: r for r in quality.judge(docs).collect()}
+    for i, t in enumerate(TEXTS):
+        words = (t or "").split()
+        grams = Counter(zip(words, words[1:], words[2:]))
+        covered = {i + k for i, g in enumerate(zip(words, words[1:], words[2:])) if grams[g] > 1 for k in range(3)}
+        assert (row[i].n_words, row[i].word_chars, row[i].n_repeat_words) == (len(words), sum(map(len, words)), len(covered))
+        assert row[i].base_failed == (len(words) < 50 or 100 * len(covered) > 50 * len(words)) and not (row[i].base_failed and row[i].kept)
+    assert row[10].n_symbols == 9 and row[12].n_dup_lines == 1
+    assert quality.judge(empty).count() == 0 and quality.keep(docs).columns == docs.columns
+
+
+def test_language_id(spark, docs, empty):
+    words = {"en": "the and of with that is for".split(), "de": "der und die mit von das nicht".split()}
+    rows = [(i, " ".join(words[k][(i * j) % 7] for j in range(1, 40)), k) for i in range(60) for k in words]
+    langs, prob = langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    test = spark.createDataFrame([(1, "the that is with of"), (2, "nicht das von der"), (3, None), (4, "123 !"), (5, "the of and that is " * 9 + "der und die nicht " * 3)], "doc_id long, text string")
+    got = {r.doc_id: r for r in langid.predict(test, langs, prob).collect()}
+    assert [got[i].lang_pred for i in range(1, 6)] == ["en", "de", "und", "und", "en"]
+    assert got[3].score == 0 and set(got[5].shares) == {"en", "de"} and 0.5 < got[5].score < 1
+    assert [r.doc_id for r in langid.keep_identified(test, langs, prob).orderBy("doc_id").collect()] == [1, 2, 5]
+    assert {r.lang_pred for r in langid.predict(docs, [], np.zeros((langid.BUCKETS, 0))).collect()} == {"und"} and langid.predict(empty, langs, prob).count() == 0
+
+
+def test_sharding(spark, docs, empty):
+    rows = [(i, "same" if i % 3 == 0 else str(i) * (i % 50)) for i in range(3000)]
+    got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string"), shards=6, runs=2).collect()
+    size = Counter()
+    for r in got:
+        size[r.shard] += r.size_ if hasattr(r, "size_") else r["size"]
+    assert len(got) == 3000 and max(size.values()) - min(size.values()) < 0.05 * sum(size.values()) / 6
+    for s in range(6):
+        assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
+    few = sharding.shard(docs, shards=24).collect()
+    assert len(few) == len(TEXTS) + 2 and {r.doc_id: r["size"] for r in few}[0] == 8 and sharding.shard(empty).count() == 0
+
+
+def test_top_k(spark):
+    rng = np.random.default_rng(3)
+    vec = {i: rng.normal(size=6).round(2).tolist() for i in range(400)}
+    vec[7] = vec[8] = vec[9] = vec[100]
+    bad = {400: None, 401: [1.0, None], 402: [float("nan")] * 6}
+    rows = [(i, v) for i, v in (vec | bad).items()] + [(9, vec[9])]
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 100 == 0, k=5, block=90, query_block=2, tasks=4).collect()
+    whole = {i: np.floor(1024 * np.array(v)).astype(np.int64) for i, v in vec.items()}
+    for q in range(0, 400, 100):
+        want = sorted((-int(whole[q] @ whole[i]), i) for i in vec if i != q)[:5]
+        assert [(-r.score, r.vec_id) for r in sorted((r for r in got if r.query_id == q), key=lambda r: r["rank"])] == want
+
+
+def test_url_filters(spark):
+    want = {"http://WWW.Example.com/en/x?y": ("www.example.com/en/", "allow"), "https://a.example.com/en/": ("example.com/en/", "block"), "http://b.com": (None, "allow"), "http://b.com/q": ("com/", "allow"),
+            "x://a.net/fr/1#z": ("net/fr/", "block"), "nothing": (None, "allow"), None: (None, "allow"), "": (None, "allow"), "http://notexample.com/en/": ("com/", "allow")}
+    pages = spark.createDataFrame([(i, u, "clash") for i, u in enumerate([*want, "x://a.net/fr/1#z"])], "page_id long, url string, host string")
+    for limit in (0, 100):
+        got = urlfilter.judge_urls(pages, urlfilter.rule_table(spark), broadcast_rules=limit).collect()
+        assert len(got) == 10 and all((r.rule, r.verdict) == want[r.url] for r in got)
+    assert urlfilter.judge_urls(pages.filter("page_id < 0"), urlfilter.rule_table(spark)).count() == 0
+
+
+def test_token_counts_and_cache(docs, empty, tmp_path):
+    model = Tokenizer.from_file(BYTE)
+    cache = f"file://{tmp_path}/cache"
+    for _ in range(2):
+        got = tokencount.count_tokens(docs, BYTE, cache, limit=20).collect()
+        assert len(got) == len(TEXTS) + 2
+        for r in got:
+            t = PROSE if r.doc_id is None else TEXTS[r.doc_id] or ""
+            n = len(model.encode(t, add_special_tokens=False).ids)
+            assert (r.n_bytes, r.n_tokens, r.over_limit) == (len(t.encode()), n, n > 20)
+    assert tokencount.read_cache(docs.sparkSession, cache).count() == len({t or "" for t in TEXTS})
+    assert tokencount.count_tokens(empty, BYTE).count() == 0
+
+
+def test_html_extraction(spark):
+    page = """<html><head><title>T</title><script>var a="</p>";</script></head><body><nav><ul><li><a href="/a">Home</a></li></ul></nav><div class="ad">Buy this now and save.</div>
+    <article><h1>A title</h1><p>First   paragraph &amp; more words in it.<p>Short.</p><aside>Read also this one</aside></article><section id="comments"><p>I like it very much indeed</p></section><footer>&copy; me</footer></body></html>"""
+    pages = spark.createDataFrame([(1, page, "clash"), (2, None, "c"), (3, "", "c"), (4, "<p", "c"), (1, page, "clash")], "page_id long, html string, text string")
+    got = htmltext.extract(pages).collect()
+    assert [r.text for r in got if r.page_id == 1] == ["A title\nFirst paragraph & more words in it.\nShort."] * 2
+    assert all(r.text == "" and r.n_chars == 0 for r in got if r.page_id in (2, 3))
+
+
+def test_bpe_round_trip(docs, empty):
+    model = Tokenizer.from_file(WORD)
+    for r in bpe.encode_and_decode(docs, WORD).collect():
+        ids = model.encode(PROSE if r.doc_id is None else TEXTS[r.doc_id] or "", add_special_tokens=False).ids
+        assert (r.n_tokens, r.ids, r.decoded) == (len(ids), ids, model.decode(ids, skip_special_tokens=False))
+    first = bpe.encode_and_decode(docs.filter("doc_id = 7"), WORD, digests=True).first()
+    assert first.ids_sha256 == hashlib.sha256(" ".join(map(str, model.encode(TEXTS[7], add_special_tokens=False).ids)).encode()).hexdigest()
+    assert bpe.encode_and_decode(empty, WORD).count() == 0
+
+
+def test_packing_holds_every_id_once(docs, empty):
+    model = Tokenizer.from_file(BYTE)
+    own = docs.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
+    got = packing.pack(own, BYTE, tiers=(16, 32, 64)).collect()
+    for i, t in enumerate(TEXTS):
+        ids = [*model.encode(t or "", add_special_tokens=False).ids, 1]
+        at = 0
+        for r in sorted((r for r in got if r.doc_id == i), key=lambda r: r.start):
+            assert r.start == at and r.ids_crc32 == zlib.crc32(np.array(ids[at : at + r.length], "<u4").tobytes()) and r.doc_tokens == len(ids)
+            at += r.length
+        assert at == len(ids)
+    odd = 0
+    for s in {r.sequence_id for r in got}:
+        at = 0
+        for r in sorted((r for r in got if r.sequence_id == s), key=lambda r: r.offset):
+            assert r.offset == at
+            at += r.length
+        odd += at not in (16, 32, 64)
+    assert odd <= 1 and packing.pack(docs, BYTE).filter("doc_id IS NULL").count() >= 1 and packing.pack(empty, BYTE).count() == 0
