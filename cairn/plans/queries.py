@@ -161,6 +161,6 @@ ORACLE_SQL = {
     "lod_histogram": f"SELECT {LOD} AS level, count(*) AS n_tiles FROM orders GROUP BY 1",
     "contour_band": "WITH e AS (SELECT event_id, value, least(greatest(value / 50e0, 0e0), 1e0) AS t FROM events) SELECT event_id, round((value - floor(value / 5e0) * 5e0) / 5e0, 6) AS phase, round(t * t * (3 - 2 * t), 6) AS edge FROM e",
     "viewshed_config": "SELECT p_partkey, round(least(greatest(coalesce(CASE WHEN p_partkey % 3 <> 0 THEN p_retailprice / 100 END, 1.7e0 * 2), 0.01e0), greatest(coalesce(CASE WHEN p_partkey % 5 <> 0 THEN p_size END, 10000), 10) * 0.5e0), 6) AS near FROM part",
-    "format_bytes": "WITH b AS (SELECT p_partkey, CAST(p_partkey * p_partkey * 1024 AS DOUBLE) AS n FROM part), u AS (SELECT *, CASE WHEN n < 1024 THEN 0 WHEN n < 1048576 THEN 1 WHEN n < 1073741824 THEN 2 ELSE 3 END AS k FROM b), v AS (SELECT *, n / pow(1024e0, k) AS x FROM u) SELECT p_partkey, CASE WHEN n <= 0 THEN '0 B' ELSE (CASE WHEN x < 10 THEN printf('%.2f', x) WHEN x < 100 THEN printf('%.1f', x) ELSE printf('%.0f', floor(x + 0.5e0)) END) || ' ' || ['B', 'KB', 'MB', 'GB'][k + 1] END AS shown, '#' || printf('%06x', (p_partkey * 104729) & 16777215) AS css FROM v",
+    "format_bytes": "WITH b AS (SELECT p_partkey, CAST(p_partkey * p_partkey * 1024 AS DOUBLE) AS n FROM part), u AS (SELECT *, CASE WHEN n < 1024 THEN 0 WHEN n < 1048576 THEN 1 WHEN n < 1073741824 THEN 2 ELSE 3 END AS k FROM b), v AS (SELECT *, n / pow(1024e0, k) AS x FROM u) SELECT p_partkey, CASE WHEN n <= 0 THEN '0 B' ELSE (CASE WHEN x < 10 THEN printf('%.2f', floor(x * 100 + 0.5e0) / 100) WHEN x < 100 THEN printf('%.1f', floor(x * 10 + 0.5e0) / 10) ELSE printf('%.0f', floor(x + 0.5e0)) END) || ' ' || ['B', 'KB', 'MB', 'GB'][k + 1] END AS shown, '#' || printf('%06x', (p_partkey * 104729) & 16777215) AS css FROM v",
     "bench_stats": "SELECT event_type, min(value) AS low, max(value) AS high, round(median(value), 3) AS median, round(stddev_pop(value), 3) AS stdev FROM events GROUP BY event_type",
 }
