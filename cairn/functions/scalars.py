@@ -68,3 +68,61 @@ def format_bytes(n: Column) -> Column:
     names = F.element_at(F.array(*[F.lit(u) for u in ("B", "KB", "MB", "GB")]), unit + 1)
     shown = F.when(value < 10, F.format_string("%.2f", value)).when(value < 100, F.format_string("%.1f", value)).otherwise(F.format_string("%.0f", F.floor(value + 0.5).cast("double")))
     return F.when(n.isNull() | F.isnan(n) | (n <= 0), "0 B").otherwise(F.concat_ws(" ", shown, names))
+
+
+def finite_or(v: Column, default: float) -> Column:
+    """v, or the default where it is null, NaN or infinite."""
+    return F.when(v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")), F.lit(default)).otherwise(v)
+
+
+def wheel_scale(delta: Column, sensitivity: float = 0.01) -> Column:
+    """Zoom factor of a wheel step: above 1 for negative steps, below for positive ones."""
+    scale = 2 / (1 + F.exp(-F.abs(delta * sensitivity)))
+    return F.when(delta < 0, 1 / scale).otherwise(scale)
+
+
+def wrap_angle(a: Column) -> Column:
+    """Angle within -pi .. pi."""
+    turn = 2 * 3.141592653589793
+    return a - F.floor((a + turn / 2) / turn) * turn
+
+
+def bias(t: Column, b: float) -> Column:
+    return F.when(t <= 0, 0.0).otherwise(F.pow(t, F.log(F.lit(b)) / F.log(F.lit(0.5))))
+
+
+def hsv_to_rgb(h: Column, s: Column, v: Column) -> dict[str, Column]:
+    """Red, green and blue of a colour with hue, saturation and value in 0 .. 1."""
+
+    def channel(n: int) -> Column:
+        k = (n + h * 6) - F.floor((n + h * 6) / 6) * 6
+        return v - v * s * F.greatest(F.least(k, 4 - k, F.lit(1.0)), F.lit(0.0))
+
+    return {"r": channel(5), "g": channel(3), "b": channel(1)}
+
+
+def blended_height(full: Column, lossy: Column, mode: Column, blend: float, u: Column, wave: Column) -> Column:
+    """Height between a full and a lossy raster: mode 0 mixes, 1 waves, 2 splits at u, 3 stays full."""
+    share = F.when(mode == 0, F.lit(blend)).when(mode == 1, blend * (0.5 + 0.5 * F.sin(wave))).when(mode == 2, (u < blend).cast("double")).otherwise(0.0)
+    return full + (lossy - full) * share
+
+
+def parse_number(text: Column) -> Column:
+    """The number that text starts with, or null."""
+    return F.regexp_extract(text, r"^\s*([-+]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][-+]?[0-9]+)?)", 1).try_cast("double")
+
+
+def is_lossy_key(key: Column) -> Column:
+    """Whether a cache key url@q=... is of a quality other than 1."""
+    return F.contains(key, F.lit("@q=")) & ~F.endswith(key, F.lit("@q=1"))
+
+
+def signed_to_code(v: Column) -> Column:
+    """16-bit signed sample as an unsigned code."""
+    return (v + 32768).bitwiseAND(0xFFFF)
+
+
+def preset_is_active(current: Column, preset: Column, span: float) -> Column:
+    """Whether a slider stands at a preset, within a fiftieth of the span or a twentieth of the preset."""
+    near = F.when(preset == 0, F.lit(1e-9)).otherwise(preset * 0.05)
+    return F.abs(current - preset) <= F.greatest(F.lit(span * 0.02), near)

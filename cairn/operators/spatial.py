@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairn.functions.scalars import cell_corner
@@ -25,3 +25,18 @@ def sync_difference(loaded: DataFrame, desired: DataFrame, key: str) -> DataFram
     """Keys to add and to remove so that loaded becomes desired."""
     add = desired.select(key).distinct().join(loaded, key, "left_anti").withColumn("action", F.lit("add"))
     return add.unionByName(loaded.select(key).distinct().join(desired, key, "left_anti").withColumn("action", F.lit("remove")))
+
+
+def symmetric_difference(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """Keys in just one of both: toggling the members b of a set a."""
+    return sync_difference(a, b, key).select(key)
+
+
+def best_source(sources: Column, fallback: Column, order: tuple[str, ...] = ("2000", "1000", "500")) -> Column:
+    """The first non-empty file among the resolutions in order, else the fallback."""
+    return F.coalesce(*[F.nullif(F.element_at(sources, F.lit(k)), F.lit("")) for k in order], fallback)
+
+
+def tile_corner(name: Column, origin: tuple[int, int] = (80000, 624040), size: int = 40960) -> tuple[Column, Column]:
+    """Lower left corner of a tile named xxx_yyy: columns count from the west, rows from the north."""
+    return origin[0] + F.substring(name, 1, 3).cast("int") * size, origin[1] - F.substring(name, 5, 3).cast("int") * size

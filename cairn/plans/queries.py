@@ -7,15 +7,8 @@ from pyspark.sql import functions as F
 
 from cairn.functions import scalars as S
 from cairn.operators import raster, spatial, tracks
-
-
-def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def track_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = read(spark, sf_dir, "events")
-    return e.select(F.col("user_id").alias("track"), F.col("event_id").alias("ix"), F.col("ts").cast("timestamp").alias("ts"), F.expr("50 + (event_id * 37 % 5000) / 1000e0").alias("lat"), F.expr("-5 + (event_id * 91 % 6000) / 1000e0").alias("lon"), F.col("value").alias("ele"))
+from cairn.plans import more_queries
+from cairn.plans.proxies import read, track_points
 
 
 def recode_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -164,3 +157,6 @@ ORACLE_SQL = {
     "format_bytes": "WITH b AS (SELECT p_partkey, CAST(p_partkey * p_partkey * 1024 AS DOUBLE) AS n FROM part), u AS (SELECT *, CASE WHEN n < 1024 THEN 0 WHEN n < 1048576 THEN 1 WHEN n < 1073741824 THEN 2 ELSE 3 END AS k FROM b), v AS (SELECT *, n / pow(1024e0, k) AS x FROM u) SELECT p_partkey, CASE WHEN n <= 0 THEN '0 B' ELSE (CASE WHEN x < 10 THEN printf('%.2f', floor(x * 100 + 0.5e0) / 100) WHEN x < 100 THEN printf('%.1f', floor(x * 10 + 0.5e0) / 10) ELSE printf('%.0f', floor(x + 0.5e0)) END) || ' ' || ['B', 'KB', 'MB', 'GB'][k + 1] END AS shown, '#' || printf('%06x', (p_partkey * 104729) & 16777215) AS css FROM v",
     "bench_stats": "SELECT event_type, min(value) AS low, max(value) AS high, round(median(value), 3) AS median, round(stddev_pop(value), 3) AS stdev FROM events GROUP BY event_type",
 }
+
+QUERIES |= more_queries.QUERIES
+ORACLE_SQL |= more_queries.ORACLE_SQL
