@@ -88,22 +88,23 @@ def text_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
     })
 
 
-def order_rules(stats: DataFrame, rules: tuple[Rule, ...] = RULES) -> list[Rule]:
-    """Rules by falling rejection per cost over the rows of stats; one row of counts leaves the cluster."""
-    found = stats.agg(
-        F.count("*").alias("n"),
-        *[F.coalesce(F.sum(F.expr(r.reject).cast("int")), F.lit(0)).alias(f"reject{i}") for i, r in enumerate(rules)],
-        *[F.coalesce(F.avg(F.expr(r.work)), F.lit(1.0)).cast("double").alias(f"cost{i}") for i, r in enumerate(rules)],
-    ).first()
-    value = {r.name: found[f"reject{i}"] / max(found[f"cost{i}"], 1e-9) for i, r in enumerate(rules)}
-    cost = {r.name: found[f"cost{i}"] for i, r in enumerate(rules)}
-    return sorted(rules, key=lambda r: (-value[r.name], cost[r.name], r.name))
+def order_rules(stats: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = 500) -> list[Rule]:
+    """Rules by falling rejection per cost over the first sample_rows rows of stats.
+
+    Spark reads partitions only until it has these rows; two numbers for each
+    rule and row leave the cluster, and nothing is shuffled.
+    """
+    number = lambda sql: F.coalesce(F.expr(sql).cast("double"), F.lit(0.0))
+    found = stats.select(*[number(r.reject) for r in rules], *[number(r.work) for r in rules]).limit(sample_rows).collect()
+    mean = [sum(column) / len(found) for column in zip(*found)] if found else [0.0] * (2 * len(rules))
+    rejected, cost = (dict(zip((r.name for r in rules), part)) for part in (mean[: len(rules)], mean[len(rules) :]))
+    return sorted(rules, key=lambda r: (-rejected[r.name] / max(cost[r.name], 1e-9), cost[r.name], r.name))
 
 
 def cascade(narrow: DataFrame, rules: tuple[Rule, ...], min_words: int, max_repeat_percent: int, sample_rows: int) -> DataFrame:
     """narrow (text and one more column) with the statistics, base_failed and failed_rule."""
     verdict = F.lit(None).cast("string")
-    for rule in reversed(order_rules(text_statistics(narrow.select("text").limit(sample_rows)), rules)):
+    for rule in reversed(order_rules(text_statistics(narrow.select("text")), rules, sample_rows)):
         verdict = F.when(F.expr(rule.reject), F.lit(rule.name)).otherwise(verdict)
     base = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
     return text_statistics(narrow).withColumn("base_failed", base).withColumn("failed_rule", F.when(F.col("base_failed"), F.lit("base")).otherwise(verdict))
