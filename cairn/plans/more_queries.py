@@ -20,7 +20,7 @@ def lookahead_smooth(spark, sf_dir):
 
 def frame_phase(spark, sf_dir):
     out = frames.accumulated_phase(frames.frame_delta(track_points(spark, sf_dir), 36000.0), 3.0)
-    return out.select("track", "ix", F.round("dt", 6).alias("dt"), F.round("phase", 4).alias("phase"))
+    return out.select("track", "ix", F.round("dt", 6).alias("dt"), F.round("phase", 6).alias("phase"))
 
 
 def morph_progress(spark, sf_dir):
@@ -183,7 +183,7 @@ HUES = ", ".join(f"({n} + (event_id % 97) / 97e0 * 6) - floor(({n} + (event_id %
 CHANNELS = ", ".join(f"round(0.5e0 - 0.375e0 * greatest(least(k{n}, 4 - k{n}, 1e0), 0e0), 6) AS {c}" for n, c in RGB)
 ORACLE_SQL = {
     "lookahead_smooth": f"{P}, l AS (SELECT track, ix, {LEADS} FROM p WINDOW w AS (PARTITION BY track ORDER BY ts, ix)) SELECT track, ix, CASE WHEN a1 IS NOT NULL THEN round(({SUM}) / ({COUNT}), 6) END AS ahead FROM l",
-    "frame_phase": f"{D} SELECT track, ix, round(dt, 6) AS dt, round(CAST(sum(CAST(dt * 3 AS DECIMAL(38,10))) {SO_FAR} AS DOUBLE), 4) AS phase FROM d",
+    "frame_phase": f"{D} SELECT track, ix, round(dt, 6) AS dt, round(CAST(sum(CAST(dt * 3 AS DECIMAL(38,10))) {SO_FAR} AS DOUBLE), 6) AS phase FROM d",
     "morph_progress": f"{D} SELECT track, ix, round(least(CAST(sum(CAST(dt AS DECIMAL(38,10))) {SO_FAR} AS DOUBLE) / 100000e0, 1e0), 6) AS progress FROM d",
     "change_detect": "SELECT track, ix, event_type FROM (SELECT user_id AS track, event_id AS ix, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b FROM events) WHERE b IS NULL OR b <> event_type",
     "playhead_pulse": f"{P}, m AS (SELECT track, ix, epoch_us(ts) AS t, epoch_us(min(ts) OVER (PARTITION BY track)) AS a, epoch_us(max(ts) OVER (PARTITION BY track)) AS b FROM p), s AS (SELECT track, ix, CASE WHEN b > a THEN (t - a) / CAST(b - a AS DOUBLE) ELSE 0e0 END - 0.14e0 AS s FROM m), u AS (SELECT track, ix, least(greatest((s - floor(s) - 0.9e0) / 0.1e0, 0e0), 1e0) AS u FROM s) SELECT track, ix, round(u * u * (3 - 2 * u), 6) AS pulse FROM u",
