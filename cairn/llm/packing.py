@@ -7,6 +7,9 @@ need no padding.  A tier's rest fills the gap of the next longer tier.  The
 rest of the longest tier leaves the task and meets those of other tasks in a
 second, small round.  So only the very last window of a group of tasks can
 need padding.  Documents are tokenized once and never shuffled.
+
+Step groups are given out when all windows are made and counted: each tier's
+windows are dealt in proportion over all groups.
 """
 
 from __future__ import annotations
@@ -16,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.llm.common import checkpoint, ship, shipped
@@ -35,12 +38,12 @@ ARROW = pa.schema([("start", pa.int64()), ("length", pa.int64()), ("ids_crc32",
 class Packer:
     """Packs pieces (doc, start, doc_tokens, ids) into windows; finished rows gather in `rows`."""
 
-    def __init__(self, tiers: tuple[int, ...], first_id: int, step_tokens: int):
+    def __init__(self, tiers: tuple[int, ...], first_id: int):
         self.tiers, self.longest = sorted(tiers), max(tiers)
         self.open: dict[int, list[tuple]] = {t: [] for t in self.tiers}
         self.held = dict.fromkeys(self.tiers, 0)
         self.made = dict.fromkeys(self.tiers, 0)
-        self.next_id, self.first_id, self.step_tokens = first_id, first_id, step_tokens
+        self.next_id, self.first_id = first_id, first_id
         self.rows: list[tuple] = []
 
     def add(self, doc, ids: np.ndarray, start: int = 0, total: int | None = None) -> None:
@@ -64,12 +67,11 @@ class Packer:
                 self.open[tier], self.held[tier] = [], 0
 
     def close(self, tier: int, pieces: list[tuple]) -> None:
-        """Write a window.  Windows of a tier are dealt in turn to step groups, which so get equal shares of each tier."""
+        """Write a window; in place of its step group stands its number among the task's windows of the tier."""
         offset = 0
-        per_step = max(1, self.step_tokens // tier // len(self.tiers))
         for doc, start, total, ids in pieces:
             crc = zlib.crc32(ids.astype("<u4").tobytes())
-            self.rows.append((doc, start, len(ids), crc, total, self.next_id, offset, tier, self.first_id + self.made[tier] // per_step, None))
+            self.rows.append((doc, start, len(ids), crc, total, self.next_id, offset, tier, self.made[tier], None))
             offset += len(ids)
         self.made[tier] += 1
         self.next_id += 1
@@ -98,15 +100,33 @@ def to_batch(rows: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [kind, *ARROW.types])], ["_id", *ARROW.names])
 
 
+def step_groups(windows: DataFrame, step_tokens: int) -> DataFrame:
+    """windows with step_group, in which stood the number among a task's windows of the tier.
+
+    Of n windows of a tier, number i goes to group i * groups // n; so each
+    group has a tier's share rounded down or up.
+    """
+    rows = windows.withColumn("_task", F.shiftright("sequence_id", LOCAL_BITS))
+    made = rows.groupBy("_task", "tier").agg((F.max("step_group") + 1).alias("_made"), F.sum("length").alias("_ids"))
+    # A row for each tier of a task.
+    own = Window.partitionBy("tier")
+    before = F.coalesce(F.sum("_made").over(own.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    groups = made.agg(F.ceil(F.sum("_ids") / step_tokens).alias("_groups"))
+    table = made.select("_task", "tier", before.alias("_before"), F.sum("_made").over(own).alias("_n")).crossJoin(F.broadcast(groups))
+    dealt = rows.join(F.broadcast(table), ["_task", "tier"]).withColumn("step_group", F.expr("((_before + step_group) * _groups) DIV _n"))
+    return dealt.select(*windows.columns)
+
+
 def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, tiers: tuple[int, ...] = TIERS, id_col: str = "doc_id", text_col: str = "text", step_tokens: int = 1 << 16) -> DataFrame:
     """One row for each piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset, tier, step_group.
 
     A document's ids are those of its whole text and end_id.  Windows hold
     exactly `tier` ids; of every GROUP tasks one window may hold fewer and is
-    padded to the longest tier.  step_group numbers groups of windows of about
-    step_tokens ids with equal shares of every tier; (tier, step_group) is
-    unique to a task.  Null texts count as empty and give one id.  Repeated
-    rows are packed each.  Other columns are not read.
+    padded to the longest tier.  step_group, from 0, numbers groups of windows
+    with equal shares of every tier, to one window, and so of step_tokens ids
+    at most on average; a group is off the average by less than one window of
+    every tier.  Null texts count as empty and give one id.  Repeated rows are
+    packed each.  Other columns are not read.
     """
     with open(tokenizer, encoding="utf-8") as f:
         sent = ship(docs.sparkSession, id_encoder, f.read())
@@ -118,7 +138,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, tiers: tuple[int, ...
         from pyspark import TaskContext
 
         encode = shipped(sent)
-        packer, arrow_kind = Packer(tiers, TaskContext.get().partitionId() << LOCAL_BITS, step_tokens), None
+        packer, arrow_kind = Packer(tiers, TaskContext.get().partitionId() << LOCAL_BITS), None
         end = np.array([end_id], np.uint32)
         for batch in batches:
             arrow_kind = batch.schema.types[0]
@@ -133,7 +153,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, tiers: tuple[int, ...
     def second(part: pa.Table) -> pa.Table:
         part = part.sort_by([("sequence_id", "ascending"), ("_id", "ascending"), ("start", "ascending")])
         rows = part.to_pylist()
-        packer = Packer((max(tiers),), SECOND | ((rows[0]["sequence_id"] >> LOCAL_BITS) // GROUP) << LOCAL_BITS, step_tokens)
+        packer = Packer((max(tiers),), SECOND | ((rows[0]["sequence_id"] >> LOCAL_BITS) // GROUP) << LOCAL_BITS)
         for r in rows:
             packer.put(packer.longest, (r["_id"], r["start"], r["doc_tokens"], np.frombuffer(r["ids"], "<u4")))
         packer.finish()
@@ -141,4 +161,5 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, tiers: tuple[int, ...
 
     packed = checkpoint(narrow.mapInArrow(first, schema))
     rests = packed.filter("ids IS NOT NULL").groupBy(F.floor(F.shiftright("sequence_id", LOCAL_BITS) / GROUP)).applyInArrow(second, schema)
-    return packed.filter("ids IS NULL").unionByName(rests).drop("ids").withColumnRenamed("_id", id_col)
+    windows = packed.filter("ids IS NULL").unionByName(checkpoint(rests)).drop("ids")
+    return step_groups(windows, step_tokens).withColumnRenamed("_id", id_col)
