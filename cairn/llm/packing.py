@@ -31,8 +31,8 @@ LOCAL_BITS, GROUP = 32, 64
 #: Sequence numbers of the second round start here.
 SECOND = 1 << 62
 
-COLUMNS = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_group long, ids binary"
-ARROW = pa.schema([("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("tier", pa.int32()), ("step_group", pa.int64()), ("ids", pa.binary())])
+COLUMNS = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_group long, ids array<int>"
+ARROW = pa.schema([("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("tier", pa.int32()), ("step_group", pa.int64()), ("ids", pa.list_(pa.int32()))])
 
 
 class Packer:
@@ -71,7 +71,7 @@ class Packer:
         offset = 0
         for doc, start, total, ids in pieces:
             crc = zlib.crc32(ids.astype("<u4").tobytes())
-            self.rows.append((doc, start, len(ids), crc, total, self.next_id, offset, tier, self.made[tier], None))
+            self.rows.append((doc, start, len(ids), crc, total, self.next_id, offset, tier, self.made[tier], ids.astype(np.int32)))
             offset += len(ids)
         self.made[tier] += 1
         self.next_id += 1
@@ -118,9 +118,10 @@ def step_groups(windows: DataFrame, step_tokens: int) -> DataFrame:
 
 
 def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, tiers: tuple[int, ...] = TIERS, id_col: str = "doc_id", text_col: str = "text", step_tokens: int = 1 << 16) -> DataFrame:
-    """One row for each piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset, tier, step_group.
+    """One row for each piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset, tier, step_group, ids.
 
-    A document's ids are those of its whole text and end_id.  Windows hold
+    A document's ids are those of its whole text and end_id; a piece has its
+    own in ids, and a window's in order of offset are the sequence.  Windows hold
     exactly `tier` ids; of every GROUP tasks one window may hold fewer and is
     padded to the longest tier.  step_group, from 0, numbers groups of windows
     with equal shares of every tier, to one window, and so of step_tokens ids
@@ -147,7 +148,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, tiers: tuple[int, ...
             yield to_batch(packer.drain(), arrow_kind)
         if arrow_kind is not None:
             rest = packer.rest()
-            tails = [(doc, start, len(ids), None, total, packer.first_id, None, None, None, ids.astype("<u4").tobytes()) for doc, start, total, ids in rest]
+            tails = [(doc, start, len(ids), None, total, packer.first_id, None, None, None, ids.astype(np.int32)) for doc, start, total, ids in rest]
             yield to_batch(packer.drain() + tails, arrow_kind)
 
     def second(part: pa.Table) -> pa.Table:
@@ -155,11 +156,11 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, tiers: tuple[int, ...
         rows = part.to_pylist()
         packer = Packer((max(tiers),), SECOND | ((rows[0]["sequence_id"] >> LOCAL_BITS) // GROUP) << LOCAL_BITS)
         for r in rows:
-            packer.put(packer.longest, (r["_id"], r["start"], r["doc_tokens"], np.frombuffer(r["ids"], "<u4")))
+            packer.put(packer.longest, (r["_id"], r["start"], r["doc_tokens"], np.array(r["ids"], np.uint32)))
         packer.finish()
         return pa.Table.from_batches([to_batch(packer.drain(), part.schema.types[0])])
 
     packed = checkpoint(narrow.mapInArrow(first, schema))
-    rests = packed.filter("ids IS NOT NULL").groupBy(F.floor(F.shiftright("sequence_id", LOCAL_BITS) / GROUP)).applyInArrow(second, schema)
-    windows = packed.filter("ids IS NULL").unionByName(checkpoint(rests)).drop("ids")
+    rests = packed.filter("tier IS NULL").groupBy(F.floor(F.shiftright("sequence_id", LOCAL_BITS) / GROUP)).applyInArrow(second, schema)
+    windows = packed.filter("tier IS NOT NULL").unionByName(checkpoint(rests))
     return step_groups(windows, step_tokens).withColumnRenamed("_id", id_col)

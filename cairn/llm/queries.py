@@ -56,7 +56,7 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json")).drop("ids")
 
 
 QUERIES = {f.__name__: f for f in (op1_simhash, op2_quality_rules, op3_language_id, op4_sharding, op5_exact_top_k, op6_url_filters, op7_token_counts, op8_html_extraction, op9_bpe, op10_packing)}
