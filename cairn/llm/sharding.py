@@ -4,8 +4,8 @@ Rows are ordered by (text hash, id hash), so equal texts stand together and a
 group of copies of any size can still be cut.  Splitters at equal shares of
 the bytes are found without sorting: exact bytes and rows are counted in the
 cells of the still open key ranges, the cells that hold a splitter become the
-next ranges, and so on until every splitter is within tolerance.  Then the
-rows move once.  What leaves the cluster is at most `probes` counts for each
+next ranges, and so on until every splitter is within tolerance.  That reads
+narrow keys only.  Then the rows move once, with all their columns.  What leaves the cluster is at most `probes` counts for each
 splitter and round; the number of splitters is shards * runs, a parameter.
 """
 
@@ -15,7 +15,7 @@ from bisect import bisect_left
 from dataclasses import dataclass
 from itertools import accumulate
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.llm.common import checkpoint, local_table, utf8_bytes
@@ -38,17 +38,16 @@ class Range:
     rows_before: int
 
 
-def keyed(docs: DataFrame, id_col: str, text_col: str, overhead: int) -> DataFrame:
-    """id, size, text_crc32 and the key (h, t); null texts count as empty.
+def keyed(docs: DataFrame, id_col: str, text_col: str, overhead: int, *own: Column) -> DataFrame:
+    """The columns own, size and the key (h, t); null texts count as empty.
 
     The id hash is a bijection of the id, so rows tie only if their ids do.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     unsigned = lambda c: F.shiftrightunsigned(c, 64 - KEY_BITS)
     return docs.select(
-        F.col(id_col).cast("long").alias("id"),
+        *own,
         (utf8_bytes(F.col(text_col)) + overhead).alias("size"),
-        F.crc32(text.cast("binary")).cast("long").alias("text_crc32"),
         unsigned(F.xxhash64(text)).alias("h"),
         unsigned(F.xxhash64(F.coalesce(F.col(id_col).cast("long"), F.lit(0).cast("long")))).alias("t"),
     )
@@ -124,21 +123,22 @@ def splitters(rows: DataFrame, parts: int, tolerance: float, probes: int) -> tup
 
 
 def shard(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: str = "text", overhead: int = 8, runs: int = 16, tolerance: float = 0.01, probes: int = 64) -> DataFrame:
-    """(id, size, text_crc32, shard, slot): shards of near-equal bytes; slot counts gapless from 0 in each.
+    """All columns of docs, moved to their shard, with size, shard and slot: shards of near-equal bytes; slot counts gapless from 0 in each.
 
     size is the UTF-8 length plus overhead.  A shard is cut into `runs` key
     ranges of near-equal bytes, which are the tasks that order its rows; each
     part's bytes are off by the largest row or tolerance of a part at most.
     Null texts count as empty.  Rows of one id and one text are
     interchangeable, so their slots may swap.  Fewer rows than parts leave
-    parts empty.  Other columns of docs are not read.
+    parts empty.  A column of docs named size, shard or slot is returned as
+    input_size, input_shard or input_slot.
     """
     rows = checkpoint(keyed(docs, id_col, text_col, overhead))
+    whole = keyed(docs, id_col, text_col, overhead, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     parts = shards * runs
     edges, starts = splitters(rows, parts, tolerance, probes)
-    dealt = placed(rows, edges, "part")
+    dealt = placed(whole, edges, "part")
     first = F.expr("array(" + ", ".join(f"{starts[p] - starts[p - p % runs]}L" for p in range(parts)) + ")")
     within = F.row_number().over(Window.partitionBy("part").orderBy("h", "t")).cast("long") - 1
-    return dealt.select(
-        F.col("id").alias(id_col), "size", "text_crc32", F.floor(F.col("part") / runs).cast("int").alias("shard"), (within + F.element_at(first, F.col("part") + 1)).alias("slot")
-    )
+    own = [F.col("row").getField(c).alias(f"input_{c}" if c in ("size", "shard", "slot") else c) for c in docs.columns]
+    return dealt.select(*own, "size", F.floor(F.col("part") / runs).cast("int").alias("shard"), (within + F.element_at(first, F.col("part") + 1)).alias("slot"))
