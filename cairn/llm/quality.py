@@ -1,18 +1,20 @@
 """Quality rules as a short-circuit cascade of SQL expressions.
 
-Each rule is a rejecting condition over text statistics.  A bounded sample of
-rows gives every rule's selectivity (share of sampled rows it rejects) and
-cost (mean number of values it has to look at).  Rules run in falling order
-of rejection per cost inside one CASE, so a row that an early rule rejects
-evaluates none of the later ones.  The order changes the work, never the
-verdict.  Everything is an expression over its own row: no shuffle.
+Each rule is a rejecting condition over a text.  Some only compare the base
+statistics, which every row has; others look at all words or characters, and
+those expressions stand in the rule itself.  A spread sample of rows that pass
+the base gives every rule's selectivity (share it rejects) and cost (mean
+number of values it looks at).  Rules run in falling order of rejection per
+cost inside one CASE, so a row that an early rule rejects evaluates none of
+the later ones.  The order changes the work, never the verdict.  Everything is
+an expression over its own row: no shuffle but one row of sums of the sample.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairn.llm.common import SPACE
@@ -25,7 +27,7 @@ POSITION_BITS = 24
 
 @dataclass(frozen=True)
 class Rule:
-    """reject: SQL condition over the statistics; work: SQL expression for the values it looks at in a row."""
+    """reject: SQL condition over the statistics, words and _text; work: SQL expression for the values it looks at in a row."""
 
     name: str
     reject: str
@@ -34,6 +36,8 @@ class Rule:
 
 RULES = (
     Rule("distinct_words", "n_words > 100 AND 100 * size(array_distinct(words)) < 15 * n_words", "n_words"),
+    Rule("words_with_letters", r"5 * size(filter(words, w -> w RLIKE '\\p{L}')) < 3 * n_words", "word_chars"),
+    Rule("capitals", "2 * (octet_length(_text) - octet_length(translate(_text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', ''))) > word_chars", "octet_length(_text)"),
     Rule("duplicate_lines", "5 * n_dup_lines > 2 * n_lines", "2"),
     Rule("symbols", "10 * n_symbols > n_words", "2"),
     Rule("word_length", "word_chars < 2 * n_words OR word_chars > 15 * n_words", "4"),
@@ -88,47 +92,59 @@ def text_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
     })
 
 
-def order_rules(stats: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = 500) -> list[Rule]:
-    """Rules by falling rejection per cost over the first sample_rows rows of stats.
+RESULT = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
-    Spark reads partitions only until it has these rows; two numbers for each
-    rule and row leave the cluster, and nothing is shuffled.
+
+def base_failed(min_words: int, max_repeat_percent: int) -> Column:
+    return (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
+
+
+def order_rules(texts: DataFrame, base: Column, rules: tuple[Rule, ...] = RULES, sample_rows: int = 500) -> list[Rule]:
+    """Rules by falling rejection per cost over about sample_rows rows of texts (a column `text`), drawn evenly from all of them.
+
+    One scan draws the rows at the rate that gives this number in the mean;
+    only those that pass the base count.  One row of sums leaves the cluster.
     """
+    rows = texts.count()
+    sample = texts if rows <= sample_rows else texts.sample(fraction=sample_rows / rows, seed=42)
     number = lambda sql: F.coalesce(F.expr(sql).cast("double"), F.lit(0.0))
-    found = stats.select(*[number(r.reject) for r in rules], *[number(r.work) for r in rules]).limit(sample_rows).collect()
-    mean = [sum(column) / len(found) for column in zip(*found)] if found else [0.0] * (2 * len(rules))
-    rejected, cost = (dict(zip((r.name for r in rules), part)) for part in (mean[: len(rules)], mean[len(rules) :]))
-    return sorted(rules, key=lambda r: (-rejected[r.name] / max(cost[r.name], 1e-9), cost[r.name], r.name))
+    passed = text_statistics(sample).withColumn("_base", base).select("_base", *[number(r.reject).alias(f"r{i}") for i, r in enumerate(rules)], *[number(r.work).alias(f"w{i}") for i, r in enumerate(rules)])
+    count = lambda c: F.coalesce(F.sum(F.when(~F.col("_base"), F.col(c))), F.lit(0.0))
+    found = passed.agg(*[count(f"r{i}") for i in range(len(rules))], *[count(f"w{i}") for i in range(len(rules))]).first()
+    rank = {r.name: (-found[i] / max(found[len(rules) + i], 1e-9), found[len(rules) + i], r.name) for i, r in enumerate(rules)}
+    return sorted(rules, key=lambda r: rank[r.name])
 
 
 def cascade(narrow: DataFrame, rules: tuple[Rule, ...], min_words: int, max_repeat_percent: int, sample_rows: int) -> DataFrame:
-    """narrow (text and one more column) with the statistics, base_failed and failed_rule."""
-    verdict = F.lit(None).cast("string")
-    for rule in reversed(order_rules(text_statistics(narrow.select("text")), rules, sample_rows)):
-        verdict = F.when(F.expr(rule.reject), F.lit(rule.name)).otherwise(verdict)
-    base = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
-    return text_statistics(narrow).withColumn("base_failed", base).withColumn("failed_rule", F.when(F.col("base_failed"), F.lit("base")).otherwise(verdict))
+    """narrow without its text, with the statistics, base_failed and kept."""
+    base = base_failed(min_words, max_repeat_percent)
+    rejected = F.when(F.col("base_failed"), True)
+    for rule in order_rules(narrow.select("text"), base, rules, sample_rows):
+        rejected = rejected.when(F.expr(rule.reject), True)
+    stats = text_statistics(narrow).withColumn("base_failed", base).withColumn("kept", ~rejected.otherwise(False))
+    # Catalyst would push filters on these columns below the statistics, and so copy them into one condition that doubles
+    # with each step.  It moves nothing below a column that is not deterministic.
+    others = [c for c in narrow.columns if c != "text"]
+    sealed = stats.select(*others, F.struct(*RESULT, F.rand(0).alias("seal")).alias("_s"))
+    return sealed.select(*others, *[F.col(f"_s.{c}").alias(c) for c in RESULT])
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES, min_words: int = 50, max_repeat_percent: int = 50, sample_rows: int = 500) -> DataFrame:
-    """docs' id with the statistics, base_failed, kept, and failed_rule (the first rule that rejected it, else null).
-
-    The cascade's order comes from at most sample_rows rows.  Null and empty
-    texts have zero counts and fail the base.  Repeated rows and tied ids are
-    judged row by row.  Clashing column names in docs are no matter: only the
-    id and the text are read.
+    """docs' id with the statistics, base_failed and kept.
+
+    The cascade's order comes from about sample_rows rows; no size of sample
+    changes a verdict.  Null and empty texts have zero counts and fail the
+    base, if min_words is above 0.  Very long texts are read whole.  Repeated
+    rows and tied ids are judged row by row; an empty table gives no rows.
+    Clashing column names in docs are no matter: only the id and the text are
+    read.
     """
     narrow = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     out = cascade(narrow, rules, min_words, max_repeat_percent, sample_rows)
-    return out.select(
-        F.col("_id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.col("failed_rule").isNull().alias("kept"), "failed_rule"
-    )
+    return out.withColumnRenamed("_id", id_col)
 
 
 def keep(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES, min_words: int = 50, max_repeat_percent: int = 50, sample_rows: int = 500) -> DataFrame:
     """The rows of docs, with all their columns, that judge() keeps."""
     narrow = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    judged = cascade(narrow, rules, min_words, max_repeat_percent, sample_rows)
-    # rand() is never negative; a column of unknown value in the condition keeps the optimizer from copying
-    # the nested statistics into a pushed-down filter, where they would multiply.
-    return judged.select("_row", "failed_rule", F.rand(0).alias("_barrier")).filter("failed_rule IS NULL OR _barrier < 0").select("_row.*")
+    return cascade(narrow, rules, min_words, max_repeat_percent, sample_rows).filter("kept").select("_row.*")

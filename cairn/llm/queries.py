@@ -17,46 +17,56 @@ def tokenizer(name: str) -> str:
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents by 4-word SimHash at 4 bits."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base statistics and verdict of every document."""
     return quality.judge(table(spark, sf_dir, "documents"))
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language, score and mixture of every document; learnt from the other four folds only."""
     docs = table(spark, sf_dir, "documents")
     langs, prob = langid.learn(docs.filter(F.col("doc_id").isNotNull() & ~langid.held_out()))
     return langid.predict(docs, langs, prob).select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score", "shares")
 
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of every document under law `bytes`; the digest is taken from the rows that arrive."""
     out = sharding.shard(table(spark, sf_dir, "documents"), shards=24)
     crc = F.crc32(F.coalesce("text", F.lit("")).cast("binary")).cast("long")
     return out.select("doc_id", "size", crc.alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 best of all vectors for every hundredth one."""
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
 def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, deciding rule and verdict of every page."""
     return urlfilter.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), urlfilter.rule_table(spark)).drop("url")
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every whole document, through a new cache."""
     return tokencount.count_tokens(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
 def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
     return htmltext.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document and their decoded text, as digests."""
     return bpe.encode_and_decode(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), digests=True)
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of every document in windows of at most 2048 ids."""
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json")).drop("ids")
 
 
@@ -72,11 +82,12 @@ r AS (SELECT row_id, i FROM (SELECT *, count(*) OVER (PARTITION BY row_id, gram)
 c AS (SELECT row_id, count(DISTINCT i + k) AS n_repeat_words FROM r, (VALUES (0), (1), (2)) AS o(k) GROUP BY row_id),
 s AS (SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars,
   CAST(length(text) - length(translate(text, '#*$%&|<>', '')) AS BIGINT) AS n_symbols, len(lines) AS n_lines, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
-  CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words, len(list_distinct(words)) AS n_distinct FROM w LEFT JOIN c USING (row_id)),
+  CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words, len(list_distinct(words)) AS n_distinct,
+  len(list_filter(words, lambda x: regexp_matches(x, '\p{{L}}'))) AS n_lettered, length(text) - length(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', '')) AS n_capitals FROM w LEFT JOIN c USING (row_id)),
 b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM s),
-v AS (SELECT *, CASE WHEN base_failed THEN 'base' WHEN 10 * n_symbols > n_words THEN 'symbols' WHEN 5 * n_dup_lines > 2 * n_lines THEN 'duplicate_lines'
-  WHEN n_words > 100 AND 100 * n_distinct < 15 * n_words THEN 'distinct_words' WHEN word_chars < 2 * n_words OR word_chars > 15 * n_words THEN 'word_length' END AS rule FROM b)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, rule IS NULL AS kept FROM v""",
+v AS (SELECT *, base_failed OR 10 * n_symbols > n_words OR 5 * n_dup_lines > 2 * n_lines OR (n_words > 100 AND 100 * n_distinct < 15 * n_words)
+  OR word_chars < 2 * n_words OR word_chars > 15 * n_words OR 5 * n_lettered < 3 * n_words OR 2 * n_capitals > word_chars AS rejected FROM b)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT rejected AS kept FROM v""",
     "op5_exact_top_k": """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),

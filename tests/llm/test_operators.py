@@ -71,6 +71,27 @@ def test_quality_rules(docs, empty):
     assert quality.judge(empty).count() == 0 and quality.keep(docs).columns == docs.columns
 
 
+def test_quality_verdict_needs_no_certain_order(spark):
+    good = " ".join(f"word{i % 70}x{i}" for i in range(120))
+    texts = [good, good.upper(), " ".join(["12"] * 60 + [f"{i}a" for i in range(40)]), "\n".join(["the same line"] * 20 + [f"other line {i} of it" for i in range(16)]), good.replace(" ", " # "), " ".join(f"{i:020d}q" for i in range(60)), good + " a"]
+    docs = spark.createDataFrame([(i, t, i, True) for i, t in enumerate(texts)] * 30, "doc_id long, text string, n_words int, kept boolean").repartition(5)
+    want = {0: True, 1: False, 2: False, 3: False, 4: False, 5: False, 6: True}
+    rules = quality.RULES
+    for order in (rules, rules[::-1]):
+        for rows in (1, 20, 10**6):
+            assert {(r.doc_id, r.kept) for r in quality.judge(docs, rules=order, sample_rows=rows).collect()} == set(want.items())
+    assert {r.doc_id for r in quality.keep(docs).collect()} == {0, 6} and quality.judge(docs).filter("kept AND n_words > 3").count() == 60
+    # Costs and selectivities decide the order.
+    stated = quality.order_rules(docs.select("text"), quality.base_failed(50, 50), sample_rows=10**6)
+    assert [r.name for r in stated].index("symbols") < [r.name for r in stated].index("capitals")
+
+
+def test_quality_of_a_very_long_text(spark):
+    text = " ".join(f"w{i % 5000}" for i in range(1_000_000)) + " w0 w1 w2"
+    row = quality.judge(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert (row.n_words, row.n_repeat_words) == (1_000_003, 1_000_003) and row.base_failed and not row.kept
+
+
 def test_language_id(spark, docs, empty):
     words = {"en": "the and of with that is for".split(), "de": "der und die mit von das nicht".split()}
     rows = [(i, " ".join(words[k][(i * j) % 7] for j in range(1, 40)), k) for i in range(60) for k in words]
