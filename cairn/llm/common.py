@@ -21,6 +21,8 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     path = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not path:
+        if not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="cairn-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(path)
@@ -38,6 +40,30 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def unused(columns: list[str], name: str) -> str:
+    """name, or name after underscores, such that no column is called so."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def join_counted(rows: DataFrame, table: DataFrame, key: str, share: int = 1000) -> DataFrame:
+    """Inner join of rows with table, which says in n_rows how many rows have the key; n_rows goes.
+
+    Keys with more than 1/share of all rows, at most `share` in number, meet
+    their rows by broadcast, so these stay where they are; the others are
+    shuffled.  rows and table are read more than once: pass checkpoints or
+    cheap scans.
+    """
+    total = table.agg(F.sum("n_rows")).first()[0] or 0
+    hot = F.col("n_rows") * share > total
+    many, few = F.broadcast(table.filter(hot).drop("n_rows")), table.filter(~hot).drop("n_rows")
+    if table.filter(hot).isEmpty():
+        return rows.join(few, key)
+    return rows.join(many, key).unionByName(rows.join(many.select(key).distinct(), key, "left_anti").join(few, key))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -6,11 +6,11 @@ children differ and drops the pair once it is over the error budget.  The
 upper trie is walked with DataFrame joins until a pair of subtrees holds few
 enough fingerprints for one task; the rest of the walk is numpy in that task.
 
-Two tries share the work.  A pair with at most k differing bits has at most
-k//2 of them in the high half, or else at most k - k//2 - 1 in the low half.
-So one trie reads the high half first with the former budget for it, the
-other reads the low half first with the latter; both allow k in all.  The
-pairs per node stay bounded by binomials of half a key.
+TRIES tries share the work.  The key is cut into as many parts, and budgets
+are given to the parts that add up, plus one each, to one more than k: a pair
+with at most k differing bits keeps at least one part's budget.  Trie i reads
+the key from part i on, with that part's budget there and k beyond; so the
+node pairs stay bounded by binomials of a third of a key and a small budget.
 
 Subtrees are cut by the number of distinct fingerprints below them, so
 groups of copies, however large, never meet in one task.  Tasks return
@@ -19,7 +19,7 @@ spanning forests, not all pairs; no link between components is lost.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -28,11 +28,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cairn.llm.common import checkpoint
+from cairn.llm.common import checkpoint, join_counted, unused
 
 SEED = 42
 BITS = 64
-HALF = 32
+#: Where each trie's keys start, and how many bits its first part has.
+STARTS, WIDTHS = (0, 22, 43), (22, 21, 21)
+TRIES = len(STARTS)
 #: Trie levels walked by one DataFrame step, and levels counted at once.
 STEP, SPAN = 2, 8
 
@@ -75,8 +77,9 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def budget_at(tree: int, depth: int, k: int) -> int:
-    """Differing bits allowed in the first `depth` bits of a trie's keys."""
-    return k if depth > HALF else (k // 2 if tree == 0 else k - k // 2 - 1)
+    """Differing bits allowed in the first `depth` bits of a trie's keys; -1 if the trie isn't needed."""
+    part = (k + 1) // TRIES + (tree < (k + 1) % TRIES) - 1
+    return k if depth > WIDTHS[tree] and part >= 0 else part
 
 
 def merge_roots(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
@@ -95,7 +98,7 @@ def merge_roots(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             parent[:] = up
 
 
-def walk(keys: np.ndarray, left: int, tree: int, depth: int, diff: int, k: int, chunk: int = 1 << 18, leaf: int = 64) -> np.ndarray:
+def walk(keys: np.ndarray, left: int, tree: int, depth: int, diff: int, k: int, chunk: int = 1 << 16, leaf: int = 64) -> np.ndarray:
     """Roots of the components that the linked pairs between two subtrees make.
 
     keys: unsigned keys of the first subtree, sorted, then, from `left` on,
@@ -107,8 +110,14 @@ def walk(keys: np.ndarray, left: int, tree: int, depth: int, diff: int, k: int,
     stack = [(depth, np.array([[0, left, 0 if same else left, n, diff]], np.int64))]
     while stack:
         depth, pairs = stack.pop()
+        # Pairs of subtrees that lie in one component already can add nothing: dense groups are left after few compares.
+        step = np.concatenate([[0], np.cumsum(parent[1:] != parent[:-1])])
+        alo, ahi, blo, bhi, _ = pairs.T
+        pairs = pairs[(step[alo] != step[ahi - 1]) | (step[blo] != step[bhi - 1]) | (parent[alo] != parent[blo])]
+        if not len(pairs):
+            continue
         if len(pairs) > chunk:
-            stack += [(depth, pairs[len(pairs) // 2 :]), (depth, pairs[: len(pairs) // 2])]
+            stack += [(depth, pairs[: len(pairs) // 2]), (depth, pairs[len(pairs) // 2 :])]
             continue
         alo, ahi, blo, bhi, d = pairs.T
         small = ((ahi - alo) * (bhi - blo) <= leaf) | (depth == BITS)
@@ -180,7 +189,7 @@ def subtree_pairs(keys: DataFrame, k: int, limit: int) -> tuple[DataFrame, list[
         nodes = nodes.withColumn("up", F.shiftrightunsigned("node", STEP))
         a = nodes.select("tree", F.col("up").alias("p"), F.col("node").alias("cp"), F.col("n").alias("np"))
         b = nodes.select("tree", F.col("up").alias("q"), F.col("node").alias("cq"), F.col("n").alias("nq"))
-        allowed = F.when(F.col("tree") == 0, budget_at(0, depth, k)).otherwise(budget_at(1, depth, k))
+        allowed = F.element_at(F.array(*[F.lit(budget_at(t, depth, k)) for t in range(TRIES)]), F.col("tree") + 1)
         level = checkpoint(
             big.select("tree", "p", "q", "diff")
             .join(a, ["tree", "p"])
@@ -201,13 +210,14 @@ def subtree_pairs(keys: DataFrame, k: int, limit: int) -> tuple[DataFrame, list[
     return items, used or [0]
 
 
-def hamming_forest(fps: DataFrame, k: int = 4, limit: int = 8192) -> DataFrame:
+def hamming_forest(fps: DataFrame, k: int = 4, limit: int = 32768) -> DataFrame:
     """Edges (u, v), v < u, that connect exactly the fingerprints linked at k or fewer differing bits.
 
     fps: (rep, fp), fp distinct and rep a distinct long for each.
     """
-    swapped = F.shiftleft("fp", HALF).bitwiseOR(F.shiftrightunsigned("fp", HALF))
-    keys = fps.select("rep", F.posexplode(F.array(F.col("fp"), swapped)).alias("tree", "key"))
+    turned = [F.shiftleft("fp", b).bitwiseOR(F.shiftrightunsigned("fp", BITS - b)) if b else F.col("fp") for b in STARTS]
+    needed = F.array(*[F.struct(F.lit(t).alias("tree"), key.alias("key")) for t, key in enumerate(turned) if budget_at(t, 0, k) >= 0])
+    keys = fps.select("rep", F.inline(needed))
     items, depths = subtree_pairs(keys.select("tree", "key"), k, limit)
     sides = items.withColumn("node", F.explode(F.array_distinct(F.array("p", "q"))))
     at = [F.struct(F.lit(d).alias("depth"), (F.shiftrightunsigned("key", BITS - d) if d else F.lit(0).cast("long")).alias("node")) for d in depths]
@@ -235,13 +245,18 @@ def components(edges: DataFrame) -> DataFrame:
 
     Alternates the large-star and small-star steps until the edges stop changing.
     """
-    least = lambda e: e.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
     edges, before = checkpoint(edges.filter("u <> v").distinct()), None
+
+    def with_least(e: DataFrame) -> DataFrame:
+        """e with m, the least of u and its neighbours; the hub of a large component is met by broadcast."""
+        e = checkpoint(e)
+        least = e.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n_rows")).withColumn("m", F.least("u", "m"))
+        return join_counted(e, checkpoint(least), "u")
+
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = both.join(least(both), "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        tied = down.join(least(down), "u")
+        large = with_least(both).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        tied = with_least(large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")))
         small = tied.select(F.inline(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))))
         edges = checkpoint(small.filter("u <> v").distinct())
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
@@ -251,41 +266,48 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def labelled_groups(sig: DataFrame, max_bits: int, limit: int) -> DataFrame:
-    """(fp, rep, component_id) for every distinct fingerprint of sig (id, fp); rep is its least id."""
-    reps = checkpoint(sig.groupBy("fp").agg(F.min("id").alias("rep")))
+    """(fp, rep, component_id, n_rows) for every distinct fingerprint of sig (id, fp); rep is its least id."""
+    reps = checkpoint(sig.groupBy("fp").agg(F.min("id").alias("rep"), F.count("*").alias("n_rows")))
     found = components(hamming_forest(reps.filter("rep is not null").select("rep", "fp"), max_bits, limit))
-    return reps.join(found, F.col("rep") == F.col("node"), "left").select("fp", "rep", F.coalesce("root", "rep").alias("component_id"))
+    return checkpoint(reps.join(found, F.col("rep") == F.col("node"), "left").select("fp", "rep", F.coalesce("root", "rep").alias("component_id"), "n_rows"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, max_bits: int = 4, limit: int = 8192) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, max_bits: int = 4, limit: int = 32768) -> DataFrame:
     """(id, fingerprint, component_id) for every row of docs.
 
     Fingerprints link at max_bits or fewer differing bits; component_id is the
     least id reachable over links.  Null or word-less texts have fingerprint
     zero, linked like any other.  Repeated rows stay and share a component.
     Rows with a null id get the component of the ids that share their
-    fingerprint, else null.  Other columns of docs are not read.
+    fingerprint, else null.  Empty tables give no rows.  Other columns of docs
+    are not read, so their names don't matter.
     """
     sig = checkpoint(fingerprints(docs, id_col, text_col, shingle))
-    named = labelled_groups(sig, max_bits, limit).select("fp", "component_id")
-    return sig.join(named, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = labelled_groups(sig, max_bits, limit).select("fp", "component_id", "n_rows")
+    return join_counted(sig, named, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, max_bits: int = 4, limit: int = 8192) -> DataFrame:
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, max_bits: int = 4, limit: int = 32768) -> DataFrame:
     """One row of each near-duplicate group, with all its columns: that of the least id.
 
     Of rows repeated under that id one stays; a group whose ids are all null keeps one row.
     """
     sig = checkpoint(fingerprints(docs, id_col, text_col, shingle))
-    first = labelled_groups(sig, max_bits, limit).filter(F.col("rep").eqNullSafe(F.col("component_id"))).select(F.col("fp").alias("_fp2"), "rep")
+    return keep_representatives(docs, labelled_groups(sig, max_bits, limit).filter(F.col("rep").eqNullSafe(F.col("component_id"))).select("rep", "fp"), id_col, text_col, lambda t: fingerprint(t, shingle))
+
+
+def keep_representatives(docs: DataFrame, first: DataFrame, id_col: str, text_col: str, print_of: Callable[[str | None], int]) -> DataFrame:
+    """One row of docs, with all its columns, for each (rep, fp) of first: of that id and fingerprint."""
+    own_fp, rep, fp = (unused(docs.columns, n) for n in ("own_fp", "rep", "fp"))
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.array([fingerprint(t.as_py(), shingle) for t in batch.column(at)], np.uint64).view(np.int64)
-            yield batch.append_column("_fp", pa.array(fps))
+            fps = np.array([print_of(t.as_py()) for t in batch.column(at)], np.uint64).view(np.int64)
+            yield batch.append_column(own_fp, pa.array(fps))
 
-    own = docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("_fp", T.LongType())]))
+    own = docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(own_fp, T.LongType())]))
     # Joined by id and fingerprint, a group of copies of any size spreads over all tasks.
-    kept = own.join(first, F.col(id_col).cast("long").eqNullSafe(F.col("rep")) & (F.col("_fp") == F.col("_fp2")), "left_semi")
-    return kept.dropDuplicates([id_col, "_fp"]).select(*docs.columns)
+    first = first.select(F.col("rep").alias(rep), F.col("fp").alias(fp))
+    kept = own.join(first, own[id_col].cast("long").eqNullSafe(first[rep]) & (own[own_fp] == first[fp]), "left_semi")
+    return kept.dropDuplicates([id_col, own_fp]).select(*[f"`{c}`" for c in docs.columns])

@@ -1,12 +1,14 @@
 """The operators against plain Python on small fixtures with nulls, empty and repeated rows, ties and clashing columns."""
 
 import hashlib
+import re
 import zlib
 from collections import Counter
 
 import numpy as np
 import public_tokenizers
 import pytest
+import xxhash
 from tokenizers import Tokenizer
 
 from cairn.llm import bpe, htmltext, langid, packing, quality, sharding, simhash, tokencount, topk, urlfilter
@@ -28,9 +30,17 @@ def empty(docs):
     return docs.filter("doc_id < 0")
 
 
+def naive_fingerprint(text):
+    """The contract word for word, one bit at a time."""
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    shingles = [" ".join(words[i : i + 4]) for i in range(len(words) - 3)] if len(words) >= 4 else [" ".join(words)] if words else []
+    digests = [xxhash.xxh64(s.encode("utf-8"), seed=42).intdigest() for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(d >> b & 1 for d in digests) > len(digests))
+
+
 def test_simhash_links_like_brute_force(docs, empty):
     got = simhash.near_duplicates(docs, limit=4).collect()
-    fp = {i: simhash.fingerprint(t) for i, t in enumerate(TEXTS)}
+    fp = {i: naive_fingerprint(t) for i, t in enumerate(TEXTS)}
     root = {i: i for i in fp}
     for _ in fp:
         for a in fp:
@@ -42,8 +52,24 @@ def test_simhash_links_like_brute_force(docs, empty):
         key = 3 if r.doc_id is None else r.doc_id
         assert (r.fingerprint, r.component_id) == (f"{fp[key]:016x}", root[key])
     assert simhash.near_duplicates(empty).count() == 0
-    kept = simhash.keep_first(docs)
-    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted({root[i] for i in root})
+    clash = docs.selectExpr("doc_id", "text", *[f"shard AS {c}" for c in ("rep", "_fp", "_fp2", "own_fp", "_rep", "id", "Fp")])
+    kept = simhash.keep_first(clash)
+    assert kept.columns == clash.columns and sorted(r.doc_id for r in kept.collect()) == sorted({root[i] for i in root})
+    assert {tuple(r)[2:] for r in kept.collect()} == {("clash",) * 7}
+
+
+def test_simhash_of_a_very_long_text(spark):
+    text = " ".join(f"w{i % 5000}" for i in range(300_000))
+    assert simhash.fingerprint(text) == naive_fingerprint(text)
+
+
+@pytest.mark.parametrize("k", [1, 2, 4, 7])
+def test_every_pair_within_the_budget_shares_a_trie(k):
+    rng = np.random.default_rng(k)
+    for _ in range(300):
+        bits = rng.choice(64, k, replace=False)
+        inside = [sum((b - simhash.STARTS[t]) % 64 < simhash.WIDTHS[t] for b in bits) <= simhash.budget_at(t, 0, k) for t in range(simhash.TRIES)]
+        assert any(inside)
 
 
 def test_trie_walk_finds_all_links(spark):
