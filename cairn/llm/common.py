@@ -16,6 +16,10 @@ from pyspark.sql.pandas.types import to_arrow_schema
 SPACE = r"[\x20\x09-\x0D]"
 
 
+#: A key counts as hot if it has more than 1/SHARE of all rows; so at most SHARE keys are.
+SHARE = 1000
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
     sc = spark.sparkContext
@@ -48,7 +52,7 @@ def unused(columns: list[str], name: str) -> str:
     return name
 
 
-def join_counted(rows: DataFrame, table: DataFrame, key: str, share: int = 1000) -> DataFrame:
+def join_counted(rows: DataFrame, table: DataFrame, key: str, share: int = SHARE) -> DataFrame:
     """Inner join of rows with table, which says in n_rows how many rows have the key; n_rows goes.
 
     Keys with more than 1/share of all rows, at most `share` in number, meet

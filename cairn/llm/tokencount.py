@@ -1,10 +1,11 @@
 """Token counts through a digest cache.
 
-The cache is a Parquet table of (tokenizer digest, content digest, n_tokens).
-Rows whose digests it holds take the stored count; of the others one row for
-each distinct content is encoded, and the new counts are appended.  Texts
-are moved once, spread by id, and only those that are encoded; everything
-else that is shuffled are digests.
+The cache is a Parquet table of (content digest, n_tokens), with a folder for
+each tokenizer digest.  Rows whose digests it holds take the stored count; of
+the others one row for each distinct content is encoded, and the new counts
+are appended.  Texts are moved once, spread by id, and only those that are
+encoded; everything else that is shuffled are digests.  Contents that very
+many rows have meet their count by broadcast.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm.common import fresh_dir, ship, shipped, utf8_bytes
+from cairn.llm.common import SHARE, checkpoint, fresh_dir, join_counted, ship, shipped, utf8_bytes
 
 SCHEMA = "tokenizer string, content string, n_tokens long"
 #: The pre-tokenizer pattern of byte-level BPE files with use_regex (fixed value), in possessive form.
@@ -87,7 +88,9 @@ def read_cache(spark: SparkSession, cache: str) -> DataFrame:
     """The cache; empty where its folder doesn't exist yet."""
     try:
         return spark.read.schema(SCHEMA).parquet(cache)
-    except AnalysisException:
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], SCHEMA)
 
 
@@ -97,8 +100,10 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str | None = None, id_c
     tokenizer: path of a .json (tokenizers) or .model (sentencepiece) file,
     read on the driver.  cache: folder of the cache, appended to; None: a new
     one in the shared folder.  Content is normalised by nothing but null to
-    empty, as any more could change counts.  Repeated rows and ids are counted
-    each.  Rows with a null id are counted as well.  Other columns are not read.
+    empty, as any more could change counts.  Very long texts are encoded whole.
+    Repeated rows and ids are counted each, and encoded once.  Rows with a null
+    id are counted as well.  Empty tables give no rows and store nothing.
+    Other columns are not read, so their names don't matter.
     """
     spark = docs.sparkSession
     with open(tokenizer, "rb") as f:
@@ -109,24 +114,34 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str | None = None, id_c
 
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("_id"), F.xxhash64(F.col(id_col), F.lit(1)).alias("_spread"), text.alias("_text")).withColumn("_digest", F.sha2(F.col("_text").cast("binary"), 256))
-    narrow = rows.select("_id", "_spread", "_digest", utf8_bytes(F.col("_text")).alias("n_bytes"))
+    narrow = checkpoint(rows.select("_id", "_spread", "_digest", utf8_bytes(F.col("_text")).alias("n_bytes")))
     known = read_cache(spark, cache).filter(F.col("tokenizer") == version).select(F.col("content").alias("_digest"), "n_tokens")
-    # One row stands for each missing content: the one whose id has the least hash.
-    misses = narrow.groupBy("_digest").agg(F.min("_spread").alias("_spread")).join(known, "_digest", "left_anti")
+    # One id stands for each missing content: that with the least hash; n_rows says how many rows have the content.
+    per_id = narrow.groupBy("_digest", "_spread").agg(F.count("*").alias("n"))
+    contents = checkpoint(per_id.groupBy("_digest").agg(F.min(F.struct("_spread", "n")).alias("one"), F.sum("n").alias("n_rows")))
+    misses = checkpoint(contents.join(known, "_digest", "left_anti").select("_digest", "one._spread", F.col("one.n").alias("n_rows")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = shipped(sent)
+        count, seen = shipped(sent), set()
         for batch in batches:
-            done: dict[str, int] = {}
+            digests, counts = [], []
             for digest, t in zip(batch.column(0).to_pylist(), batch.column(1)):
-                if digest not in done:
-                    done[digest] = count(t.as_py())
-            yield pa.RecordBatch.from_arrays([pa.array(list(done), pa.string()), pa.array(list(done.values()), pa.int64())], ["content", "n_tokens"])
-
-    chosen = rows.select("_spread", "_digest", "_text").join(misses.hint("shuffle_hash"), ["_spread", "_digest"]).select("_digest", "_text")
-    new = chosen.mapInArrow(run, "content string, n_tokens long")
-    new.select(F.lit(version).alias("tokenizer"), "content", "n_tokens").write.mode("append").parquet(cache)
+                if digest not in seen:
+                    seen.add(digest)
+                    digests.append(digest)
+                    counts.append(count(t.as_py()))
+            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.string()), pa.array(counts, pa.int64())], ["content", "n_tokens"])
+
+    texts = rows.select("_spread", "_digest", "_text")
+    # Rows repeated under one id and content come to one task, which encodes the first.  Where they are many, Spark
+    # keeps one of each task before anything moves; such contents number at most SHARE.
+    repeated = F.broadcast(misses.filter(F.col("n_rows") * SHARE > (misses.agg(F.sum("n_rows")).first()[0] or 0)).filter("n_rows > 1").drop("n_rows"))
+    chosen = texts.join(misses.drop("n_rows").join(repeated, ["_spread", "_digest"], "left_anti").hint("shuffle_hash"), ["_spread", "_digest"]).select("_digest", "_text")
+    once = texts.join(repeated, ["_spread", "_digest"], "left_semi").groupBy("_digest").agg(F.first("_text").alias("_text"))
+    new = chosen.unionByName(once).mapInArrow(run, "content string, n_tokens long")
+    new.select(F.lit(version).alias("tokenizer"), "content", "n_tokens").write.mode("append").partitionBy("tokenizer").parquet(cache)
 
     # Two runs that fill one cache at a time may store a content twice, with the same count.
-    counts = read_cache(spark, cache).filter(F.col("tokenizer") == version).groupBy(F.col("content").alias("_digest")).agg(F.max("n_tokens").alias("n_tokens"))
-    return narrow.join(counts, "_digest").select(F.col("_id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    stored = read_cache(spark, cache).filter(F.col("tokenizer") == version).groupBy(F.col("content").alias("_digest")).agg(F.max("n_tokens").alias("n_tokens"))
+    counts = checkpoint(contents.select("_digest", "n_rows").join(stored, "_digest"))
+    return join_counted(narrow, counts, "_digest").select(F.col("_id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
