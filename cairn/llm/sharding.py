@@ -70,16 +70,17 @@ def placed(rows: DataFrame, edges: list[tuple[int, int]], name: str) -> DataFram
     return joined.withColumn(name, F.col("before") + F.when(F.size("edges") == 0, 0).otherwise(below)).drop("cell", "before", "edges")
 
 
-def splitters(rows: DataFrame, parts: int, tolerance: float, probes: int) -> tuple[list[tuple[int, int]], list[int]]:
-    """Keys that end parts 0 .. parts-2, and the rows before each part."""
+def splitters(rows: DataFrame, parts: int, tolerance: float, probes: int) -> tuple[list[tuple[int, int]], list[int], set[tuple[int, int]]]:
+    """Keys that end parts 0 .. parts-2, the rows before each part, and keys of several rows that stood in the way of a splitter."""
     whole = rows.agg(F.sum("size"), F.count("*"), F.min("h"), F.max("h"), F.min("t"), F.max("t")).first()
     total, count = whole[0] or 0, whole[1]
     if not count:
-        return [], [0] * parts
+        return [], [0] * parts, set()
     slack = max(1, int(tolerance * total / parts))
     targets = [total * i // parts for i in range(1, parts)]
     ranges = [Range((whole[2], whole[4]), (whole[3], whole[5]), 0, total, count, 0)]
     found: dict[int, tuple[tuple[int, int], int]] = {}  # target -> key and rows up to it
+    tied: set[tuple[int, int]] = set()
     while len(found) < len(targets):
         open_targets = [i for i in range(len(targets)) if i not in found]
         ends = [r.before + r.size for r in ranges]
@@ -112,6 +113,8 @@ def splitters(rows: DataFrame, parts: int, tolerance: float, probes: int) -> tup
         for i in open_targets:
             r = finer[bisect_left(ends, targets[i])]
             over, under = r.before + r.size - targets[i], targets[i] - r.before
+            if r.lo == r.hi and r.rows > 1 and min(over, under) > slack:
+                tied.add(r.lo)
             if under < over and (under <= slack or r.lo == r.hi):
                 found[i] = ((r.lo[0], (r.lo[1] if r.lo[0] == r.hi[0] else 0) - 1), r.rows_before)
             elif over <= slack or r.lo == r.hi:
@@ -119,7 +122,7 @@ def splitters(rows: DataFrame, parts: int, tolerance: float, probes: int) -> tup
                 found[i] = ((r.hi[0], r.hi[1] if r.lo[0] == r.hi[0] else 1 << KEY_BITS), r.rows_before + r.rows)
         ranges = finer
     keys = [found[i] for i in range(len(targets))]
-    return [k for k, _ in keys], [0, *[n for _, n in keys]]
+    return [k for k, _ in keys], [0, *[n for _, n in keys]], tied
 
 
 def shard(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: str = "text", overhead: int = 8, runs: int = 16, tolerance: float = 0.01, probes: int = 64) -> DataFrame:
@@ -128,15 +131,25 @@ def shard(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: s
     size is the UTF-8 length plus overhead.  A shard is cut into `runs` key
     ranges of near-equal bytes, which are the tasks that order its rows; each
     part's bytes are off by the largest row or tolerance of a part at most.
-    Null texts count as empty.  Rows of one id and one text are
-    interchangeable, so their slots may swap.  Fewer rows than parts leave
-    parts empty.  A column of docs named size, shard or slot is returned as
+    Null texts count as empty, null ids are alike.  Very long texts are one row
+    like any other.  Rows of one id and one text are interchangeable; where so
+    many repeat that a splitter falls among them, each gets a number of its own
+    to be cut by.  Fewer rows than parts leave parts empty; an empty table
+    gives no rows.  A column of docs named size, shard or slot is returned as
     input_size, input_shard or input_slot.
     """
     rows = checkpoint(keyed(docs, id_col, text_col, overhead))
     whole = keyed(docs, id_col, text_col, overhead, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     parts = shards * runs
-    edges, starts = splitters(rows, parts, tolerance, probes)
+    edges, starts, tied = splitters(rows, parts, tolerance, probes)
+    if tied:  # fewer than parts
+        keys = F.broadcast(local_table(docs.sparkSession, sorted(tied), "h long, t long"))
+        own = F.shiftrightunsigned(F.xxhash64(F.monotonically_increasing_id()), 64 - KEY_BITS)
+        # Stored, so that a row keeps its number.
+        cut = checkpoint(whole.join(keys, ["h", "t"], "left_semi").select("row", "size", "h", own.alias("t")))
+        whole = whole.join(keys, ["h", "t"], "left_anti").select("row", "size", "h", "t").unionByName(cut)
+        rows = checkpoint(rows.join(keys, ["h", "t"], "left_anti").select("size", "h", "t").unionByName(cut.select("size", "h", "t")))
+        edges, starts, _ = splitters(rows, parts, tolerance, probes)
     dealt = placed(whole, edges, "part")
     first = F.expr("array(" + ", ".join(f"{starts[p] - starts[p - p % runs]}L" for p in range(parts)) + ")")
     within = F.row_number().over(Window.partitionBy("part").orderBy("h", "t")).cast("long") - 1

@@ -130,19 +130,45 @@ def test_language_id(spark, docs, empty):
     assert {r.lang_pred for r in langid.predict(docs, [], np.zeros((langid.BUCKETS, 0))).collect()} == {"und"} and langid.predict(empty, langs, prob).count() == 0
 
 
-def test_sharding(spark, docs, empty):
-    rows = [(i, "same" if i % 3 == 0 else str(i) * (i % 50)) for i in range(3000)]
-    got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string"), shards=6, runs=2).collect()
-    size = Counter()
+def check_shards(rows, got, shards, largest):
+    """Everything the contract says, from the rows alone."""
+    size = {i: len((t or "").encode()) + 8 for i, t in rows}
+    assert Counter((r.doc_id, r.text) for r in got) == Counter(rows)
+    assert all(r["size"] == size[r.doc_id] and 0 <= r.shard < shards for r in got)
+    whole, load = sum(size[i] for i, _ in rows), Counter()
     for r in got:
-        size[r.shard] += r.size_ if hasattr(r, "size_") else r["size"]
-    assert len(got) == 3000 and max(size.values()) - min(size.values()) < 0.05 * sum(size.values()) / 6
-    for s in range(6):
+        load[r.shard] += r["size"]
+    assert all(abs(load[s] - whole / shards) <= 2 * largest + 0.02 * whole / shards for s in range(shards))
+    for s in range(shards):
         assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
+
+
+def test_sharding(spark, docs, empty):
+    rows = [(i, "same" if i % 3 == 0 else None if i % 97 == 0 else (str(i) + "é") * (i % 50)) for i in range(3000)]
+    got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string"), shards=6, runs=2).collect()
+    check_shards(rows, got, 6, 400)
     few = sharding.shard(docs, shards=24).collect()
     assert len(few) == len(TEXTS) + 2 and {r.doc_id: r["size"] for r in few}[0] == 8 and sharding.shard(empty).count() == 0
 
 
+def test_sharding_cuts_repeated_rows(spark):
+    rows = [(7, "again and again")] * 1500 + [(i, f"text {i} " * (i % 9)) for i in range(100, 800)]
+    got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), shards=5, runs=3).collect()
+    check_shards(rows, got, 5, 80)
+    assert len({r.shard for r in got if r.doc_id == 7}) > 2
+
+
+def test_sharding_query(spark, tmp_path):
+    from cairn.llm.queries import op4_sharding
+
+    rows = [(i, None if i == 3 else f"tëxt {i % 40} " * (i % 30)) for i in range(600)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"file://{tmp_path}/documents.parquet")
+    got = op4_sharding(spark, f"file://{tmp_path}").collect()
+    text = dict(rows)
+    assert all(r.text_crc32 == zlib.crc32((text[r.doc_id] or "").encode()) and r.law == "bytes" and r.grown_shard is None for r in got)
+    assert len(got) == 600 and {r.shard for r in got} == set(range(24))
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(3)
     vec = {i: rng.normal(size=6).round(2).tolist() for i in range(400)}
@@ -163,6 +189,11 @@ def test_url_filters(spark):
     for limit in (0, 100):
         got = urlfilter.judge_urls(pages, urlfilter.rule_table(spark), broadcast_rules=limit).collect()
         assert len(got) == 10 and all((r.rule, r.verdict) == want[r.url] for r in got)
+    odd = pages.selectExpr("page_id", "url", "host AS _best", "host AS `_url`", "host AS n_rows", "host AS short")
+    got = urlfilter.judge_urls(odd, urlfilter.rule_table(spark))
+    assert got.columns == [*odd.columns, "host", "path", "rule", "verdict"] and all((r.rule, r.verdict, r._best) == (*want[r.url], "clash") for r in got.collect())
+    none = urlfilter.judge_urls(pages, urlfilter.rule_table(spark).filter("rule = ''"), default="block").collect()
+    assert len(none) == 10 and {(r.rule, r.verdict) for r in none} == {(None, "block")}
     assert urlfilter.judge_urls(pages.filter("page_id < 0"), urlfilter.rule_table(spark)).count() == 0
 
 
@@ -180,6 +211,15 @@ def test_token_counts_and_cache(docs, empty, tmp_path):
     assert tokencount.count_tokens(empty, BYTE).count() == 0
 
 
+def test_rows_repeated_under_one_id_are_encoded_once(spark, tmp_path):
+    docs = spark.createDataFrame([(1, PROSE)] * 400 + [(i, PROSE) for i in range(50)] + [(None, None)] * 60, "doc_id long, text string").repartition(6)
+    cache = f"file://{tmp_path}/cache"
+    got = tokencount.count_tokens(docs, BYTE, cache)
+    n = len(Tokenizer.from_file(BYTE).encode(PROSE, add_special_tokens=False).ids)
+    assert {(r.doc_id is None, r.n_tokens) for r in got.collect()} == {(False, n), (True, 0)} and got.count() == 510
+    assert spark.read.parquet(cache).count() == 2
+
+
 def test_html_extraction(spark):
     page = """<html><head><title>T</title><script>var a="</p>";</script></head><body><nav><ul><li><a href="/a">Home</a></li></ul></nav><div class="ad">Buy this now and save.</div>
     <article><h1>A title</h1><p>First   paragraph &amp; more words in it.<p>Short.</p><aside>Read also this one</aside></article><section id="comments"><p>I like it very much indeed</p></section><footer>&copy; me</footer></body></html>"""
