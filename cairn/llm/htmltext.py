@@ -1,9 +1,11 @@
 """Main text of web pages from flat text blocks.
 
 A page is cut into blocks at block-level tags, without building a document
-tree.  Each block has its word count and link density, those of its
-neighbours, and three hints from the open containers.  A decision tree,
-trained on a small labelled table of blocks, says which are main text.
+tree.  Each block has its word count and link density and those of its two
+neighbours.  A decision tree over these six, trained on the blocks of a small
+set of labelled pages, says which blocks are main text.  Of those, blocks go
+that stand in a container which says that it holds something else, such as a
+form, an aside or reader comments: words and links can't tell these.
 """
 
 from __future__ import annotations
@@ -16,57 +18,36 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from cairn.llm.common import unused
+from cairn.llm.labelled_pages import TRAINING, filled
 
 #: Features of a block, in order.
-FEATURES = ("words", "link_density", "prev_words", "prev_link_density", "next_words", "next_link_density", "boilerplate", "in_article", "heading")
-
-#: The labelled table: FEATURES, then 1 for main text.
-LABELLED = (
-    # paragraphs of an article
-    (60, 0.0, 40, 0.0, 55, 0.0, 0, 1, 0, 1), (25, 0.0, 12, 0.0, 80, 0.0, 0, 1, 0, 1), (120, 0.05, 60, 0.0, 0, 0.0, 0, 1, 0, 1),
-    (3, 0.0, 70, 0.0, 45, 0.0, 0, 1, 0, 1), (2, 0.0, 9, 0.0, 4, 0.0, 0, 1, 0, 1), (1, 0.0, 0, 0.0, 1, 0.0, 0, 1, 0, 1),
-    (1, 0.0, 8, 0.0, 10, 0.0, 0, 1, 0, 1), (18, 0.3, 25, 0.0, 30, 0.0, 0, 1, 0, 1), (12, 0.5, 60, 0.0, 45, 0.0, 0, 1, 0, 1),
-    (300, 0.0, 10, 0.0, 10, 0.0, 0, 1, 0, 1), (8, 1.0, 90, 0.0, 70, 0.0, 0, 1, 0, 1), (5, 1.0, 40, 0.0, 12, 0.0, 0, 1, 0, 1),
-    # headings of an article
-    (10, 0.0, 7, 0.0, 40, 0.0, 0, 1, 1, 1), (4, 0.0, 1, 1.0, 90, 0.0, 0, 1, 1, 1), (1, 0.0, 6, 1.0, 3, 0.0, 0, 1, 1, 1), (6, 1.0, 3, 0.0, 60, 0.0, 0, 1, 1, 1),
-    # text of pages that mark no article
-    (45, 0.0, 30, 0.0, 60, 0.0, 0, 0, 0, 1), (90, 0.02, 4, 1.0, 70, 0.0, 0, 0, 0, 1), (22, 0.0, 55, 0.0, 3, 1.0, 0, 0, 0, 1),
-    (15, 0.0, 60, 0.0, 48, 0.0, 0, 0, 0, 1), (7, 0.0, 3, 1.0, 60, 0.0, 0, 0, 1, 1), (5, 0.0, 44, 0.0, 52, 0.0, 0, 0, 1, 1),
-    (4, 0.0, 40, 0.0, 66, 0.0, 0, 0, 0, 1), (200, 0.1, 0, 0.0, 0, 0.0, 0, 0, 0, 1),
-    # menus, bread crumbs, link lists
-    (1, 1.0, 1, 1.0, 1, 1.0, 1, 0, 0, 0), (2, 1.0, 0, 0.0, 1, 1.0, 1, 0, 0, 0), (3, 1.0, 2, 1.0, 8, 0.0, 1, 0, 0, 0),
-    (1, 1.0, 1, 1.0, 1, 1.0, 0, 0, 0, 0), (4, 1.0, 3, 1.0, 5, 1.0, 0, 0, 0, 0), (6, 0.9, 4, 1.0, 4, 1.0, 0, 0, 0, 0), (30, 0.8, 2, 1.0, 12, 1.0, 0, 0, 0, 0),
-    (2, 1.0, 60, 0.0, 2, 1.0, 1, 1, 0, 0), (8, 1.0, 70, 0.0, 9, 1.0, 1, 1, 0, 0),
-    # adverts, notices, forms, comments, side bars: also long ones, also inside an article
-    (8, 0.0, 1, 1.0, 10, 0.0, 1, 0, 0, 0), (40, 0.0, 5, 0.0, 60, 0.0, 1, 0, 0, 0), (25, 0.1, 3, 1.0, 45, 0.0, 1, 0, 0, 0),
-    (70, 0.0, 80, 0.0, 30, 0.0, 1, 0, 0, 0), (15, 0.0, 90, 0.0, 60, 0.0, 1, 1, 0, 0), (120, 0.0, 50, 0.0, 40, 0.0, 1, 1, 0, 0), (4, 0.0, 60, 0.0, 20, 0.0, 1, 0, 1, 0),
-    # foot lines and stray short blocks
-    (12, 0.0, 70, 0.0, 0, 0.0, 1, 0, 0, 0), (6, 0.2, 90, 0.0, 0, 0.0, 1, 0, 0, 0), (3, 0.0, 2, 1.0, 2, 1.0, 0, 0, 0, 0), (2, 0.0, 0, 0.0, 3, 1.0, 0, 0, 0, 0),
-    (4, 0.5, 3, 0.0, 0, 0.0, 0, 0, 0, 0), (5, 0.0, 1, 1.0, 1, 1.0, 0, 0, 0, 0),
-)
+FEATURES = ("words", "link_density", "prev_words", "prev_link_density", "next_words", "next_link_density")
 
-RAW = {"script", "style", "noscript", "template", "svg", "textarea", "title", "iframe", "select", "object", "canvas", "math"}
+#: Elements whose content is no text of the page.
+RAW = {"script", "style", "template", "svg", "textarea", "title", "iframe", "select"}
 BLOCK = set(
     "address article aside blockquote body button caption dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html label legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 CONTAINER = set("article aside blockquote button details dialog div dl fieldset figure footer form header label li main menu nav ol p section table td tr ul".split())
-NOT_MAIN = {"nav", "footer", "aside", "form", "button", "dialog", "menu", "label", "fieldset"}
-MAIN = {"article", "main"}
+#: Containers that hold something else than main text, by their element or by a word of their class, id or role.
+OTHER = {"nav", "footer", "aside", "form", "button", "dialog", "menu", "label", "fieldset"}
 NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|consent|cookies?|disqus|footer|gdpr|header|login|masthead|menu|modal|navbar|navigation|nav|newsletter|notices?|pagination|popup|promo\w*|recommended|related|repl(?:y|ies)|share|sharing|side-?bar|signup|social|sponsor\w*|subscribe|toolbar|widgets?)(?=$|[\s_-])",
+    r"(?:^|[\s_-])(?:ads?|advert\w*|comments?|cookies?|consent|disqus|newsletter|notices?|popup|promo\w*|related|repl(?:y|ies)|share|sharing|side-?bar|social|sponsor\w*|subscribe)(?=$|[\s_-])",
     re.I,
 )
 TAG = re.compile(r"<(?:!--(?s:.*?)(?:--!?>|\Z)|[!?][^>]*+(?:>|\Z)|(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>|[^>]*+(?:>|\Z)))")
 NAMED = re.compile(r"""\b(?:class|id|role)\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++))""", re.I)
 
 
-def blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool]]:
-    """(text, words, linked words, boilerplate, in article, heading) of every block with a word, in page order."""
-    out: list[tuple[str, int, int, bool, bool, bool]] = []
-    stack: list[tuple[str, bool, bool]] = []  # open containers: tag, boilerplate, article
+def blocks(page: str) -> list[tuple[str, int, int, bool]]:
+    """(text, words, linked words, whether its container holds something else) of every block with a word, in page order."""
+    out: list[tuple[str, int, int, bool]] = []
+    stack: list[tuple[str, bool, bool]] = []  # open containers: tag, holds something else, is in an article
     pieces: list[tuple[str, bool]] = []
     head = link = False
-    heading = ""
 
     def flush() -> None:
         if pieces:
@@ -74,7 +55,7 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool]]:
             if text:
                 linked = sum(len(entities.unescape(p).split()) for p, a in pieces if a)
                 words = text.count(" ") + 1
-                out.append((text, words, min(words, linked), bool(stack) and stack[-1][1], bool(stack) and stack[-1][2], bool(heading)))
+                out.append((text, words, min(words, linked), bool(stack) and stack[-1][1]))
             pieces.clear()
 
     at, end = 0, len(page)
@@ -105,8 +86,6 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool]]:
             continue
         flush()
         link = False
-        if tag[0] == "h" and tag[1:].isdigit():
-            heading = "" if closes else tag
         if tag not in CONTAINER:
             continue
         if closes:
@@ -117,28 +96,37 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool]]:
         else:
             if tag == "p" and stack and stack[-1][0] == "p":
                 stack.pop()  # a paragraph ends where the next begins
-            _, noise, main = stack[-1] if stack else ("", False, False)
-            if tag in MAIN:
-                noise, main = noise and not stack[-1][2] and stack[-1][0] != "div", True
-            elif tag in NOT_MAIN or tag == "header" and not main:
-                noise = True
-            if not noise:
-                noise = any(NAMES.search(n[1] or n[2] or n[3] or "") for n in NAMED.finditer(m[3]))
-            stack.append((tag, noise, main))
+            _, other, article = stack[-1] if stack else ("", False, False)
+            if tag == "main":
+                other, article = False, True
+            else:
+                other = other or tag in OTHER or (tag == "header" and not article) or any(NAMES.search(n[1] or n[2] or n[3] or "") for n in NAMED.finditer(m[3]))
+                article = article or tag == "article"
+            stack.append((tag, other, article))
     flush()
     return out
 
 
 def features(found: list[tuple]) -> np.ndarray:
-    """One row of FEATURES for each block."""
+    """One row of FEATURES for each block; a missing neighbour has no words."""
     words = np.array([b[1] for b in found], float)
     density = np.array([b[2] / b[1] for b in found])
     pad = lambda x, back: np.concatenate([[0.0], x[:-1]]) if back else np.concatenate([x[1:], [0.0]])
-    flags = [np.array([b[i] for b in found], float) for i in (3, 4, 5)]
-    return np.stack([words, density, pad(words, True), pad(density, True), pad(words, False), pad(density, False), *flags], 1)
+    return np.stack([words, density, pad(words, True), pad(density, True), pad(words, False), pad(density, False)], 1)
+
+
+def labelled_table(pages: list[str]) -> np.ndarray:
+    """FEATURES and a label, 1 for main text, of the blocks of labelled pages."""
+    rows = []
+    for page in pages:
+        found = blocks(page)
+        bare = [text.lstrip("§~") for text, *_ in found]
+        linked = features([(t, len(t.split()), b[2], b[3]) for t, b in zip(bare, found)])
+        rows += [[*x, float(b[0].startswith("§"))] for x, b in zip(linked, found) if not b[0].startswith("~")]
+    return np.array(rows)
 
 
-def train(table: np.ndarray, depth: int = 6, least: int = 1) -> list[tuple[int, float, int, int, int]]:
+def train(table: np.ndarray, depth: int = 6, least: int = 4) -> list[tuple[int, float, int, int, int]]:
     """A decision tree by Gini impurity: nodes (feature or -1, threshold, left, right, label)."""
     nodes: list[tuple[int, float, int, int, int]] = []
 
@@ -186,24 +174,27 @@ def main_text(page: str | None, nodes: list[tuple[int, float, int, int, int]]) -
     found = blocks(page or "")
     if not found:
         return ""
-    return "\n".join(b[0] for b, keep in zip(found, classify(nodes, features(found))) if keep)
+    return "\n".join(b[0] for b, keep in zip(found, classify(nodes, features(found))) if keep and not b[3])
 
 
-def extract(pages: DataFrame, html_col: str = "html", labelled=LABELLED, depth: int = 6) -> DataFrame:
+def extract(pages: DataFrame, html_col: str = "html", labelled: list[str] | None = None, depth: int = 6) -> DataFrame:
     """pages without the html column, with text and n_chars (code points).
 
-    Null and empty pages, and pages without main text, give an empty text.
-    labelled: rows of FEATURES and a label; the table is small and travels
-    with the task.  Columns of pages called text or n_chars are replaced.
+    labelled: pages marked as in labelled_pages; the default are those.  Their
+    table is small and the tree travels with the task.  Null and empty pages,
+    and pages without main text, give an empty text; very long ones are read
+    whole.  Repeated rows are extracted each; an empty table gives no rows.
+    Columns of pages called text or n_chars are replaced; others may have any
+    name.
     """
-    nodes = train(np.array(labelled, float), depth)
+    nodes = train(labelled_table([filled(p) for p in (labelled or TRAINING)]), depth)
     keep = [c for c in pages.columns if c not in (html_col, "text", "n_chars")]
-    narrow = pages.select(*keep, F.col(html_col).alias("_html"))
+    page = unused(pages.columns, "page")
+    narrow = pages.select(*[f"`{c}`" for c in keep], F.col(html_col).alias(page))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [main_text(h.as_py(), nodes) for h in batch.column(len(keep))]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], [*keep, "text", "n_chars"])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in narrow.schema.fields[:-1])
-    return narrow.mapInArrow(run, f"{kinds}{', ' if kinds else ''}text string, n_chars long")
+    return narrow.mapInArrow(run, T.StructType([*narrow.schema.fields[:-1], T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())]))

@@ -224,7 +224,10 @@ def test_html_extraction(spark):
     page = """<html><head><title>T</title><script>var a="</p>";</script></head><body><nav><ul><li><a href="/a">Home</a></li></ul></nav><div class="ad">Buy this now and save.</div>
     <article><h1>A title</h1><p>First   paragraph &amp; more words in it.<p>Short.</p><aside>Read also this one</aside></article><section id="comments"><p>I like it very much indeed</p></section><footer>&copy; me</footer></body></html>"""
     pages = spark.createDataFrame([(1, page, "clash"), (2, None, "c"), (3, "", "c"), (4, "<p", "c"), (1, page, "clash")], "page_id long, html string, text string")
-    got = htmltext.extract(pages).collect()
+    pages = pages.withColumns({c: F.lit("c") for c in ("_html", "page", "n_chars")})
+    got = htmltext.extract(pages)
+    assert got.columns == ["page_id", "_html", "page", "text", "n_chars"] and htmltext.extract(pages.filter("page_id < 0")).count() == 0
+    got = got.collect()
     assert [r.text for r in got if r.page_id == 1] == ["A title\nFirst paragraph & more words in it.\nShort."] * 2
     assert all(r.text == "" and r.n_chars == 0 for r in got if r.page_id in (2, 3))
 
