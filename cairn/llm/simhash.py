@@ -24,7 +24,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -298,7 +298,7 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def keep_representatives(docs: DataFrame, first: DataFrame, id_col: str, text_col: str, print_of: Callable[[str | None], int]) -> DataFrame:
     """One row of docs, with all its columns, for each (rep, fp) of first: of that id and fingerprint."""
-    own_fp, rep, fp = (unused(docs.columns, n) for n in ("own_fp", "rep", "fp"))
+    own_fp, key, none = (unused(docs.columns, n) for n in ("own_fp", "key", "none"))
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -306,8 +306,11 @@ def keep_representatives(docs: DataFrame, first: DataFrame, id_col: str, text_co
             fps = np.array([print_of(t.as_py()) for t in batch.column(at)], np.uint64).view(np.int64)
             yield batch.append_column(own_fp, pa.array(fps))
 
+    def keyed(rows: DataFrame, own: Column) -> DataFrame:
+        return rows.withColumns({key: F.coalesce(own.cast("long"), F.lit(0)), none: own.isNull()})
+
     own = docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(own_fp, T.LongType())]))
-    # Joined by id and fingerprint, a group of copies of any size spreads over all tasks.
-    first = first.select(F.col("rep").alias(rep), F.col("fp").alias(fp))
-    kept = own.join(first, own[id_col].cast("long").eqNullSafe(first[rep]) & (own[own_fp] == first[fp]), "left_semi")
-    return kept.dropDuplicates([id_col, own_fp]).select(*[f"`{c}`" for c in docs.columns])
+    # Joined by id and fingerprint, a group of copies of any size spreads over all tasks; rows move once.
+    wanted = keyed(first, F.col("rep")).select(key, none, F.col("fp").alias(own_fp))
+    kept = keyed(own, F.col(id_col)).join(wanted, [key, none, own_fp], "left_semi")
+    return kept.dropDuplicates([key, none, own_fp]).select(*[f"`{c}`" for c in docs.columns])
