@@ -28,6 +28,8 @@ from cairn.llm.tokencount import id_encoder
 TIERS = (256, 512, 1024, 2048)
 #: Bits of a sequence number within its task, and tasks whose rests are packed together.
 LOCAL_BITS, GROUP = 32, 64
+#: Rows of the table of tasks and tiers that are sent to all tasks; more are joined by shuffle.
+BROADCAST_ROWS = 1_000_000
 #: Sequence numbers of the second round start here.
 SECOND = 1 << 62
 
@@ -107,13 +109,16 @@ def step_groups(windows: DataFrame, step_tokens: int) -> DataFrame:
     group has a tier's share rounded down or up.
     """
     rows = windows.withColumn("_task", F.shiftright("sequence_id", LOCAL_BITS))
-    made = rows.groupBy("_task", "tier").agg((F.max("step_group") + 1).alias("_made"), F.sum("length").alias("_ids"))
+    made = checkpoint(rows.groupBy("_task", "tier").agg((F.max("step_group") + 1).alias("_made"), F.sum("length").alias("_ids")))
     # A row for each tier of a task.
     own = Window.partitionBy("tier")
     before = F.coalesce(F.sum("_made").over(own.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    groups = made.agg(F.ceil(F.sum("_ids") / step_tokens).alias("_groups"))
-    table = made.select("_task", "tier", before.alias("_before"), F.sum("_made").over(own).alias("_n")).crossJoin(F.broadcast(groups))
-    dealt = rows.join(F.broadcast(table), ["_task", "tier"]).withColumn("step_group", F.expr("((_before + step_group) * _groups) DIV _n"))
+    whole, lines = made.agg(F.sum("_ids"), F.count("*")).first()
+    groups = -(-(whole or 0) // step_tokens)
+    table = made.select("_task", "tier", before.alias("_before"), F.sum("_made").over(own).alias("_n"))
+    if lines <= BROADCAST_ROWS:
+        table = F.broadcast(table)
+    dealt = rows.join(table, ["_task", "tier"]).withColumn("step_group", F.expr(f"((_before + step_group) * {groups}L) DIV _n"))
     return dealt.select(*windows.columns)
 
 
