@@ -3,8 +3,9 @@
 Every language has smoothed log-likelihoods of hashed letter trigrams, learnt
 from labelled rows.  A document is a mixture of languages: EM estimates the
 proportions from its trigram counts, and the set of languages grows while the
-penalised likelihood does.  Whole texts are read; only the training rows are
-a sample, bounded by a parameter per language.
+penalised likelihood does.  The documents of a batch lie in one flat array of
+trigram counts and go through the rounds of EM together.  Whole texts are
+read; only the training rows are a sample, bounded by a parameter per language.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import ship, shipped
+from cairn.llm.common import local_table, ship, shipped
 
 UNKNOWN = "und"
 #: Trigrams are hashed into 2^16 buckets.
@@ -26,95 +27,162 @@ BUCKETS = 1 << 16
 MIX = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D))
 
 
+#: Characters of texts, times languages, that go through EM together.
+CHUNK = 1 << 21
+
+
 def letter_table() -> np.ndarray:
     """For each code point, whether it is a letter."""
-    letters = np.zeros(0x110000, bool)
-    for start, stop in ((0, 0x3400), (0xA000, 0xAC00), (0xF900, 0x20000)):
-        letters[start:stop] = [unicodedata.category(chr(c))[0] == "L" for c in range(start, stop)]
-    for start, stop in ((0x3400, 0x4DC0), (0x4E00, 0xA000), (0xAC00, 0xD7A4), (0x20000, 0x32000)):  # ideographs and Hangul syllables
-        letters[start:stop] = True
-    return letters
+    return np.fromiter((unicodedata.category(chr(c))[0] == "L" for c in range(0x110000)), bool, 0x110000)
+
+
+def hashed_trigrams(codes: np.ndarray) -> np.ndarray:
+    mixed = (codes[:-2] * MIX[0]) ^ (codes[1:-1] * MIX[1]) ^ (codes[2:] * MIX[2])
+    return (mixed ^ (mixed >> np.uint32(15))) & np.uint32(BUCKETS - 1)
 
 
-def trigrams(text: str | None, letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct buckets of the letter trigrams, words padded with a space, and their counts."""
-    codes = np.frombuffer((" " + (text or "").lower() + " ").encode("utf-32-le", "surrogatepass"), np.uint32)
+def trigrams(texts: list[str | None], letters: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, bucket, count) of the distinct letter trigrams of every text, by text; each text is padded with a space, and what is no letter is one."""
+    padded = [f" {(t or '').lower()} " for t in texts]
+    of = np.repeat(np.arange(len(texts)), np.fromiter(map(len, padded), np.int64, len(padded)))
+    codes = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), np.uint32)
     codes = np.where(letters[codes], codes, np.uint32(32))
     blank = codes == 32
-    codes = codes[np.concatenate([[True], ~(blank[1:] & blank[:-1])])]
+    keep = np.ones(len(codes), bool)
+    keep[1:] = ~(blank[1:] & blank[:-1]) | (of[1:] != of[:-1])
+    codes, of = codes[keep], of[keep]
     if len(codes) < 3:
-        return np.zeros(0, np.int64), np.zeros(0)
-    mixed = (codes[:-2] * MIX[0]) ^ (codes[1:-1] * MIX[1]) ^ (codes[2:] * MIX[2])
-    bucket = (mixed ^ (mixed >> np.uint32(15))) & np.uint32(BUCKETS - 1)
-    if len(bucket) > BUCKETS:
-        counts = np.bincount(bucket, minlength=BUCKETS)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    whole = of[2:] == of[:-2]
+    if len(texts) == 1 and len(codes) > 4 * BUCKETS:  # cheaper than sorting
+        counts = np.zeros(BUCKETS, np.int64)
+        for i in range(0, len(codes) - 2, CHUNK):
+            counts += np.bincount(hashed_trigrams(codes[i : i + CHUNK + 2]), minlength=BUCKETS)
         found = np.flatnonzero(counts)
-        return found, counts[found].astype(float)
-    found, counts = np.unique(bucket, return_counts=True)
-    return found.astype(np.int64), counts.astype(float)
-
-
-def mixture(like: np.ndarray, counts: np.ndarray, rounds: int) -> tuple[np.ndarray, float]:
-    """EM for proportions: like has P(trigram | language) by row; returns proportions and log-likelihood."""
-    pi = np.full(like.shape[1], 1.0 / like.shape[1])
-    total = counts.sum()
-    for _ in range(rounds):
-        new = pi * ((counts / (like @ pi)) @ like) / total
-        moved = np.abs(new - pi).max()
-        pi = new
-        if moved < 1e-3:
+        return np.zeros(len(found), np.int64), found, counts[found].astype(float)
+    keys, counts = np.unique(of[:-2][whole] * BUCKETS + hashed_trigrams(codes)[whole], return_counts=True)
+    return keys // BUCKETS, keys % BUCKETS, counts.astype(float)
+
+
+def chunks(texts: list[str | None], most: int) -> Iterator[list[str | None]]:
+    """texts in runs of at most `most` characters, or of one text."""
+    run, size = [], 0
+    for t in texts:
+        if run and size + len(t or "") > most:
+            yield run
+            run, size = [], 0
+        run.append(t)
+        size += len(t or "") + 2
+    if run:
+        yield run
+
+
+def mixture(members: np.ndarray, of: np.ndarray, bucket: np.ndarray, counts: np.ndarray, prob: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+    """EM for the proportions of each text's members (text, language) and its log-likelihood; every text has a trigram."""
+    n, size = members.shape
+    pi, value = np.full((n, size), 1.0 / size), np.zeros(n)
+    like = prob[bucket[:, None], members[of]]
+    live, at = np.arange(n), np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
+    total = np.add.reduceat(counts, at)
+    own = np.repeat(np.arange(n), np.diff(np.append(at, len(of))))
+    for step in range(rounds + 1):
+        mean = (like * pi[live][own]).sum(axis=1)
+        value[live] = np.add.reduceat(counts * np.log(mean), at)
+        if step == rounds:
             break
-    return pi, float(counts @ np.log(like @ pi))
-
-
-def identify(text: str | None, prob: np.ndarray, logp: np.ndarray, letters: np.ndarray, penalty: float = 3.0, rounds: int = 20) -> tuple[int, float, np.ndarray]:
-    """Index of the main language (-1: none), its proportion, and all proportions."""
-    none = np.zeros(prob.shape[1])
-    found, counts = trigrams(text, letters)
-    if not len(found) or not prob.shape[1]:
-        return -1, 0.0, none
-    scores = counts @ logp[found]
-    like = prob[found]
-    best = [int(np.argmax(scores))]
-    pi, value = np.ones(1), float(scores[best[0]])
+        new = pi[live] * np.add.reduceat((counts / mean)[:, None] * like, at) / total[:, None]
+        moved = np.abs(new - pi[live]).max(axis=1) >= 1e-3
+        pi[live] = new
+        if not moved.all():
+            # Texts at rest get their final likelihood and leave.
+            rest = ~moved[own]
+            if rest.any():
+                mean = (like[rest] * pi[live][own[rest]]).sum(axis=1)
+                value[live[~moved]] = np.bincount(own[rest], counts[rest] * np.log(mean), len(live))[~moved]
+            like, counts, own = like[~rest], counts[~rest], own[~rest]
+            live, total = live[moved], total[moved]
+            if not len(live):
+                break
+            own = (np.cumsum(moved) - 1)[own]
+            at = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+    return pi, value
+
+
+def identify(texts: list[str | None], prob: np.ndarray, logp: np.ndarray, letters: np.ndarray, penalty: float = 3.0, rounds: int = 20) -> np.ndarray:
+    """Proportions (text, language); a text without letters has none."""
+    out = np.zeros((len(texts), prob.shape[1]))
+    of, bucket, counts = trigrams(texts, letters)
+    if not len(of) or not prob.shape[1]:
+        return out
+    rows, of = np.unique(of, return_inverse=True)
+    at = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
+    n, langs = len(rows), prob.shape[1]
+    scores = np.stack([np.add.reduceat(counts * logp[bucket, k], at) for k in range(langs)], 1)
+    members = np.argmax(scores, axis=1)[:, None]
+    pi, value = np.ones((n, 1)), scores[np.arange(n), members[:, 0]]
+    room = penalty * np.log(np.add.reduceat(counts, at) + 1)
     # The set grows by the languages that the full mixture finds, in order of their shares.
-    shares, _ = mixture(like, counts, rounds)
-    for lang in np.argsort(-shares, kind="stable"):
-        if int(lang) in best:
-            continue
-        trial = [*best, int(lang)]
-        trial_pi, trial_value = mixture(like[:, trial], counts, rounds)
-        if trial_value - value <= penalty * np.log(counts.sum() + 1):
-            break
-        best, pi, value = trial, trial_pi, trial_value
-    out = none.copy()
-    out[best] = pi
-    top = int(np.argmax(out))
-    return top, float(min(1.0, out[top])), out
-
-
-def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", docs_per_language: int = 1500, smoothing: float = 0.2) -> tuple[list[str], np.ndarray]:
+    shares, _ = mixture(np.tile(np.arange(langs), (n, 1)), of, bucket, counts, prob, rounds)
+    order = np.argsort(-shares, axis=1, kind="stable")
+    # The best single language is in the set already; the others keep their order.
+    others = order[order != members].reshape(n, langs - 1)
+    growing = np.arange(n)
+    for k in range(langs - 1):
+        mine = np.isin(of, growing)
+        trial = np.concatenate([members[growing], others[growing, k : k + 1]], axis=1)
+        own = np.searchsorted(growing, of[mine])
+        trial_pi, trial_value = mixture(trial, own, bucket[mine], counts[mine], prob, rounds)
+        better = trial_value - value[growing] > room[growing]
+        done = np.setdiff1d(np.arange(n), growing[better])
+        for i in np.intersect1d(done, growing):
+            out[rows[i], members[i]] = pi[i]
+        growing = growing[better]
+        if not len(growing):
+            return out
+        members = np.zeros((n, k + 2), np.int64)
+        pi = np.zeros((n, k + 2))
+        members[growing], pi[growing], value[growing] = trial[better], trial_pi[better], trial_value[better]
+    for i in growing:
+        out[rows[i], members[i]] = pi[i]
+    return out
+
+
+def shares_of(texts: list[str | None], prob: np.ndarray, logp: np.ndarray, letters: np.ndarray, penalty: float) -> np.ndarray:
+    """identify() in chunks of bounded size."""
+    found = [identify(run, prob, logp, letters, penalty) for run in chunks(texts, CHUNK // max(4, prob.shape[1]))]
+    return np.concatenate(found) if found else np.zeros((0, prob.shape[1]))
+
+
+def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", docs_per_language: int = 1500, smoothing: float = 0.2, max_languages: int = 200) -> tuple[list[str], np.ndarray]:
     """Languages and P(bucket | language), from about docs_per_language labelled rows of each language.
 
     Rows are chosen by the hash of their id at the rate that gives this number
     in the mean; one counting pass finds the rates.  The model has BUCKETS
-    numbers for each language, whatever the size of docs.
+    numbers for each language, whatever the size of docs; it is refused beyond
+    max_languages, as a column with more values hardly holds languages.  Null
+    languages and texts teach nothing; no labelled row gives an empty model.
     """
-    labelled = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    sizes = {r[0]: r[1] for r in labelled.groupBy(lang_col).count().collect()}
+    labelled = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("_lang"), F.col(text_col).alias("_text"), F.col(id_col).alias("_id"))
+    sizes = {r[0]: r[1] for r in labelled.groupBy("_lang").count().limit(max_languages + 1).collect()}
+    if len(sizes) > max_languages:
+        raise ValueError(f"{lang_col} has more than {max_languages} values; clean it or raise max_languages")
     langs = sorted(sizes)
     if not langs:
         return [], np.zeros((BUCKETS, 0))
-    table = docs.sparkSession.createDataFrame([(k, min(1.0, docs_per_language / n)) for k, n in sizes.items()], "_lang string, _rate double")
-    chance = F.shiftrightunsigned(F.xxhash64(F.col(id_col).cast("string")), 11) / float(1 << 53)
-    sample = labelled.join(F.broadcast(table), F.col(lang_col) == F.col("_lang")).filter(chance < F.col("_rate")).select("_lang", F.col(text_col).alias("_text"))
+    table = local_table(docs.sparkSession, [(k, min(1.0, docs_per_language / n)) for k, n in sizes.items()], "_lang string, _rate double")
+    chance = F.shiftrightunsigned(F.xxhash64(F.col("_id").cast("string")), 11) / float(1 << 53)
+    sample = labelled.join(F.broadcast(table), "_lang").filter(chance < F.col("_rate")).select("_lang", "_text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         letters, sums = letter_table(), {}
         for batch in batches:
+            own: dict[str, list[str]] = {}
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found, counts = trigrams(text, letters)
-                np.add.at(sums.setdefault(lang, np.zeros(BUCKETS)), found, counts)
+                own.setdefault(lang, []).append(text)
+            for lang, texts in own.items():
+                for run in chunks(texts, CHUNK // 4):
+                    _, found, counts = trigrams(run, letters)
+                    sums[lang] = sums.get(lang, 0) + np.bincount(found, counts, BUCKETS)
         for lang, counts in sums.items():
             found = np.flatnonzero(counts)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found), pa.string()), pa.array(found, pa.int32()), pa.array(counts[found].astype(np.int64))], ["lang", "bucket", "n"])
@@ -129,23 +197,24 @@ def predict(docs: DataFrame, langs: list[str], prob: np.ndarray, id_col: str = "
     """docs' id with lang_pred, score (the share of lang_pred) and shares (a map of the languages found).
 
     Texts that are null or have no letter are `und` with score 0, as are all
-    texts where nothing could be learnt.
+    texts where nothing could be learnt.  Very long texts are read whole; of
+    tied shares the first language in order wins.  Repeated rows are judged
+    each; empty tables give no rows.  Only the id and the text are read.
     """
     sent = ship(docs.sparkSession, lambda p: (letter_table(), p, np.log(p)), prob)
+    names = np.array([*langs, UNKNOWN], object)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         letters, table, logs = shipped(sent)
         for batch in batches:
-            rows = [identify(t, table, logs, letters, penalty) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    pa.array([langs[k] if k >= 0 else UNKNOWN for k, _, _ in rows], pa.string()),
-                    pa.array([s for _, s, _ in rows], pa.float64()),
-                    pa.array([[(langs[i], float(pi[i])) for i in np.flatnonzero(pi)] for _, _, pi in rows], pa.map_(pa.string(), pa.float64())),
-                ],
-                ["_id", "lang_pred", "score", "shares"],
-            )
+            shares = shares_of(batch.column(1).to_pylist(), table, logs, letters, penalty)
+            none = ~shares.any(axis=1) if len(langs) else np.ones(len(shares), bool)
+            top = np.where(none, len(langs), shares.argmax(axis=1) if len(langs) else 0)
+            score = np.minimum(1.0, shares.max(axis=1)) if len(langs) else np.zeros(len(shares))
+            at, lang = np.nonzero(shares)
+            ends = np.concatenate([[0], np.cumsum(np.bincount(at, minlength=len(shares)))]).astype(np.int32)
+            mixed = pa.MapArray.from_arrays(pa.array(ends), pa.array(names[lang], pa.string()), pa.array(shares[at, lang]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names[top], pa.string()), pa.array(score), mixed], ["_id", "lang_pred", "score", "shares"])
 
     narrow = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     kind = narrow.schema["_id"].dataType.simpleString()
@@ -160,7 +229,7 @@ def keep_identified(docs: DataFrame, langs: list[str], prob: np.ndarray, text_co
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         letters, table, logs = shipped(sent)
         for batch in batches:
-            yield batch.filter(pa.array([identify(t, table, logs, letters, penalty)[0] >= 0 for t in batch.column(at).to_pylist()], pa.bool_()))
+            yield batch.filter(pa.array(shares_of(batch.column(at).to_pylist(), table, logs, letters, penalty).any(axis=1), pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -1,26 +1,34 @@
 """Exact top-k by inner product in three phases with a uniform threshold.
 
 Every vector is cut into `lists` runs of dimensions; a score is the sum of the
-runs' partial scores.  Phase 1 gathers, for every query and block of
-candidates, the k best entries of each run's list with their full scores; the
-k-th best over all blocks is a cutoff that the true result cannot fall below.
-Phase 2 sends the cutoff with the queries; an entry can only reach it if one
-of its partial scores reaches cutoff / lists, so each block collects just
-those.  Phase 3 adds up the collected entries' remaining partial scores and
-keeps the exact best.  Queries and candidates meet in blocks of bounded size.
+runs' partial scores.  Phase 1 looks at every PROBE-th candidate of each block
+only and gathers, for every query, the k best entries of each run's list with
+their full scores; the k-th best over all blocks is a cutoff that the true
+result cannot fall below.  Phase 2 sends the cutoff with the queries.  A block
+adds up the runs' partial scores in turn and drops an entry as soon as the
+runs still to come, bounded by the norms of both vectors there, can't bring it
+to the cutoff; once few are left only those are multiplied.  An entry that
+reaches the cutoff has a partial score of cutoff / lists or more, so what is
+left is sufficient.  Phase 3 resolves the remaining scores exactly and keeps
+the best.  Queries and candidates meet in blocks of bounded size.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.llm.common import checkpoint
 
 #: Scores of one step of a block: queries at once times candidates.
 CELLS = 1 << 20
+#: Phase 1 looks at one in so many candidates.
+PROBE = 8
+#: Once a smaller share of a block's entries than this can still reach the cutoff, they are multiplied one by one.
+SPARSE = 0.15
+LOWEST, HIGHEST = -(1 << 63), (1 << 63) - 1
 
 
 def as_matrix(column: pd.Series, width: int | None = None) -> np.ndarray:
@@ -30,10 +38,16 @@ def as_matrix(column: pd.Series, width: int | None = None) -> np.ndarray:
     for i, row in enumerate(column):
         out[i, : len(row)] = row
     # Doubles multiply exactly, and faster, while sums of products stay below 2^53.
-    peak = int(np.abs(out).max(initial=0))
+    peak = max(int(out.max(initial=0)), -int(out.min(initial=0)))
     return out.astype(np.float64) if peak * peak * max(width, 1) < 1 << 53 else out.astype(object) if peak * peak * max(width, 1) >= 1 << 63 else out
 
 
+def as_longs(scores: np.ndarray) -> np.ndarray:
+    if scores.dtype == object:
+        return np.array([min(max(int(x), LOWEST), HIGHEST) for x in scores], np.int64)
+    return scores.astype(np.int64)
+
+
 def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     """Positions of the k largest scores, ties to the smaller id."""
     if len(scores) > k:
@@ -44,6 +58,66 @@ def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return at[np.lexsort((ids[at], -scores[at]))][:k]
 
 
+class Block:
+    """Vectors in runs of dimensions, with the norms of every run and of all runs from it on."""
+
+    def __init__(self, vectors: np.ndarray, ids: np.ndarray, lists: int):
+        self.vectors, self.ids = vectors, ids
+        self.cuts = np.linspace(0, vectors.shape[1], lists + 1).astype(int)
+        squares = np.stack([np.square(vectors[:, a:b].astype(float)).sum(axis=1) for a, b in self.runs()], 1)
+        self.rest = np.sqrt(np.cumsum(squares[:, ::-1], axis=1)[:, ::-1])  # rest[:, j]: of runs j, j + 1, ...
+
+    def runs(self):
+        return zip(self.cuts[:-1], self.cuts[1:])
+
+
+def sufficient(q: Block, c: Block, cutoff: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray], int]:
+    """(query, candidate, score) of every pair whose score may reach the query's cutoff (NaN: all), by position; and how many products of runs it took."""
+    rows, cols, score, done = None, None, None, 0
+    low = np.where(np.isnan(cutoff), -np.inf, cutoff)
+    # Entries that tell whether looking at all bounds pays.
+    some = np.divmod(np.arange(1024) * 2_654_435_761 % (len(low) * len(c.ids)), len(c.ids))
+    for j, (a, b) in enumerate(q.runs()):
+        if rows is None:
+            part = q.vectors[:, a:b] @ c.vectors[:, a:b].T
+            score = part if score is None else score + part
+            done += score.size
+        else:
+            score = score + (q.vectors[rows, a:b] * c.vectors[cols, a:b]).sum(axis=1)
+            done += len(rows)
+        if j + 1 == len(q.cuts) - 1:
+            break
+        # A little above the exact bound, as norms are rounded.
+        if rows is None:
+            most = lambda i, x: score[i, x].astype(float) + q.rest[i, j + 1] * (1 + 1e-9) * c.rest[x, j + 1] + 1  # noqa: B023, E731
+            if (most(*some) >= low[some[0]]).mean() < SPARSE:
+                rows, cols = np.nonzero(most(*np.ogrid[: len(low), : len(c.ids)]) >= low[:, None])
+                score = score[rows, cols]
+        else:
+            alive = score.astype(float) + q.rest[rows, j + 1] * (1 + 1e-9) * c.rest[cols, j + 1] + 1 >= low[rows]
+            rows, cols, score = rows[alive], cols[alive], score[alive]
+    if rows is None:
+        rows, cols = np.nonzero(score >= low[:, None])
+        score = score[rows, cols]
+    else:
+        reach = score >= low[rows]
+        rows, cols, score = rows[reach], cols[reach], score[reach]
+    return (rows, cols, score), done
+
+
+def local_lists(q: Block, c: Block, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, candidate, score), by position, of the k best candidates of every run's list."""
+    partial = [q.vectors[:, a:b] @ c.vectors[:, a:b].T for a, b in q.runs()]
+    rows, cols = [], []
+    for i in range(len(q.ids)):
+        at = np.flatnonzero(c.ids != q.ids[i])
+        at = np.unique(np.concatenate([at[best(p[i][at], c.ids[at], k)] for p in partial]))
+        rows.append(np.full(len(at), i))
+        cols.append(at)
+    rows, cols = np.concatenate(rows), np.concatenate(cols)
+    return rows, cols, np.add.reduce([p[rows, cols] for p in partial])
+
+
 def search_block(queries: pd.DataFrame, rows: pd.DataFrame, k: int, lists: int, final: bool) -> pd.DataFrame:
     """Phase 1 (final: phases 2 and 3) of one block of queries against one block of candidates."""
     width = max(max(map(len, queries["v"]), default=0), max(map(len, rows["v"]), default=0))
@@ -52,31 +126,30 @@ def search_block(queries: pd.DataFrame, rows: pd.DataFrame, k: int, lists: int,
         kind = object if object in (q.dtype, c.dtype) else np.int64
         q, c = q.astype(kind), c.astype(kind)
     ids, qids = rows["id"].to_numpy(np.int64), queries["id"].to_numpy(np.int64)
-    cuts = np.linspace(0, width, lists + 1).astype(int)
-    cutoff = queries["cutoff"].to_numpy(float) if final else None
+    cutoff = queries["cutoff"].to_numpy(float)
+    whole = Block(c, ids, lists)
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     step = max(1, CELLS // max(1, len(ids)))
     for i in range(0, len(qids), step):
-        partial = [q[i : i + step, a:b] @ c[:, a:b].T for a, b in zip(cuts[:-1], cuts[1:])]
-        for j in range(len(partial[0])):
-            runs = [p[j] for p in partial]
-            other = ids != qids[i + j]
-            if final:
-                near = other.copy()
-                if not np.isnan(cutoff[i + j]):
-                    near &= np.maximum.reduce(runs) >= cutoff[i + j] / lists
-                at = np.flatnonzero(near)
-            else:
-                at = np.flatnonzero(other)
-                at = np.unique(np.concatenate([at[best(r[at], ids[at], k)] for r in runs]))
-            full = np.add.reduce([r[at] for r in runs])
-            top = best(full, ids[at], k)
-            out.append((np.full(len(top), qids[i + j]), ids[at[top]], full[top]))
+        part = Block(q[i : i + step], qids[i : i + step], lists)
+        at, col, score = sufficient(part, whole, cutoff[i : i + step])[0] if final else local_lists(part, whole, k)
+        other = ids[col] != part.ids[at]
+        at, col, score = at[other], col[other], as_longs(score[other])
+        order = np.lexsort((ids[col], ~score, at))
+        at, col, score = at[order], col[order], score[order]
+        first = np.searchsorted(at, at)
+        top = np.arange(len(at)) - first < k
+        out.append((part.ids[at[top]], ids[col[top]], score[top]))
     cat = lambda n: np.concatenate([x[n] for x in out]).astype(np.int64) if out else np.zeros(0, np.int64)
     return pd.DataFrame({"query_id": cat(0), "vec_id": cat(1), "score": cat(2)})
 
 
-def top_k(vectors: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", scale: int = 1024, lists: int = 4, block: int = 16384, query_block: int = 4096, tasks: int | None = None) -> DataFrame:
+def whole_number(x: Column) -> Column:
+    """Floor as a long; beyond its range the nearest."""
+    return F.when(x >= 2.0**63, F.lit(HIGHEST)).when(x < -(2.0**63), F.lit(LOWEST)).otherwise(F.floor(F.when(F.abs(x) < 2.0**63, x).otherwise(0.0)).cast("long"))
+
+
+def top_k(vectors: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", scale: int = 1024, lists: int = 4, block: int = 16384, query_block: int = 32768, tasks: int | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score): the k candidates of highest integer inner product for every query.
 
     is_query: a condition over vectors.  Components are floor(scale * x).
@@ -84,13 +157,15 @@ def top_k(vectors: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", vec
     id.  Vectors that are null, or hold a null, NaN or infinite component,
     and rows with a null id take no part.  Vectors of unequal length are
     padded with zeros.  Rows repeated under one id count once for each id and
-    vector.  Other columns are not read.
+    vector.  Components and scores beyond the range of a long count as its
+    nearest value.  Empty tables, and tables without queries, give no rows.
+    Other columns are not read, so their names don't matter.
     """
     spark = vectors.sparkSession
     x = F.transform(F.col(vec_col), lambda v: v.cast("double"))
     sound = F.col(id_col).isNotNull() & F.col(vec_col).isNotNull() & ~F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), is_query.alias("q"), sound.alias("ok"), x.alias("x")).filter("ok")
-    rows = checkpoint(rows.select("id", F.coalesce("q", F.lit(False)).alias("q"), F.transform("x", lambda v: F.floor(v * scale).cast("long")).alias("v")).distinct())
+    rows = checkpoint(rows.select("id", F.coalesce("q", F.lit(False)).alias("q"), F.transform("x", lambda v: whole_number(v * scale)).alias("v")).distinct())
     n, nq = rows.agg(F.count("*"), F.count_if("q")).first()
     tasks = tasks or spark.sparkContext.defaultParallelism
     blocks = max(1, -(-n // block), min(2 * tasks, n // 512))
@@ -100,9 +175,12 @@ def top_k(vectors: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", vec
     cands = rows.select("id", "v", slot(blocks).alias("cb"), every(query_blocks).alias("qb"))
     queries = rows.filter("q").select("id", "v", slot(query_blocks).alias("qb"))
 
+    # Every PROBE-th candidate by a hash of its id, or all of a small table.
+    probed = cands.filter(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(PROBE)) == 0) if n >= PROBE * PROBE * k else cands
+
     def phase(queries: DataFrame, final: bool) -> DataFrame:
         placed = queries.withColumn("cb", every(blocks))
-        return placed.groupBy("cb", "qb").cogroup(cands.groupBy("cb", "qb")).applyInPandas(
+        return placed.groupBy("cb", "qb").cogroup((cands if final else probed).groupBy("cb", "qb")).applyInPandas(
             lambda a, b: search_block(a, b, k, lists, final) if len(a) and len(b) else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64"),
             "query_id long, vec_id long, score long",
         )

@@ -1,7 +1,9 @@
 """The operators against plain Python on small fixtures with nulls, empty and repeated rows, ties and clashing columns."""
 
 import hashlib
+import math
 import re
+import unicodedata
 import zlib
 from collections import Counter
 
@@ -143,6 +145,71 @@ def check_shards(rows, got, shards, largest):
         assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
 
 
+def naive_identify(text, prob, penalty=3.0, rounds=20):
+    """One document, one trigram at a time."""
+    chars, was = [" "], " "
+    for c in [*(text or "").lower(), " "]:
+        c = c if unicodedata.category(c).startswith("L") else " "
+        if (c, was) != (" ", " "):
+            chars.append(c)
+        was = c
+    a, b, c = (int(x) for x in langid.MIX)
+    seen = Counter()
+    for x, y, z in zip(chars, chars[1:], chars[2:]):
+        h = (ord(x) * a ^ ord(y) * b ^ ord(z) * c) & 0xFFFFFFFF
+        seen[(h ^ h >> 15) % langid.BUCKETS] += 1
+    if not seen:
+        return {}
+    n = sum(seen.values())
+
+    def em(langs):
+        pi = [1 / len(langs)] * len(langs)
+        like = lambda: sum(k * math.log(sum(p * prob[g, m] for p, m in zip(pi, langs))) for g, k in seen.items())
+        for _ in range(rounds):
+            new = [sum(k * pi[j] * prob[g, m] / sum(p * prob[g, o] for p, o in zip(pi, langs)) for g, k in seen.items()) / n for j, m in enumerate(langs)]
+            moved = max(abs(x - y) for x, y in zip(new, pi))
+            pi = new
+            if moved < 1e-3:
+                break
+        return pi, like()
+
+    every = range(prob.shape[1])
+    best = [max(every, key=lambda m: sum(k * math.log(prob[g, m]) for g, k in seen.items()))]
+    pi, value = em(best)
+    shares, _ = em(list(every))
+    for m in sorted(every, key=lambda m: -shares[m]):
+        if m not in best:
+            trial, gain = em([*best, m])
+            if gain - value <= penalty * math.log(n + 1):
+                break
+            best, pi, value = [*best, m], trial, gain
+    return dict(zip(best, pi))
+
+
+def test_language_id_equals_one_document_at_a_time(spark):
+    rng = np.random.default_rng(1)
+    sounds = {k: rng.choice(list("abcdefghijklmnopqrstuvwxyzéß漢"), (40, 3)) for k in ("aa", "bb", "cc", "dd")}
+    make = lambda k, n: " ".join("".join(sounds[k][i]) for i in rng.integers(0, 40, n))
+    langs, prob = langid.learn(spark.createDataFrame([(i, make(k, 60), k) for i in range(40) for k in sounds], "doc_id long, text string, lang string"))
+    texts = [None, "", "12 ?!", "a", "aß", *(make(k, n) for k in sounds for n in (1, 2, 9, 80)), *(make(a, 30) + " 5; " + make(b, m) for a in sounds for b in sounds for m in (3, 12, 40)), " ".join(make(k, 20) for k in sounds), make("aa", 90_000) + make("bb", 20_000)]
+    want = [naive_identify(t, prob) for t in texts]
+    got = langid.predict(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1), langs, prob).collect()
+    for r in got:
+        shares = {langs[k]: p for k, p in want[r.doc_id].items()}
+        assert set(r.shares) == set(shares) and all(abs(r.shares[k] - p) < 1e-6 for k, p in shares.items())
+        assert r.lang_pred == (max(sorted(shares), key=shares.get) if shares else "und") and abs(r.score - max(shares.values(), default=0)) < 1e-6
+    # Batches cut otherwise give the same.
+    one = np.concatenate([langid.identify([t], prob, np.log(prob), langid.letter_table()) for t in texts[:40]])
+    assert np.allclose(one, langid.shares_of(texts[:40], prob, np.log(prob), langid.letter_table(), 3.0))
+
+
+def test_letters_and_dirty_languages(spark):
+    letters = langid.letter_table()
+    assert all(letters[c] == (unicodedata.category(chr(c))[0] == "L") for c in (0x41, 0xD7B0, 0xD7FB, 0x32000, 0x323AF, 0x3130, 0x9FFF, 0x2FFFF, 0xE0041))
+    with pytest.raises(ValueError, match="more than 5"):
+        langid.learn(spark.createDataFrame([(i, "text", str(i)) for i in range(9)], "doc_id long, text string, lang string"), max_languages=5)
+
+
 def test_sharding(spark, docs, empty):
     rows = [(i, "same" if i % 3 == 0 else None if i % 97 == 0 else (str(i) + "é") * (i % 50)) for i in range(3000)]
     got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string"), shards=6, runs=2).collect()
@@ -176,12 +243,50 @@ def test_top_k(spark):
     bad = {400: None, 401: [1.0, None], 402: [float("nan")] * 6}
     rows = [(i, v) for i, v in (vec | bad).items()] + [(9, vec[9])]
     got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 100 == 0, k=5, block=90, query_block=2, tasks=4).collect()
+    assert topk.top_k(spark.createDataFrame([], "vec_id long, embedding array<double>"), F.lit(True)).count() == 0
     whole = {i: np.floor(1024 * np.array(v)).astype(np.int64) for i, v in vec.items()}
     for q in range(0, 400, 100):
         want = sorted((-int(whole[q] @ whole[i]), i) for i in vec if i != q)[:5]
         assert [(-r.score, r.vec_id) for r in sorted((r for r in got if r.query_id == q), key=lambda r: r["rank"])] == want
 
 
+@pytest.mark.parametrize("lists", [1, 3, 8])
+def test_top_k_of_clustered_vectors_and_ties(spark, lists):
+    rng = np.random.default_rng(4)
+    heart = rng.normal(size=(12, 16)) * 3
+    vec = np.round(heart[rng.integers(0, 12, 900)] + rng.normal(size=(900, 16)) * 0.3, 1)
+    vec[:40] = vec[50]
+    rows = spark.createDataFrame([(i, v.tolist(), "x") for i, v in enumerate(vec)], "vec_id long, embedding array<float>, cutoff string")
+    got = topk.top_k(rows, F.col("vec_id") % 20 == 0, k=7, lists=lists, block=100, query_block=10, tasks=2).collect()
+    whole = np.floor(1024 * vec.astype(np.float32).astype(float)).astype(np.int64)
+    for q in range(0, 900, 20):
+        score = whole @ whole[q]
+        want = sorted((-int(score[i]), i) for i in range(900) if i != q)[:7]
+        assert [(-r.score, r.vec_id) for r in sorted((r for r in got if r.query_id == q), key=lambda r: r["rank"])] == want
+
+
+def test_cutoff_saves_products():
+    rng = np.random.default_rng(4)
+    heart = rng.normal(size=(30, 32)) * 500
+    v = (heart[rng.integers(0, 30, 4000)] + rng.normal(size=(4000, 32)) * 20).astype(np.int64)
+    q = topk.Block(v[:50], np.arange(50), 4)
+    c = topk.Block(v, np.arange(4000), 4)
+    cutoff = np.partition((v[:50] @ v.T).astype(float), -11, axis=1)[:, -11]
+    found, done = topk.sufficient(q, c, cutoff)
+    assert done < 0.7 * 50 * 4000 * 4
+    score = v[:50] @ v.T
+    assert {(a, b) for a, b, _ in zip(*found)} >= {(a, b) for a, b in zip(*np.nonzero(score >= cutoff[:, None]))}
+
+
+def test_top_k_of_huge_components(spark):
+    rows = [(0, [1e300, 1.0]), (1, [1e18, 2.0]), (2, [-1e300, 0.0]), (3, [3.0, 4.0]), (4, [5.0, 0.5]), (100, [1.0, 1.0])]
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 100 == 0, k=3).collect()
+    top, low = 2**63 - 1, -(2**63)
+    assert [(r.vec_id, r.score) for r in sorted(got, key=lambda r: (r.query_id, r["rank"])) if r.query_id == 0] == [(1, top), (3, top), (4, top)]
+    assert [(r.vec_id, r.score) for r in sorted(got, key=lambda r: (r.query_id, r["rank"])) if r.query_id == 100] == [(0, top), (1, top), (3, 7 * 2**20)]
+    assert low < 0
+
+
 def test_url_filters(spark):
     want = {"http://WWW.Example.com/en/x?y": ("www.example.com/en/", "allow"), "https://a.example.com/en/": ("example.com/en/", "block"), "http://b.com": (None, "allow"), "http://b.com/q": ("com/", "allow"),
             "x://a.net/fr/1#z": ("net/fr/", "block"), "nothing": (None, "allow"), None: (None, "allow"), "": (None, "allow"), "http://notexample.com/en/": ("com/", "allow")}
