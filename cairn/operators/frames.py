@@ -1,4 +1,8 @@
-"""Ordered computations on frames and track points (track, ix, ts): one window by track each."""
+"""Ordered computations on frames and track points (track, ix, ts): one window by track each.
+
+A track is ordered within one task.  GPS tracks and frame logs of a session
+are small; split longer streams into sessions first.
+"""
 
 from __future__ import annotations
 
@@ -36,6 +40,58 @@ def morph_progress(frames: DataFrame, duration: float) -> DataFrame:
     return frames.withColumn("progress", F.least(F.sum(F.col("dt").cast("decimal(38,10)")).over(so_far()).cast("double") / duration, F.lit(1.0)))
 
 
+def promoted(frames: DataFrame, duration: float, pending: str, displayed: str) -> DataFrame:
+    """frames with progress, and what is displayed: the pending value from the frame on at which its transition is done."""
+    return morph_progress(frames, duration).withColumn("shown", F.when(F.col("progress") >= 1, F.col(pending)).otherwise(F.col(displayed)))
+
+
+def smoothed_velocity(moves: DataFrame, dx: str, dy: str, smooth_ms: float = 90.0, longest: float = 0.25) -> DataFrame:
+    """(track, vx, vy): velocity at the end of each gesture, each move's own drawn in by 1 - exp(-dt / tau); moves with no time or over `longest` seconds between them count for nothing.
+
+    A gesture's moves are folded in order inside one array; gestures are short.
+    """
+    order = in_order()
+    dt = (F.unix_micros("ts") - F.lag(F.unix_micros("ts")).over(order)) / F.lit(1e6)
+    timed = moves.withColumn("_dt", dt).filter((F.col("_dt") > 0) & (F.col("_dt") <= longest))
+    steps = F.array_sort(F.collect_list(F.struct("ts", "ix", F.col("_dt").alias("dt"), F.col(dx).cast("double").alias("dx"), F.col(dy).cast("double").alias("dy"))))
+    start = F.struct(F.lit(0.0).alias("vx"), F.lit(0.0).alias("vy"))
+
+    def pull(v: Column, m: Column) -> Column:
+        share = 1 - F.exp(-m["dt"] / (smooth_ms / 1000))
+        return F.struct(*[(v[k] + (m[d] / m["dt"] - v[k]) * share).alias(k) for k, d in (("vx", "dx"), ("vy", "dy"))])
+
+    return timed.groupBy("track").agg(F.aggregate(steps, start, pull).alias("v")).select("track", "v.vx", "v.vy")
+
+
+def coasting(frames: DataFrame, speed: str, damping: float = 7.0, least: float = 24.0) -> DataFrame:
+    """Frames (track, ix, ts, dt, speed at release) while the view still coasts, with velocity: the speed decays by exp(-damping * dt) a frame and stops below `least`."""
+    before = F.coalesce(F.sum(F.col("dt").cast("decimal(38,10)")).over(in_order().rowsBetween(Window.unboundedPreceding, -1)).cast("double"), F.lit(0.0))
+    return frames.withColumn("velocity", F.col(speed) * F.exp(-damping * before)).filter(F.col("velocity") >= least)
+
+
+def smooth_zoom(start: Column, target: Column, step: Column, smooth_ms: float = 90.0, near: float = 0.5) -> Column:
+    """Distance after `step` frames of zooming: a fixed share of the way left each frame, until less than `near` is left.
+
+    The frame that comes within `near` is the last to move.
+    """
+    left = F.abs(target - start)
+    rate = 20 / smooth_ms
+    last = F.when(left < near, 1).otherwise(F.floor(F.log(left / near) * (1 / rate)) + 1)
+    return target - (target - start) * F.exp(-rate * F.least(step, last))
+
+
+def wheel_gestures(steps: DataFrame, idle_ms: int = 80, cooldown_ms: int = 180) -> DataFrame:
+    """(track, start_us, end_us, n_steps) of wheel gestures: steps at most idle_ms apart; a gesture that begins within the cooldown after another's end is left out.
+
+    The end of a gesture is its last step and the idle time.  The cooldown
+    counts from the gesture just before, also where that one was left out.
+    """
+    found = steps.groupBy("track", F.session_window("ts", f"{idle_ms} milliseconds")).agg(F.count("*").alias("n_steps"))
+    out = found.select("track", F.unix_micros("session_window.start").alias("start_us"), F.unix_micros("session_window.end").alias("end_us"), "n_steps")
+    before = F.lag("end_us").over(Window.partitionBy("track").orderBy("start_us"))
+    return out.withColumn("_before", before).filter(F.col("_before").isNull() | (F.col("start_us") >= F.col("_before") + cooldown_ms * 1000)).drop("_before")
+
+
 def changes(points: DataFrame, key: str) -> DataFrame:
     """Rows whose key differs from the row before; the first of a track counts."""
     before = F.lag(key).over(in_order())
@@ -65,6 +121,6 @@ def evicted(rows: DataFrame, by: list[str], recency: list[Column], size: str, bu
 
 
 def state_key(rows: DataFrame, key: str, order: str, part: Column) -> DataFrame:
-    """The parts of each key joined by | in the given order."""
+    """The parts of each key joined by | in the given order; a key's parts meet in one array, as a view's visible tiles do."""
     parts = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), part.alias("p"))))
     return rows.groupBy(key).agg(F.array_join(F.transform(parts, lambda x: x["p"]), "|").alias("state_key"))

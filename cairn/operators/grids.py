@@ -1,8 +1,8 @@
-"""Operators on row-major pixel arrays and grids; each reads its own row only, without a shuffle."""
+"""Operators on row-major pixel arrays and grids; each reads its own row only, without a shuffle, but for a grid's pattern."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -53,11 +53,52 @@ def resample(tiles: DataFrame, pixels: str, source: tuple[int, int], target: tup
     return out.withColumn("v", above + (below - above) * (fy - y0))
 
 
-def steepness(cells: DataFrame, tile: str, height: str) -> DataFrame:
-    """cells (tile, x, y) with the steepness towards the right and upper neighbour; null at the edge."""
-    dx = F.lead(height).over(Window.partitionBy(tile, "y").orderBy("x")) - F.col(height)
-    dy = F.lead(height).over(Window.partitionBy(tile, "x").orderBy("y")) - F.col(height)
-    return cells.withColumn("steepness", F.sqrt(dx * dx + dy * dy) * F.lit(0.7071))
+def expand(pixels: Column, width: int, source: tuple[int, int], target: tuple[int, int]) -> Column:
+    """The upper left source (width, height) of a raster, interpolated to the target size, as an array."""
+    (sw, sh), (tw, th) = source, target
+    px = lambda x, y: F.get(pixels, (y * width + x).cast("int")).cast("double")
+
+    def at(pos: Column) -> Column:
+        fx = (pos % tw) * F.lit(float(sw - 1)) / F.lit(float(max(1, tw - 1)))
+        fy = F.floor(pos / tw) * F.lit(float(sh - 1)) / F.lit(float(max(1, th - 1)))
+        x0, y0 = F.floor(fx), F.floor(fy)
+        x1, y1 = F.least(x0 + 1, F.lit(sw - 1)), F.least(y0 + 1, F.lit(sh - 1))
+        above = px(x0, y0) * (1 - (fx - x0)) + px(x1, y0) * (fx - x0)
+        below = px(x0, y1) * (1 - (fx - x0)) + px(x1, y1) * (fx - x0)
+        return above * (1 - (fy - y0)) + below * (fy - y0)
+
+    return F.transform(F.sequence(F.lit(0), F.lit(tw * th - 1)), at)
+
+
+def repaired(tiles: DataFrame, pixels: str, width: int, height: int, quality: Column) -> DataFrame:
+    """tiles with their pixels mended as repair_choice() says: the quadrant or half that isn't a copy fills the tile."""
+    out = mirror_scores(tiles, pixels, width, height).withColumn("repair", repair_choice(quality))
+    whole = F.col(pixels)
+    mended = F.when(F.col("repair") == "quadrant", expand(whole, width, (width // 2, height // 2), (width, height))).when(F.col("repair") == "half", expand(whole, width, (width, height // 2), (width, height)))
+    return out.withColumn(pixels, mended.otherwise(F.transform(whole, lambda v: v.cast("double")))).drop("vertical", "top", "bottom")
+
+
+def slopes(pixels: str, width: int) -> Column:
+    """(dx, dy) of every pixel: change of height to the right and to the next row; null at the edge."""
+    px = F.col(pixels)
+    rise = lambda v, i, shift: F.get(px, i + shift).cast("double") - v.cast("double")
+    return F.transform(px, lambda v, i: F.struct(F.when((i + 1) % width != 0, rise(v, i, 1)).alias("dx"), rise(v, i, width).alias("dy")))
+
+
+def steepness(pixels: str, width: int) -> Column:
+    """Steepness of every pixel from its slopes(): their length over the root of 2."""
+    return F.transform(slopes(pixels, width), lambda s: F.sqrt(s["dx"] * s["dx"] + s["dy"] * s["dy"]) * F.lit(0.70710678118654757))
+
+
+def normals(pixels: str, width: int, spacing: float = 1.0) -> Column:
+    """Unit normal of the surface at every pixel, from its slopes(); null at the edge."""
+
+    def normal(s: Column) -> Column:
+        gx, gy = s["dx"] / spacing, s["dy"] / spacing
+        size = F.sqrt(gx * gx + gy * gy + 1)
+        return F.when(size.isNotNull(), F.struct((-gx / size).alias("x"), (-gy / size).alias("y"), (1 / size).alias("z")))
+
+    return F.transform(slopes(pixels, width), normal)
 
 
 def nodata_clean(tiles: DataFrame, pixels: str, limit: float, fill: float) -> DataFrame:
@@ -74,14 +115,31 @@ def height_range(pixels: str, samples: int = 5000) -> Column:
 
 
 def grid_triangles(spark: SparkSession, width: int, height: int) -> DataFrame:
-    """Two triangles for each cell of a vertex grid, vertices numbered height * x + y."""
+    """Two triangles for each cell of a vertex grid, vertices numbered height * x + y; both hold the cell's first and last corner."""
     cell = spark.range((width - 1) * (height - 1)).select("id", F.expr(f"id div {height - 1}").alias("x"), (F.col("id") % (height - 1)).alias("y"))
     a = F.col("x") * height + F.col("y")
     corner = lambda t, p, q, r: F.struct(F.lit(t).alias("k"), p.alias("a"), q.alias("b"), r.alias("c"))
-    two = F.array(corner(0, a, a + height, a + 1), corner(1, a + 1, a + height, a + height + 1))
+    two = F.array(corner(0, a, a + height, a + height + 1), corner(1, a, a + height + 1, a + 1))
     return cell.select("id", F.inline(two)).select((F.col("id") * 2 + F.col("k")).alias("tid"), "a", "b", "c")
 
 
+def reversed_winding(triangles: DataFrame) -> DataFrame:
+    """Triangles (a, b, c) that face the other way."""
+    return triangles.withColumns({"a": F.col("c"), "c": F.col("a")})
+
+
+def cells(spark: SparkSession, columns: range, rows: range, size: int) -> DataFrame:
+    """Corners (east, north) of a grid of cells."""
+    i, j = F.expr(f"id div {len(rows)}") + columns.start, F.col("id") % len(rows) + rows.start
+    return spark.range(len(columns) * len(rows)).select((i * size).alias("east"), (j * size).alias("north"))
+
+
+def windows(spark: SparkSession, width: int, height: int, size: int) -> DataFrame:
+    """(x, y, left, top, right, bottom): the whole windows of a raster."""
+    found = cells(spark, range(width // size), range(height // size), 1)
+    return found.select(F.col("east").alias("x"), F.col("north").alias("y"), (F.col("east") * size).alias("left"), (F.col("north") * size).alias("top"), ((F.col("east") + 1) * size).alias("right"), ((F.col("north") + 1) * size).alias("bottom"))
+
+
 def lod_levels(tiles: DataFrame, levels: int = 12, size: int = 4096) -> DataFrame:
     """Each tile at every level of detail: vertices a side, spacing, and level as a share."""
     out = tiles.withColumn("lod", F.explode(F.sequence(F.lit(0), F.lit(levels - 1))))

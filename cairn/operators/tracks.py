@@ -30,15 +30,55 @@ def decimate(points: DataFrame, most: int) -> DataFrame:
     return points.withColumns({"point_ix": at, "_step": step}).filter("point_ix % _step = 0").drop("_step")
 
 
+def playhead(points: DataFrame, time: float, rate: float = 0.02) -> DataFrame:
+    """(track, ele, lat, lon): where a head that runs round each track stands, between its point and the next; the last is followed by the first.
+
+    The head's place is a share of the number of points.  A track meets in one
+    aggregate of its two points; ordering takes one window by track.
+    """
+    n = F.count("*").over(Window.partitionBy("track"))
+    numbered = points.withColumns({"_n": n, "_i": F.row_number().over(in_order()) - 1})
+    place = F.col("_n") * F.lit(time * rate)
+    place = place - F.floor(place / F.col("_n")) * F.col("_n")
+    placed = numbered.withColumns({"_at": F.floor(place), "_share": place - F.floor(place)})
+    first, second = F.col("_i") == F.col("_at"), F.col("_i") == (F.col("_at") + 1) % F.col("_n")
+    value = lambda side, c: F.max(F.when(side, F.col(c)))
+    two = placed.filter(first | second).groupBy("track").agg(F.max("_share").alias("_share"), *[value(s, c).alias(f"_{k}_{c}") for k, s in (("a", first), ("b", second)) for c in ("lat", "lon", "ele")])
+    return two.select("track", *[(F.col(f"_a_{c}") + (F.col(f"_b_{c}") - F.col(f"_a_{c}")) * F.col("_share")).alias(c) for c in ("lat", "lon", "ele")])
+
+
 def midpoints(points: DataFrame) -> DataFrame:
     """Elevation half way to the next point; null at the end of a track."""
     return points.withColumn("mid_ele", (F.col("ele") + F.lead("ele").over(in_order())) / 2)
 
 
 def running_stats(points: DataFrame) -> DataFrame:
-    """Last, least and greatest elevation so far."""
+    """points with last, least, greatest and mean elevation so far; last is the point's own.
+
+    Ordered within one window by track, which suits GPS tracks: they are not
+    split over tasks.
+    """
     so_far = in_order().rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return points.withColumns({"min_ele": F.min("ele").over(so_far), "max_ele": F.max("ele").over(so_far)})
+    mean = F.sum(F.col("ele").cast("decimal(38,10)")).over(so_far).cast("double") / F.count("ele").over(so_far)
+    return points.withColumns({"last_ele": F.col("ele"), "min_ele": F.min("ele").over(so_far), "max_ele": F.max("ele").over(so_far), "mean_ele": mean})
+
+
+def svg_paths(points: DataFrame, width: float, height: float, padding: float = 3.0, most: int = 180) -> DataFrame:
+    """(track, path): each track as an SVG path in pixels, decimated, centred, to one scale; empty with fewer than two points."""
+    kept = decimate(points, most)
+    whole = Window.partitionBy("track")
+    lat, lon = F.col("lat"), F.col("lon")
+    span = lambda c: F.when(F.max(c).over(whole) > F.min(c).over(whole), F.max(c).over(whole) - F.min(c).over(whole)).otherwise(1e-6)
+    out = kept.withColumns({"_h": span("lat"), "_w": span("lon"), "_north": F.max("lat").over(whole), "_west": F.min("lon").over(whole)})
+    inner_w, inner_h = width - 2 * padding, height - 2 * padding
+    out = out.withColumn("_scale", F.least(inner_w / F.col("_w"), inner_h / F.col("_h")))
+    x = padding + (inner_w - F.col("_w") * F.col("_scale")) / 2 + (lon - F.col("_west")) * F.col("_scale")
+    y = padding + (inner_h - F.col("_h") * F.col("_scale")) / 2 + (F.col("_north") - lat) * F.col("_scale")
+    text = F.format_string("%.1f,%.1f", x, y)
+    # At most `most` points of a track meet here.
+    parts = F.array_sort(F.collect_list(F.struct(F.col("point_ix"), F.when(F.col("point_ix") == 0, F.concat(F.lit("M"), text)).otherwise(F.concat(F.lit("L"), text)).alias("p"))))
+    path = F.array_join(F.transform(parts, lambda p: p["p"]), "")
+    return out.groupBy("track").agg(F.when(F.count("*") >= 2, path).otherwise("").alias("path"))
 
 
 def sessions(points: DataFrame, gap: str) -> DataFrame:

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cairn.functions import scalars as S
-from cairn.operators import frames, grids, spatial
+from cairn.functions import formats
+from cairn.operators import frames, grids, raster, reports, spatial
 from cairn.plans.proxies import read, track_points
 
 
 def tile_name():
-    pad = lambda e: F.lpad(F.expr(e).cast("string"), 3, "0")
-    return F.concat(pad("p_partkey % 14"), F.lit("_"), pad("floor(p_partkey / 14) % 16"))
+    return F.concat(formats.zero_pad(F.col("p_partkey") % 14), F.lit("_"), formats.zero_pad(F.expr("floor(p_partkey / 14) % 16")))
 
 
 def lookahead_smooth(spark, sf_dir):
@@ -64,8 +64,9 @@ def resample_bilinear(spark, sf_dir):
 
 
 def surface_steepness(spark, sf_dir):
-    cells = read(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("pos", "e")).select("vec_id", F.expr("pos div 8").cast("int").alias("y"), (F.col("pos") % 8).alias("x"), F.col("e").cast("double").alias("v"))
-    return grids.steepness(cells, "vec_id", "v").select("vec_id", "y", "x", F.round("steepness", 6).alias("steepness"))
+    tiles = read(spark, sf_dir, "embeddings").select("vec_id", F.arrays_zip(grids.steepness("embedding", 8).alias("s"), grids.normals("embedding", 8, 0.5).alias("n")).alias("z"))
+    cells = tiles.select("vec_id", F.posexplode("z").alias("pos", "z"))
+    return cells.select("vec_id", F.expr("pos div 8").cast("int").alias("y"), (F.col("pos") % 8).alias("x"), F.round("z.s", 6).alias("steepness"), *[F.round(f"z.n.{c}", 6).alias(f"normal_{c}") for c in "xyz"])
 
 
 def nodata_clean(spark, sf_dir):
@@ -79,8 +80,7 @@ def tile_lod_expand(spark, sf_dir):
 
 
 def grid_generate(spark, sf_dir):
-    i, j = F.expr("id div 110 - 30"), F.expr("id % 110 - 10")
-    return spark.range(60 * 110).select((i * 10000).alias("east"), (j * 10000).alias("north"))
+    return grids.cells(spark, range(-30, 30), range(-10, 100), 10000)
 
 
 def grid_triangles(spark, sf_dir):
@@ -88,8 +88,8 @@ def grid_triangles(spark, sf_dir):
 
 
 def toggle_symdiff(spark, sf_dir):
-    e = read(spark, sf_dir, "events").select("user_id", "event_type")
-    return spatial.symmetric_difference(e.filter("event_type = 'click'"), e.filter("event_type <> 'click' AND user_id % 3 = 0"), "user_id")
+    e = read(spark, sf_dir, "events").select("user_id", "event_type", "value")
+    return spatial.symmetric_difference(e.filter("event_type = 'click'"), e.filter("event_type <> 'click' AND value > 80"), "user_id")
 
 
 def union_intersect(spark, sf_dir):
@@ -105,9 +105,9 @@ def resolution_fallback(spark, sf_dir):
 
 def keys_and_paths(spark, sf_dir):
     url = F.concat(F.when(F.col("p_size") % 2 == 0, "/ltile/").otherwise("/tile/"), tile_name())
-    key = F.concat(url, F.lit("@q="), (F.col("p_size") % 3).cast("string"))
+    key = formats.cache_key(url, F.col("p_size") % 3)
     x, y = spatial.tile_corner(tile_name())
-    return read(spark, sf_dir, "part").select("p_partkey", key.alias("cache_key"), S.is_lossy_key(key).alias("lossy"), F.element_at(F.split(url, "/"), -1).alias("label"), x.cast("long").alias("xll"), y.cast("long").alias("yll"))
+    return read(spark, sf_dir, "part").select("p_partkey", key.alias("cache_key"), S.is_lossy_key(key).alias("lossy"), formats.last_segment(url).alias("label"), x.cast("long").alias("xll"), y.cast("long").alias("yll"))
 
 
 def option_defaults(spark, sf_dir):
@@ -116,31 +116,35 @@ def option_defaults(spark, sf_dir):
 
 
 def compression_metrics(spark, sf_dir):
-    ratio = F.when(F.col("l_extendedprice") > 0, 1 - F.col("l_discount")).otherwise(0.0)
-    return read(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_linenumber", F.round(ratio, 8).alias("ratio"), F.round(F.when(F.col("l_extendedprice") > 0, 1 - ratio).otherwise(0.0), 8).alias("savings"),
-        F.round(F.when(F.col("l_quantity") > 0, F.col("l_extendedprice") / F.col("l_quantity")).otherwise(0.0), 6).alias("bytes_per_pixel"),
-    )
+    price = F.when(F.col("l_linenumber") == 7, 0.0).otherwise(F.col("l_extendedprice"))
+    pixels = F.when(F.col("l_quantity") > 5, F.col("l_quantity")).otherwise(0.0)
+    stats = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", price.alias("source_bytes"), (F.col("l_extendedprice") * F.col("l_discount")).alias("encoded_bytes"), pixels.alias("pixels"))
+    return raster.compression_metrics(stats).select("l_orderkey", "l_linenumber", "ratio", "savings", "encoded_kb", "bytes_per_pixel", "source_bytes_per_pixel")
 
 
 def encoding_pairs(spark, sf_dir):
-    rows = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice")
-    full, lossy = (rows.filter(F.col("l_linenumber") == k).select("l_orderkey", F.col("l_extendedprice").alias(n)) for k, n in ((1, "full_bytes"), (2, "lossy_bytes")))
-    return full.join(lossy, "l_orderkey")
+    """Every line as the full encoding of a tile, its successor in the order as the lossy one."""
+    lines = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_extendedprice").alias("bytes"))
+    url = lambda k: F.concat_ws("/", F.col("l_orderkey").cast("string"), k.cast("string"))
+    full = lines.select(url(F.col("l_linenumber")).alias("url"), F.lit(1.0).alias("q"), "bytes")
+    lossy = lines.select(url(F.col("l_linenumber") - 1).alias("url"), F.lit(0.1).alias("q"), "bytes")
+    return raster.encoding_pairs(full.unionByName(lossy), "url", "q", 0.1)
 
 
 def roundtrip_rmse(spark, sf_dir):
-    px = read(spark, sf_dir, "embeddings").select("label", F.explode("embedding").alias("e")).select("label", F.col("e").cast("double").alias("v"))
-    return px.groupBy("label").agg(F.round(F.sqrt(F.avg(F.pow(F.col("v") - F.round("v", 1), F.lit(2.0)))), 6).alias("rmse"))
+    bad = F.transform("embedding", lambda v, i: F.when((F.col("vec_id") + i) % 11 == 0, F.lit(3.4e38)).otherwise(v.cast("double")))
+    near = F.transform("embedding", lambda v, i: F.when((F.col("vec_id") + i) % 11 == 0, F.lit(-200.0)).otherwise(F.round(v.cast("double"), 1)))
+    tiles = read(spark, sf_dir, "embeddings").select("label", bad.alias("a"), near.alias("b"))
+    return raster.round_trip_rmse(tiles, "label", "a", "b").select("label", F.round("rmse", 6).alias("rmse"))
 
 
 def top_tiles(spark, sf_dir):
-    return read(spark, sf_dir, "events").select("event_id", "value").orderBy(F.desc("value"), "event_id").limit(64)
+    return reports.first_rows(read(spark, sf_dir, "events").select("event_id", "value"), 64, F.desc("value"), F.col("event_id"))
 
 
 def wheel_and_angle(spark, sf_dir):
     v = F.col("value")
-    return read(spark, sf_dir, "events").select("event_id", F.round(S.wheel_scale(v - 50), 6).alias("scale"), F.round(S.wrap_angle(v), 6).alias("angle"), F.round(S.bias(v / 1000, 0.3), 6).alias("bias"))
+    return read(spark, sf_dir, "events").select("event_id", F.round(S.wheel_scale(v - 50), 6).alias("scale"), F.round(S.wrap_angle(v), 6).alias("angle"), F.round(S.bias(v / 1000, 0.3), 6).alias("bias"), F.round(S.gain(v / 1000, 0.3), 6).alias("gain"))
 
 
 def hsv_rgb(spark, sf_dir):
@@ -149,9 +153,10 @@ def hsv_rgb(spark, sf_dir):
 
 
 def dual_height_blend(spark, sf_dir):
-    v = F.col("value")
-    h = S.blended_height(v, F.floor(v).cast("double"), F.col("event_id") % 4, 0.25, (F.col("event_id") % 10) / F.lit(10.0), v)
-    return read(spark, sf_dir, "events").select("event_id", F.round(h, 6).alias("h"))
+    v, u, w = F.col("value"), (F.col("event_id") % 10) / F.lit(10.0), (F.col("event_id") % 13) / F.lit(13.0)
+    lossy = S.morphed(F.floor(v).cast("double"), F.ceil(v).cast("double"), (F.col("event_id") % 5 - 1) / F.lit(3.0))
+    share = S.blend_share(F.col("event_id") % 4, 0.25, u, w, 2.0)
+    return read(spark, sf_dir, "events").select("event_id", F.round(share, 6).alias("share"), F.round(S.blended_height(v, lossy, share, 1.5), 6).alias("h"))
 
 
 def number_parsing(spark, sf_dir):
@@ -193,23 +198,25 @@ ORACLE_SQL = {
     "mirror_scores": f"{C}, q AS (SELECT vec_id, x, y, floor(v * 4) AS v FROM c), a AS ({MIRROR.format(dx=0, dy=4, where='a.y < 4')}), t AS ({MIRROR.format(dx=4, dy=0, where='a.x IN (1, 2) AND a.y IN (1, 2)')}), b AS ({MIRROR.format(dx=4, dy=0, where='a.x IN (1, 2) AND a.y IN (5, 6)')}) SELECT vec_id, round(a.s, 6) AS vertical, round(t.s, 6) AS top, round(b.s, 6) AS bottom, CASE WHEN t.s > 0.75 AND b.s > 0.75 THEN 'quadrant' WHEN a.s > 0.75 THEN 'half' WHEN t.s > 0.75 OR b.s > 0.75 OR a.s > 0.55 THEN 'quadrant' ELSE 'none' END AS repair FROM a JOIN t USING (vec_id) JOIN b USING (vec_id)",
     "resample_nearest": "SELECT vec_id, CAST(pos AS INTEGER) AS pos, round(CAST(embedding[CAST(floor(floor(pos / 4) * 7e0 / 3e0 + 0.5e0) * 8 + floor((pos % 4) * 7e0 / 3e0 + 0.5e0) AS INTEGER) + 1] AS DOUBLE), 6) AS v FROM embeddings, range(16) r(pos)",
     "resample_bilinear": f"{C}, o AS (SELECT pos, (pos % 5) * 7e0 / 4e0 AS fx, floor(pos / 5) * 7e0 / 4e0 AS fy FROM range(25) r(pos)), k AS (SELECT *, floor(fx) AS x0, floor(fy) AS y0 FROM o), j AS (SELECT c.vec_id, k.pos, sum(c.v * greatest(0e0, 1 - abs(c.x - fx)) * greatest(0e0, 1 - abs(c.y - fy))) AS v FROM k JOIN c ON c.x BETWEEN x0 AND x0 + 1 AND c.y BETWEEN y0 AND y0 + 1 GROUP BY c.vec_id, k.pos) SELECT vec_id, CAST(pos AS INTEGER) AS pos, round(v, 6) AS v FROM j",
-    "surface_steepness": f"{C}, n AS (SELECT *, lead(v) OVER (PARTITION BY vec_id, y ORDER BY x) - v AS dx, lead(v) OVER (PARTITION BY vec_id, x ORDER BY y) - v AS dy FROM c) SELECT vec_id, y, x, round(sqrt(dx * dx + dy * dy) * 0.7071e0, 6) AS steepness FROM n",
+    "surface_steepness": f"{C}, n AS (SELECT *, lead(v) OVER (PARTITION BY vec_id, y ORDER BY x) - v AS dx, lead(v) OVER (PARTITION BY vec_id, x ORDER BY y) - v AS dy FROM c) SELECT vec_id, y, x, round(sqrt(dx * dx + dy * dy) * 0.70710678118654757e0, 6) AS steepness, round(-2 * dx / sqrt(4 * dx * dx + 4 * dy * dy + 1), 6) AS normal_x, round(-2 * dy / sqrt(4 * dx * dx + 4 * dy * dy + 1), 6) AS normal_y, round(1 / sqrt(4 * dx * dx + 4 * dy * dy + 1), 6) AS normal_z FROM n",
     "nodata_clean": f"{C}, f AS (SELECT vec_id, v, v > 0.2 AS bad FROM c), g AS (SELECT vec_id, CAST(count(*) FILTER (bad) AS INTEGER) AS n_filled, min(v) FILTER (NOT bad) AS low, max(v) FILTER (NOT bad) AS high FROM f GROUP BY vec_id HAVING min(v) < 0.2) SELECT vec_id, n_filled, CASE WHEN high > low THEN round(low, 6) ELSE 0 END AS low, CASE WHEN high > low THEN round(high, 6) ELSE 1 END AS high FROM g",
     "tile_lod_expand": "SELECT p_partkey, CAST(lod AS INTEGER) AS lod, CAST(4096 >> lod AS INTEGER) AS width, round(1e0 / ((4096 >> lod) - 1), 8) AS eps, round(lod / 12e0, 8) AS lod_share FROM part, (SELECT CAST(i AS INTEGER) AS lod FROM range(12) r(i))",
     "grid_generate": "SELECT (i - 30) * 10000 AS east, (j - 10) * 10000 AS north FROM range(60) a(i), range(110) b(j)",
-    "grid_triangles": "WITH c AS (SELECT x * 16 + y AS id, x * 17 + y AS a FROM range(32) r(x), range(16) s(y)) SELECT id * 2 AS tid, a, a + 17 AS b, a + 1 AS c FROM c UNION ALL SELECT id * 2 + 1, a + 1, a + 17, a + 18 FROM c",
-    "toggle_symdiff": "WITH l AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'click'), d AS (SELECT DISTINCT user_id FROM events WHERE event_type <> 'click' AND user_id % 3 = 0) (SELECT * FROM d EXCEPT SELECT * FROM l) UNION ALL (SELECT * FROM l EXCEPT SELECT * FROM d)",
+    "grid_triangles": "WITH c AS (SELECT x * 16 + y AS id, x * 17 + y AS a FROM range(32) r(x), range(16) s(y)) SELECT id * 2 AS tid, a, a + 17 AS b, a + 18 AS c FROM c UNION ALL SELECT id * 2 + 1, a, a + 18, a + 1 FROM c",
+    "toggle_symdiff": "WITH l AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'click'), d AS (SELECT DISTINCT user_id FROM events WHERE event_type <> 'click' AND value > 80) (SELECT * FROM d EXCEPT SELECT * FROM l) UNION ALL (SELECT * FROM l EXCEPT SELECT * FROM d)",
     "union_intersect": "WITH c AS (SELECT c_custkey AS key FROM customer WHERE c_acctbal > 0) SELECT key, 'union' AS kind FROM (SELECT o_custkey AS key FROM orders UNION SELECT key FROM c) UNION ALL SELECT key, 'both' FROM (SELECT o_custkey AS key FROM orders INTERSECT SELECT key FROM c)",
     "resolution_fallback": "SELECT p_partkey, coalesce(CASE WHEN p_size % 2 <> 0 THEN nullif(p_name, '') END, CASE WHEN p_size % 3 = 0 THEN nullif(p_type, '') END, nullif(p_brand, ''), p_name) AS file FROM part",
     "keys_and_paths": f"WITH n AS (SELECT p_partkey, p_size, {NAME} AS name FROM part), k AS (SELECT *, CASE WHEN p_size % 2 = 0 THEN '/ltile/' ELSE '/tile/' END || name || '@q=' || (p_size % 3) AS k FROM n) SELECT p_partkey, k AS cache_key, NOT ends_with(k, '@q=1') AS lossy, name AS label, CAST(80000 + 40960 * (p_partkey % 14) AS BIGINT) AS xll, CAST(624040 - 40960 * (CAST(floor(p_partkey / 14) AS BIGINT) % 16) AS BIGINT) AS yll FROM k",
     "option_defaults": "SELECT event_id, CASE WHEN event_id % 5 = 0 OR event_id % 7 = 0 THEN 2e0 ELSE value END AS v FROM events",
-    "compression_metrics": "SELECT l_orderkey, l_linenumber, round(CASE WHEN l_extendedprice > 0 THEN 1 - l_discount ELSE 0 END, 8) AS ratio, round(CASE WHEN l_extendedprice > 0 THEN l_discount ELSE 0 END, 8) AS savings, round(CASE WHEN l_quantity > 0 THEN l_extendedprice / l_quantity ELSE 0 END, 6) AS bytes_per_pixel FROM lineitem",
-    "encoding_pairs": "SELECT a.l_orderkey, a.l_extendedprice AS full_bytes, b.l_extendedprice AS lossy_bytes FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber = 1 AND b.l_linenumber = 2",
-    "roundtrip_rmse": f"{C} SELECT label, round(sqrt(avg((v - round(v, 1)) * (v - round(v, 1)))), 6) AS rmse FROM c JOIN embeddings USING (vec_id) GROUP BY label",
+    "compression_metrics": "WITH m AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber = 7 THEN 0e0 ELSE l_extendedprice END AS s, l_extendedprice * l_discount AS e, CASE WHEN l_quantity > 5 THEN l_quantity ELSE 0 END AS px FROM lineitem) SELECT l_orderkey, l_linenumber, CASE WHEN s > 0 THEN e / s ELSE 0 END AS ratio, CASE WHEN s > 0 THEN 1 - e / s ELSE 0 END AS savings, e / 1024 AS encoded_kb, CASE WHEN px > 0 THEN e / px ELSE 0 END AS bytes_per_pixel, CASE WHEN px > 0 THEN s / px ELSE 0 END AS source_bytes_per_pixel FROM m",
+    "encoding_pairs": "SELECT a.l_orderkey || '/' || a.l_linenumber AS url, a.l_extendedprice AS full_bytes, b.l_extendedprice AS lossy_bytes FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1",
+    "roundtrip_rmse": f"{C}, d AS (SELECT vec_id, CASE WHEN (vec_id + 8 * y + x) % 11 = 0 THEN 0e0 ELSE v - round(v, 1) END AS d FROM c) SELECT label, round(sqrt(avg(d * d)), 6) AS rmse FROM d JOIN embeddings USING (vec_id) GROUP BY label",
     "top_tiles": "SELECT event_id, value FROM events ORDER BY value DESC, event_id LIMIT 64",
-    "wheel_and_angle": "SELECT event_id, round(CASE WHEN value < 50 THEN (1 + exp(-abs((value - 50) * 0.01e0))) / 2 ELSE 2 / (1 + exp(-abs((value - 50) * 0.01e0))) END, 6) AS scale, round(value - floor((value + pi()) / (2 * pi())) * (2 * pi()), 6) AS angle, round(CASE WHEN value <= 0 THEN 0 ELSE pow(value / 1000, ln(0.3e0) / ln(0.5e0)) END, 6) AS bias FROM events",
+    "wheel_and_angle": "SELECT event_id, round(CASE WHEN value < 50 THEN (1 + exp(-abs((value - 50) * 0.01e0))) / 2 ELSE 2 / (1 + exp(-abs((value - 50) * 0.01e0))) END, 6) AS scale, round(value - floor((value + pi()) / (2 * pi())) * (2 * pi()), 6) AS angle, round(CASE WHEN value <= 0 THEN 0 ELSE pow(value / 1000, ln(0.3e0) / ln(0.5e0)) END, 6) AS bias, round(CASE WHEN value / 1000 < 0.5e0 THEN CASE WHEN value <= 0 THEN 0 ELSE pow(2 * (value / 1000), ln(0.7e0) / ln(0.5e0)) END / 2 ELSE 1 - CASE WHEN value >= 1000 THEN 0 ELSE pow(2 - 2 * (value / 1000), ln(0.7e0) / ln(0.5e0)) END / 2 END, 6) AS gain FROM events",
     "hsv_rgb": f"WITH k AS (SELECT event_id, {HUES} FROM events) SELECT event_id, {CHANNELS} FROM k",
-    "dual_height_blend": "SELECT event_id, round(value + (floor(value) - value) * (CASE event_id % 4 WHEN 0 THEN 0.25e0 WHEN 1 THEN 0.25e0 * (0.5e0 + 0.5e0 * sin(value)) WHEN 2 THEN CASE WHEN (event_id % 10) / 10e0 < 0.25e0 THEN 1 ELSE 0 END ELSE 0 END), 6) AS h FROM events",
+    "dual_height_blend": """WITH e AS (SELECT event_id, value AS v, (event_id % 10) / 10e0 AS u, (event_id % 13) / 13e0 AS w, (event_id % 5 - 1) / 3e0 AS m FROM events),
+l AS (SELECT *, CASE WHEN m <= 0 THEN floor(v) ELSE floor(v) * (1 - least(m, 1e0)) + ceil(v) * least(m, 1e0) END AS lossy, CASE event_id % 4 WHEN 0 THEN 0.25e0 WHEN 1 THEN least(greatest(0.25e0 * (0.5e0 + 0.5e0 * sin((u + w * 0.7e0) * 12 + 2 * 0.5e0)), 0e0), 1e0) WHEN 2 THEN CASE WHEN u < 0.25e0 THEN 1e0 ELSE 0e0 END ELSE 0e0 END AS share FROM e)
+SELECT event_id, round(share, 6) AS share, round(v + (lossy - v) * share * 1.5e0, 6) AS h FROM l""",
     "number_parsing": "SELECT p_partkey, CASE WHEN p_size % 4 <> 0 THEN (p_size + 0.5e0) * 10 END AS v FROM part",
     "codebook_presets": "SELECT p_partkey, CAST(p_partkey * 7919 % 65536 AS INTEGER) AS code, abs(p_size / 50e0 - 0.3e0) <= 0.9999e0 * 0.02e0 AS active FROM part",
 }

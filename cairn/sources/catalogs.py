@@ -21,6 +21,26 @@ def catalog_json(tiles: DataFrame) -> DataFrame:
     return tiles.agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(entry)))).alias("value"))
 
 
+def sidecars(tiles: DataFrame) -> DataFrame:
+    """(name, value): the JSON of each tile, named after its file."""
+    return tiles.select(F.concat(F.col("source_filename"), F.lit(".json")).alias("name"), F.to_json(F.struct("xllcorner", "yllcorner", "nrows", "ncols", "source_filename")).alias("value"))
+
+
 def write_sidecars(tiles: DataFrame, path: str) -> None:
-    """One folder of JSON for each tile."""
-    tiles.withColumn("tile", F.col("source_filename")).write.partitionBy("tile").json(path)
+    """One folder of JSON for each tile, called <tile>.json."""
+    sidecars(tiles).withColumnRenamed("name", "tile").write.partitionBy("tile").text(path)
+
+
+#: The tracks that come with the viewer (fixed values): id, title, region, url, colour, height offset.
+TRACKS = (
+    ("stmawes", "Gorran Haven → St Mawes", "Cornwall", "gpx/Gorran_Haven_to_St_Mawe_s_tandem_solo_.gpx", 0x902020, 2.0),
+    ("stGiles", "St Giles", "Hampshire", "data/stgiles.gpx", 0x902020, 2.0),
+    ("palestine", "Palestine", None, "data/palestine.gpx", 0x70F0F0, 2.0),
+    ("kaw", "King Alfred's Way", "South England", "gpx/king_alfreds_way_2020_final_route.gpx", 0xF08050, 20.0),
+    ("stonehenge", "Stonehenge circuit", None, "gpx/Where_the_Banshees_live_and_they_do_live_well.gpx", 0xF08050, 2.0),
+    ("bart", "Kings Barton walk", "Gloucester", "gpx/Kings-Barton-Walking-1-Apr-2021-at-17-55.gpx", 0x70F0F0, 2.0),
+)
+
+
+def track_catalog(spark: SparkSession, rows=TRACKS) -> DataFrame:
+    return spark.createDataFrame(list(rows), "id string, title string, region string, gpx_url string, colour int, height_offset double")

@@ -10,16 +10,27 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from cairn.functions.formats import strict_number
+from cairn.operators.mesh import triangulate
+
 HEIGHT_FIELD = "prop_value"
 #: Shape types (fixed values): single points, point lists, lists in parts; the higher ones carry z.
 SINGLE, LISTS, PARTS, WITH_Z = (1, 11), (8, 18), (3, 5, 13, 15), (11, 13, 15, 18)
 
 
-def members(spark: SparkSession, path: str) -> DataFrame:
-    """(archive, stem, ext, content) of the .shp and .dbf members; the last of members of one name counts."""
+def archives(spark: SparkSession, path: str) -> DataFrame:
+    """(path, content) of files."""
+    return spark.read.format("binaryFile").load(path).select("path", "content")
+
+
+def members(found: DataFrame) -> DataFrame:
+    """(archive, stem, ext, content) of the .shp and .dbf members of archives (path, content); the last of members of one name counts.
+
+    An archive without a .shp member fails.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -30,9 +41,11 @@ def members(spark: SparkSession, path: str) -> DataFrame:
                         stem, ext = os.path.splitext(os.path.basename(entry.filename).lower())
                         if not entry.is_dir() and ext in (".shp", ".dbf"):
                             found[stem, ext[1:]] = z.read(entry)
-                yield pd.DataFrame([(archive, stem, ext, body) for (stem, ext), body in found.items()], columns=["archive", "stem", "ext", "content"])
+                if not any(ext == "shp" for _, ext in found):
+                    raise ValueError(f"{archive} holds no shapes")
+                yield pd.DataFrame([(archive, stem, ext, body) for (stem, ext), body in sorted(found.items())], columns=["archive", "stem", "ext", "content"])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "archive string, stem string, ext string, content binary")
+    return found.select("path", "content").mapInPandas(run, "archive string, stem string, ext string, content binary")
 
 
 def shape_coordinates(shape: bytes) -> np.ndarray:
@@ -53,48 +66,71 @@ def shape_coordinates(shape: bytes) -> np.ndarray:
     return np.column_stack([xy, z])
 
 
+def shape_table(archive: str, stem: str, content: bytes) -> pd.DataFrame:
+    """All points of one .shp file."""
+    at, parts = 100, []
+    while at < len(content):
+        size = 2 * struct.unpack_from(">i", content, at + 4)[0] if at + 8 <= len(content) else -1
+        if size < 4 or at + 8 + size > len(content):
+            raise ValueError(f"{archive}: record {len(parts)} of {stem}.shp is cut off")
+        parts.append(shape_coordinates(content[at + 8 : at + 8 + size]))
+        at += 8 + size
+    sizes = np.array([len(x) for x in parts], np.int64)
+    xyz = np.concatenate(parts) if parts else np.zeros((0, 3))
+    record = np.repeat(np.arange(len(parts)), sizes)
+    point = np.arange(len(xyz)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    return pd.DataFrame({"archive": archive, "stem": stem, "record_ix": record, "point_ix": point, "x": xyz[:, 0], "y": xyz[:, 1], "z": xyz[:, 2]})
+
+
 def shapes(found: DataFrame) -> DataFrame:
     """(archive, stem, record_ix, point_ix, x, y, z); every record counts in record_ix, null shapes too."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for archive, stem, content in zip(frame["archive"], frame["stem"], frame["content"]):
-                at, record = 100, 0
-                while at < len(content):
-                    size = 2 * struct.unpack_from(">i", content, at + 4)[0]
-                    if size < 4 or at + 8 + size > len(content):
-                        raise ValueError(f"{archive}: record {record} of {stem}.shp is cut off")
-                    xyz = shape_coordinates(content[at + 8 : at + 8 + size])
-                    yield pd.DataFrame({"archive": archive, "stem": stem, "record_ix": record, "point_ix": np.arange(len(xyz)), "x": xyz[:, 0], "y": xyz[:, 1], "z": xyz[:, 2]})
-                    at, record = at + 8 + size, record + 1
+            for row in zip(frame["archive"], frame["stem"], frame["content"]):
+                yield shape_table(*row)
 
     return found.filter("ext = 'shp'").mapInPandas(run, "archive string, stem string, record_ix long, point_ix long, x double, y double, z double")
 
 
+def attribute_table(archive: str, stem: str, content: bytes, field: str) -> pd.DataFrame:
+    """One field of all rows of one .dbf file as text; deleted rows, and all if the field is missing, are null."""
+    rows, header, width = struct.unpack_from("<IHH", content, 4)
+    at, offset, place = 32, 1, None
+    while at + 32 <= header and content[at] != 0x0D:
+        name = content[at : at + 11].split(b"\0")[0].decode("ascii", "replace").replace(" ", "").lower()
+        if name == field and place is None:
+            place = (offset, offset + content[at + 16])
+        at, offset = at + 32, offset + content[at + 16]
+    whole = min(rows, (len(content) - header) // width) if width else 0
+    table = np.frombuffer(content, np.uint8, whole * width, header).reshape(whole, width)
+    raw = pd.Series([None] * whole, dtype=object)
+    if place:
+        cells = np.ascontiguousarray(table[:, place[0] : place[1]]).view(f"S{place[1] - place[0]}").ravel()
+        raw = pd.Series(np.char.decode(cells, "ascii", "replace"), dtype=object).mask(table[:, 0] == ord("*"), None)
+    return pd.DataFrame({"archive": archive, "stem": stem, "record_ix": np.arange(whole), "raw": raw})
+
+
 def heights(found: DataFrame, field: str = HEIGHT_FIELD) -> DataFrame:
     """(archive, stem, record_ix, height): an attribute as a number; deleted rows, blanks and other text are null."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for archive, stem, content in zip(frame["archive"], frame["stem"], frame["content"]):
-                rows, header, width = struct.unpack_from("<IHH", content, 4)
-                at, offset, place = 32, 1, None
-                while at < header and content[at] != 0x0D:
-                    name = content[at : at + 11].split(b"\0")[0].decode("ascii", "replace").strip().lower()
-                    if name == field:
-                        place = (offset, offset + content[at + 16])
-                    at, offset = at + 32, offset + content[at + 16]
-                records = [content[header + i * width : header + (i + 1) * width] for i in range(rows)]
-                raw = [r[place[0] : place[1]].decode("ascii", "replace") if place and r[:1] != b"*" else None for r in records]
-                yield pd.DataFrame({"archive": archive, "stem": stem, "record_ix": np.arange(rows), "raw": pd.Series(raw, dtype=object)})
+            for row in zip(frame["archive"], frame["stem"], frame["content"]):
+                yield attribute_table(*row, field)
 
     read = found.filter("ext = 'dbf'").mapInPandas(run, "archive string, stem string, record_ix long, raw string")
-    return read.select("archive", "stem", "record_ix", F.trim("raw").try_cast("double").alias("height"))
+    return read.select("archive", "stem", "record_ix", strict_number(F.col("raw")).alias("height"))
 
 
-def contour_points(spark: SparkSession, path: str) -> DataFrame:
-    """(archive, stem, record_ix, point_ix, x, y, h): finite points; the attribute wins over the shape's own z."""
-    found = members(spark, path)
+def contour_points(found: DataFrame) -> DataFrame:
+    """(archive, stem, record_ix, point_ix, x, y, h) of members(): finite points; the attribute wins over the shape's own z."""
     joined = shapes(found).join(heights(found), ["archive", "stem", "record_ix"], "left").withColumn("h", F.coalesce("height", F.nanvl("z", F.lit(None).cast("double"))))
     finite = [F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")) for c in ("x", "y", "h")]
     return joined.filter(finite[0] & finite[1] & finite[2]).select("archive", "stem", "record_ix", "point_ix", "x", "y", "h")
+
+
+def contour_mesh(points: DataFrame) -> DataFrame:
+    """(archive, tid, a, b, c): triangles of each archive's contour_points(), numbered in order of stem, record and point."""
+    order = Window.partitionBy("archive").orderBy("stem", "record_ix", "point_ix")
+    return triangulate(points.withColumn("vid", F.row_number().over(order) - 1), "archive")

@@ -8,8 +8,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-PHASES = "tile string, ts timestamp, phase string, generation long, quality double"
-STATE = "phase string, generation long, quality double"
+PHASES = "tile string, ts timestamp, phase string, generation long, quality double, displayed double, pending double"
+STATE = "phase string, generation long, quality double, displayed double, pending double"
+NEW = ("idle", 0, 1.0, None, None)
 
 
 def alive_intervals(touches: DataFrame, gap: str, late: str) -> DataFrame:
@@ -23,40 +24,66 @@ def first_touches(touches: DataFrame, late: str) -> DataFrame:
     return touches.withWatermark("ts", late).dropDuplicatesWithinWatermark(["tile"])
 
 
-def step(state: tuple[str, int, float], event) -> tuple[tuple[str, int, float], bool]:
-    """The next (phase, generation, quality) of a tile, and whether it changed.
+def step(state: tuple, event) -> tuple[tuple, bool]:
+    """The next (phase, generation, quality, displayed, pending) of a tile, and whether it changed.
 
-    touch: an idle tile starts to load.  epoch: a new generation starts, idle.
-    expire: the load is dropped, and its generation with it.  result: ends the
-    load of its own generation; results of older generations are ignored.
+    A tile's first event of any kind registers it, idle and in generation 0.
+    touch: an idle tile starts to load.  epoch: a new generation starts, idle,
+    and a pending payload is dropped.  expire: the load is dropped, and its
+    generation with it, or the payload of a tile that was ready.  result: ends the
+    load of its own generation, and its payload waits for its transition;
+    results of older generations are ignored.  promote: the transition is done
+    and the pending payload is displayed.  disable: nothing lossy is left, and
+    touches start no load until enable.
     """
-    phase, generation, quality = state
+    phase, generation, quality, displayed, pending = state
     new = state
     if event.kind == "touch" and phase == "idle":
-        new = ("loading", generation, quality)
-    elif event.kind == "epoch":
-        new = ("idle", generation + 1, event.quality)
-    elif event.kind == "expire":
-        new = ("idle", generation + (phase == "loading"), quality)
+        new = ("loading", generation, quality, displayed, pending)
+    elif event.kind == "epoch" and phase != "off":
+        new = ("idle", generation + 1, event.quality, displayed, None)
+    elif event.kind == "expire" and phase != "off":
+        new = ("idle", generation + (phase == "loading"), quality, None, None)
     elif event.kind == "result" and phase == "loading" and event.generation == generation:
-        new = ("ready" if event.ok else "failed", generation, quality)
+        new = ("ready", generation, quality, displayed, quality) if event.ok else ("failed", generation, quality, displayed, pending)
+    elif event.kind == "promote" and pending is not None:
+        new = (phase, generation, quality, pending, None)
+    elif event.kind == "disable":
+        new = ("off", generation + (phase == "loading"), quality, None, None)
+    elif event.kind == "enable" and phase == "off":
+        new = ("idle", generation, quality, None, None)
     return new, new != state
 
 
-def phases(events: DataFrame) -> DataFrame:
+def phases(events: DataFrame, late: str = "1 minute", idle_for: str = "1 hour") -> DataFrame:
     """Every change of phase of every tile, from events (tile, ts, kind, generation, quality, ok).
 
-    Events of a tile within one batch are taken in time order.
+    Events of a tile within one batch are taken in time order.  A tile's state
+    goes once the watermark is idle_for past its last event; if it comes back, it starts
+    anew.
     """
+    pause = int(pd.Timedelta(idle_for).total_seconds() * 1000)
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        now = state.get if state.exists else ("idle", 0, 1.0)
         rows = []
-        for event in pd.concat(list(frames)).sort_values(["ts", "kind"], kind="stable").itertuples():
-            now, changed = step(tuple(now), event)
-            if changed:
-                rows.append((key[0], event.ts, *now))
-        state.update(now)
-        yield pd.DataFrame(rows, columns=["tile", "ts", "phase", "generation", "quality"])
-
-    return events.groupBy("tile").applyInPandasWithState(run, PHASES, STATE, "append", "NoTimeout")
+        if state.hasTimedOut:
+            state.remove()
+        else:
+            now = tuple(state.get) if state.exists else NEW
+            batch = pd.concat(list(frames)).sort_values(["ts", "kind"], kind="stable")
+            for event in batch.itertuples():
+                now, changed = step(tuple(None if v != v else v for v in now), event)
+                if changed:
+                    rows.append((key[0], event.ts, *now))
+            state.update(now)
+            last = int(batch["ts"].max().timestamp() * 1000) + pause
+            state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(rows, columns=["tile", "ts", "phase", "generation", "quality", "displayed", "pending"])
+
+    return events.withWatermark("ts", late).groupBy("tile").applyInPandasWithState(run, PHASES, STATE, "append", "EventTimeTimeout")
+
+
+def debounced(steps: DataFrame, idle: str, late: str) -> DataFrame:
+    """(track, start, end, n_steps) of gestures: steps at most `idle` apart, once the watermark has passed them."""
+    found = steps.withWatermark("ts", late).groupBy("track", F.session_window("ts", idle)).agg(F.count("*").alias("n_steps"))
+    return found.select("track", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n_steps")
