@@ -60,11 +60,11 @@ def join_counted(rows: DataFrame, table: DataFrame, key: str, share: int = SHARE
     shuffled.  rows and table are read more than once: pass checkpoints or
     cheap scans.
     """
-    total = table.agg(F.sum("n_rows")).first()[0] or 0
+    total, most = table.agg(F.sum("n_rows"), F.max("n_rows")).first()
+    if (most or 0) * share <= (total or 0):
+        return rows.join(table.drop("n_rows"), key)
     hot = F.col("n_rows") * share > total
     many, few = F.broadcast(table.filter(hot).drop("n_rows")), table.filter(~hot).drop("n_rows")
-    if table.filter(hot).isEmpty():
-        return rows.join(few, key)
     return rows.join(many, key).unionByName(rows.join(many.select(key).distinct(), key, "left_anti").join(few, key))
 
 

@@ -247,16 +247,15 @@ def components(edges: DataFrame) -> DataFrame:
     """
     edges, before = checkpoint(edges.filter("u <> v").distinct()), None
 
-    def with_least(e: DataFrame) -> DataFrame:
-        """e with m, the least of u and its neighbours; the hub of a large component is met by broadcast."""
-        e = checkpoint(e)
-        least = e.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n_rows")).withColumn("m", F.least("u", "m"))
-        return join_counted(e, checkpoint(least), "u")
+    def least(e: DataFrame) -> DataFrame:
+        return e.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n_rows")).withColumn("m", F.least("u", "m"))
 
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = with_least(both).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        tied = with_least(large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")))
+        # The hub of a large component meets its neighbours by broadcast.  After that a node has one row for each distinct least of its neighbours.
+        large = join_counted(both, least(both), "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+        tied = down.join(least(down).drop("n_rows"), "u")
         small = tied.select(F.inline(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))))
         edges = checkpoint(small.filter("u <> v").distinct())
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
