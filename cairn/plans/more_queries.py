@@ -70,8 +70,9 @@ def surface_steepness(spark, sf_dir):
 
 
 def nodata_clean(spark, sf_dir):
-    tiles = read(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda v: v.cast("double")).alias("px"))
-    out = grids.nodata_clean(tiles, "px", 0.2, -200.0).withColumn("r", grids.height_range("px"))
+    """Heights of both signs up to some thousands: above 3000 filled, range from every fourth pixel."""
+    tiles = read(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda v: v.cast("double") * 12000).alias("px"))
+    out = grids.nodata_clean(tiles, "px", 3000.0, -200.0).withColumn("r", grids.height_range("px", 16))
     return out.select("vec_id", F.size(F.filter("px", lambda v: v == -200)).alias("n_filled"), F.round("r.low", 6).alias("low"), F.round("r.high", 6).alias("high"))
 
 
@@ -199,7 +200,7 @@ ORACLE_SQL = {
     "resample_nearest": "SELECT vec_id, CAST(pos AS INTEGER) AS pos, round(CAST(embedding[CAST(floor(floor(pos / 4) * 7e0 / 3e0 + 0.5e0) * 8 + floor((pos % 4) * 7e0 / 3e0 + 0.5e0) AS INTEGER) + 1] AS DOUBLE), 6) AS v FROM embeddings, range(16) r(pos)",
     "resample_bilinear": f"{C}, o AS (SELECT pos, (pos % 5) * 7e0 / 4e0 AS fx, floor(pos / 5) * 7e0 / 4e0 AS fy FROM range(25) r(pos)), k AS (SELECT *, floor(fx) AS x0, floor(fy) AS y0 FROM o), j AS (SELECT c.vec_id, k.pos, sum(c.v * greatest(0e0, 1 - abs(c.x - fx)) * greatest(0e0, 1 - abs(c.y - fy))) AS v FROM k JOIN c ON c.x BETWEEN x0 AND x0 + 1 AND c.y BETWEEN y0 AND y0 + 1 GROUP BY c.vec_id, k.pos) SELECT vec_id, CAST(pos AS INTEGER) AS pos, round(v, 6) AS v FROM j",
     "surface_steepness": f"{C}, n AS (SELECT *, lead(v) OVER (PARTITION BY vec_id, y ORDER BY x) - v AS dx, lead(v) OVER (PARTITION BY vec_id, x ORDER BY y) - v AS dy FROM c) SELECT vec_id, y, x, round(sqrt(dx * dx + dy * dy) * 0.70710678118654757e0, 6) AS steepness, round(-2 * dx / sqrt(4 * dx * dx + 4 * dy * dy + 1), 6) AS normal_x, round(-2 * dy / sqrt(4 * dx * dx + 4 * dy * dy + 1), 6) AS normal_y, round(1 / sqrt(4 * dx * dx + 4 * dy * dy + 1), 6) AS normal_z FROM n",
-    "nodata_clean": f"{C}, f AS (SELECT vec_id, v, v > 0.2 AS bad FROM c), g AS (SELECT vec_id, CAST(count(*) FILTER (bad) AS INTEGER) AS n_filled, min(v) FILTER (NOT bad) AS low, max(v) FILTER (NOT bad) AS high FROM f GROUP BY vec_id HAVING min(v) < 0.2) SELECT vec_id, n_filled, CASE WHEN high > low THEN round(low, 6) ELSE 0 END AS low, CASE WHEN high > low THEN round(high, 6) ELSE 1 END AS high FROM g",
+    "nodata_clean": f"{C}, f AS (SELECT vec_id, (8 * y + x) % 4 = 0 AS sampled, v * 12000 AS v FROM c), g AS (SELECT vec_id, CAST(count(*) FILTER (v > 3000) AS INTEGER) AS n_filled, min(v) FILTER (sampled AND v > -199 AND v < 3000) AS low, max(v) FILTER (sampled AND v > -199 AND v < 3000) AS high FROM f GROUP BY vec_id HAVING min(v) < 3000) SELECT vec_id, n_filled, CASE WHEN high > low THEN round(low, 6) ELSE 0 END AS low, CASE WHEN high > low THEN round(high, 6) ELSE 1 END AS high FROM g",
     "tile_lod_expand": "SELECT p_partkey, CAST(lod AS INTEGER) AS lod, CAST(4096 >> lod AS INTEGER) AS width, round(1e0 / ((4096 >> lod) - 1), 8) AS eps, round(lod / 12e0, 8) AS lod_share FROM part, (SELECT CAST(i AS INTEGER) AS lod FROM range(12) r(i))",
     "grid_generate": "SELECT (i - 30) * 10000 AS east, (j - 10) * 10000 AS north FROM range(60) a(i), range(110) b(j)",
     "grid_triangles": "WITH c AS (SELECT x * 16 + y AS id, x * 17 + y AS a FROM range(32) r(x), range(16) s(y)) SELECT id * 2 AS tid, a, a + 17 AS b, a + 18 AS c FROM c UNION ALL SELECT id * 2 + 1, a, a + 18, a + 1 FROM c",
