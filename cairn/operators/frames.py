@@ -1,7 +1,8 @@
-"""Ordered computations on frames and track points (track, ix, ts): one window by track each.
+"""Ordered computations on frames and track points (track, ix, ts).
 
-A track is ordered within one task.  GPS tracks and frame logs of a session
-are small; split longer streams into sessions first.
+Sums and steps in time are spread over stretches of a track (tracks.so_far).
+What looks a few rows ahead or folds a gesture orders a track within one task:
+GPS tracks and gestures are small; split longer streams into sessions first.
 """
 
 from __future__ import annotations
@@ -10,11 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.functions.scalars import smoothstep
-from cairn.operators.tracks import in_order
-
-
-def so_far():
-    return in_order().rowsBetween(Window.unboundedPreceding, Window.currentRow)
+from cairn.operators.tracks import BUCKET, in_order, so_far
 
 
 def look_ahead(points: DataFrame, value: str, stride: int = 3, samples: int = 9) -> DataFrame:
@@ -24,20 +21,34 @@ def look_ahead(points: DataFrame, value: str, stride: int = 3, samples: int = 9)
     return points.withColumn("ahead", F.when(F.size(ahead) > 0, total / F.size(ahead)))
 
 
-def frame_delta(points: DataFrame, longest: float) -> DataFrame:
-    """Seconds since the frame before, at most `longest`; 0 on the first."""
-    dt = (F.unix_micros("ts") - F.lag(F.unix_micros("ts")).over(in_order())) / F.lit(1e6)
-    return points.withColumn("dt", F.coalesce(F.least(dt, F.lit(longest)), F.lit(0.0)))
+def frame_delta(points: DataFrame, longest: float, bucket: float = BUCKET) -> DataFrame:
+    """Seconds since the frame before, at most `longest`; 0 on the first and on those without a time.
+
+    Cut into stretches like so_far(); the first frame of a stretch looks back
+    to the last time of the stretches before.
+    """
+    us = F.unix_micros("ts")
+    cut = points.withColumn("_bucket", F.coalesce(F.floor(us / F.lit(bucket * 1e6)), F.lit(-(1 << 62))))
+    last = cut.groupBy("track", "_bucket").agg(F.max(us).alias("_last"))
+    earlier = F.max("_last").over(Window.partitionBy("track").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))
+    timed = cut.withColumn("_before", F.lag(us).over(Window.partitionBy("track", "_bucket").orderBy("ts", "ix"))).join(last.select("track", "_bucket", earlier.alias("_last")), ["track", "_bucket"])
+    dt = (us - F.coalesce("_before", "_last")) / F.lit(1e6)
+    return timed.withColumn("dt", F.coalesce(F.least(dt, F.lit(longest)), F.lit(0.0))).select(*[c for c in points.columns if c != "dt"], "dt")
+
+
+def running_sum(frames: DataFrame, value: Column, name: str) -> DataFrame:
+    """frames with the exact sum of value so far."""
+    return so_far(frames, {name: ("sum", value.cast("decimal(38,10)"))}).withColumn(name, F.col(name).cast("double"))
 
 
 def accumulated_phase(frames: DataFrame, speed: float) -> DataFrame:
     """Phase that grows by speed * dt each frame."""
-    return frames.withColumn("phase", F.sum((F.col("dt") * speed).cast("decimal(38,10)")).over(so_far()).cast("double"))
+    return running_sum(frames, F.col("dt") * speed, "phase")
 
 
 def morph_progress(frames: DataFrame, duration: float) -> DataFrame:
     """Share of a transition of `duration` seconds done by each frame, at most 1."""
-    return frames.withColumn("progress", F.least(F.sum(F.col("dt").cast("decimal(38,10)")).over(so_far()).cast("double") / duration, F.lit(1.0)))
+    return running_sum(frames, F.col("dt"), "progress").withColumn("progress", F.least(F.col("progress") / duration, F.lit(1.0)))
 
 
 def promoted(frames: DataFrame, duration: float, pending: str, displayed: str) -> DataFrame:
@@ -65,8 +76,9 @@ def smoothed_velocity(moves: DataFrame, dx: str, dy: str, smooth_ms: float = 90.
 
 def coasting(frames: DataFrame, speed: str, damping: float = 7.0, least: float = 24.0) -> DataFrame:
     """Frames (track, ix, ts, dt, speed at release) while the view still coasts, with velocity: the speed decays by exp(-damping * dt) a frame and stops below `least`."""
-    before = F.coalesce(F.sum(F.col("dt").cast("decimal(38,10)")).over(in_order().rowsBetween(Window.unboundedPreceding, -1)).cast("double"), F.lit(0.0))
-    return frames.withColumn("velocity", F.col(speed) * F.exp(-damping * before)).filter(F.col("velocity") >= least)
+    out = running_sum(frames, F.col("dt"), "_so_far")
+    before = F.col("_so_far") - F.col("dt")
+    return out.withColumn("velocity", F.col(speed) * F.exp(-damping * before)).filter(F.col("velocity") >= least).drop("_so_far")
 
 
 def smooth_zoom(start: Column, target: Column, step: Column, smooth_ms: float = 90.0, near: float = 0.5) -> Column:
@@ -99,12 +111,13 @@ def changes(points: DataFrame, key: str) -> DataFrame:
     return points.withColumn("_changed", first | ~F.col(key).eqNullSafe(before)).filter("_changed").drop("_changed")
 
 
-def pulse(points: DataFrame, clock: float, rate: float = 0.02) -> DataFrame:
-    """Height of a pulse that runs along each track: smoothstep over the last tenth of its phase."""
-    whole = Window.partitionBy("track")
-    first, last = F.unix_micros(F.min("ts").over(whole)), F.unix_micros(F.max("ts").over(whole))
+def pulse(points: DataFrame, clock: float, rate: float = 0.02, lift: float = 100.0) -> DataFrame:
+    """pulse: a wave that runs along each track, smoothstep over the last tenth of its phase; lift_z: the height it adds."""
+    ends = points.groupBy("track").agg(F.unix_micros(F.min("ts")).alias("_first"), F.unix_micros(F.max("ts")).alias("_last"))
+    first, last = F.col("_first"), F.col("_last")
     share = F.when(last > first, (F.unix_micros("ts") - first) / (last - first)).otherwise(0.0) - F.lit(rate * clock)
-    return points.withColumn("pulse", smoothstep(0.9, 1.0, share - F.floor(share)))
+    out = points.join(ends, "track").withColumn("pulse", smoothstep(0.9, 1.0, share - F.floor(share)))
+    return out.withColumn("lift_z", F.col("pulse") * lift).drop("_first", "_last")
 
 
 def newest_generation(rows: DataFrame, key: str, generation: str) -> DataFrame:

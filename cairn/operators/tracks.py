@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -10,10 +10,41 @@ def in_order(track: str = "track"):
     return Window.partitionBy(track).orderBy("ts", "ix")
 
 
+#: Seconds of a track that are ordered in one task by so_far().
+BUCKET = 86400
+
+
+def so_far(points: DataFrame, measures: dict[str, tuple[str, Column]], bucket: float = BUCKET) -> DataFrame:
+    """points with running measures in order of time: name -> (min, max, sum or count, column).
+
+    A track is cut into stretches of `bucket` seconds, each ordered in a task
+    of its own; what earlier stretches add up to is carried to the later
+    ones.  So a long track, or one that holds much of a table, is spread.
+    Rows without a time come first; rows without a track are left out.
+    """
+    fold = {"min": F.min, "max": F.max, "sum": F.sum, "count": F.count}
+    merge = {"min": F.least, "max": F.greatest, "sum": lambda a, b: F.coalesce(a + b, a, b), "count": lambda a, b: F.coalesce(a + b, a, b)}
+    cut = points.withColumn("_bucket", F.coalesce(F.floor(F.unix_micros("ts") / F.lit(bucket * 1e6)), F.lit(-(1 << 62))))
+    totals = cut.groupBy("track", "_bucket").agg(*[fold[kind](c).alias(f"_t_{n}") for n, (kind, c) in measures.items()])
+    earlier = Window.partitionBy("track").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    again = fold | {"count": F.sum}
+    carry = totals.select("track", "_bucket", *[again[kind](f"_t_{n}").over(earlier).alias(f"_c_{n}") for n, (kind, _) in measures.items()])
+    own = Window.partitionBy("track", "_bucket").orderBy("ts", "ix").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    run = cut.withColumns({f"_r_{n}": fold[kind](c).over(own) for n, (kind, c) in measures.items()}).join(carry, ["track", "_bucket"])
+    out = run.withColumns({n: merge[kind](F.col(f"_c_{n}"), F.col(f"_r_{n}")) for n, (kind, _) in measures.items()})
+    return out.select(*[c for c in points.columns if c not in measures], *measures)
+
+
 def elapsed(points: DataFrame) -> DataFrame:
-    """points with whole milliseconds since the first point of their track; a missing time is 0."""
-    first = F.min("ts").over(Window.partitionBy("track"))
-    return points.withColumn("elapsed_ms", F.coalesce(F.floor((F.unix_micros("ts") - F.unix_micros(first)) / 1000), F.lit(0)))
+    """points with whole milliseconds since the first point of their track; a missing time is 0.
+
+    Starts are aggregated before the shuffle and joined back, so Spark can
+    split a track that holds much of the table.  Rows without a track are left
+    out.
+    """
+    first = points.groupBy("track").agg(F.min("ts").alias("_first"))
+    out = points.join(first, "track").withColumn("elapsed_ms", F.coalesce(F.floor((F.unix_micros("ts") - F.unix_micros("_first")) / 1000), F.lit(0)))
+    return out.drop("_first")
 
 
 def bounds(points: DataFrame) -> DataFrame:
@@ -53,14 +84,10 @@ def midpoints(points: DataFrame) -> DataFrame:
 
 
 def running_stats(points: DataFrame) -> DataFrame:
-    """points with last, least, greatest and mean elevation so far; last is the point's own.
-
-    Ordered within one window by track, which suits GPS tracks: they are not
-    split over tasks.
-    """
-    so_far = in_order().rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    mean = F.sum(F.col("ele").cast("decimal(38,10)")).over(so_far).cast("double") / F.count("ele").over(so_far)
-    return points.withColumns({"last_ele": F.col("ele"), "min_ele": F.min("ele").over(so_far), "max_ele": F.max("ele").over(so_far), "mean_ele": mean})
+    """points with last, least, greatest and mean elevation so far; last is the point's own."""
+    ele = F.col("ele")
+    out = so_far(points, {"min_ele": ("min", ele), "max_ele": ("max", ele), "_sum": ("sum", ele.cast("decimal(38,10)")), "_n": ("count", ele)})
+    return out.withColumns({"last_ele": ele, "mean_ele": F.col("_sum").cast("double") / F.col("_n")}).drop("_sum", "_n")
 
 
 def svg_paths(points: DataFrame, width: float, height: float, padding: float = 3.0, most: int = 180) -> DataFrame:

@@ -33,7 +33,7 @@ def change_detect(spark, sf_dir):
 
 
 def playhead_pulse(spark, sf_dir):
-    return frames.pulse(track_points(spark, sf_dir), 7.0).select("track", "ix", F.round("pulse", 6).alias("pulse"))
+    return frames.pulse(track_points(spark, sf_dir), 7.0).select("track", "ix", F.round("pulse", 6).alias("pulse"), F.round("lift_z", 4).alias("lift_z"))
 
 
 def epoch_guard(spark, sf_dir):
@@ -192,7 +192,7 @@ ORACLE_SQL = {
     "frame_phase": f"{D} SELECT track, ix, round(dt, 6) AS dt, round(CAST(sum(CAST(dt * 3 AS DECIMAL(38,10))) {SO_FAR} AS DOUBLE), 6) AS phase FROM d",
     "morph_progress": f"{D} SELECT track, ix, round(least(CAST(sum(CAST(dt AS DECIMAL(38,10))) {SO_FAR} AS DOUBLE) / 100000e0, 1e0), 6) AS progress FROM d",
     "change_detect": "SELECT track, ix, event_type FROM (SELECT user_id AS track, event_id AS ix, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b FROM events) WHERE b IS NULL OR b <> event_type",
-    "playhead_pulse": f"{P}, m AS (SELECT track, ix, epoch_us(ts) AS t, epoch_us(min(ts) OVER (PARTITION BY track)) AS a, epoch_us(max(ts) OVER (PARTITION BY track)) AS b FROM p), s AS (SELECT track, ix, CASE WHEN b > a THEN (t - a) / CAST(b - a AS DOUBLE) ELSE 0e0 END - 0.14e0 AS s FROM m), u AS (SELECT track, ix, least(greatest((s - floor(s) - 0.9e0) / 0.1e0, 0e0), 1e0) AS u FROM s) SELECT track, ix, round(u * u * (3 - 2 * u), 6) AS pulse FROM u",
+    "playhead_pulse": f"{P}, m AS (SELECT track, ix, epoch_us(ts) AS t, epoch_us(min(ts) OVER (PARTITION BY track)) AS a, epoch_us(max(ts) OVER (PARTITION BY track)) AS b FROM p), s AS (SELECT track, ix, CASE WHEN b > a THEN (t - a) / CAST(b - a AS DOUBLE) ELSE 0e0 END - 0.14e0 AS s FROM m), u AS (SELECT track, ix, least(greatest((s - floor(s) - 0.9e0) / 0.1e0, 0e0), 1e0) AS u FROM s) SELECT track, ix, round(u * u * (3 - 2 * u), 6) AS pulse, round(u * u * (3 - 2 * u) * 100, 4) AS lift_z FROM u",
     "epoch_guard": "SELECT l_partkey, l_orderkey, l_linenumber FROM (SELECT *, max(l_linenumber) OVER (PARTITION BY l_partkey) AS m FROM lineitem) WHERE l_linenumber = m",
     "working_set": "WITH h AS (SELECT o_orderkey, CAST(sum(CAST(o_totalprice AS DECIMAL(38,4))) OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC ROWS UNBOUNDED PRECEDING) AS DOUBLE) AS h FROM orders) SELECT o_orderkey, round(h, 2) AS held, h > 500000 AS evict FROM h",
     "state_key": "SELECT user_id, string_agg(event_id || ':' || event_type, '|' ORDER BY event_id) AS state_key FROM events GROUP BY user_id",
