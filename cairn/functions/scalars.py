@@ -201,9 +201,15 @@ def blended_height(full: Column, lossy: Column, share: Column, gain: float = 1.0
     return full + (lossy - full) * share * max(gain, 1.0)
 
 
-def emission(height: Column, scale: float, line: Column, line_colour: Column, strength: float, delta: Column, delta_scale: float = 80.0) -> Column:
-    """One channel of a tile's own light: height, contour lines and the difference of rasters."""
-    return height * scale + line * line_colour * strength + F.abs(delta) * delta_scale
+def loading_pulse(u: Column, v: Column, time: float) -> Column:
+    """Brightness of a tile that is loading, a wave over the tile."""
+    return 0.45 + 0.55 * F.sin(time * 7.0 + u * 13.0 + v * 7.0)
+
+
+def emission(height: Column, scale: float, lines: list[tuple[Column, float]], strength: float, tint: Column, delta: Column, delta_scale: float = 80.0, pulse: Column | float = 0.0, pulse_share: float = 0.05) -> Column:
+    """One channel of a tile's own light: height, lines in their colours, the tint of its level, the difference of rasters, and the pulse while it loads."""
+    drawn = sum((line * colour for line, colour in lines), F.lit(0.0)) * strength
+    return height * scale + drawn + tint + F.abs(delta) * delta_scale + pulse * F.lit(pulse_share)
 
 
 def parse_number(text: Column) -> Column:

@@ -71,10 +71,11 @@ def normalised_tiles(spark, sf_dir):
 
 
 def contour_lines(spark, sf_dir):
-    v, width = F.col("value"), (F.col("event_id") % 40) / F.lit(100.0)
+    v, width, u = F.col("value"), (F.col("event_id") % 40) / F.lit(100.0), (F.col("event_id") % 10) / F.lit(10.0)
+    tint = S.hsv_to_rgb((F.col("event_id") % 12) / F.lit(12.0), F.lit(0.75), F.lit(0.5))["r"]
+    light = S.emission(v, 0.01, [(S.contour_line(v, width, 5.0), 0.4), (S.contour_line(v, width, 10.0), 0.9)], 0.3, tint, v - F.floor(v), pulse=S.loading_pulse(u, width, 2.0))
     return read(spark, sf_dir, "events").select(
-        "event_id", F.round(S.contour_line(v, width, 5.0, 1.5), 6).alias("line"), F.round(S.fading_contour(v, width + 0.01, 5.0, 10.0, 0.7), 6).alias("fading"), F.round(S.aa_step(50.0, v, width + 1), 6).alias("step"),
-        F.round(S.emission(v, 0.01, S.contour_line(v, width, 5.0), F.lit(0.4), 0.3, v - F.floor(v)), 6).alias("emission"),
+        "event_id", F.round(S.contour_line(v, width, 5.0, 1.5), 6).alias("line"), F.round(S.fading_contour(v, width + 0.01, 5.0, 10.0, 0.7), 6).alias("fading"), F.round(S.aa_step(50.0, v, width + 1), 6).alias("step"), F.round(light, 6).alias("emission"),
     )
 
 
@@ -451,9 +452,9 @@ SELECT p_partkey, code, '{"rgb":[' || (code // 256) || ',' || (code % 256) || ',
     "normalised_tiles": f"""{C}, p AS (SELECT vec_id, 8 * y + x AS pos, v, (vec_id + 8 * y + x) % 9 = 0 AS bad FROM c), g AS (SELECT *, min(CASE WHEN NOT bad THEN v END) OVER w AS low, max(CASE WHEN NOT bad THEN v END) OVER w AS high FROM p WINDOW w AS (PARTITION BY vec_id)),
 a AS (SELECT vec_id, pos, bad, CAST(CAST((v - low) / (high - low) AS FLOAT) AS DOUBLE) AS a FROM g), x AS (SELECT *, greatest(-14, floor(log2(CASE WHEN a > 0 THEN a ELSE 1 END))) AS e FROM a)
 SELECT vec_id, CAST(pos AS INTEGER) AS pos, CAST(CASE WHEN bad OR a < pow(2e0, -24) THEN 0 ELSE (e + 14) * 1024 + floor(a * pow(2e0, 10 - e) + 0.5e0) END AS INTEGER) AS bits FROM x""",
-    "contour_lines": f"""WITH e AS (SELECT event_id, value AS v, (event_id % 40) / 100e0 AS w FROM events), s AS (SELECT *, (v + 1.5e0 - floor((v + 1.5e0) / 5) * 5) / 5 AS a, (v - floor(v / 5) * 5) / 5 AS b, (v - floor(v / 10) * 10) / 10 AS f FROM e)
+    "contour_lines": f"""WITH e AS (SELECT event_id, value AS v, (event_id % 40) / 100e0 AS w, (event_id % 10) / 10e0 AS u, 5 + (event_id % 12) / 12e0 * 6 AS t FROM events), s AS (SELECT *, (v + 1.5e0 - floor((v + 1.5e0) / 5) * 5) / 5 AS a, (v - floor(v / 5) * 5) / 5 AS b, (v - floor(v / 10) * 10) / 10 AS f FROM e)
 SELECT event_id, round({LINE('a', 'w')}, 6) AS line, round(greatest({SMOOTH('(b - 1 + (w + 0.01e0)) / (w + 0.01e0)')}, {SMOOTH('((w + 0.01e0) - b) / (w + 0.01e0)')}) * greatest(0e0, 1 - (1 - f) * 0.7e0), 6) AS fading,
-round({SMOOTH('(v - 50 + (w + 1)) / (2 * (w + 1))')}, 6) AS step, round(v * 0.01e0 + {LINE('b', 'w')} * 0.4e0 * 0.3e0 + abs(v - floor(v)) * 80, 6) AS emission FROM s""",
+round({SMOOTH('(v - 50 + (w + 1)) / (2 * (w + 1))')}, 6) AS step, round(v * 0.01e0 + ({LINE('b', 'w')} * 0.4e0 + {LINE('f', 'w')} * 0.9e0) * 0.3e0 + 0.5e0 - 0.375e0 * greatest(least(t - floor(t / 6) * 6, 4 - (t - floor(t / 6) * 6), 1e0), 0e0) + abs(v - floor(v)) * 80 + 0.05e0 * (0.45e0 + 0.55e0 * sin(14 + u * 13 + w * 7)), 6) AS emission FROM s""",
     "colours": """WITH c AS (SELECT event_id, (event_id % 16) / 15e0 AS r, (event_id % 7) / 6e0 AS g, (event_id % 11) / 10e0 AS b FROM events), d AS (SELECT *, greatest(r, g, b) AS v, greatest(r, g, b) - least(r, g, b) AS span FROM c),
 h AS (SELECT *, CASE WHEN span = 0 THEN 0 WHEN v = r THEN (g - b) / span WHEN v = g THEN 2 + (b - r) / span ELSE 4 + (r - g) / span END / 6 AS t, CAST(floor(r * 255 + 0.5e0) AS INTEGER) AS r8, CAST(floor(g * 255 + 0.5e0) AS INTEGER) AS g8, CAST(floor(b * 255 + 0.5e0) AS INTEGER) AS b8 FROM d)
 SELECT event_id, printf('#%02x%02x%02x', r8, g8, b8) AS hex, round(t - floor(t), 6) AS h, round(CASE WHEN v > 0 THEN span / v ELSE 0 END, 6) AS s, round(v, 6) AS v, round(g8 / 255e0, 6) AS green,

@@ -87,3 +87,37 @@ def debounced(steps: DataFrame, idle: str, late: str) -> DataFrame:
     """(track, start, end, n_steps) of gestures: steps at most `idle` apart, once the watermark has passed them."""
     found = steps.withWatermark("ts", late).groupBy("track", F.session_window("ts", idle)).agg(F.count("*").alias("n_steps"))
     return found.select("track", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n_steps")
+
+
+def reconciled(events: DataFrame, late: str = "1 minute", idle_for: str = "1 hour") -> DataFrame:
+    """(tile, ts, action): what makes the loaded set follow the desired one, from events (tile, ts, kind: want, drop, loaded).
+
+    A wanted tile that isn't loaded or on its way is to be added.  A load
+    that ends looks at the desired set again: what was dropped meanwhile, like
+    a loaded tile that is dropped, is to be removed.  State goes after idle_for without
+    events.
+    """
+    pause = int(pd.Timedelta(idle_for).total_seconds() * 1000)
+
+    def run(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        rows = []
+        if state.hasTimedOut:
+            state.remove()
+        else:
+            wanted, asked, loaded = state.get if state.exists else (False, False, False)
+            batch = pd.concat(list(frames)).sort_values(["ts", "kind"], kind="stable")
+            for event in batch.itertuples():
+                wanted = event.kind == "want" or (wanted and event.kind != "drop")
+                if event.kind == "loaded":
+                    asked, loaded = False, True
+                if wanted and not (asked or loaded):
+                    asked = True
+                    rows.append((key[0], event.ts, "add"))
+                elif loaded and not wanted:
+                    loaded = False
+                    rows.append((key[0], event.ts, "remove"))
+            state.update((wanted, asked, loaded))
+            state.setTimeoutTimestamp(max(int(batch["ts"].max().timestamp() * 1000) + pause, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(rows, columns=["tile", "ts", "action"])
+
+    return events.withWatermark("ts", late).groupBy("tile").applyInPandasWithState(run, "tile string, ts timestamp, action string", "wanted boolean, asked boolean, loaded boolean", "append", "EventTimeTimeout")

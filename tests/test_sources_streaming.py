@@ -121,6 +121,19 @@ def test_phases_stream(spark, tmp_path):
     assert sorted(r.tile for r in spark.table("first").collect()) == ["a", "b"]
 
 
+def test_reconciling_and_debouncing_streams(spark, tmp_path):
+    events = [("a", 1, "want"), ("a", 2, "want"), ("a", 3, "loaded"), ("a", 4, "drop"), ("b", 1, "want"), ("b", 2, "drop"), ("b", 3, "loaded"), ("c", 5, "want")]
+    rows = spark.createDataFrame(events, "tile string, s long, kind string").selectExpr("tile", "tile AS track", "timestamp_seconds(s) AS ts", "kind")
+    rows.write.parquet(f"file://{tmp_path}/in")
+    source = lambda: spark.readStream.schema(rows.schema).parquet(f"file://{tmp_path}/in")
+    for name, stream in (("actions", tiles.reconciled(source().select("tile", "ts", "kind"))), ("gestures", tiles.debounced(source().select("track", "ts"), "1 second", "0 seconds"))):
+        stream.writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).option("checkpointLocation", f"file://{tmp_path}/{name}").start().awaitTermination(120)
+    got = [(r.tile, r.ts.second, r.action) for r in spark.table("actions").orderBy("tile", "ts").collect()]
+    assert got == [("a", 1, "add"), ("a", 4, "remove"), ("b", 1, "add"), ("b", 3, "remove"), ("c", 5, "add")]
+    # Gestures end once the watermark has reached their end; that of `c` is the latest.
+    assert sorted((r.track, r.n_steps) for r in spark.table("gestures").collect()) == [("a", 4), ("b", 3)]
+
+
 def test_tile_steps():
     event = lambda kind, **k: SimpleNamespace(kind=kind, **({"generation": 0, "quality": 0.5, "ok": True} | k))
     state, seen = tiles.NEW, []
