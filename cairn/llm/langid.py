@@ -28,7 +28,7 @@ MIX = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D))
 
 
 #: Characters of texts, times languages, that go through EM together.
-CHUNK = 1 << 21
+CHUNK = 1 << 19
 
 
 def letter_table() -> np.ndarray:
@@ -77,34 +77,39 @@ def chunks(texts: list[str | None], most: int) -> Iterator[list[str | None]]:
         yield run
 
 
-def mixture(members: np.ndarray, of: np.ndarray, bucket: np.ndarray, counts: np.ndarray, prob: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
-    """EM for the proportions of each text's members (text, language) and its log-likelihood; every text has a trigram."""
+def mixture(members: np.ndarray, sizes: np.ndarray, bucket: np.ndarray, counts: np.ndarray, prob: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+    """EM for the proportions of each text's members (text, language) and its log-likelihood; sizes: its distinct trigrams, one at least."""
     n, size = members.shape
     pi, value = np.full((n, size), 1.0 / size), np.zeros(n)
-    like = prob[bucket[:, None], members[of]]
-    live, at = np.arange(n), np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
-    total = np.add.reduceat(counts, at)
-    own = np.repeat(np.arange(n), np.diff(np.append(at, len(of))))
-    for step in range(rounds + 1):
-        mean = (like * pi[live][own]).sum(axis=1)
-        value[live] = np.add.reduceat(counts * np.log(mean), at)
-        if step == rounds:
-            break
-        new = pi[live] * np.add.reduceat((counts / mean)[:, None] * like, at) / total[:, None]
+    # One array for each member: whole arrays are multiplied and added up by text.
+    like = [prob[bucket, np.repeat(members[:, j], sizes)] for j in range(size)]
+    live, starts = np.arange(n), np.cumsum(sizes) - sizes
+    total, active = np.add.reduceat(counts, starts), np.ones(n, bool)
+
+    def mean_of(like: list[np.ndarray], shares: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        out = like[0] * np.repeat(shares[:, 0], sizes)
+        for j in range(1, size):
+            out += like[j] * np.repeat(shares[:, j], sizes)
+        return out
+
+    for _ in range(rounds):
+        ratio = counts / mean_of(like, pi[live], sizes)
+        new = np.stack([np.add.reduceat(ratio * x, starts) for x in like], 1) * pi[live] / total[:, None]
         moved = np.abs(new - pi[live]).max(axis=1) >= 1e-3
-        pi[live] = new
-        if not moved.all():
-            # Texts at rest get their final likelihood and leave.
-            rest = ~moved[own]
-            if rest.any():
-                mean = (like[rest] * pi[live][own[rest]]).sum(axis=1)
-                value[live[~moved]] = np.bincount(own[rest], counts[rest] * np.log(mean), len(live))[~moved]
-            like, counts, own = like[~rest], counts[~rest], own[~rest]
-            live, total = live[moved], total[moved]
-            if not len(live):
-                break
-            own = (np.cumsum(moved) - 1)[own]
-            at = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+        pi[live[active]] = new[active]
+        active &= moved
+        if not active.any():
+            break
+        if np.count_nonzero(active) < 0.7 * len(active):  # texts at rest leave now and then, with their likelihood
+            stay = np.repeat(active, sizes)
+            rest = ~stay
+            gone = live[~active]
+            logs = counts[rest] * np.log(mean_of([x[rest] for x in like], pi[gone], sizes[~active]))
+            value[gone] = np.add.reduceat(logs, np.cumsum(sizes[~active]) - sizes[~active])
+            like, counts = [x[stay] for x in like], counts[stay]
+            live, total, sizes = live[active], total[active], sizes[active]
+            starts, active = np.cumsum(sizes) - sizes, np.ones(len(live), bool)
+    value[live] = np.add.reduceat(counts * np.log(mean_of(like, pi[live], sizes)), starts)
     return pi, value
 
 
@@ -114,36 +119,30 @@ def identify(texts: list[str | None], prob: np.ndarray, logp: np.ndarray, letter
     of, bucket, counts = trigrams(texts, letters)
     if not len(of) or not prob.shape[1]:
         return out
-    rows, of = np.unique(of, return_inverse=True)
     at = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
+    rows, sizes = of[at], np.diff(np.append(at, len(of)))
     n, langs = len(rows), prob.shape[1]
     scores = np.stack([np.add.reduceat(counts * logp[bucket, k], at) for k in range(langs)], 1)
     members = np.argmax(scores, axis=1)[:, None]
     pi, value = np.ones((n, 1)), scores[np.arange(n), members[:, 0]]
     room = penalty * np.log(np.add.reduceat(counts, at) + 1)
     # The set grows by the languages that the full mixture finds, in order of their shares.
-    shares, _ = mixture(np.tile(np.arange(langs), (n, 1)), of, bucket, counts, prob, rounds)
+    shares, _ = mixture(np.tile(np.arange(langs), (n, 1)), sizes, bucket, counts, prob, rounds)
     order = np.argsort(-shares, axis=1, kind="stable")
     # The best single language is in the set already; the others keep their order.
     others = order[order != members].reshape(n, langs - 1)
-    growing = np.arange(n)
     for k in range(langs - 1):
-        mine = np.isin(of, growing)
-        trial = np.concatenate([members[growing], others[growing, k : k + 1]], axis=1)
-        own = np.searchsorted(growing, of[mine])
-        trial_pi, trial_value = mixture(trial, own, bucket[mine], counts[mine], prob, rounds)
-        better = trial_value - value[growing] > room[growing]
-        done = np.setdiff1d(np.arange(n), growing[better])
-        for i in np.intersect1d(done, growing):
-            out[rows[i], members[i]] = pi[i]
-        growing = growing[better]
-        if not len(growing):
+        trial = np.concatenate([members, others[:, k : k + 1]], axis=1)
+        trial_pi, trial_value = mixture(trial, sizes, bucket, counts, prob, rounds)
+        better = trial_value - value > room
+        done = ~better
+        out[np.repeat(rows[done], k + 1), members[done].ravel()] = pi[done].ravel()
+        if not better.any():
             return out
-        members = np.zeros((n, k + 2), np.int64)
-        pi = np.zeros((n, k + 2))
-        members[growing], pi[growing], value[growing] = trial[better], trial_pi[better], trial_value[better]
-    for i in growing:
-        out[rows[i], members[i]] = pi[i]
+        mine = np.repeat(better, sizes)
+        bucket, counts, sizes, rows, others, room = bucket[mine], counts[mine], sizes[better], rows[better], others[better], room[better]
+        members, pi, value = trial[better], trial_pi[better], trial_value[better]
+    out[np.repeat(rows, members.shape[1]), members.ravel()] = pi.ravel()
     return out
 
 
