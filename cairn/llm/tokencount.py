@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from cairn.llm.common import SHARE, checkpoint, fresh_dir, join_counted, ship, shipped, utf8_bytes
 
-SCHEMA = "tokenizer string, content string, n_tokens long"
+SCHEMA = "tokenizer string, content binary, n_tokens long"
 #: The pre-tokenizer pattern of byte-level BPE files with use_regex (fixed value), in possessive form.
 BYTE_LEVEL = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
 
@@ -113,7 +113,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str | None = None, id_c
     cache = cache or fresh_dir(spark, "token-cache")
 
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("_id"), F.xxhash64(F.col(id_col), F.lit(1)).alias("_spread"), text.alias("_text")).withColumn("_digest", F.sha2(F.col("_text").cast("binary"), 256))
+    rows = docs.select(F.col(id_col).alias("_id"), F.xxhash64(F.col(id_col), F.lit(1)).alias("_spread"), text.alias("_text")).withColumn("_digest", F.unhex(F.sha2(F.col("_text").cast("binary"), 256)))
     narrow = checkpoint(rows.select("_id", "_spread", "_digest", utf8_bytes(F.col("_text")).alias("n_bytes")))
     known = read_cache(spark, cache).filter(F.col("tokenizer") == version).select(F.col("content").alias("_digest"), "n_tokens")
     # One id stands for each missing content: that with the least hash; n_rows says how many rows have the content.
@@ -130,7 +130,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str | None = None, id_c
                     seen.add(digest)
                     digests.append(digest)
                     counts.append(count(t.as_py()))
-            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.string()), pa.array(counts, pa.int64())], ["content", "n_tokens"])
+            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(counts, pa.int64())], ["content", "n_tokens"])
 
     texts = rows.select("_spread", "_digest", "_text")
     # Rows repeated under one id and content come to one task, which encodes the first.  Where they are many, Spark
@@ -138,7 +138,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str | None = None, id_c
     repeated = F.broadcast(misses.filter(F.col("n_rows") * SHARE > (misses.agg(F.sum("n_rows")).first()[0] or 0)).filter("n_rows > 1").drop("n_rows"))
     chosen = texts.join(misses.drop("n_rows").join(repeated, ["_spread", "_digest"], "left_anti").hint("shuffle_hash"), ["_spread", "_digest"]).select("_digest", "_text")
     once = texts.join(repeated, ["_spread", "_digest"], "left_semi").groupBy("_digest").agg(F.first("_text").alias("_text"))
-    new = chosen.unionByName(once).mapInArrow(run, "content string, n_tokens long")
+    new = chosen.unionByName(once).mapInArrow(run, "content binary, n_tokens long")
     new.select(F.lit(version).alias("tokenizer"), "content", "n_tokens").write.mode("append").partitionBy("tokenizer").parquet(cache)
 
     # Two runs that fill one cache at a time may store a content twice, with the same count.
