@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import bpe, htmltext, langid, packing, quality, sharding, simhash, tokencount, topk, urlfilter
+from cairn.llm import bpe, filteraudit, htmltext, langid, packing, quality, sharding, simhash, tokencount, topk, urlfilter
 from cairn.llm.common import table
 
 
@@ -70,10 +70,31 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json")).drop("ids")
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_quality_rules, op3_language_id, op4_sharding, op5_exact_top_k, op6_url_filters, op7_token_counts, op8_html_extraction, op9_bpe, op10_packing)}
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each of five filters removes at each step of each of their 120 orders, by language."""
+    return filteraudit.audit(filteraudit.mask_counts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_quality_rules, op3_language_id, op4_sharding, op5_exact_top_k, op6_url_filters, op7_token_counts, op8_html_extraction, op9_bpe, op10_packing, op11_filter_audit)}
 
 WORDS = r"[^\x20\x09-\x0D]+"
 ORACLE_SQL = {
+    "op11_filter_audit": rf"""
+WITH t AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '{WORDS}') AS words, min(doc_id) OVER (PARTITION BY text) AS first_id FROM t),
+m AS (SELECT doc_id, part, (CASE WHEN len(words) < 100 THEN 1 ELSE 0 END) + (CASE WHEN 100 * len(list_distinct(words)) < 80 * len(words) THEN 2 ELSE 0 END)
+  + (CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 10 * length(text) THEN 4 ELSE 0 END) + (CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 8 ELSE 0 END)
+  + (CASE WHEN doc_id > first_id THEN 16 ELSE 0 END) AS mask FROM w),
+l AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+c AS (SELECT part, mask, count(*) AS n, coalesce(sum(good), 0) AS good, coalesce(sum(toxic), 0) AS toxic FROM m LEFT JOIN l USING (doc_id) GROUP BY part, mask),
+f(f, bit) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+o AS (SELECT a.f || b.f || c.f || d.f || e.f AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits FROM f a, f b, f c, f d, f e WHERE a.bit | b.bit | c.bit | d.bit | e.bit = 31),
+s AS (SELECT filter_order, k AS step, bits[k] AS own, list_sum(list_concat([0], bits[1:k - 1])) AS seen FROM o, range(1, 6) AS r(k)),
+x AS (SELECT part, filter_order, step, own, sum(CASE WHEN mask & (seen::INT | own) = 0 THEN n ELSE 0 END) AS kept, sum(CASE WHEN mask & seen::INT = 0 AND mask & own > 0 THEN n ELSE 0 END) AS removed,
+  sum(CASE WHEN mask & own > 0 AND mask & seen::INT > 0 THEN n ELSE 0 END) AS redundant, sum(CASE WHEN mask = own THEN n ELSE 0 END) AS unique_fails,
+  sum(CASE WHEN mask & seen::INT = 0 AND mask & own > 0 THEN good ELSE 0 END) AS good_lost, sum(CASE WHEN mask & seen::INT = 0 AND mask & own > 0 THEN toxic ELSE 0 END) AS toxic_lost FROM c, s GROUP BY ALL)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+  CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley FROM x""",
     "op2_quality_rules": rf"""
 WITH t AS (SELECT row_number() OVER () AS row_id, doc_id, coalesce(text, '') AS text FROM documents),
 w AS (SELECT *, regexp_extract_all(text, '{WORDS}') AS words, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM t),
