@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import bpe, filteraudit, htmltext, langid, packing, quality, sharding, simhash, tokencount, topk, urlfilter
+from cairn.llm import bpe, collocations, filteraudit, htmltext, langid, packing, personal, quality, sharding, simhash, tokencount, topk, urlfilter
 from cairn.llm.common import table
 
 
@@ -75,10 +75,38 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filteraudit.audit(filteraudit.mask_counts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_quality_rules, op3_language_id, op4_sharding, op5_exact_top_k, op6_url_filters, op7_token_counts, op8_html_extraction, op9_bpe, op10_packing, op11_filter_audit)}
+def op12_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and digest of the base spans of personal data of every document, and all its spans."""
+    found = personal.find_personal(table(spark, sf_dir, "documents"))
+    base = F.filter("found", lambda x: x["base"])
+    listed = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
+    count = lambda kind: F.size(F.filter("found", lambda x: x["base"] & (x["kind"] == kind))).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *[count(k) for k in personal.KINDS], F.sha2(listed(base).cast("binary"), 256).alias("base_sha256"), listed(F.col("found")).alias("spans"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2000 best collocations of every language among phrases of 2 to 5 words that occur 100 times."""
+    return collocations.collocations(collocations.phrase_counts(table(spark, sf_dir, "documents"))).drop("cut")
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_quality_rules, op3_language_id, op4_sharding, op5_exact_top_k, op6_url_filters, op7_token_counts, op8_html_extraction, op9_bpe, op10_packing, op11_filter_audit, op12_personal_data, op13_collocations)}
 
 WORDS = r"[^\x20\x09-\x0D]+"
 ORACLE_SQL = {
+    "op13_collocations": r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+t AS (SELECT lang, CAST(sum(len(w)) AS HUGEINT) AS n FROM w GROUP BY lang),
+g AS (SELECT lang, size, unnest(list_transform(range(1, len(w) - size + 2), lambda i: array_to_string(w[i:i + size - 1], ' '))) AS gram FROM w, range(1, 6) AS s(size) WHERE len(w) >= size),
+c AS (SELECT lang, size, gram, CAST(count(*) AS HUGEINT) AS f FROM g GROUP BY ALL HAVING count(*) >= 100),
+d AS (SELECT *, string_split(gram, ' ') AS w FROM c WHERE size >= 2),
+k AS (SELECT lang, gram, f, k, array_to_string(w[1:k], ' ') AS head, array_to_string(w[k + 1:], ' ') AS tail FROM d, range(1, 5) AS r(k) WHERE k < size),
+s AS (SELECT k.lang, k.gram, k.f AS a, k.k, x.f AS l, y.f AS r, n, 1000 * k.f * n // (x.f * y.f) AS score FROM k JOIN t ON t.lang = k.lang JOIN c x ON x.lang = k.lang AND x.gram = k.head JOIN c y ON y.lang = k.lang AND y.gram = k.tail),
+b AS (SELECT *, row_number() OVER (PARTITION BY lang, gram ORDER BY score, k) AS place FROM s),
+i AS (SELECT lang, array_to_string(w[a:z], ' ') AS gram, max(f) AS f FROM d, range(1, 5) AS q(a), range(2, 6) AS e(z) WHERE z > a AND z <= size AND z - a + 1 < size GROUP BY ALL),
+o AS (SELECT b.* FROM b LEFT JOIN i ON i.lang = b.lang AND i.gram = b.gram WHERE place = 1 AND (i.f IS NULL OR 100 * i.f < 100 * b.a))
+SELECT lang, rank, gram AS phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, gram) AS rank FROM o) WHERE rank <= 2000""",
     "op11_filter_audit": rf"""
 WITH t AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text FROM documents),
 w AS (SELECT *, regexp_extract_all(text, '{WORDS}') AS words, min(doc_id) OVER (PARTITION BY text) AS first_id FROM t),
