@@ -9,9 +9,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cairn.sources.shared import fresh_folder
+
 
 def shape_archives(parts: DataFrame) -> DataFrame:
     """(path, content): a zipped shapefile for each brand, with a point for each part at (p_partkey, p_size).
@@ -53,15 +56,31 @@ def tiff_image(samples: np.ndarray, tile: int, origin: tuple[float, float], pixe
     return struct.pack("<2sHI", b"II", 42, 8) + directory + body + lists + b"".join(tiles)
 
 
-def tiff_files(embeddings: DataFrame) -> DataFrame:
-    """(path, content): an 8 x 8 image for each vector, in tiles of 4 x 4."""
+#: Vectors on a side of a mosaic, and samples on a side of a vector.
+MOSAIC, CELL = 16, 8
 
-    def build(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            images = [tiff_image(np.array(v, np.float32).reshape(8, 8), 4, (80000.0, 624040.0), 10.0) for v in frame["embedding"]]
-            yield pd.DataFrame({"path": frame["vec_id"].astype(str), "content": images})
 
-    return embeddings.select("vec_id", "embedding").mapInPandas(build, "path string, content binary")
+def tiff_mosaics(embeddings: DataFrame) -> str:
+    """A folder in the shared store with an image m<k>.tif of each 256 vectors, in tiles of 32 x 32; vector v is the 8 x 8 square of number v % 256, -200 where there is none.
+
+    A task writes each image whole under its own name, so a repeated task
+    leaves the same file.
+    """
+    folder = fresh_folder(embeddings.sparkSession, "mosaics")
+
+    def write(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        samples = np.full((MOSAIC * CELL, MOSAIC * CELL), -200, np.float32)
+        for v, values in zip(rows["vec_id"], rows["embedding"]):
+            y, x = divmod(v % MOSAIC**2, MOSAIC)
+            samples[y * CELL : (y + 1) * CELL, x * CELL : (x + 1) * CELL] = np.array(values, np.float32).reshape(CELL, CELL)
+        system, path = fs.FileSystem.from_uri(folder)
+        system.create_dir(path)
+        with system.open_output_stream(f"{path}/m{key[0]}.tif") as out:
+            out.write(tiff_image(samples, 32, (80000.0, 624040.0), 10.0))
+        return pd.DataFrame({"n": [len(rows)]})
+
+    embeddings.select("vec_id", "embedding", F.expr(f"vec_id div {MOSAIC**2}").alias("k")).groupBy("k").applyInPandas(write, "n long").agg(F.sum("n")).first()
+    return folder
 
 
 def half_files(tiles: DataFrame, bits: str) -> DataFrame:

@@ -15,7 +15,7 @@ from cairn.functions import scalars as S
 from cairn.operators import frames, grids, mesh, raster, reports, spatial, tracks
 from cairn.plans import fixtures
 from cairn.plans.proxies import read, track_points
-from cairn.sources import catalogs, geojson, gpx, rasters, shapefile
+from cairn.sources import catalogs, geojson, gpx, rasters, shapefile, tiff
 
 
 def rounded(places, *names):
@@ -154,17 +154,38 @@ def geojson_legacy_points(spark, sf_dir):
     return geojson.points(fixtures.geojson_texts(read(spark, sf_dir, "part")), "text", legacy=True).select("doc", "point_ix", "x", "y", "h")
 
 
+def mosaics(spark, sf_dir):
+    """Reader of the images made of the vectors."""
+    tiff.register(spark)
+    return spark.read.format("tiff").option("path", fixtures.tiff_mosaics(read(spark, sf_dir, "embeddings")))
+
+
+def file_name(path):
+    return F.element_at(F.split(path, "/"), -1)
+
+
 def tiff_windows(spark, sf_dir):
-    wanted = grids.windows(spark, 8, 8, 4).unionByName(spark.createDataFrame([(9, 9, 2, 6, 6, 10)], "x int, y int, left int, top int, right int, bottom int"))
-    found = rasters.raster_windows(fixtures.tiff_files(read(spark, sf_dir, "embeddings")), wanted)
+    """Windows of 16 x 12 samples, of which those of the last row stand over the edge."""
+    found = mosaics(spark, sf_dir).option("window", "16x12").load().filter("status = 'ok'")
     clean = rasters.clean_windows(found, 0.3)
-    return clean.select("path", "left", "top", "xll", "yll", F.posexplode("pixels").alias("pos", "v")).withColumn("v", F.round("v", 6))
+    return clean.select(file_name("path").alias("path"), "left", "top", "xll", "yll", F.posexplode("pixels").alias("pos", "v")).withColumn("v", F.round("v", 6))
 
 
 def tiff_resampled(spark, sf_dir):
-    wanted = spark.createDataFrame([(0, 0, 8, 8)], "left int, top int, right int, bottom int")
-    found = rasters.raster_windows(fixtures.tiff_files(read(spark, sf_dir, "embeddings")), wanted, target=(5, 10))
-    return found.select("path", F.posexplode("pixels").alias("pos", "v")).withColumn("v", F.round("v", 6))
+    """The square of every vector at 5 x 10."""
+    found = mosaics(spark, sf_dir).option("window", "8x8").option("target", "5x10").load()
+    return found.select(file_name("path").alias("path"), "left", "top", F.posexplode("pixels").alias("pos", "v")).withColumn("v", F.round("v", 6))
+
+
+def tiff_patches(spark, sf_dir):
+    """Windows that a table asks for: the square of each vector of label 3 with two samples around it; one file of them is missing."""
+    made = read(spark, sf_dir, "embeddings")
+    folder, k, n = fixtures.tiff_mosaics(made), F.expr("vec_id div 256"), F.col("vec_id") % 256
+    left, top = (n % 16) * 8 - 2, F.expr("vec_id % 256 div 16") * 8 - 2
+    wanted = made.filter("label = 3").select("vec_id", F.concat(F.lit(f"{folder}/m"), F.when(F.col("vec_id") % 50 == 3, F.lit("issing")).otherwise(k.cast("string")), F.lit(".tif")).alias("path"), left.alias("left"), top.alias("top"), (left + 12).alias("right"), (top + 12).alias("bottom"))
+    found = tiff.read_windows(wanted.repartitionByRange("path", "vec_id").sortWithinPartitions("path"))
+    total = F.aggregate(F.filter("pixels", lambda v: v > -200), F.lit(0.0), lambda s, v: s + v)
+    return found.select("vec_id", "status", F.col("error").isNotNull().alias("failed"), F.size(F.filter("pixels", lambda v: v > -200)).alias("n_valid"), F.round(total, 4).alias("total"))
 
 
 def half_rasters(spark, sf_dir):
@@ -374,7 +395,7 @@ def debug_snapshot(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     wgs_to_osgb, osgb_to_wgs, grid_references, half_encode, codebook_encode, normalised_tiles, contour_lines, colours, format_texts, status_texts, routes_and_names, gpx_points, gpx_metadata, archive_points, archive_mesh,
-    geojson_points, geojson_legacy_points, tiff_windows, tiff_resampled, half_rasters, tile_catalog, playhead_positions, svg_paths, catalog_tracks, gesture_velocity, coasting, zoom_steps, wheel_gestures, transitions,
+    geojson_points, geojson_legacy_points, tiff_windows, tiff_resampled, tiff_patches, half_rasters, tile_catalog, playhead_positions, svg_paths, catalog_tracks, gesture_velocity, coasting, zoom_steps, wheel_gestures, transitions,
     mirror_repair, raster_windows, names_and_windows, reversed_triangles, vertex_positions, cell_meshes, viewshed_area, recode_tiles, missing_chunks, visible_tiles, observed_tiles, terrain_picks, level_order, map_views,
     camera_offsets, camera_limits, anchored_zoom, screen_pixels, bench_report, count_parity, debug_snapshot,
 )}
@@ -477,11 +498,13 @@ SELECT doc, 'me' AS creator, CASE WHEN doc % 5 = 0 THEN first_type ELSE 'rest' E
 SELECT archive, record_ix, CAST(0 AS BIGINT) AS point_ix, CAST(p_partkey AS DOUBLE) AS x, CAST(p_size AS DOUBLE) AS y, h FROM p WHERE h IS NOT NULL""",
     "geojson_points": f"{GEO} SELECT doc, part, CAST(point_ix AS INTEGER) AS point_ix, CAST(doc AS DOUBLE) AS x, CAST(p_size AS DOUBLE) AS y, coalesce(own, z) AS h FROM k JOIN p USING (kind) WHERE coalesce(own, z) IS NOT NULL",
     "geojson_legacy_points": f"{GEO} SELECT doc, CAST(point_ix AS INTEGER) AS point_ix, CAST(doc AS DOUBLE) AS x, CAST(p_size AS DOUBLE) AS y, own AS h FROM k JOIN p USING (kind) WHERE own IS NOT NULL AND kind < 4",
-    "tiff_windows": f"""{C}, w AS (SELECT * FROM (VALUES (0, 0), (0, 4), (4, 0), (4, 4), (2, 6)) AS w(l, t)), k AS (SELECT l, t, i % 4 AS dx, i // 4 AS dy FROM w, range(16) r(i)),
-s AS (SELECT e.vec_id, l, t, 4 * dy + dx AS pos, coalesce(c.v, -200) AS v FROM k CROSS JOIN (SELECT vec_id FROM embeddings) e LEFT JOIN c ON c.vec_id = e.vec_id AND c.x = l + dx AND c.y = t + dy), g AS (SELECT *, min(v) OVER (PARTITION BY vec_id, l, t) AS low FROM s)
-SELECT CAST(vec_id AS VARCHAR) AS path, CAST(l AS INTEGER) AS left, CAST(t AS INTEGER) AS top, 80000e0 + 10 * l AS xll, 624040e0 - 10 * (t + 4) AS yll, CAST(pos AS INTEGER) AS pos, round(CASE WHEN v > 0.3 THEN -200 ELSE v END, 6) AS v FROM g WHERE low < 0.3""",
-    "tiff_resampled": f"""{C}, k AS (SELECT i AS pos, (i % 5) * 1.6e0 AS fx, (i // 5) * 0.8e0 AS fy FROM range(50) r(i)), j AS (SELECT vec_id, pos, sum(v * greatest(0e0, 1 - abs(x - fx)) * greatest(0e0, 1 - abs(y - fy))) / sum(greatest(0e0, 1 - abs(x - fx)) * greatest(0e0, 1 - abs(y - fy))) AS v FROM k JOIN c ON abs(x - fx) < 1 AND abs(y - fy) < 1 GROUP BY vec_id, pos)
-SELECT CAST(vec_id AS VARCHAR) AS path, CAST(pos AS INTEGER) AS pos, round(v, 6) AS v FROM j""",
+    "tiff_windows": f"""{C}, p AS (SELECT vec_id // 256 AS k, (vec_id % 16) * 8 + x AS px, (vec_id % 256 // 16) * 8 + y AS py, v FROM c), w AS (SELECT DISTINCT k, l * 16 AS l, t * 12 AS t FROM p, range(8) a(l), range(11) b(t)),
+s AS (SELECT w.k, l, t, 16 * dy + dx AS pos, coalesce(v, -200) AS v FROM w CROSS JOIN range(16) a(dx) CROSS JOIN range(12) b(dy) LEFT JOIN p ON p.k = w.k AND px = l + dx AND py = t + dy), g AS (SELECT *, min(v) OVER (PARTITION BY k, l, t) AS low FROM s)
+SELECT 'm' || k || '.tif' AS path, CAST(l AS INTEGER) AS left, CAST(t AS INTEGER) AS top, 80000e0 + 10 * l AS xll, 624040e0 - 10 * (t + 12) AS yll, CAST(pos AS INTEGER) AS pos, round(CASE WHEN v > 0.3 THEN -200 ELSE v END, 6) AS v FROM g WHERE low < 0.3""",
+    "tiff_resampled": f"""{C}, a AS (SELECT DISTINCT vec_id // 256 AS m, k.n FROM c, range(256) k(n)), k AS (SELECT i AS pos, (i % 5) * 1.6e0 AS fx, (i // 5) * 0.8e0 AS fy FROM range(50) r(i)), j AS (SELECT vec_id, pos, sum(v * greatest(0e0, 1 - abs(x - fx)) * greatest(0e0, 1 - abs(y - fy))) / sum(greatest(0e0, 1 - abs(x - fx)) * greatest(0e0, 1 - abs(y - fy))) AS v FROM k JOIN c ON abs(x - fx) < 1 AND abs(y - fy) < 1 GROUP BY vec_id, pos)
+SELECT 'm' || m || '.tif' AS path, CAST(n % 16 * 8 AS INTEGER) AS left, CAST(n // 16 * 8 AS INTEGER) AS top, CAST(k.pos AS INTEGER) AS pos, round(coalesce(j.v, -200), 6) AS v FROM a CROSS JOIN k LEFT JOIN j ON j.vec_id = m * 256 + n AND j.pos = k.pos""",
+    "tiff_patches": f"""{C}, p AS (SELECT vec_id // 256 AS k, (vec_id % 16) * 8 + x AS px, (vec_id % 256 // 16) * 8 + y AS py, v FROM c), q AS (SELECT vec_id, vec_id // 256 AS k, (vec_id % 16) * 8 - 2 AS l, (vec_id % 256 // 16) * 8 - 2 AS t, vec_id % 50 = 3 AS failed FROM embeddings WHERE label = 3)
+SELECT q.vec_id, CASE WHEN failed THEN 'error' ELSE 'ok' END AS status, failed, CASE WHEN NOT failed THEN CAST(count(v) AS INTEGER) END AS n_valid, CASE WHEN NOT failed THEN round(sum(v), 4) END AS total FROM q LEFT JOIN p ON p.k = q.k AND px >= l AND px < l + 12 AND py >= t AND py < t + 12 GROUP BY q.vec_id, failed""",
     "half_rasters": "SELECT CAST(vec_id AS VARCHAR) AS path, true AS whole, CAST(i - 1 AS INTEGER) AS pos, CAST(floor(abs(CAST(embedding[i] AS DOUBLE)) * 30000) AS INTEGER) AS bits FROM (SELECT vec_id, embedding, unnest(generate_series(1, len(embedding))) AS i FROM embeddings)",
     "tile_catalog": """WITH t AS (SELECT 80000 + 40960 * (p_partkey % 14) AS x, 624040 - 40960 * ((p_partkey // 14) % 16) AS y, CAST(min(p_partkey) AS VARCHAR) AS f FROM part GROUP BY 1, 2)
 SELECT x || ', ' || y AS key, CAST(x AS DOUBLE) AS xllcorner, CAST(y AS DOUBLE) AS yllcorner, CAST(4096 AS INTEGER) AS nrows, f AS source_filename, '{"xllcorner":' || x || '.0,"yllcorner":' || y || '.0,"nrows":4096,"ncols":4096,"source_filename":"' || f || '"}' AS sidecar FROM t""",

@@ -1,14 +1,7 @@
-"""Rasters from files: half-float tiles, and windows of TIFF images.
-
-TIFF: one band of 8 to 64 bits, strips or tiles, raw or deflated.  A window is
-cut from the whole file's bytes, which Spark reads as one value, so a file has
-to stay below 2 GB; larger mosaics are stored as Parquet tiles.
-"""
+"""Rasters from files: half-float tiles, cleaned windows, listings and the tile sink."""
 
 from __future__ import annotations
 
-import struct
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,12 +11,6 @@ from pyspark.sql import functions as F
 
 from cairn.operators.grids import nodata_clean
 
-#: Tags and types of TIFF files (fixed values).
-WIDTH, HEIGHT, BITS, COMPRESSION, STRIPS, STRIP_ROWS, TILE_W, TILE_H, TILES, FORMAT, PIXEL, TIE = 256, 257, 258, 259, 273, 278, 322, 323, 324, 339, 33550, 33922
-SIZES = {1: "B", 2: "c", 3: "H", 4: "I", 5: "II", 11: "f", 12: "d", 16: "Q"}
-STRIP_BYTES, TILE_BYTES = 279, 325
-
-
 def half_tiles(found: DataFrame, width: int, height: int) -> DataFrame:
     """(path, bits, whole): half-float patterns of raw tiles (path, content); whole says whether a tile has all its pixels."""
 
@@ -35,93 +22,6 @@ def half_tiles(found: DataFrame, width: int, height: int) -> DataFrame:
     return found.select("path", "content").mapInPandas(run, "path string, bits array<int>, whole boolean")
 
 
-def tags(content: bytes) -> tuple[str, dict[int, tuple]]:
-    """Byte order and tags of a file's first image."""
-    order = {b"II": "<", b"MM": ">"}[content[:2]]
-    at = struct.unpack_from(order + "I", content, 4)[0]
-    out = {}
-    for i in range(struct.unpack_from(order + "H", content, at)[0]):
-        tag, kind, count = struct.unpack_from(order + "HHI", content, at + 2 + 12 * i)
-        code = SIZES.get(kind)
-        if code is None:
-            continue
-        layout = order + code * count
-        size = struct.calcsize(layout)
-        out[tag] = struct.unpack_from(layout, content, at + 10 + 12 * i if size <= 4 else struct.unpack_from(order + "I", content, at + 10 + 12 * i)[0])
-    return order, out
-
-
-class Image:
-    """The first image of a TIFF file."""
-
-    def __init__(self, content: bytes):
-        self.content = content
-        order, t = tags(content)
-        self.width, self.height = t[WIDTH][0], t[HEIGHT][0]
-        self.dtype = np.dtype(order + {1: "u", 2: "i", 3: "f"}[t.get(FORMAT, (1,))[0]] + str(t[BITS][0] // 8))
-        self.packed = t.get(COMPRESSION, (1,))[0]
-        if self.packed not in (1, 8, 32946):
-            raise ValueError(f"compression {self.packed} isn't read")
-        tiled = TILES in t
-        self.tile_w, self.tile_h = (t[TILE_W][0], t[TILE_H][0]) if tiled else (self.width, t.get(STRIP_ROWS, (self.height,))[0])
-        self.starts, self.sizes = (t[TILES], t[TILE_BYTES]) if tiled else (t[STRIPS], t[STRIP_BYTES])
-        self.pixel = t.get(PIXEL, (1.0, 1.0))
-        tie = t.get(TIE, (0.0,) * 6)
-        self.left, self.top = tie[3] - tie[0] * self.pixel[0], tie[4] + tie[1] * self.pixel[1]
-
-    def window(self, left: int, top: int, right: int, bottom: int, fill: float) -> np.ndarray:
-        """Samples of a window; fill outside the image."""
-        out = np.full((bottom - top, right - left), fill, float)
-        across = -(-self.width // self.tile_w)
-        for ty in range(max(0, top) // self.tile_h, -(-min(bottom, self.height) // self.tile_h)):
-            for tx in range(max(0, left) // self.tile_w, -(-min(right, self.width) // self.tile_w)):
-                k = ty * across + tx
-                raw = self.content[self.starts[k] : self.starts[k] + self.sizes[k]]
-                tile = np.frombuffer(raw if self.packed == 1 else zlib.decompress(raw), self.dtype)
-                tile = tile[: len(tile) // self.tile_w * self.tile_w].reshape(-1, self.tile_w)
-                x0, y0 = tx * self.tile_w, ty * self.tile_h
-                a, b = max(left, x0), min(right, x0 + self.tile_w, self.width)
-                c, d = max(top, y0), min(bottom, y0 + len(tile), self.height)
-                if a < b and c < d:
-                    out[c - top : d - top, a - left : b - left] = tile[c - y0 : d - y0, a - x0 : b - x0]
-        return out
-
-
-def linear(samples: np.ndarray, width: int, height: int) -> np.ndarray:
-    """Samples at another size, interpolated; pixel 0 stays pixel 0, as the common reader of such images does it."""
-    h, w = samples.shape
-    x, y = np.arange(width) * (w / width), np.arange(height) * (h / height)
-    x0, y0 = np.floor(x).astype(int), np.floor(y).astype(int)
-    x1, y1 = np.minimum(np.ceil(x).astype(int), w - 1), np.minimum(np.ceil(y).astype(int), h - 1)
-    fx, fy = x - x0, (y - y0)[:, None]
-    rows = samples[:, x0] * (1 - fx) + samples[:, x1] * fx
-    return rows[y0] * (1 - fy) + rows[y1] * fy
-
-
-def raster_windows(found: DataFrame, wanted: DataFrame, fill: float = -200.0, target: tuple[int, int] | None = None) -> DataFrame:
-    """(path, left, top, right, bottom, xll, yll, pixels) of every wanted window (left, top, right, bottom) of every TIFF file (path, content).
-
-    xll and yll are the window's lower left corner on the ground.  target:
-    resample each window to this (width, height).  Files meet windows in the
-    task that reads a file; windows are a small list.
-    """
-    places = [tuple(r) for r in wanted.select("left", "top", "right", "bottom").distinct().limit(100_001).collect()]
-    if len(places) > 100_000:
-        raise ValueError("more than 100000 windows: cut the list")
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for path, content in zip(frame["path"], frame["content"]):
-                image = Image(content)
-                for l, t, r, b in places:
-                    samples = image.window(l, t, r, b, fill)
-                    if target:
-                        samples = linear(samples, *target)
-                    yield pd.DataFrame({"path": [path], "left": [l], "top": [t], "right": [r], "bottom": [b], "xll": [image.left + l * image.pixel[0]], "yll": [image.top - b * image.pixel[1]], "pixels": [samples.ravel()]})
-
-    return found.select("path", "content").mapInPandas(run, "path string, left int, top int, right int, bottom int, xll double, yll double, pixels array<double>")
-
-
 def clean_windows(windows: DataFrame, limit: float = 3000.0, fill: float = -200.0) -> DataFrame:
     """Windows with any valid sample, those above the limit filled."""
     return nodata_clean(windows, "pixels", limit, fill)

@@ -77,22 +77,6 @@ def archive_shp(records):
     return bytes(100) + b"".join(struct.pack(">2i", i + 1, len(r) // 2) + r for i, r in enumerate(records))
 
 
-def test_tiff_strips_and_deflate(spark):
-    samples = np.arange(30, dtype=np.int16).reshape(5, 6) - 7
-    strips = [zlib.compress(samples[y : y + 2].astype("<i2").tobytes()) for y in (0, 2, 4)]
-    entries = [(256, 3, 1, 6), (257, 3, 1, 5), (258, 3, 1, 16), (259, 3, 1, 8), (278, 3, 1, 2), (339, 3, 1, 2)]
-    at = 8 + 2 + 12 * 8 + 4
-    starts = [at + 24 + sum(map(len, strips[:i])) for i in range(3)]
-    entries = sorted([*entries, (273, 4, 3, at), (279, 4, 3, at + 12)])
-    content = struct.pack("<2sHIH", b"II", 42, 8, 8) + b"".join(struct.pack("<HHII", *e) for e in entries) + bytes(4) + struct.pack("<6I", *starts, *map(len, strips)) + b"".join(strips)
-    image = rasters.Image(content)
-    assert image.window(0, 0, 6, 5, -9).tolist() == samples.tolist()
-    assert image.window(4, 3, 8, 6, -9).tolist() == [[15, 16, -9, -9], [21, 22, -9, -9], [-9] * 4]
-    files = spark.createDataFrame([("p", content)], "path string, content binary")
-    got = rasters.raster_windows(files, spark.createDataFrame([(1, 1, 3, 3)], "left int, top int, right int, bottom int")).first()
-    assert got.pixels == [0, 1, 6, 7] and (got.xll, got.yll) == (1, -3)
-
-
 def test_half_tiles_and_listing(spark, tmp_path):
     (tmp_path / "a.bin").write_bytes(np.array([0, 15360, 65535, 1], "<u2").tobytes())
     (tmp_path / "b.bin").write_bytes(b"\1\0\2")
