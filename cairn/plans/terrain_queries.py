@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from cairn.functions import formats, geodesy, views
 from cairn.functions import scalars as S
-from cairn.operators import frames, grids, mesh, raster, reports, spatial, tracks
+from cairn.operators import frames, grids, mesh, raster, reports, spatial, tracks, viewshed
 from cairn.plans import fixtures
 from cairn.plans.proxies import read, track_points
 from cairn.sources import catalogs, geojson, gpx, rasters, shapefile, tiff
@@ -277,9 +277,18 @@ def cell_meshes(spark, sf_dir):
     return mesh.triangulate(points)
 
 
+def ground_tiles(spark, sf_dir):
+    """The vectors as one raster, 16 tiles of 8 x 8 whole heights wide."""
+    return read(spark, sf_dir, "embeddings").select((F.col("vec_id") % 16).cast("int").alias("tx"), F.expr("int(vec_id div 16)").alias("ty"), F.transform("embedding", lambda v: F.floor(v.cast("double") * 1000).cast("double")).alias("pixels"))
+
+
 def viewshed_area(spark, sf_dir):
-    """Cells that an eye in the middle of each tile sees; without SQL."""
-    return raster.viewshed(read(spark, sf_dir, "embeddings").select("vec_id", "embedding"), "embedding", 8, (3, 4), 0.1, 4.0).select("vec_id", "visible")
+    """Cells that eyes in the tiles of label 3 see, up to two tiles off; cells of each eye and tile as the list of those seen."""
+    v = F.col("vec_id")
+    eyes = read(spark, sf_dir, "embeddings").filter("label = 3").select(v.alias("observer"), (v % 16 * 8 + v % 8).cast("int").alias("x"), F.expr("int(vec_id div 16 * 8 + vec_id div 8 % 8)").alias("y"), F.lit(150.0).alias("eye"), (F.lit(6.5) + v % 7).alias("radius"))
+    found = viewshed.viewsheds(ground_tiles(spark, sf_dir), eyes, 8, 8)
+    seen = F.array_join(F.filter(F.transform("visible", lambda f, i: F.when(f, i)), lambda i: i.isNotNull()).cast("array<string>"), ",")
+    return found.select("observer", "tx", "ty", seen.alias("seen")).filter("seen <> ''")
 
 
 def recode_tiles(spark, sf_dir):
@@ -530,6 +539,16 @@ SELECT k.vec_id, repair, CAST(pos AS INTEGER) AS pos, round(sum(q.v * greatest(0
     "names_and_windows": "SELECT p_partkey, CAST((p_partkey % 14) * 4096 AS INTEGER) AS left, CAST((p_size + 1) * 4096 AS INTEGER) AS bottom, 80000e0 + (p_partkey % 14) * 40960 AS xll, 665000e0 - (p_size + 1) * 40960 AS yll FROM part",
     "reversed_triangles": "WITH c AS (SELECT x * 4 + y AS id, x * 5 + y AS a FROM range(8) r(x), range(4) s(y)) SELECT id * 2 AS tid, a + 6 AS a, a + 5 AS b, a AS c FROM c UNION ALL SELECT id * 2 + 1, a + 1, a + 6, a FROM c",
     "vertex_positions": "SELECT id, round((id // 16) / 15e0, 8) AS u, round((id % 16) / 15e0, 8) AS v FROM range(256) r(id)",
+    "viewshed_area": """WITH h AS (SELECT (vec_id % 16) * 8 + (i - 1) % 8 AS x, (vec_id // 16) * 8 + (i - 1) // 8 AS y, floor(CAST(embedding[i] AS DOUBLE) * 1000) AS h FROM (SELECT vec_id, embedding, unnest(generate_series(1, len(embedding))) AS i FROM embeddings)),
+o AS (SELECT vec_id AS o, (vec_id % 16) * 8 + vec_id % 8 AS ox, (vec_id // 16) * 8 + (vec_id // 8) % 8 AS oy, 6.5e0 + vec_id % 7 AS radius, 7 + vec_id % 7 AS reach FROM embeddings WHERE label = 3), e AS (SELECT o.*, h + 150 AS base FROM o JOIN h ON x = ox AND y = oy),
+r AS (SELECT e.*, side, p, k, p * k / reach AS m, floor(p * k / reach) AS lo FROM e, range(4) s(side), range(-13, 14) q(p), range(1, 14) t(k) WHERE abs(p) <= reach AND k <= reach),
+g AS (SELECT *, CASE side WHEN 0 THEN ox + k WHEN 1 THEN ox - k ELSE ox + CAST(lo AS BIGINT) END AS ax, CASE side WHEN 2 THEN oy + k WHEN 3 THEN oy - k ELSE oy + CAST(lo AS BIGINT) END AS ay, CASE WHEN side > 1 THEN 1 ELSE 0 END AS sx, CASE WHEN side < 2 THEN 1 ELSE 0 END AS sy FROM r),
+z AS (SELECT g.*, (CASE WHEN m > lo THEN a.h + (b.h - a.h) * (m - lo) ELSE a.h END - base) / sqrt(CAST(k * k AS DOUBLE) + m * m) AS slope FROM g LEFT JOIN h a ON a.x = ax AND a.y = ay LEFT JOIN h b ON b.x = ax + sx AND b.y = ay + sy),
+w AS (SELECT o, side, p, k, max(slope) OVER (PARTITION BY o, side, p ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS horizon FROM z),
+c AS (SELECT e.*, x, y, h, x - ox AS dx, y - oy AS dy FROM e JOIN h ON x BETWEEN ox - reach AND ox + reach AND y BETWEEN oy - reach AND oy + reach WHERE sqrt(CAST((x - ox) * (x - ox) + (y - oy) * (y - oy) AS DOUBLE)) <= radius),
+d AS (SELECT *, greatest(abs(dx), abs(dy)) AS k, CASE WHEN abs(dx) >= abs(dy) THEN CASE WHEN dx > 0 THEN 0 ELSE 1 END WHEN dy > 0 THEN 2 ELSE 3 END AS side, CASE WHEN abs(dx) >= abs(dy) THEN dy ELSE dx END AS j FROM c),
+v AS (SELECT d.o, x, y FROM d LEFT JOIN w ON w.o = d.o AND w.side = d.side AND w.k = d.k AND w.p = CASE WHEN d.k > 0 THEN floor(d.j * reach / d.k + 0.5) END WHERE d.k = 0 OR w.horizon IS NULL OR (h - base) / sqrt(CAST(dx * dx + dy * dy AS DOUBLE)) >= w.horizon)
+SELECT o AS observer, CAST(x // 8 AS INTEGER) AS tx, CAST(y // 8 AS INTEGER) AS ty, string_agg((y % 8) * 8 + x % 8, ',' ORDER BY (y % 8) * 8 + x % 8) AS seen FROM v GROUP BY ALL""",
     "recode_tiles": f"""{C}, q AS (SELECT vec_id, floor(v * 4000) AS v, (vec_id % 4) / 3e0 AS q FROM c), s AS (SELECT *, CAST(round(pow(2e0, 12 * q)) AS BIGINT) AS step FROM q), d AS (SELECT vec_id, q, v - floor((v + step // 2) / step) * step AS d FROM s)
 SELECT vec_id, CASE WHEN min(q) < 1 THEN 'ok' ELSE 'error' END AS status, CASE WHEN min(q) >= 1 THEN 'quality 1.0 is not in 0 .. 1' END AS error, CASE WHEN min(q) < 1 THEN CAST(count(*) FILTER (d = 0) AS INTEGER) END AS n_identical, CASE WHEN min(q) < 1 THEN round(sqrt(avg(d * d)), 6) END AS rmse FROM d GROUP BY vec_id""",
     "missing_chunks": "WITH p AS (SELECT p_partkey, 'dem_' || p_size || '_x' || (p_partkey % 12) || '_y' || ((p_partkey // 12) % 12) AS prefix FROM part) SELECT DISTINCT prefix FROM p WHERE prefix NOT IN (SELECT prefix FROM p WHERE p_partkey < 100)",

@@ -41,28 +41,6 @@ def test_cells_are_triangulated_apart(spark):
         mesh.triangulate(spark.createDataFrame(rows[:2], "cell string, vid long, x double, y double")).collect()
 
 
-def test_viewshed_by_one_ray_a_cell(spark):
-    rng = np.random.default_rng(3)
-    h, width, (ox, oy), eye, radius = rng.random(63).round(3), 9, (4, 3), 0.2, 4.0
-    got = raster.viewshed(spark.createDataFrame([(1, h.tolist())], "tile int, px array<double>"), "px", width, (ox, oy), eye, radius).first().visible
-    at = lambda x, y: h[y * width + x]
-    base = at(ox, oy) + eye
-    for y in range(7):
-        for x in range(9):
-            dx, dy = x - ox, y - oy
-            want, n = math.hypot(dx, dy) <= radius, max(abs(dx), abs(dy))
-            for k in range(1, n):
-                px, py = ox + dx * k / n, oy + dy * k / n
-                if abs(dx) >= abs(dy):
-                    lo = math.floor(py)
-                    z = at(round(px), lo) + (at(round(px), min(lo + 1, 6)) - at(round(px), lo)) * (py - lo)
-                else:
-                    lo = math.floor(px)
-                    z = at(lo, round(py)) + (at(min(lo + 1, 8), round(py)) - at(lo, round(py))) * (px - lo)
-                want &= (at(x, y) - base) / math.hypot(dx, dy) >= (z - base) / math.hypot(px - ox, py - oy) - 1e-12
-            assert got[y * width + x] == want
-
-
 @pytest.mark.parametrize(
     "given, want",
     [
