@@ -1,11 +1,12 @@
 """Collocations: phrases whose words come together far more often than apart.
 
 All 1- to max_words-grams that can reach the least count leave the tasks as
-rows (lang, words, gram, n), counted within a few megabytes of text, and are
-counted by hash aggregation.  A gram is never more frequent than the grams
-within it, so the passes over the text go by size: words; pairs of frequent
-words; longer grams of frequent pairs.  What is frequent travels as a bitmap
-of hashes, of fixed size: a false hit costs a row that the count drops later,
+DataFrame rows, counted within a few megabytes of text, and are counted by hash
+aggregation.  A gram is never more frequent than the grams within it, so they
+go by size: words; pairs of frequent words; longer grams of frequent pairs.
+These passes count 40-bit hashes, whose sums can only be too high; what reaches
+the least count travels as a bitmap of fixed size to the last pass, which
+counts the grams themselves.  A false hit costs a row that this count drops,
 and no frequent gram is missed at any size of the table.
 
 Prefix and suffix counts of every cut are joined to the candidates, scores are
@@ -34,6 +35,8 @@ TO_PLAIN = bytes.maketrans(PIECE_ENDS + BLANKS, b"\n" * len(PIECE_ENDS) + b" " *
 #: Bytes of text that are counted at a time.
 CHUNK = 1 << 22
 SCHEMA = "lang string, words int, gram binary, n long"
+#: Bits of a gram's hash, and its multipliers (odd numbers).
+HASH_BITS, MIX = 40, (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 #: Bits of a row of Spark's bitmap functions.
 ROW_BITS = 15
 
@@ -49,11 +52,26 @@ def split_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     return words.indices.to_numpy(zero_copy_only=False).astype(np.int64), np.cumsum(flat == LINE)[starts], words.dictionary
 
 
-def frequent(lang: str, grams: pa.Array, bitmap: np.ndarray) -> np.ndarray:
-    """Whether each gram's bit is set."""
-    seed, mask = xxhash.xxh64_intdigest(lang.encode("utf-8", "surrogatepass"), 42), 8 * len(bitmap) - 1
-    slots = np.fromiter((xxhash.xxh64_intdigest(g, seed) & mask for g in grams.to_pylist()), np.int64, len(grams))
-    return (bitmap[slots >> 3] >> (slots & 7)) & 1 == 1
+def word_hashes(lang: str, dictionary: pa.Array) -> np.ndarray:
+    """64 bits for each word of a language."""
+    seed = xxhash.xxh64_intdigest(lang.encode("utf-8", "surrogatepass"), 42)
+    return np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in dictionary.to_pylist()), np.uint64, len(dictionary))
+
+
+def gram_hashes(words: np.ndarray, ids: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    """HASH_BITS bits for each gram of `size` words that starts at the given words."""
+    h = words[ids[at]]
+    for j in range(1, size):
+        h = (h ^ (h >> np.uint64(29))) * MIX[0] + words[ids[at + j]] * MIX[1]
+    return (h ^ (h >> np.uint64(32))) & np.uint64((1 << HASH_BITS) - 1)
+
+
+def frequent(hashes: np.ndarray, bitmap: np.ndarray | None) -> np.ndarray:
+    """Whether each hash's bit is set; all are where there is no bitmap."""
+    if bitmap is None:
+        return np.ones(len(hashes), bool)
+    slots = (hashes & np.uint64(8 * len(bitmap) - 1)).astype(np.int64)
+    return (bitmap[slots >> 3] >> (slots & 7).astype(np.uint8)) & 1 == 1
 
 
 def spelled(dictionary: pa.Array, ids: np.ndarray, at: np.ndarray, size: int) -> pa.Array:
@@ -61,67 +79,97 @@ def spelled(dictionary: pa.Array, ids: np.ndarray, at: np.ndarray, size: int) ->
     return pc.binary_join_element_wise(*[dictionary.take(pa.array(ids[at + j])) for j in range(size)], b" ")
 
 
-def counted_grams(lang: str, texts: list[bytes], sizes: range, bitmap: np.ndarray | None) -> Iterator[tuple[int, pa.Array, np.ndarray]]:
-    """(size, grams, counts) of texts of one language; grams that hold an infrequent word or pair are left out where there is a bitmap."""
-    ids, piece, dictionary = split_words(texts)
-    if not len(ids):
-        return
+def counted_grams(ids: np.ndarray, piece: np.ndarray, words: np.ndarray, sizes: range, bitmap: np.ndarray | None) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(size, first word, hash, count) of the distinct grams of some words; longer ones only where all words and pairs within are frequent.
+
+    ids, piece: see split_words; words: hashes of the dictionary.  Grams are
+    told apart by their words' numbers, not by hashes.
+    """
+    places = np.zeros(len(words), np.int64)
+    places[ids[::-1]] = np.arange(len(ids))[::-1]
+    single = gram_hashes(words, ids, places, 1)
     if 1 in sizes:
-        yield 0, pa.array([b""], pa.binary()), np.array([len(ids)])
-        yield 1, dictionary, np.bincount(ids, minlength=len(dictionary))
+        yield 1, places, single, np.bincount(ids, minlength=len(words))
     if sizes[-1] == 1:
         return
-    known = np.ones(len(dictionary), bool) if bitmap is None else frequent(lang, dictionary, bitmap)
+    known = frequent(single, bitmap)
     at = np.flatnonzero((piece[1:] == piece[:-1]) & known[ids[1:]] & known[ids[:-1]])
-    keys, first, pair_of, counts = np.unique(ids[at] * len(dictionary) + ids[at + 1], return_index=True, return_inverse=True, return_counts=True)
-    pairs = spelled(dictionary, ids, at[first], 2)
+    _, first, pair_of, counts = np.unique(ids[at] * len(words) + ids[at + 1], return_index=True, return_inverse=True, return_counts=True)
+    hashes = gram_hashes(words, ids, at[first], 2)
     if 2 in sizes:
-        yield 2, pairs, counts
+        yield 2, at[first], hashes, counts
     if sizes[-1] == 2 or not len(at):
         return
-    known = np.ones(len(pairs), bool) if bitmap is None else frequent(lang, pairs, bitmap)
+    known = frequent(hashes, bitmap)
     pair = np.full(len(ids), -1)  # the frequent pair that starts at a word
     pair[at] = np.where(known[pair_of], pair_of, -1)
     gram, at = pair, np.flatnonzero(pair >= 0)
     for size in range(3, sizes[-1] + 1):
         at = at[at + size - 1 < len(ids)]
         at = at[pair[at + size - 2] >= 0]
-        keys, first, gram_of, counts = np.unique(gram[at] * len(pairs) + pair[at + size - 2], return_index=True, return_inverse=True, return_counts=True)
-        if size in sizes and len(at):
-            yield size, spelled(dictionary, ids, at[first], size), counts
+        _, first, gram_of, counts = np.unique(gram[at] * len(hashes) + pair[at + size - 2], return_index=True, return_inverse=True, return_counts=True)
+        if len(at):
+            yield size, at[first], gram_hashes(words, ids, at[first], size), counts
         gram = np.full(len(ids), -1)
         gram[at] = gram_of
 
 
-def frequent_grams(texts: DataFrame, sizes: range, min_count: int, known: Broadcast | None) -> DataFrame:
-    """(lang, words, gram, n) of all grams of the given sizes in texts (_lang, _text) with n >= min_count; with words, the number of all of them as the gram of no word."""
+def runs_of_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[bytes]]]:
+    """(language, texts) of at most about CHUNK bytes, of batches (_lang, _text)."""
+    for batch in batches:
+        order = pc.sort_indices(batch.column(0))
+        langs, texts, at = batch.column(0).take(order).to_pylist(), batch.column(1), 0
+        while at < len(langs):
+            lang, held, size = langs[at], [], 0
+            while at < len(langs) and langs[at] == lang and (not held or size < CHUNK):
+                held.append(texts[order[at].as_py()].as_py())
+                size += len(held[-1])
+                at += 1
+            yield lang, held
+
+
+def frequent_hashes(texts: DataFrame, sizes: range, min_count: int, known: Broadcast | None) -> DataFrame:
+    """(h): hashes of grams of the given sizes that come to min_count."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap = known.value if known is not None else None
-        for batch in batches:
-            order = pc.sort_indices(batch.column(0))
-            langs, texts = batch.column(0).take(order).to_pylist(), batch.column(1)
-            at = 0
-            while at < len(langs):
-                lang, held, size = langs[at], [], 0
-                while at < len(langs) and langs[at] == lang and (not held or size < CHUNK):
-                    held.append(texts[order[at].as_py()].as_py())
-                    size += len(held[-1])
-                    at += 1
-                for words, grams, counts in counted_grams(lang, held, sizes, bitmap):
-                    n = len(grams)
-                    yield pa.RecordBatch.from_arrays([pa.array([lang], pa.string()).take(pa.array(np.zeros(n, np.int64))), pa.array(np.full(n, words, np.int32)), grams, pa.array(counts.astype(np.int64))], ["lang", "words", "gram", "n"])
+        for lang, held in runs_of_texts(batches):
+            ids, piece, dictionary = split_words(held)
+            if len(ids):
+                for size, _, hashes, counts in counted_grams(ids, piece, word_hashes(lang, dictionary), sizes, bitmap):
+                    if size in sizes:
+                        yield pa.RecordBatch.from_arrays([pa.array(hashes.astype(np.int64)), pa.array(counts.astype(np.int64))], ["h", "n"])
+
+    return texts.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= min_count).select("h")
+
+
+def frequent_grams(texts: DataFrame, max_words: int, min_count: int, known: Broadcast) -> DataFrame:
+    """(lang, words, gram, n) of all grams with n >= min_count; with words, the number of all of them as the gram of no word."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bitmap = known.value
+        for lang, held in runs_of_texts(batches):
+            ids, piece, dictionary = split_words(held)
+            if not len(ids):
+                continue
+            found = [(0, pa.array([b""], pa.binary()), np.array([len(ids)]))]
+            for size, at, hashes, counts in counted_grams(ids, piece, word_hashes(lang, dictionary), range(1, max_words + 1), bitmap):
+                keep = frequent(hashes, bitmap)
+                found.append((size, spelled(dictionary, ids, at[keep], size), counts[keep]))
+            for words, grams, counts in found:
+                n = len(grams)
+                yield pa.RecordBatch.from_arrays([pa.array([lang], pa.string()).take(pa.array(np.zeros(n, np.int64))), pa.array(np.full(n, words, np.int32)), grams, pa.array(counts.astype(np.int64))], ["lang", "words", "gram", "n"])
 
     rows = texts.mapInArrow(run, SCHEMA)
     return checkpoint(rows.groupBy("lang", "words", "gram").agg(F.sum("n").alias("n")).filter(F.col("n") >= min_count))
 
 
-def bitmap_of(grams: DataFrame, bits: int) -> np.ndarray:
-    """A bit for the hash of every gram's language and words; 2^bits bits, which tasks make and the driver only lays side by side."""
-    slot = F.xxhash64("lang", "gram").bitwiseAND((1 << bits) - 1)
-    found = grams.select(slot.alias("s")).groupBy(F.shiftright("s", ROW_BITS).alias("row")).agg(F.bitmap_construct_agg(F.col("s").bitwiseAND((1 << ROW_BITS) - 1)).alias("bits"))
+def bitmap_of(hashes: DataFrame, bits: int) -> np.ndarray:
+    """The lowest bits of all hashes (h) as a bitmap of 2^bits bits, which tasks make and the driver only lays side by side."""
+    slot = F.col("h").bitwiseAND((1 << bits) - 1)
+    found = hashes.select(slot.alias("s")).groupBy(F.shiftright("s", ROW_BITS).alias("row")).agg(F.bitmap_construct_agg(F.col("s").bitwiseAND((1 << ROW_BITS) - 1)).alias("bits"))
     out = np.zeros((1 << (bits - ROW_BITS), 1 << (ROW_BITS - 3)), np.uint8)
-    for row in found.toLocalIterator():
+    for row in found.collect():
         out[row[0]] = np.frombuffer(row[1], np.uint8)
     return out.ravel()
 
@@ -135,12 +183,12 @@ def phrase_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
     words and pairs are frequent, 15 at least; fewer cost time, never a phrase.
     """
     texts = docs.filter(F.col(text_col).isNotNull()).select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("_lang"), F.col(text_col).cast("binary").alias("_text"))
-    found = frequent_grams(texts, range(1, 2), min_count, None)
     sc = docs.sparkSession.sparkContext
+    bitmap = bitmap_of(frequent_hashes(texts, range(1, 2), min_count, None), filter_bits)
     for sizes in (range(2, 3), range(3, max_words + 1)):
         if sizes and sizes[-1] <= max_words:
-            found = found.unionByName(frequent_grams(texts, sizes, min_count, sc.broadcast(bitmap_of(found.filter("words > 0"), filter_bits))))
-    return found.withColumn("gram", F.col("gram").cast("string"))
+            bitmap = bitmap | bitmap_of(frequent_hashes(texts, sizes, min_count, sc.broadcast(bitmap)), filter_bits)
+    return frequent_grams(texts, max_words, min_count, sc.broadcast(bitmap)).withColumn("gram", F.col("gram").cast("string"))
 
 
 def collocations(counts: DataFrame, max_words: int = 5, top: int | None = 2000, inside_percent: int = 100) -> DataFrame:
