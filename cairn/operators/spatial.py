@@ -86,20 +86,6 @@ def nearest_observer(tiles: DataFrame, observers: DataFrame, radius: float, cell
     return tiles.join(met, "tile", "left").withColumn("lod_distance", F.least("camera_distance", F.col("_far"))).drop("_far")
 
 
-def terrain_picks(rays: DataFrame, cells: DataFrame, size: float, step: float, far: float) -> DataFrame:
-    """rays (ray, x, y, z, vx, vy, vz) with t and the point of their nearest hit on the cells (cell_e, cell_n, height); null where they miss.
-
-    Each ray is cut into steps; a step meets its cell by an equi-join and hits
-    where it isn't above it.
-    """
-    steps = rays.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(int(far / step))))).withColumn("_t", F.col("_k") * F.lit(float(step)))
-    at = {f"_{c}": F.col(c) + F.col(f"v{c}") * F.col("_t") for c in "xyz"}
-    steps = steps.withColumns(at).withColumns({"cell_e": (F.floor(F.col("_x") / size) * size).cast("long"), "cell_n": (F.floor(F.col("_y") / size) * size).cast("long")})
-    hits = steps.join(cells, ["cell_e", "cell_n"]).filter(F.col("_z") <= F.col("height"))
-    first = hits.groupBy("ray").agg(F.min_by(F.struct("_t", "_x", "_y", "height"), "_t").alias("_hit"))
-    return rays.join(first, "ray", "left").select(*[rays[c] for c in rays.columns], F.col("_hit._t").alias("t"), F.col("_hit._x").alias("hit_x"), F.col("_hit._y").alias("hit_y"), F.col("_hit.height").alias("hit_z"))
-
-
 def lod_table(levels: DataFrame) -> DataFrame:
     """Levels of detail (distance, insert_ix, ...) in the order they were put in: by distance, the earlier of ties first, numbered from 0.
 

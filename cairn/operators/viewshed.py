@@ -31,9 +31,9 @@ SIDES = ((1, 0), (-1, 0), (0, 1), (0, -1))
 
 
 def with_halo(tiles: DataFrame, width: int, height: int) -> DataFrame:
-    """tiles (tx, ty, pixels) with the cells of the four neighbours along their edges: _west, _east (columns), _north, _south (rows); null where there is no tile."""
+    """tiles (tx, ty, pixels) with the cells of their neighbours along the edges: _west, _east (columns), _north, _south (rows), _corner (one cell, south-east); null where there is no tile."""
     column = lambda x: F.transform(F.sequence(F.lit(0), F.lit(height - 1)), lambda y: F.get("pixels", y * width + x))
-    sent = [("_west", 1, 0, column(width - 1)), ("_east", -1, 0, column(0)), ("_north", 0, 1, F.slice("pixels", (height - 1) * width + 1, width)), ("_south", 0, -1, F.slice("pixels", 1, width))]
+    sent = [("_west", 1, 0, column(width - 1)), ("_east", -1, 0, column(0)), ("_north", 0, 1, F.slice("pixels", (height - 1) * width + 1, width)), ("_south", 0, -1, F.slice("pixels", 1, width)), ("_corner", -1, -1, F.slice("pixels", 1, 1))]
     edges = F.inline(F.array(*[F.struct((F.col("tx") + dx).alias("tx"), (F.col("ty") + dy).alias("ty"), F.lit(name).alias("edge"), cells.alias("cells")) for name, dx, dy, cells in sent]))
     halo = tiles.select(edges).groupBy("tx", "ty").agg(*[F.max(F.when(F.col("edge") == name, F.col("cells"))).alias(name) for name, *_ in sent])
     return tiles.join(halo, ["tx", "ty"], "left")

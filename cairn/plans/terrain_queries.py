@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from cairn.functions import formats, geodesy, views
 from cairn.functions import scalars as S
-from cairn.operators import frames, grids, mesh, raster, reports, spatial, tracks, viewshed
+from cairn.operators import frames, grids, mesh, picking, raster, reports, spatial, tracks, viewshed
 from cairn.plans import fixtures
 from cairn.plans.proxies import read, track_points
 from cairn.sources import catalogs, geojson, gpx, rasters, shapefile, tiff
@@ -319,11 +319,12 @@ def observed_tiles(spark, sf_dir):
 
 
 def terrain_picks(spark, sf_dir):
-    k = F.col("p_partkey")
-    rays = read(spark, sf_dir, "part").select(k.alias("ray"), ((k * 37) % 1000).cast("double").alias("x"), ((k * 91) % 1000).cast("double").alias("y"), F.lit(300.0).alias("z"), F.lit(0.5).alias("vx"), (0.25 * (k % 3)).alias("vy"), (-0.125 - 0.125 * (k % 4)).alias("vz"))
-    i, j = F.expr("id div 20"), F.col("id") % 20
-    cells = spark.range(400).select((i * 100).alias("cell_e"), (j * 100).alias("cell_n"), ((i * 31 + j * 17) % 23 * 10).cast("double").alias("height"))
-    return spatial.terrain_picks(rays, cells, 100.0, 25.0, 2000.0).select("ray", "t", "hit_x", "hit_y", "hit_z")
+    """A ray from above each tile, across some tiles down to the ground."""
+    v = F.col("vec_id")
+    part = lambda n, d: (v % n - n // 2) / 8.0 + d
+    rays = read(spark, sf_dir, "embeddings").select(v.alias("ray"), (v % 16 * 8 + 4.3).alias("x"), (F.floor(v / 16) * 8 + 2.6).alias("y"), F.lit(700.0).alias("z"), part(7, 0.0625).alias("vx"), part(5, 0.03125).alias("vy"), (-4.0 * (1 + v % 4)).alias("vz"))
+    found = picking.terrain_picks(rays, ground_tiles(spark, sf_dir), 8, 8, 200.0)
+    return found.select("ray", "reason", *rounded(4, "t", "hit_x", "hit_y", "hit_z"))
 
 
 def level_order(spark, sf_dir):
@@ -555,9 +556,17 @@ SELECT vec_id, CASE WHEN min(q) < 1 THEN 'ok' ELSE 'error' END AS status, CASE W
     "visible_tiles": "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_tax > 0.04 AND l_returnflag <> 'R'",
     "observed_tiles": f"""{O}, s AS (SELECT CAST(80000 + s_suppkey * 4000 AS DOUBLE) AS e, CAST(9640 + (s_suppkey * 7919) % 60000 AS DOUBLE) AS n FROM supplier), d AS (SELECT o_orderkey, min(sqrt((east - e) * (east - e) + (north - n) * (north - n))) AS d FROM o, s GROUP BY o_orderkey)
 SELECT o_orderkey AS tile, round(CASE WHEN d <= 10000 THEN least(d, east % 40000) ELSE east % 40000 END, 5) AS lod_distance FROM o JOIN d USING (o_orderkey)""",
-    "terrain_picks": """WITH r AS (SELECT p_partkey AS ray, (p_partkey * 37) % 1000 AS x, (p_partkey * 91) % 1000 AS y, 0.25e0 * (p_partkey % 3) AS vy, -0.125e0 - 0.125e0 * (p_partkey % 4) AS vz FROM part), s AS (SELECT ray, 25e0 * i AS t, x + 0.5e0 * 25 * i AS px, y + vy * 25 * i AS py, 300 + vz * 25 * i AS pz FROM r, range(81) g(i)),
-h AS (SELECT *, CAST((CAST(floor(px / 100) AS BIGINT) * 31 + CAST(floor(py / 100) AS BIGINT) * 17) % 23 * 10 AS DOUBLE) AS z FROM s WHERE px >= 0 AND px < 2000 AND py >= 0 AND py < 2000), f AS (SELECT ray, arg_min({'t': t, 'x': px, 'y': py, 'z': z}, t) AS f FROM h WHERE pz <= z GROUP BY ray)
-SELECT r.ray, f.f.t AS t, f.f.x AS hit_x, f.f.y AS hit_y, f.f.z AS hit_z FROM r LEFT JOIN f USING (ray)""",
+    "terrain_picks": """WITH h AS (SELECT (vec_id % 16) * 8 + (i - 1) % 8 AS x, (vec_id // 16) * 8 + (i - 1) // 8 AS y, floor(CAST(embedding[i] AS DOUBLE) * 1000) AS h FROM (SELECT vec_id, embedding, unnest(generate_series(1, len(embedding))) AS i FROM embeddings)),
+l AS (SELECT *, lead(h) OVER (PARTITION BY y ORDER BY x) AS h1 FROM h), n AS MATERIALIZED (SELECT x AS i, y AS j, h, h1, lead(h) OVER (PARTITION BY x ORDER BY y) AS h2, lead(h1) OVER (PARTITION BY x ORDER BY y) AS h3 FROM l),
+r AS (SELECT vec_id AS ray, vec_id % 16 * 8 + 4.3e0 AS x, vec_id // 16 * 8 + 2.6e0 AS y, (vec_id % 7 - 3) / 8e0 + 0.0625e0 AS vx, (vec_id % 5 - 2) / 8e0 + 0.03125e0 AS vy, -4e0 * (1 + vec_id % 4) AS vz FROM embeddings),
+c AS (SELECT *, unnest(range(CAST(floor(least(x, x + 200 * vx)) AS BIGINT), CAST(floor(greatest(x, x + 200 * vx)) AS BIGINT) + 1)) AS i FROM r), d AS (SELECT *, greatest(0e0, least((i - x) / vx, (i + 1 - x) / vx)) AS a, least(200e0, greatest((i - x) / vx, (i + 1 - x) / vx)) AS b FROM c),
+e AS (SELECT *, unnest(range(CAST(floor(least(y + a * vy, y + b * vy)) AS BIGINT), CAST(floor(greatest(y + a * vy, y + b * vy)) AS BIGINT) + 1)) AS j FROM d WHERE a <= b),
+f AS (SELECT e.* EXCLUDE (a, b), greatest(a, least((j - y) / vy, (j + 1 - y) / vy)) AS a, least(b, greatest((j - y) / vy, (j + 1 - y) / vy)) AS b FROM e),
+g AS (SELECT f.*, h, h1 - h AS hx, h2 - h AS hy, h - h1 - h2 + h3 AS w, f.x - f.i AS u, f.y - f.j AS v FROM f JOIN n ON n.i = f.i AND n.j = f.j AND h3 IS NOT NULL WHERE a <= b),
+p AS (SELECT *, -w * vx * vy AS p, vz - hx * vx - hy * vy - w * (u * vy + v * vx) AS q, 700 - h - hx * u - hy * v - w * u * v AS r FROM g),
+s AS (SELECT *, CASE WHEN q * q - 4 * p * r >= 0 THEN -0.5e0 * (q + CASE WHEN q < 0 THEN -1 ELSE 1 END * sqrt(greatest(q * q - 4 * p * r, 0e0))) END AS s FROM p),
+t AS (SELECT ray, unnest([CASE WHEN (p * a + q) * a + r <= 0 THEN a END, CASE WHEN p <> 0 AND s / p BETWEEN a AND b THEN s / p END, CASE WHEN s <> 0 AND r / s BETWEEN a AND b THEN r / s END]) AS t FROM s), z AS (SELECT ray, min(t) AS t FROM t GROUP BY ray)
+SELECT r.ray, CASE WHEN t IS NULL THEN 'empty-pixel' ELSE 'hit' END AS reason, round(t, 4) AS t, round(x + vx * t, 4) AS hit_x, round(y + vy * t, 4) AS hit_y, round(700 + vz * t, 4) AS hit_z FROM r LEFT JOIN z USING (ray)""",
     "level_order": "SELECT CAST(abs(n_nationkey - 12) * 1000 AS INTEGER) AS distance, n_nationkey AS insert_ix, CAST(row_number() OVER (ORDER BY abs(n_nationkey - 12), n_nationkey) - 1 AS INTEGER) AS level FROM nation",
     "map_views": f"""{P}, z AS (SELECT *, 6378137e0 * cos(radians(lat)) * pi() / 256 AS k, ele * 500 + 10 AS d FROM p), m AS (SELECT *, least(22e0, greatest(0e0, log2(k / (d * 0.001e0)))) AS zoom FROM z)
 SELECT ix, round(CASE WHEN zoom = 0 THEN 14 ELSE zoom END, 6) AS zoom, round(degrees(lon / 2), 6) AS bearing, round(degrees(ele / 100), 6) AS pitch, round(k / pow(2e0, CASE WHEN zoom = 0 THEN 14 ELSE zoom END) / 0.001e0, 3) AS distance, round(ele / 100, 6) AS pitch_back FROM m""",
