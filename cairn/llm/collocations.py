@@ -1,12 +1,11 @@
 """Collocations: phrases whose words come together far more often than apart.
 
 All 1- to max_words-grams that can reach the least count leave the tasks as
-DataFrame rows, counted within a few megabytes of text, and are counted by hash
-aggregation.  A gram is never more frequent than the grams within it, so they
+DataFrame rows and are counted by hash aggregation.  A gram is never more frequent than the grams within it, so they
 go by size: words; pairs of frequent words; longer grams of frequent pairs.
 These passes count 40-bit hashes, whose sums can only be too high; what reaches
-the least count travels as a bitmap of fixed size to the last pass, which
-counts the grams themselves.  A false hit costs a row that this count drops,
+the least count travels as a bitmap of fixed size to the last pass, which has a
+row for every occurrence of a gram and counts the grams themselves.  A false hit costs a row that this count drops,
 and no frequent gram is missed at any size of the table.
 
 Prefix and suffix counts of every cut are joined to the candidates, scores are
@@ -144,7 +143,11 @@ def frequent_hashes(texts: DataFrame, sizes: range, min_count: int, known: Broad
 
 
 def frequent_grams(texts: DataFrame, max_words: int, min_count: int, known: Broadcast) -> DataFrame:
-    """(lang, words, gram, n) of all grams with n >= min_count; with words, the number of all of them as the gram of no word."""
+    """(lang, words, gram, n) of all grams with n >= min_count; with words, the number of all of them as the gram of no word.
+
+    Every occurrence is a row, which Spark counts within its task before
+    anything moves.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap = known.value
@@ -155,7 +158,8 @@ def frequent_grams(texts: DataFrame, max_words: int, min_count: int, known: Broa
             found = [(0, pa.array([b""], pa.binary()), np.array([len(ids)]))]
             for size, at, hashes, counts in counted_grams(ids, piece, word_hashes(lang, dictionary), range(1, max_words + 1), bitmap):
                 keep = frequent(hashes, bitmap)
-                found.append((size, spelled(dictionary, ids, at[keep], size), counts[keep]))
+                each = np.repeat(np.arange(np.count_nonzero(keep)), counts[keep])
+                found.append((size, spelled(dictionary, ids, at[keep], size).take(pa.array(each)), np.ones(len(each), np.int64)))
             for words, grams, counts in found:
                 n = len(grams)
                 yield pa.RecordBatch.from_arrays([pa.array([lang], pa.string()).take(pa.array(np.zeros(n, np.int64))), pa.array(np.full(n, words, np.int32)), grams, pa.array(counts.astype(np.int64))], ["lang", "words", "gram", "n"])
