@@ -1,8 +1,7 @@
 """Ordered computations on frames and track points (track, ix, ts).
 
-Sums and steps in time are spread over stretches of a track (tracks.so_far).
-What looks a few rows ahead or folds a gesture orders a track within one task:
-GPS tracks and gestures are small; split longer streams into sessions first.
+All of them take a track's order in stretches (cairn.operators.ordered): sums
+are carried over from stretch to stretch, and rows near a cut are copied.
 """
 
 from __future__ import annotations
@@ -11,29 +10,22 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.functions.scalars import smoothstep
-from cairn.operators.tracks import BUCKET, in_order, so_far
+from cairn.operators.ordered import so_far, with_neighbours
 
 
 def look_ahead(points: DataFrame, value: str, stride: int = 3, samples: int = 9) -> DataFrame:
     """Mean of the points stride, 2 * stride, ... ahead, as far as the track goes; null at its end."""
-    ahead = F.array_compact(F.array(*[F.lead(value, stride * k).over(in_order()) for k in range(1, samples + 1)]))
+    names = {f"_ahead_{k}": (value, stride * k) for k in range(1, samples + 1)}
+    ahead = F.array_compact(F.array(*names))
     total = F.aggregate(ahead, F.lit(0.0), lambda s, x: s + x)
-    return points.withColumn("ahead", F.when(F.size(ahead) > 0, total / F.size(ahead)))
+    return with_neighbours(points, names).withColumn("ahead", F.when(F.size(ahead) > 0, total / F.size(ahead))).drop(*names)
 
 
-def frame_delta(points: DataFrame, longest: float, bucket: float = BUCKET) -> DataFrame:
-    """Seconds since the frame before, at most `longest`; 0 on the first and on those without a time.
-
-    Cut into stretches like so_far(); the first frame of a stretch looks back
-    to the last time of the stretches before.
-    """
-    us = F.unix_micros("ts")
-    cut = points.withColumn("_bucket", F.coalesce(F.floor(us / F.lit(bucket * 1e6)), F.lit(-(1 << 62))))
-    last = cut.groupBy("track", "_bucket").agg(F.max(us).alias("_last"))
-    earlier = F.max("_last").over(Window.partitionBy("track").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))
-    timed = cut.withColumn("_before", F.lag(us).over(Window.partitionBy("track", "_bucket").orderBy("ts", "ix"))).join(last.select("track", "_bucket", earlier.alias("_last")), ["track", "_bucket"])
-    dt = (us - F.coalesce("_before", "_last")) / F.lit(1e6)
-    return timed.withColumn("dt", F.coalesce(F.least(dt, F.lit(longest)), F.lit(0.0))).select(*[c for c in points.columns if c != "dt"], "dt")
+def frame_delta(points: DataFrame, longest: float) -> DataFrame:
+    """Seconds since the frame before, at most `longest`; 0 on the first and on those without a time."""
+    timed = with_neighbours(points.withColumn("_us", F.unix_micros("ts")), {"_before": ("_us", -1)})
+    dt = F.least((F.col("_us") - F.col("_before")) / F.lit(1e6), F.lit(longest))
+    return timed.withColumn("dt", F.coalesce(dt, F.lit(0.0))).select(*[c for c in points.columns if c != "dt"], "dt")
 
 
 def running_sum(frames: DataFrame, value: Column, name: str) -> DataFrame:
@@ -59,19 +51,18 @@ def promoted(frames: DataFrame, duration: float, pending: str, displayed: str) -
 def smoothed_velocity(moves: DataFrame, dx: str, dy: str, smooth_ms: float = 90.0, longest: float = 0.25) -> DataFrame:
     """(track, vx, vy): velocity at the end of each gesture, each move's own drawn in by 1 - exp(-dt / tau); moves with no time or over `longest` seconds between them count for nothing.
 
-    A gesture's moves are folded in order inside one array; gestures are short.
+    Drawing in one move after another weighs each by the decay over the time
+    of those after it, so the fold is a sum; times so far come from stretches
+    of a gesture and its whole time is joined back.
     """
-    order = in_order()
-    dt = (F.unix_micros("ts") - F.lag(F.unix_micros("ts")).over(order)) / F.lit(1e6)
-    timed = moves.withColumn("_dt", dt).filter((F.col("_dt") > 0) & (F.col("_dt") <= longest))
-    steps = F.array_sort(F.collect_list(F.struct("ts", "ix", F.col("_dt").alias("dt"), F.col(dx).cast("double").alias("dx"), F.col(dy).cast("double").alias("dy"))))
-    start = F.struct(F.lit(0.0).alias("vx"), F.lit(0.0).alias("vy"))
-
-    def pull(v: Column, m: Column) -> Column:
-        share = 1 - F.exp(-m["dt"] / (smooth_ms / 1000))
-        return F.struct(*[(v[k] + (m[d] / m["dt"] - v[k]) * share).alias(k) for k, d in (("vx", "dx"), ("vy", "dy"))])
-
-    return timed.groupBy("track").agg(F.aggregate(steps, start, pull).alias("v")).select("track", "v.vx", "v.vy")
+    tau = smooth_ms / 1000
+    timed = with_neighbours(moves.withColumn("_us", F.unix_micros("ts")), {"_before": ("_us", -1)})
+    timed = timed.withColumn("_dt", (F.col("_us") - F.col("_before")) / F.lit(1e6)).filter((F.col("_dt") > 0) & (F.col("_dt") <= longest))
+    timed = timed.select("track", "ix", "ts", "_dt", F.col(dx).cast("double").alias("_dx"), F.col(dy).cast("double").alias("_dy"))
+    whole = timed.groupBy("track").agg(F.sum(F.col("_dt").cast("decimal(38,10)")).cast("double").alias("_whole"))
+    at = running_sum(timed, F.col("_dt"), "_t").join(whole, "track")
+    weight = (1 - F.exp(-F.col("_dt") / tau)) * F.exp((F.col("_t") - F.col("_whole")) / tau)
+    return at.groupBy("track").agg(*[F.sum(weight * F.col(d) / F.col("_dt")).alias(v) for v, d in (("vx", "_dx"), ("vy", "_dy"))])
 
 
 def coasting(frames: DataFrame, speed: str, damping: float = 7.0, least: float = 24.0) -> DataFrame:
@@ -106,9 +97,8 @@ def wheel_gestures(steps: DataFrame, idle_ms: int = 80, cooldown_ms: int = 180)
 
 def changes(points: DataFrame, key: str) -> DataFrame:
     """Rows whose key differs from the row before; the first of a track counts."""
-    before = F.lag(key).over(in_order())
-    first = F.row_number().over(in_order()) == 1
-    return points.withColumn("_changed", first | ~F.col(key).eqNullSafe(before)).filter("_changed").drop("_changed")
+    found = with_neighbours(points.withColumn("_one", F.lit(1)), {"_before": (key, -1), "_any": ("_one", -1)})
+    return found.filter(F.col("_any").isNull() | ~F.col(key).eqNullSafe(F.col("_before"))).drop("_before", "_any", "_one")
 
 
 def pulse(points: DataFrame, clock: float, rate: float = 0.02, lift: float = 100.0) -> DataFrame:

@@ -1,38 +1,15 @@
-"""Operators on track points (track, ix, ts, lat, lon, ele): one row a point."""
+"""Operators on track points (track, ix, ts, lat, lon, ele): one row a point.
+
+What needs the order of a track takes it in stretches (cairn.operators.ordered),
+so a track may hold much of a table.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def in_order(track: str = "track"):
-    return Window.partitionBy(track).orderBy("ts", "ix")
-
-
-#: Seconds of a track that are ordered in one task by so_far().
-BUCKET = 86400
-
-
-def so_far(points: DataFrame, measures: dict[str, tuple[str, Column]], bucket: float = BUCKET) -> DataFrame:
-    """points with running measures in order of time: name -> (min, max, sum or count, column).
-
-    A track is cut into stretches of `bucket` seconds, each ordered in a task
-    of its own; what earlier stretches add up to is carried to the later
-    ones.  So a long track, or one that holds much of a table, is spread.
-    Rows without a time come first; rows without a track are left out.
-    """
-    fold = {"min": F.min, "max": F.max, "sum": F.sum, "count": F.count}
-    merge = {"min": F.least, "max": F.greatest, "sum": lambda a, b: F.coalesce(a + b, a, b), "count": lambda a, b: F.coalesce(a + b, a, b)}
-    cut = points.withColumn("_bucket", F.coalesce(F.floor(F.unix_micros("ts") / F.lit(bucket * 1e6)), F.lit(-(1 << 62))))
-    totals = cut.groupBy("track", "_bucket").agg(*[fold[kind](c).alias(f"_t_{n}") for n, (kind, c) in measures.items()])
-    earlier = Window.partitionBy("track").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    again = fold | {"count": F.sum}
-    carry = totals.select("track", "_bucket", *[again[kind](f"_t_{n}").over(earlier).alias(f"_c_{n}") for n, (kind, _) in measures.items()])
-    own = Window.partitionBy("track", "_bucket").orderBy("ts", "ix").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    run = cut.withColumns({f"_r_{n}": fold[kind](c).over(own) for n, (kind, c) in measures.items()}).join(carry, ["track", "_bucket"])
-    out = run.withColumns({n: merge[kind](F.col(f"_c_{n}"), F.col(f"_r_{n}")) for n, (kind, _) in measures.items()})
-    return out.select(*[c for c in points.columns if c not in measures], *measures)
+from cairn.operators.ordered import as_of, ranked, so_far, with_neighbours
 
 
 def elapsed(points: DataFrame) -> DataFrame:
@@ -55,20 +32,17 @@ def bounds(points: DataFrame) -> DataFrame:
 
 def decimate(points: DataFrame, most: int) -> DataFrame:
     """Every ceil(n / most)-th point of tracks with more than `most`."""
-    n = F.count("*").over(Window.partitionBy("track"))
-    at = F.row_number().over(in_order()) - 1
-    step = F.greatest(F.ceil(n / F.lit(most)), F.lit(1))
-    return points.withColumns({"point_ix": at, "_step": step}).filter("point_ix % _step = 0").drop("_step")
+    step = F.greatest(F.ceil(F.col("_n") / F.lit(most)), F.lit(1))
+    return ranked(points, "point_ix").withColumn("point_ix", F.col("point_ix").cast("int")).filter(F.col("point_ix") % step == 0).drop("_n")
 
 
 def playhead(points: DataFrame, time: float, rate: float = 0.02) -> DataFrame:
     """(track, ele, lat, lon): where a head that runs round each track stands, between its point and the next; the last is followed by the first.
 
     The head's place is a share of the number of points.  A track meets in one
-    aggregate of its two points; ordering takes one window by track.
+    aggregate of its two points.
     """
-    n = F.count("*").over(Window.partitionBy("track"))
-    numbered = points.withColumns({"_n": n, "_i": F.row_number().over(in_order()) - 1})
+    numbered = ranked(points)
     place = F.col("_n") * F.lit(time * rate)
     place = place - F.floor(place / F.col("_n")) * F.col("_n")
     placed = numbered.withColumns({"_at": F.floor(place), "_share": place - F.floor(place)})
@@ -78,9 +52,19 @@ def playhead(points: DataFrame, time: float, rate: float = 0.02) -> DataFrame:
     return two.select("track", *[(F.col(f"_a_{c}") + (F.col(f"_b_{c}") - F.col(f"_a_{c}")) * F.col("_share")).alias(c) for c in ("lat", "lon", "ele")])
 
 
+def playhead_at(heads: DataFrame, points: DataFrame) -> DataFrame:
+    """heads (track, ts, ...) with lat, lon and ele of their track at that time, between the last point before and the next; null before the first, the last point's from then on."""
+    with_next = with_neighbours(points, {f"next_{c}": (c, 1) for c in ("ts", "lat", "lon", "ele")})
+    values = ["lat", "lon", "ele", "next_ts", "next_lat", "next_lon", "next_ele"]
+    found = as_of(heads, with_next, values)
+    us = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    share = F.when(us("at_next_ts") > us("at_ts"), (us("ts") - us("at_ts")) / (us("at_next_ts") - us("at_ts"))).otherwise(0.0)
+    return found.select(*[c for c in heads.columns if c not in values], *[(F.col(f"at_{c}") + F.coalesce(F.col(f"at_next_{c}") - F.col(f"at_{c}"), F.lit(0.0)) * share).alias(c) for c in ("lat", "lon", "ele")])
+
+
 def midpoints(points: DataFrame) -> DataFrame:
     """Elevation half way to the next point; null at the end of a track."""
-    return points.withColumn("mid_ele", (F.col("ele") + F.lead("ele").over(in_order())) / 2)
+    return with_neighbours(points, {"_next": ("ele", 1)}).withColumn("mid_ele", (F.col("ele") + F.col("_next")) / 2).drop("_next")
 
 
 def running_stats(points: DataFrame) -> DataFrame:

@@ -210,6 +210,13 @@ def playhead_positions(spark, sf_dir):
     return tracks.playhead(track_points(spark, sf_dir), 37.0).select("track", *rounded(6, "lat", "lon", "ele"))
 
 
+def playhead_asof(spark, sf_dir):
+    """Where each user's track is at the times of their other events: clicks are the track, purchases ask."""
+    e = read(spark, sf_dir, "events").select(F.col("user_id").alias("track"), F.col("event_id").alias("ix"), F.col("ts").cast("timestamp").alias("ts"), "event_type", F.col("value").alias("ele"), (F.col("event_id") % 90).cast("double").alias("lat"), (F.col("event_id") % 7).cast("double").alias("lon"))
+    heads = e.filter("event_type = 'purchase'").select("track", "ts", F.col("ix").alias("event_id"))
+    return tracks.playhead_at(heads, e.filter("event_type = 'click'")).select("event_id", *rounded(6, "lat", "lon", "ele"))
+
+
 def svg_paths(spark, sf_dir):
     return tracks.svg_paths(track_points(spark, sf_dir), 72.0, 52.0, most=20)
 
@@ -405,7 +412,7 @@ def debug_snapshot(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     wgs_to_osgb, osgb_to_wgs, grid_references, half_encode, codebook_encode, normalised_tiles, contour_lines, colours, format_texts, status_texts, routes_and_names, gpx_points, gpx_metadata, archive_points, archive_mesh,
-    geojson_points, geojson_legacy_points, tiff_windows, tiff_resampled, tiff_patches, half_rasters, tile_catalog, playhead_positions, svg_paths, catalog_tracks, gesture_velocity, coasting, zoom_steps, wheel_gestures, transitions,
+    geojson_points, geojson_legacy_points, tiff_windows, tiff_resampled, tiff_patches, half_rasters, tile_catalog, playhead_positions, playhead_asof, svg_paths, catalog_tracks, gesture_velocity, coasting, zoom_steps, wheel_gestures, transitions,
     mirror_repair, raster_windows, names_and_windows, reversed_triangles, vertex_positions, cell_meshes, viewshed_area, recode_tiles, missing_chunks, visible_tiles, observed_tiles, terrain_picks, level_order, map_views,
     camera_offsets, camera_limits, anchored_zoom, screen_pixels, bench_report, count_parity, debug_snapshot,
 )}
@@ -520,6 +527,10 @@ SELECT q.vec_id, CASE WHEN failed THEN 'error' ELSE 'ok' END AS status, failed,
 SELECT x || ', ' || y AS key, CAST(x AS DOUBLE) AS xllcorner, CAST(y AS DOUBLE) AS yllcorner, CAST(4096 AS INTEGER) AS nrows, f AS source_filename, '{"xllcorner":' || x || '.0,"yllcorner":' || y || '.0,"nrows":4096,"ncols":4096,"source_filename":"' || f || '"}' AS sidecar FROM t""",
     "playhead_positions": f"""{P}, n AS (SELECT *, row_number() OVER (PARTITION BY track ORDER BY ts, ix) - 1 AS i, count(*) OVER (PARTITION BY track) AS n FROM p), h AS (SELECT *, n * 0.74e0 - floor(n * 0.74e0) AS s, floor(n * 0.74e0) AS k FROM n)
 SELECT a.track, round(a.lat + (b.lat - a.lat) * a.s, 6) AS lat, round(a.lon + (b.lon - a.lon) * a.s, 6) AS lon, round(a.ele + (b.ele - a.ele) * a.s, 6) AS ele FROM h a JOIN h b ON a.track = b.track AND a.i = a.k AND b.i = (a.k + 1) % a.n""",
+    "playhead_asof": """WITH e AS (SELECT user_id AS track, event_id, ts, event_type, value AS ele, CAST(event_id % 90 AS DOUBLE) AS lat, CAST(event_id % 7 AS DOUBLE) AS lon FROM events),
+c AS (SELECT *, row_number() OVER (PARTITION BY track, ts ORDER BY event_id DESC) AS k, lead(ts) OVER w AS nts, lead(ele) OVER w AS nele, lead(lat) OVER w AS nlat, lead(lon) OVER w AS nlon FROM e WHERE event_type = 'click' WINDOW w AS (PARTITION BY track ORDER BY ts, event_id)),
+j AS (SELECT p.event_id, c.*, CASE WHEN nts > c.ts THEN (epoch_us(p.ts) - epoch_us(c.ts)) / (epoch_us(nts) - epoch_us(c.ts)) ELSE 0 END AS s FROM (SELECT * FROM e WHERE event_type = 'purchase') p ASOF LEFT JOIN (SELECT * EXCLUDE (event_id) FROM c WHERE k = 1) c ON p.track = c.track AND p.ts >= c.ts)
+SELECT event_id, round(lat + coalesce(nlat - lat, 0) * s, 6) AS lat, round(lon + coalesce(nlon - lon, 0) * s, 6) AS lon, round(ele + coalesce(nele - ele, 0) * s, 6) AS ele FROM j""",
     "svg_paths": f"""{P}, n AS (SELECT *, row_number() OVER (PARTITION BY track ORDER BY ts, ix) - 1 AS i, count(*) OVER (PARTITION BY track) AS n FROM p), d AS (SELECT * FROM n WHERE i % CAST(ceil(n / 20.0) AS BIGINT) = 0),
 b AS (SELECT track, max(lat) AS top, min(lon) AS west, coalesce(nullif(max(lat) - min(lat), 0), 1e-6) AS h, coalesce(nullif(max(lon) - min(lon), 0), 1e-6) AS w, count(*) AS k FROM d GROUP BY track), s AS (SELECT *, least(66 / w, 46 / h) AS z FROM b)
 SELECT track, CASE WHEN min(k) < 2 THEN '' ELSE string_agg(CASE WHEN i = 0 THEN 'M' ELSE 'L' END || printf('%.1f,%.1f', 3 + (66 - w * z) / 2 + (lon - west) * z, 3 + (46 - h * z) / 2 + (top - lat) * z), '' ORDER BY i) END AS path FROM d JOIN s USING (track) GROUP BY track""",

@@ -1,33 +1,19 @@
 """Every query with SQL gives the rows of its SQL on the smallest tables."""
 
-import math
-import os
-
-import duckdb
 import pytest
 
 from cairn.plans.queries import ORACLE_SQL, QUERIES
-
-SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-
-
-def rows(columns, found):
-    at = sorted(range(len(columns)), key=columns.__getitem__)
-    cell = lambda v: round(v, 5) if isinstance(v, float) and math.isfinite(v) else v
-    return sorted(tuple(cell(r[i]) for i in at) for r in found) if not any(None in tuple(r) for r in found) else sorted(str(tuple(cell(r[i]) for i in at)) for r in found)
+from tests_support import db, rows_of
 
 
 @pytest.fixture(scope="module")
-def db():
-    con = duckdb.connect()
-    for t in "nation customer supplier part orders lineitem events embeddings".split():
-        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
-    return con
+def connection():
+    return db.connection()
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
-def test_query(spark, db, name):
-    got = QUERIES[name](spark, SF)
-    want = db.sql(ORACLE_SQL[name])
+def test_query(spark, connection, name):
+    got = QUERIES[name](spark, db.folder)
+    want = connection.sql(ORACLE_SQL[name])
     assert sorted(got.columns) == sorted(want.columns)
-    assert rows(got.columns, got.collect()) == rows(want.columns, want.fetchall())
+    assert rows_of(got.columns, got.collect()) == rows_of(want.columns, want.fetchall())
