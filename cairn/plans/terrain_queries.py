@@ -147,7 +147,9 @@ def archive_mesh(spark, sf_dir):
 
 
 def geojson_points(spark, sf_dir):
-    return geojson.points(fixtures.geojson_texts(read(spark, sf_dir, "part")), "text").select("doc", F.array_join(F.transform("part_ix", lambda i: i.cast("string")), ".").alias("part"), "point_ix", "x", "y", "h")
+    """Places in collections are shown with four levels at least."""
+    part = F.concat("part_ix", F.array_repeat(F.lit(0), F.greatest(4 - F.size("part_ix"), F.lit(0))))
+    return geojson.points(fixtures.geojson_texts(read(spark, sf_dir, "part")), "text").select("doc", F.array_join(F.transform(part, lambda i: i.cast("string")), ".").alias("part"), "point_ix", "x", "y", "h")
 
 
 def geojson_legacy_points(spark, sf_dir):

@@ -24,26 +24,43 @@ def positions(coordinates: Column, kind: Column) -> Column:
     return out
 
 
-def geometries(docs: DataFrame, text: str, levels: int = 4) -> DataFrame:
+def opened(geometry: Column) -> Column:
+    """array<struct<part_ix, geometry>> of the plain geometries within one: collections are opened however deep they lie.
+
+    A text names GeometryCollection at least as often as collections lie within
+    each other, so that many rounds open all; a round without one changes
+    nothing.  part_ix holds the places in the collections on the way.
+    """
+    kind = lambda g: F.coalesce(F.try_variant_get(g, "$.type", "string"), F.lit(""))
+    part = lambda ix, g: F.struct(ix.alias("part_ix"), g.alias("geometry"))
+    closed = lambda s: kind(s["geometry"]) == "GeometryCollection"
+    children = lambda s: F.coalesce(F.try_variant_get(s["geometry"], "$.geometries", "array<variant>"), F.array().cast("array<variant>"))
+    inner = lambda s: F.when(closed(s), F.transform(children(s), lambda g, i: part(F.array_append(s["part_ix"], i), g))).otherwise(F.array(s))
+    text = F.to_json(geometry)
+    rounds = F.coalesce(F.size(F.split(text, "GeometryCollection")) - 1, F.lit(0))
+    start = F.array(part(F.array().cast("array<int>"), geometry))
+    step = lambda found, _: F.when(F.exists(found, closed), F.flatten(F.transform(found, inner))).otherwise(found)
+    return F.when(rounds == 0, start).otherwise(F.aggregate(F.sequence(F.lit(1), F.greatest(rounds, F.lit(1))), start, step))
+
+
+def geometries(docs: DataFrame, text: str, nested: bool = True) -> DataFrame:
     """docs with (feature_ix, part_ix, geometry, height): one row for each plain geometry of documents that hold a collection or an array of them.
 
-    Collections within collections are opened, `levels` deep.  part_ix
-    orders the geometries of a feature.
+    Features count through all collections of a document.  nested: open
+    collections of geometries, at any depth; part_ix orders the geometries of a
+    feature.
     """
     whole = F.try_parse_json(F.col(text))
-    several = F.try_variant_get(whole, "$", "array<variant>")
-    collections = docs.withColumn("_c", F.explode(F.coalesce(several, F.array(whole)))).drop(text)
-    features = collections.select("*", F.explode(F.try_variant_get("_c", "$.features", "array<variant>")).alias("_f")).drop("_c")
-    # Features count through all collections of a document.
-    keys = [c for c in features.columns if c != "_f"]
-    listed = features.groupBy(*keys).agg(F.collect_list("_f").alias("_all")).select(*keys, F.posexplode("_all").alias("feature_ix", "_f"))
-    kind = lambda g: F.try_variant_get(g, "$.type", "string")
-    raw = F.coalesce(F.try_variant_get("_f", "$.properties.PROP_VALUE", "string"))
-    out = listed.select(*keys, "feature_ix", F.try_variant_get("_f", "$.geometry", "variant").alias("geometry"), strict_number(raw).alias("height"), F.array().cast("array<int>").alias("part_ix"))
-    for _ in range(levels):
-        inner = F.when(kind("geometry") == "GeometryCollection", F.try_variant_get("geometry", "$.geometries", "array<variant>")).otherwise(F.array("geometry"))
-        out = out.select(*keys, "feature_ix", "height", "part_ix", F.posexplode(inner).alias("_i", "geometry")).withColumn("part_ix", F.array_append("part_ix", F.col("_i"))).drop("_i")
-    return out
+    several = F.coalesce(F.try_variant_get(whole, "$", "array<variant>"), F.array(whole))
+    none = F.array().cast("array<variant>")
+    features = F.flatten(F.transform(several, lambda c: F.coalesce(F.try_variant_get(c, "$.features", "array<variant>"), none)))
+    keys = [c for c in docs.columns if c != text]
+    listed = docs.select(*keys, F.posexplode(features).alias("feature_ix", "_f"))
+    raw = F.try_variant_get("_f", "$.properties.PROP_VALUE", "string")
+    found = listed.select(*keys, "feature_ix", F.try_variant_get("_f", "$.geometry", "variant").alias("geometry"), strict_number(raw).alias("height"))
+    if not nested:
+        return found.withColumn("part_ix", F.array().cast("array<int>"))
+    return found.select(*keys, "feature_ix", "height", F.inline(opened(F.col("geometry"))))
 
 
 def points(docs: DataFrame, text: str, legacy: bool = False) -> DataFrame:
@@ -54,7 +71,7 @@ def points(docs: DataFrame, text: str, legacy: bool = False) -> DataFrame:
     no points.  legacy: only points and lines outside collections, and only
     PROP_VALUE as height.
     """
-    found = geometries(docs, text, 0 if legacy else 4)
+    found = geometries(docs, text, nested=not legacy)
     kind = F.try_variant_get("geometry", "$.type", "string")
     if legacy:
         found = found.filter(kind.isin(*LEGACY))
