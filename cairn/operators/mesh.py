@@ -98,16 +98,18 @@ def triangles(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 def triangulate(points: DataFrame, cell: str = "cell", least: int = 3) -> DataFrame:
     """(cell, tid, a, b, c): the triangles of each cell's points (cell, vid, x, y), by their vid, turning left.
 
-    A cell with fewer than `least` points fails, as it is no surface; points on one
-    line have no triangles.
+    A cell with fewer than `least` points is no surface and has no triangles, nor
+    have points on one line.
     """
     kind = points.schema[cell].dataType.simpleString()
 
     def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         if len(part) < least:
-            raise ValueError(f"cell {key[0]} has {len(part)} points; {least} are needed")
+            return pd.DataFrame()
         part = part.sort_values("vid")
         found = part["vid"].to_numpy(np.int64)[triangles(part["x"].to_numpy(float), part["y"].to_numpy(float))].reshape(-1, 3)
+        if not len(found):
+            return pd.DataFrame()
         return pd.DataFrame({cell: [key[0]] * len(found), "tid": np.arange(len(found)), "a": found[:, 0], "b": found[:, 1], "c": found[:, 2]})
 
     return points.select(cell, "vid", "x", "y").groupBy(cell).applyInPandas(run, f"{cell} {kind}, tid long, a long, b long, c long")

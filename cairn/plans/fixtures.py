@@ -16,11 +16,12 @@ from pyspark.sql import functions as F
 from cairn.sources.shared import fresh_folder
 
 
-def shape_archives(parts: DataFrame) -> DataFrame:
+def shape_archives(parts: DataFrame, faults: bool = False) -> DataFrame:
     """(path, content): a zipped shapefile for each brand, with a point for each part at (p_partkey, p_size).
 
     Even sizes have a z of their own, every seventh row of attributes is
-    deleted, every fifth blank.
+    deleted, every fifth blank.  faults: brands that end in 2 are no archives,
+    those in 3 hold no shapes, in the last record of those in 4 bytes are missing.
     """
 
     def build(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
@@ -34,9 +35,10 @@ def shape_archives(parts: DataFrame) -> DataFrame:
         dbf = struct.pack("<4xIHH", len(values), 65, 9).ljust(32, b"\0") + field + b"\r" + b"".join(values)
         out = io.BytesIO()
         with zipfile.ZipFile(out, "w") as z:
-            z.writestr("data/POINTS.SHP", shp)
+            if not faults or key[0][-1] != "3":
+                z.writestr("data/POINTS.SHP", shp[:-4] if faults and key[0][-1] == "4" else shp)
             z.writestr("data/points.dbf", dbf)
-        return pd.DataFrame({"path": [key[0]], "content": [out.getvalue()]})
+        return pd.DataFrame({"path": [key[0]], "content": [out.getvalue()[::-1] if faults and key[0][-1] == "2" else out.getvalue()]})
 
     return parts.select("p_brand", "p_partkey", "p_size").groupBy("p_brand").applyInPandas(build, "path string, content binary")
 

@@ -137,6 +137,12 @@ def archive_points(spark, sf_dir):
     return shapefile.contour_points(found).drop("stem")
 
 
+def archive_results(spark, sf_dir):
+    """How reading went for each archive, some of which are broken; n_points are those of good ones."""
+    found = shapefile.results(shapefile.members(fixtures.shape_archives(read(spark, sf_dir, "part"), faults=True)))
+    return found.select("archive", "status", F.regexp_replace("error", "(?s)^not read: .*", "not read").alias("error"), "n_points", (F.col("n_triangles") > 0).alias("meshed"))
+
+
 def archive_mesh(spark, sf_dir):
     """Triangles and points of each archive's mesh."""
     found = shapefile.members(fixtures.shape_archives(read(spark, sf_dir, "part")))
@@ -413,7 +419,7 @@ def debug_snapshot(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    wgs_to_osgb, osgb_to_wgs, grid_references, half_encode, codebook_encode, normalised_tiles, contour_lines, colours, format_texts, status_texts, routes_and_names, gpx_points, gpx_metadata, archive_points, archive_mesh,
+    wgs_to_osgb, osgb_to_wgs, grid_references, half_encode, codebook_encode, normalised_tiles, contour_lines, colours, format_texts, status_texts, routes_and_names, gpx_points, gpx_metadata, archive_points, archive_results, archive_mesh,
     geojson_points, geojson_legacy_points, tiff_windows, tiff_resampled, tiff_patches, half_rasters, tile_catalog, playhead_positions, playhead_asof, svg_paths, catalog_tracks, gesture_velocity, coasting, zoom_steps, wheel_gestures, transitions,
     mirror_repair, raster_windows, names_and_windows, reversed_triangles, vertex_positions, cell_meshes, viewshed_area, recode_tiles, missing_chunks, visible_tiles, observed_tiles, terrain_picks, level_order, map_views,
     camera_offsets, camera_limits, anchored_zoom, screen_pixels, bench_report, count_parity, debug_snapshot,
@@ -513,6 +519,9 @@ image, replace(image, '/ttile/', '/ltile/') AS coded, p_size % 2 = 0 AND p_size
 SELECT user_id AS doc, CASE WHEN route THEN 'route' ELSE 'track' END AS kind, CAST(seg AS INTEGER) AS segment_ix, CAST(i AS INTEGER) AS point_ix, CAST(event_id % 90 AS DOUBLE) AS lat, CAST(event_id % 7 AS DOUBLE) AS lon, value AS ele, CASE WHEN route THEN i * 1000 ELSE epoch_us(ts) END AS us, CASE WHEN route THEN event_type END AS name FROM n""",
     "gpx_metadata": """WITH g AS (SELECT user_id AS doc, arg_min(event_type, event_id) AS first_type, arg_min(epoch_us(ts), CASE WHEN event_type = 'click' THEN 0 ELSE 1000000000 END + event_id) AS us FROM events GROUP BY user_id)
 SELECT doc, 'me' AS creator, CASE WHEN doc % 5 = 0 THEN first_type ELSE 'rest' END AS name, CASE WHEN doc % 5 <> 0 THEN us END AS us FROM g""",
+    "archive_results": """WITH p AS (SELECT p_brand AS archive, CASE WHEN (p_size % 7 <> 0 AND p_size % 5 <> 0) OR p_size % 2 = 0 THEN 1 ELSE 0 END AS high FROM part), a AS (SELECT archive, right(archive, 1) AS d, count(*) AS n, sum(high) AS high FROM p GROUP BY archive),
+e AS (SELECT *, CASE d WHEN '2' THEN 'not read' WHEN '3' THEN 'holds no shapes' WHEN '4' THEN 'record ' || (n - 1) || ' of points.shp is cut off' ELSE CASE WHEN high < 3 THEN high || ' points; 3 are needed' END END AS error FROM a)
+SELECT archive, CASE WHEN error IS NULL THEN 'ok' ELSE 'error' END AS status, error, CASE WHEN d IN ('2', '3', '4') THEN 0 ELSE CAST(high AS BIGINT) END AS n_points, error IS NULL AS meshed FROM e""",
     "archive_points": """WITH p AS (SELECT p_brand AS archive, p_partkey, p_size, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS record_ix, coalesce(CASE WHEN p_size % 7 <> 0 AND p_size % 5 <> 0 THEN p_size * 10e0 END, CASE WHEN p_size % 2 = 0 THEN p_partkey / 2e0 END) AS h FROM part)
 SELECT archive, record_ix, CAST(0 AS BIGINT) AS point_ix, CAST(p_partkey AS DOUBLE) AS x, CAST(p_size AS DOUBLE) AS y, h FROM p WHERE h IS NOT NULL""",
     "geojson_points": f"{GEO} SELECT doc, part, CAST(point_ix AS INTEGER) AS point_ix, CAST(doc AS DOUBLE) AS x, CAST(p_size AS DOUBLE) AS y, coalesce(own, z) AS h FROM k JOIN p USING (kind) WHERE coalesce(own, z) IS NOT NULL",

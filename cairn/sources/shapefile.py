@@ -1,4 +1,9 @@
-"""Contour points from zipped shapefiles: archives are decoded in tasks, joined and filtered as DataFrames."""
+"""Contour points from zipped shapefiles: archives are decoded in tasks, joined and filtered as DataFrames.
+
+What can't be read is a row like any other, with `error` and nothing else of
+its kind, so one bad archive doesn't stop the others; results() tells for each
+archive how it went.
+"""
 
 from __future__ import annotations
 
@@ -6,6 +11,7 @@ import io
 import os
 import struct
 import zipfile
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,26 +32,36 @@ def archives(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content")
 
 
+MEMBER = "archive string, stem string, ext string, content binary, error string"
+POINT = "archive string, stem string, record_ix long, point_ix long, x double, y double, z double, error string"
+
+
 def members(found: DataFrame) -> DataFrame:
-    """(archive, stem, ext, content) of the .shp and .dbf members of archives (path, content); the last of members of one name counts.
+    """(archive, stem, ext, content, error) of the .shp and .dbf members of archives (path, content); the last of members of one name counts.
 
-    An archive without a .shp member fails.
+    An archive that is none, or holds no .shp member, is a row with an error.
     """
 
+    def listed(archive: str, content: bytes | None) -> list[tuple]:
+        found = {}
+        try:
+            with zipfile.ZipFile(io.BytesIO(content or b"")) as z:
+                for entry in z.infolist():
+                    stem, ext = os.path.splitext(os.path.basename(entry.filename).lower())
+                    if not entry.is_dir() and ext in (".shp", ".dbf"):
+                        found[stem, ext[1:]] = z.read(entry)
+        except (zipfile.BadZipFile, zlib.error, EOFError, NotImplementedError, RuntimeError) as e:
+            return [(archive, None, None, None, f"not read: {e}")]
+        if not any(ext == "shp" for _, ext in found):
+            return [(archive, None, None, None, "holds no shapes")]
+        return [(archive, stem, ext, body, None) for (stem, ext), body in sorted(found.items())]
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for archive, content in zip(frame["path"], frame["content"]):
-                found = {}
-                with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    for entry in z.infolist():
-                        stem, ext = os.path.splitext(os.path.basename(entry.filename).lower())
-                        if not entry.is_dir() and ext in (".shp", ".dbf"):
-                            found[stem, ext[1:]] = z.read(entry)
-                if not any(ext == "shp" for _, ext in found):
-                    raise ValueError(f"{archive} holds no shapes")
-                yield pd.DataFrame([(archive, stem, ext, body) for (stem, ext), body in sorted(found.items())], columns=["archive", "stem", "ext", "content"])
+                yield pd.DataFrame(listed(archive, content), columns=["archive", "stem", "ext", "content", "error"])
 
-    return found.select("path", "content").mapInPandas(run, "archive string, stem string, ext string, content binary")
+    return found.select("path", "content").mapInPandas(run, MEMBER)
 
 
 def shape_coordinates(shape: bytes) -> np.ndarray:
@@ -72,7 +88,7 @@ def shape_table(archive: str, stem: str, content: bytes) -> pd.DataFrame:
     while at < len(content):
         size = 2 * struct.unpack_from(">i", content, at + 4)[0] if at + 8 <= len(content) else -1
         if size < 4 or at + 8 + size > len(content):
-            raise ValueError(f"{archive}: record {len(parts)} of {stem}.shp is cut off")
+            raise ValueError(f"record {len(parts)} of {stem}.shp is cut off")
         parts.append(shape_coordinates(content[at + 8 : at + 8 + size]))
         at += 8 + size
     sizes = np.array([len(x) for x in parts], np.int64)
@@ -83,14 +99,23 @@ def shape_table(archive: str, stem: str, content: bytes) -> pd.DataFrame:
 
 
 def shapes(found: DataFrame) -> DataFrame:
-    """(archive, stem, record_ix, point_ix, x, y, z); every record counts in record_ix, null shapes too."""
+    """(archive, stem, record_ix, point_ix, x, y, z, error) of members(); every record counts in record_ix, null shapes too.
+
+    A file with a record that is cut off gives no points, as do archives that
+    weren't read; each is a row with the error, without a record.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for row in zip(frame["archive"], frame["stem"], frame["content"]):
-                yield shape_table(*row)
+            for archive, stem, content in zip(frame["archive"], frame["stem"], frame["content"]):
+                try:
+                    table, error = shape_table(archive, stem, content), None
+                except (ValueError, struct.error) as e:
+                    table, error = pd.DataFrame({"archive": [archive], "stem": [stem], "record_ix": [-1], "point_ix": [-1], "x": [np.nan], "y": [np.nan], "z": [np.nan]}), str(e)
+                yield table.assign(error=pd.Series([error] * len(table), dtype=object))
 
-    return found.filter("ext = 'shp'").mapInPandas(run, "archive string, stem string, record_ix long, point_ix long, x double, y double, z double")
+    faults = found.filter("error IS NOT NULL").select("archive", "stem", "error")
+    return found.filter("ext = 'shp'").mapInPandas(run, POINT).unionByName(faults, allowMissingColumns=True)
 
 
 def attribute_table(archive: str, stem: str, content: bytes, field: str) -> pd.DataFrame:
@@ -125,7 +150,11 @@ def heights(found: DataFrame, field: str = HEIGHT_FIELD) -> DataFrame:
 
 def contour_points(found: DataFrame) -> DataFrame:
     """(archive, stem, record_ix, point_ix, x, y, h) of members(): finite points; the attribute wins over the shape's own z."""
-    joined = shapes(found).join(heights(found), ["archive", "stem", "record_ix"], "left").withColumn("h", F.coalesce("height", F.nanvl("z", F.lit(None).cast("double"))))
+    return finite_points(shapes(found), found)
+
+
+def finite_points(shaped: DataFrame, found: DataFrame) -> DataFrame:
+    joined = shaped.filter("error IS NULL").join(heights(found), ["archive", "stem", "record_ix"], "left").withColumn("h", F.coalesce("height", F.nanvl("z", F.lit(None).cast("double"))))
     finite = [F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")) for c in ("x", "y", "h")]
     return joined.filter(finite[0] & finite[1] & finite[2]).select("archive", "stem", "record_ix", "point_ix", "x", "y", "h")
 
@@ -134,3 +163,19 @@ def contour_mesh(points: DataFrame) -> DataFrame:
     """(archive, tid, a, b, c): triangles of each archive's contour_points(), numbered in order of stem, record and point."""
     order = Window.partitionBy("archive").orderBy("stem", "record_ix", "point_ix")
     return triangulate(points.withColumn("vid", F.row_number().over(order) - 1), "archive")
+
+
+def results(found: DataFrame, least: int = 3) -> DataFrame:
+    """(archive, status, error, n_points, n_triangles) for each archive of members(): `ok`, or `error` where it can't be read or has fewer than `least` points.
+
+    An archive with one bad file is an error as a whole; its points still count.
+    """
+    shaped = shapes(found)
+    points = finite_points(shaped, found)
+    faults = shaped.groupBy("archive").agg(F.min("error").alias("_fault"))
+    counted = points.groupBy("archive").agg(F.count("*").alias("n_points"))
+    meshed = contour_mesh(points).groupBy("archive").agg(F.count("*").alias("n_triangles"))
+    out = faults.join(counted, "archive", "left").join(meshed, "archive", "left").fillna(0, ["n_points", "n_triangles"])
+    few = F.concat(F.col("n_points").cast("string"), F.lit(f" points; {least} are needed"))
+    error = F.coalesce("_fault", F.when(F.col("n_points") < least, few))
+    return out.select("archive", F.when(error.isNull(), "ok").otherwise("error").alias("status"), error.alias("error"), "n_points", "n_triangles")

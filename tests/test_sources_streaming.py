@@ -69,8 +69,15 @@ def test_shape_lists_and_faults(spark):
         shapefile.shape_table("a", "s", archive_shp(records)[:-3])
     empty = io.BytesIO()
     zipfile.ZipFile(empty, "w").close()
-    with pytest.raises(Exception, match="holds no shapes"):
-        shapefile.members(spark.createDataFrame([("a", empty.getvalue())], "path string, content binary")).collect()
+    point = lambda x, y: struct.pack("<i3d", 11, x, y, 5)
+    square = [point(x, y) for x in (0, 1) for y in (0, 1)]
+    whole = archive(square, [(b" ", "7")] * 4)
+    files = [("good", whole), ("empty", empty.getvalue()), ("cut", whole[: len(whole) // 2]), ("none", None), ("two", archive(square[:2], [(b" ", "7")] * 2)), ("short", archive([*square, point(9, 9)[:-4]], [(b" ", "7")] * 5))]
+    found = shapefile.members(spark.createDataFrame(files, "path string, content binary"))
+    got = {r.archive: (r.status, r.n_points, r.n_triangles, r.error) for r in shapefile.results(found).collect()}
+    assert got["good"] == ("ok", 4, 2, None) and got["empty"] == ("error", 0, 0, "holds no shapes") and got["two"] == ("error", 2, 0, "2 points; 3 are needed")
+    assert all(got[k][:3] == ("error", 0, 0) and got[k][3] for k in ("cut", "none", "short")) and len(got) == 6
+    assert shapefile.contour_points(found).select("archive").distinct().count() == 2
 
 
 def archive_shp(records):
