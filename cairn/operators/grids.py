@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -114,13 +114,18 @@ def height_range(pixels: str, samples: int = 5000) -> Column:
     return F.when(high > low, F.struct(low.cast("double").alias("low"), high.cast("double").alias("high"))).otherwise(F.struct(F.lit(0.0).alias("low"), F.lit(1.0).alias("high")))
 
 
-def grid_triangles(spark: SparkSession, width: int, height: int) -> DataFrame:
-    """Two triangles for each cell of a vertex grid, vertices numbered height * x + y; both hold the cell's first and last corner."""
-    cell = spark.range((width - 1) * (height - 1)).select("id", F.expr(f"id div {height - 1}").alias("x"), (F.col("id") % (height - 1)).alias("y"))
-    a = F.col("x") * height + F.col("y")
-    corner = lambda t, p, q, r: F.struct(F.lit(t).alias("k"), p.alias("a"), q.alias("b"), r.alias("c"))
-    two = F.array(corner(0, a, a + height, a + height + 1), corner(1, a, a + height + 1, a + 1))
-    return cell.select("id", F.inline(two)).select((F.col("id") * 2 + F.col("k")).alias("tid"), "a", "b", "c")
+def grid_triangles(grids: DataFrame, width: str = "width", height: str = "height") -> DataFrame:
+    """Two triangles for each cell of each vertex grid, vertices numbered height * x + y; both hold the cell's first and last corner.
+
+    tid numbers a grid's triangles, down its columns of cells; grids of fewer
+    than two vertices a side have none.
+    """
+    w, h = F.col(width), F.col(height)
+    cell = grids.filter((w > 1) & (h > 1)).withColumn("_id", F.explode(F.sequence(F.lit(0).cast("long"), ((w - 1) * (h - 1) - 1).cast("long"))))
+    a = F.floor(F.col("_id") / (h - 1)) * h + F.col("_id") % (h - 1)
+    corner = lambda t, p, q, r: F.struct((F.col("_id") * 2 + t).alias("tid"), p.alias("a"), q.alias("b"), r.alias("c"))
+    two = F.array(corner(0, a, a + h, a + h + 1), corner(1, a, a + h + 1, a + 1))
+    return cell.select(*grids.columns, F.inline(two))
 
 
 def reversed_winding(triangles: DataFrame) -> DataFrame:
@@ -128,16 +133,20 @@ def reversed_winding(triangles: DataFrame) -> DataFrame:
     return triangles.withColumns({"a": F.col("c"), "c": F.col("a")})
 
 
-def cells(spark: SparkSession, columns: range, rows: range, size: int) -> DataFrame:
-    """Corners (east, north) of a grid of cells."""
-    i, j = F.expr(f"id div {len(rows)}") + columns.start, F.col("id") % len(rows) + rows.start
-    return spark.range(len(columns) * len(rows)).select((i * size).alias("east"), (j * size).alias("north"))
+def cells(areas: DataFrame, size: int) -> DataFrame:
+    """Corners (east, north) of the grid cells of each area (first_column, columns, first_row, rows)."""
+    run = lambda first, n: F.explode(F.transform(F.sequence(F.col(first), F.col(first) + F.col(n) - 1), lambda i: i * size))
+    others = [c for c in areas.columns if c not in ("first_column", "columns", "first_row", "rows")]
+    some = areas.filter("columns > 0 AND rows > 0")
+    return some.withColumn("east", run("first_column", "columns")).withColumn("north", run("first_row", "rows")).select(*others, "east", "north")
 
 
-def windows(spark: SparkSession, width: int, height: int, size: int) -> DataFrame:
-    """(x, y, left, top, right, bottom): the whole windows of a raster."""
-    found = cells(spark, range(width // size), range(height // size), 1)
-    return found.select(F.col("east").alias("x"), F.col("north").alias("y"), (F.col("east") * size).alias("left"), (F.col("north") * size).alias("top"), ((F.col("east") + 1) * size).alias("right"), ((F.col("north") + 1) * size).alias("bottom"))
+def windows(rasters: DataFrame, size: int) -> DataFrame:
+    """(x, y, left, top, right, bottom) of the whole windows of each raster (width, height)."""
+    whole = lambda c: F.floor(F.col(c) / size).cast("int")
+    areas = rasters.withColumns({"first_column": F.lit(0), "first_row": F.lit(0), "columns": whole("width"), "rows": whole("height")})
+    found = cells(areas, size).withColumnsRenamed({"east": "left", "north": "top"})
+    return found.withColumns({"x": F.floor(F.col("left") / size).cast("int"), "y": F.floor(F.col("top") / size).cast("int"), "right": F.col("left") + size, "bottom": F.col("top") + size})
 
 
 def lod_levels(tiles: DataFrame, levels: int = 12, size: int = 4096) -> DataFrame:

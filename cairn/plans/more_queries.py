@@ -81,11 +81,14 @@ def tile_lod_expand(spark, sf_dir):
 
 
 def grid_generate(spark, sf_dir):
-    return grids.cells(spark, range(-30, 30), range(-10, 100), 10000)
+    """The cells of an area around each supplier."""
+    areas = read(spark, sf_dir, "supplier").select("s_suppkey", (F.col("s_nationkey") - 10).alias("first_column"), (F.col("s_suppkey") % 4).cast("int").alias("columns"), (F.col("s_suppkey") % 11 - 5).cast("int").alias("first_row"), F.lit(3).alias("rows"))
+    return grids.cells(areas, 10000)
 
 
 def grid_triangles(spark, sf_dir):
-    return grids.grid_triangles(spark, 33, 17)
+    made = read(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") % 5).cast("long").alias("width"), (F.col("p_partkey") % 4 + 1).alias("height"))
+    return grids.grid_triangles(made).select("p_partkey", "tid", "a", "b", "c")
 
 
 def toggle_symdiff(spark, sf_dir):
@@ -202,8 +205,8 @@ ORACLE_SQL = {
     "surface_steepness": f"{C}, n AS (SELECT *, lead(v) OVER (PARTITION BY vec_id, y ORDER BY x) - v AS dx, lead(v) OVER (PARTITION BY vec_id, x ORDER BY y) - v AS dy FROM c) SELECT vec_id, y, x, round(sqrt(dx * dx + dy * dy) * 0.70710678118654757e0, 6) AS steepness, round(-2 * dx / sqrt(4 * dx * dx + 4 * dy * dy + 1), 6) AS normal_x, round(-2 * dy / sqrt(4 * dx * dx + 4 * dy * dy + 1), 6) AS normal_y, round(1 / sqrt(4 * dx * dx + 4 * dy * dy + 1), 6) AS normal_z FROM n",
     "nodata_clean": f"{C}, f AS (SELECT vec_id, (8 * y + x) % 4 = 0 AS sampled, v * 12000 AS v FROM c), g AS (SELECT vec_id, CAST(count(*) FILTER (v > 3000) AS INTEGER) AS n_filled, min(v) FILTER (sampled AND v > -199 AND v < 3000) AS low, max(v) FILTER (sampled AND v > -199 AND v < 3000) AS high FROM f GROUP BY vec_id HAVING min(v) < 3000) SELECT vec_id, n_filled, CASE WHEN high > low THEN round(low, 6) ELSE 0 END AS low, CASE WHEN high > low THEN round(high, 6) ELSE 1 END AS high FROM g",
     "tile_lod_expand": "SELECT p_partkey, CAST(lod AS INTEGER) AS lod, CAST(4096 >> lod AS INTEGER) AS width, round(1e0 / ((4096 >> lod) - 1), 8) AS eps, round(lod / 12e0, 8) AS lod_share FROM part, (SELECT CAST(i AS INTEGER) AS lod FROM range(12) r(i))",
-    "grid_generate": "SELECT (i - 30) * 10000 AS east, (j - 10) * 10000 AS north FROM range(60) a(i), range(110) b(j)",
-    "grid_triangles": "WITH c AS (SELECT x * 16 + y AS id, x * 17 + y AS a FROM range(32) r(x), range(16) s(y)) SELECT id * 2 AS tid, a, a + 17 AS b, a + 18 AS c FROM c UNION ALL SELECT id * 2 + 1, a, a + 18, a + 1 FROM c",
+    "grid_generate": "WITH a AS (SELECT s_suppkey, s_nationkey - 10 AS c, s_suppkey % 11 - 5 AS r, unnest(range(s_suppkey % 4)) AS i FROM supplier) SELECT s_suppkey, CAST((c + i) * 10000 AS INTEGER) AS east, CAST((r + j) * 10000 AS INTEGER) AS north FROM a, range(3) AS q(j)",
+    "grid_triangles": "WITH g AS (SELECT p_partkey, p_size % 5 AS w, p_partkey % 4 + 1 AS h FROM part), x AS (SELECT *, unnest(range(w - 1)) AS x FROM g), c AS (SELECT *, unnest(range(h - 1)) AS y FROM x), t AS (SELECT p_partkey, x * (h - 1) + y AS id, x * h + y AS a, h FROM c) SELECT p_partkey, id * 2 AS tid, a, a + h AS b, a + h + 1 AS c FROM t UNION ALL SELECT p_partkey, id * 2 + 1, a, a + h + 1, a + 1 FROM t",
     "toggle_symdiff": "WITH l AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'click'), d AS (SELECT DISTINCT user_id FROM events WHERE event_type <> 'click' AND value > 80) (SELECT * FROM d EXCEPT SELECT * FROM l) UNION ALL (SELECT * FROM l EXCEPT SELECT * FROM d)",
     "union_intersect": "WITH c AS (SELECT c_custkey AS key FROM customer WHERE c_acctbal > 0) SELECT key, 'union' AS kind FROM (SELECT o_custkey AS key FROM orders UNION SELECT key FROM c) UNION ALL SELECT key, 'both' FROM (SELECT o_custkey AS key FROM orders INTERSECT SELECT key FROM c)",
     "resolution_fallback": "SELECT p_partkey, coalesce(CASE WHEN p_size % 2 <> 0 THEN nullif(p_name, '') END, CASE WHEN p_size % 3 = 0 THEN nullif(p_type, '') END, nullif(p_brand, ''), p_name) AS file FROM part",

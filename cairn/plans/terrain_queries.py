@@ -230,8 +230,12 @@ def svg_paths(spark, sf_dir):
 
 
 def catalog_tracks(spark, sf_dir):
-    chosen = spark.createDataFrame([("kaw",), ("bart",), ("nowhere",)], "id string")
-    return spatial.as_tracks(spatial.selected(catalogs.track_catalog(spark), chosen, "id"))
+    """A catalog with a track for each customer, as JSON lines; tracks of customers with an order over 300000 are drawn."""
+    k, seg = F.col("c_custkey"), F.nullif("c_mktsegment", F.lit("BUILDING"))
+    row = F.struct(k.cast("string").alias("id"), F.col("c_name").alias("title"), seg.alias("region"), F.concat(F.lit("gpx/"), "c_name", F.lit(".gpx")).alias("gpx_url"), (k * 7919 % 16777216).cast("int").alias("colour"), F.col("c_nationkey").cast("double").alias("height_offset"))
+    lines = read(spark, sf_dir, "customer").select(F.to_json(row).alias("value"))
+    chosen = read(spark, sf_dir, "orders").filter("o_totalprice > 300000").select(F.col("o_custkey").cast("string").alias("id"))
+    return spatial.as_tracks(spatial.selected(catalogs.track_catalog(lines), chosen, "id"))
 
 
 def gesture_velocity(spark, sf_dir):
@@ -267,7 +271,8 @@ def mirror_repair(spark, sf_dir):
 
 
 def raster_windows(spark, sf_dir):
-    return grids.windows(spark, 57344, 65536, 4096)
+    rasters_of = read(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") * 300).alias("width"), (F.col("p_partkey") % 9 * 700).cast("int").alias("height"))
+    return grids.windows(rasters_of, 1024).select("p_partkey", "x", "y", "left", "top", "right", "bottom")
 
 
 def names_and_windows(spark, sf_dir):
@@ -278,12 +283,14 @@ def names_and_windows(spark, sf_dir):
 
 
 def reversed_triangles(spark, sf_dir):
-    return grids.reversed_winding(grids.grid_triangles(spark, 9, 5))
+    made = read(spark, sf_dir, "supplier").select("s_suppkey", (F.col("s_nationkey") % 7 + 2).cast("long").alias("width"), (F.col("s_suppkey") % 4 + 2).alias("height"))
+    return grids.reversed_winding(grids.grid_triangles(made)).select("s_suppkey", "tid", "a", "b", "c")
 
 
 def vertex_positions(spark, sf_dir):
-    uv = views.vertex_uv(F.col("id"), F.lit(16), F.lit(16), F.lit(1 / 15))
-    return spark.range(256).select("id", *[F.round(c, 8).alias(k) for k, c in uv.items()])
+    """Texture place and height of every sample of every raster."""
+    uv = views.vertex_uv(F.col("id"), F.lit(8), F.lit(8), F.lit(1 / 7))
+    return read(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("id", "height")).select("vec_id", "id", *[F.round(c, 8).alias(k) for k, c in uv.items()], F.round(F.col("height").cast("double"), 6).alias("height"))
 
 
 def cell_meshes(spark, sf_dir):
@@ -313,9 +320,9 @@ def recode_tiles(spark, sf_dir):
 
 
 def missing_chunks(spark, sf_dir):
-    p = read(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("dem_"), F.col("p_size").cast("string"), F.lit(".tif")).alias("file"), (F.col("p_partkey") % 12).alias("x"), (F.floor(F.col("p_partkey") / 12) % 12).alias("y"))
+    p = read(spark, sf_dir, "part").select("p_brand", F.concat(F.lit("dem_"), F.col("p_size").cast("string"), F.lit(".tif")).alias("file"), (F.col("p_partkey") % 12).alias("x"), (F.floor(F.col("p_partkey") / 12) % 12).alias("y"))
     wanted = p.select(formats.chunk_prefix(F.col("file"), F.col("x"), F.col("y")).alias("prefix")).distinct()
-    made = p.filter("p_partkey < 100").select(formats.chunk_name(F.col("file"), F.col("x"), F.col("y"), F.lit(0), F.lit(9)).alias("name"))
+    made = p.filter("p_brand LIKE 'Brand#1%'").select(formats.chunk_name(F.col("file"), F.col("x"), F.col("y"), F.lit(0), F.lit(9)).alias("name"))
     return spatial.not_yet_made(wanted, made, "prefix")
 
 
@@ -545,7 +552,7 @@ SELECT event_id, round(lat + coalesce(nlat - lat, 0) * s, 6) AS lat, round(lon +
     "svg_paths": f"""{P}, n AS (SELECT *, row_number() OVER (PARTITION BY track ORDER BY ts, ix) - 1 AS i, count(*) OVER (PARTITION BY track) AS n FROM p), d AS (SELECT * FROM n WHERE i % CAST(ceil(n / 20.0) AS BIGINT) = 0),
 b AS (SELECT track, max(lat) AS top, min(lon) AS west, coalesce(nullif(max(lat) - min(lat), 0), 1e-6) AS h, coalesce(nullif(max(lon) - min(lon), 0), 1e-6) AS w, count(*) AS k FROM d GROUP BY track), s AS (SELECT *, least(66 / w, 46 / h) AS z FROM b)
 SELECT track, CASE WHEN min(k) < 2 THEN '' ELSE string_agg(CASE WHEN i = 0 THEN 'M' ELSE 'L' END || printf('%.1f,%.1f', 3 + (66 - w * z) / 2 + (lon - west) * z, 3 + (46 - h * z) / 2 + (top - lat) * z), '' ORDER BY i) END AS path FROM d JOIN s USING (track) GROUP BY track""",
-    "catalog_tracks": "SELECT * FROM (VALUES ('gpx/king_alfreds_way_2020_final_route.gpx', CAST(15761488 AS INTEGER), 20e0), ('gpx/Kings-Barton-Walking-1-Apr-2021-at-17-55.gpx', CAST(7401712 AS INTEGER), 2e0)) AS t(url, colour, height_offset)",
+    "catalog_tracks": "SELECT 'gpx/' || c_name || '.gpx' AS url, CAST(c_custkey * 7919 % 16777216 AS INTEGER) AS colour, CAST(c_nationkey AS DOUBLE) AS height_offset FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000)",
     "gesture_velocity": f"""{M}, v AS (SELECT *, sum(gap) {SO_FAR} AS t FROM m WHERE gap > 0 AND gap <= 0.25e0), e AS (SELECT *, max(t) OVER (PARTITION BY track) AS last FROM v)
 SELECT track, round(sum((1 - exp(-gap / 0.09e0)) * dx / gap * exp(-(last - t) / 0.09e0)), 4) AS vx, round(sum((1 - exp(-gap / 0.09e0)) * dy / gap * exp(-(last - t) / 0.09e0)), 4) AS vy FROM e GROUP BY track""",
     "coasting": f"""{M}, d AS (SELECT *, coalesce(least(gap, 0.05e0), 0e0) AS dt FROM m), v AS (SELECT track, ix, (2000 + track) * exp(-7 * (CAST(sum(CAST(dt AS DECIMAL(38,10))) {SO_FAR} AS DOUBLE) - dt)) AS v FROM d) SELECT track, ix, round(v, 5) AS velocity FROM v WHERE v >= 24""",
@@ -558,10 +565,10 @@ SELECT track, a AS start_us, b AS end_us, n AS n_steps FROM p WHERE before IS NU
 r AS (SELECT vec_id, CASE WHEN t.s > 0.75 AND b.s > 0.75 THEN 'quadrant' WHEN a.s > 0.75 THEN 'half' WHEN t.s > 0.75 OR b.s > 0.75 OR a.s > 0.55 THEN 'quadrant' ELSE 'none' END AS repair FROM a JOIN t USING (vec_id) JOIN b USING (vec_id)),
 k AS (SELECT vec_id, repair, i AS pos, CASE WHEN repair = 'quadrant' THEN (i % 8) * 3 / 7e0 ELSE i % 8 END AS fx, CASE WHEN repair = 'none' THEN i // 8 ELSE (i // 8) * 3 / 7e0 END AS fy FROM r, range(64) g(i))
 SELECT k.vec_id, repair, CAST(pos AS INTEGER) AS pos, round(sum(q.v * greatest(0e0, 1 - abs(q.x - fx)) * greatest(0e0, 1 - abs(q.y - fy))), 6) AS v FROM k JOIN q ON q.vec_id = k.vec_id AND abs(q.x - fx) < 1 AND abs(q.y - fy) < 1 GROUP BY k.vec_id, repair, pos""",
-    "raster_windows": "SELECT x, y, x * 4096 AS left, y * 4096 AS top, (x + 1) * 4096 AS right, (y + 1) * 4096 AS bottom FROM range(14) a(x), range(16) b(y)",
+    "raster_windows": "WITH r AS (SELECT p_partkey, p_size * 300 // 1024 AS w, p_partkey % 9 * 700 // 1024 AS h FROM part), x AS (SELECT *, unnest(range(w)) AS x FROM r), y AS (SELECT *, unnest(range(h)) AS y FROM x) SELECT p_partkey, CAST(x AS INTEGER) AS x, CAST(y AS INTEGER) AS y, CAST(x * 1024 AS INTEGER) AS left, CAST(y * 1024 AS INTEGER) AS top, CAST((x + 1) * 1024 AS INTEGER) AS right, CAST((y + 1) * 1024 AS INTEGER) AS bottom FROM y",
     "names_and_windows": "SELECT p_partkey, CAST((p_partkey % 14) * 4096 AS INTEGER) AS left, CAST((p_size + 1) * 4096 AS INTEGER) AS bottom, 80000e0 + (p_partkey % 14) * 40960 AS xll, 665000e0 - (p_size + 1) * 40960 AS yll FROM part",
-    "reversed_triangles": "WITH c AS (SELECT x * 4 + y AS id, x * 5 + y AS a FROM range(8) r(x), range(4) s(y)) SELECT id * 2 AS tid, a + 6 AS a, a + 5 AS b, a AS c FROM c UNION ALL SELECT id * 2 + 1, a + 1, a + 6, a FROM c",
-    "vertex_positions": "SELECT id, round((id // 16) / 15e0, 8) AS u, round((id % 16) / 15e0, 8) AS v FROM range(256) r(id)",
+    "reversed_triangles": "WITH g AS (SELECT s_suppkey, s_nationkey % 7 + 2 AS w, s_suppkey % 4 + 2 AS h FROM supplier), x AS (SELECT *, unnest(range(w - 1)) AS x FROM g), c AS (SELECT *, unnest(range(h - 1)) AS y FROM x), t AS (SELECT s_suppkey, x * (h - 1) + y AS id, x * h + y AS a, h FROM c) SELECT s_suppkey, id * 2 AS tid, a + h + 1 AS a, a + h AS b, a AS c FROM t UNION ALL SELECT s_suppkey, id * 2 + 1, a + 1, a + h + 1, a FROM t",
+    "vertex_positions": "SELECT vec_id, CAST(i - 1 AS INTEGER) AS id, round(((i - 1) // 8) / 7e0, 8) AS u, round(((i - 1) % 8) / 7e0, 8) AS v, round(CAST(embedding[i] AS DOUBLE), 6) AS height FROM (SELECT vec_id, embedding, unnest(generate_series(1, len(embedding))) AS i FROM embeddings)",
     "viewshed_area": """WITH h AS (SELECT (vec_id % 16) * 8 + (i - 1) % 8 AS x, (vec_id // 16) * 8 + (i - 1) // 8 AS y, floor(CAST(embedding[i] AS DOUBLE) * 1000) AS h FROM (SELECT vec_id, embedding, unnest(generate_series(1, len(embedding))) AS i FROM embeddings)),
 o AS (SELECT vec_id AS o, (vec_id % 16) * 8 + vec_id % 8 AS ox, (vec_id // 16) * 8 + (vec_id // 8) % 8 AS oy, 6.5e0 + vec_id % 7 AS radius, 7 + vec_id % 7 AS reach FROM embeddings WHERE label = 3), e AS (SELECT o.*, h + 150 AS base FROM o JOIN h ON x = ox AND y = oy),
 r AS (SELECT e.*, side, p, k, p * k / reach AS m, floor(p * k / reach) AS lo FROM e, range(4) s(side), range(-13, 14) q(p), range(1, 14) t(k) WHERE abs(p) <= reach AND k <= reach),
@@ -574,7 +581,7 @@ v AS (SELECT d.o, x, y FROM d LEFT JOIN w ON w.o = d.o AND w.side = d.side AND w
 SELECT o AS observer, CAST(x // 8 AS INTEGER) AS tx, CAST(y // 8 AS INTEGER) AS ty, string_agg((y % 8) * 8 + x % 8, ',' ORDER BY (y % 8) * 8 + x % 8) AS seen FROM v GROUP BY ALL""",
     "recode_tiles": f"""{C}, q AS (SELECT vec_id, floor(v * 4000) AS v, (vec_id % 4) / 3e0 AS q FROM c), s AS (SELECT *, CAST(round(pow(2e0, 12 * q)) AS BIGINT) AS step FROM q), d AS (SELECT vec_id, q, v - floor((v + step // 2) / step) * step AS d FROM s)
 SELECT vec_id, CASE WHEN min(q) < 1 THEN 'ok' ELSE 'error' END AS status, CASE WHEN min(q) >= 1 THEN 'quality 1.0 is not in 0 .. 1' END AS error, CASE WHEN min(q) < 1 THEN CAST(count(*) FILTER (d = 0) AS INTEGER) END AS n_identical, CASE WHEN min(q) < 1 THEN round(sqrt(avg(d * d)), 6) END AS rmse FROM d GROUP BY vec_id""",
-    "missing_chunks": "WITH p AS (SELECT p_partkey, 'dem_' || p_size || '_x' || (p_partkey % 12) || '_y' || ((p_partkey // 12) % 12) AS prefix FROM part) SELECT DISTINCT prefix FROM p WHERE prefix NOT IN (SELECT prefix FROM p WHERE p_partkey < 100)",
+    "missing_chunks": "WITH p AS (SELECT p_brand, 'dem_' || p_size || '_x' || (p_partkey % 12) || '_y' || ((p_partkey // 12) % 12) AS prefix FROM part) SELECT DISTINCT prefix FROM p WHERE prefix NOT IN (SELECT prefix FROM p WHERE p_brand LIKE 'Brand#1%')",
     "visible_tiles": "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_tax > 0.04 AND l_returnflag <> 'R'",
     "observed_tiles": f"""{O}, s AS (SELECT CAST(80000 + s_suppkey * 4000 AS DOUBLE) AS e, CAST(9640 + (s_suppkey * 7919) % 60000 AS DOUBLE) AS n FROM supplier), d AS (SELECT o_orderkey, min(sqrt((east - e) * (east - e) + (north - n) * (north - n))) AS d FROM o, s GROUP BY o_orderkey)
 SELECT o_orderkey AS tile, round(CASE WHEN d <= 10000 THEN least(d, east % 40000) ELSE east % 40000 END, 5) AS lod_distance FROM o JOIN d USING (o_orderkey)""",

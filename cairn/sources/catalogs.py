@@ -31,16 +31,10 @@ def write_sidecars(tiles: DataFrame, path: str) -> None:
     sidecars(tiles).withColumnRenamed("name", "tile").write.partitionBy("tile").text(path)
 
 
-#: The tracks that come with the viewer (fixed values): id, title, region, url, colour, height offset.
-TRACKS = (
-    ("stmawes", "Gorran Haven → St Mawes", "Cornwall", "gpx/Gorran_Haven_to_St_Mawe_s_tandem_solo_.gpx", 0x902020, 2.0),
-    ("stGiles", "St Giles", "Hampshire", "data/stgiles.gpx", 0x902020, 2.0),
-    ("palestine", "Palestine", None, "data/palestine.gpx", 0x70F0F0, 2.0),
-    ("kaw", "King Alfred's Way", "South England", "gpx/king_alfreds_way_2020_final_route.gpx", 0xF08050, 20.0),
-    ("stonehenge", "Stonehenge circuit", None, "gpx/Where_the_Banshees_live_and_they_do_live_well.gpx", 0xF08050, 2.0),
-    ("bart", "Kings Barton walk", "Gloucester", "gpx/Kings-Barton-Walking-1-Apr-2021-at-17-55.gpx", 0x70F0F0, 2.0),
-)
-
-
-def track_catalog(spark: SparkSession, rows=TRACKS) -> DataFrame:
-    return spark.createDataFrame(list(rows), "id string, title string, region string, gpx_url string, colour int, height_offset double")
+TRACK = "id string, title string, region string, gpx_url string, colour int, height_offset double"
+
+
+def track_catalog(lines: DataFrame, text: str = "value") -> DataFrame:
+    """(id, title, region, gpx_url, colour, height_offset) of track catalogs as text: an object a line, or an array of them; what is neither has no rows."""
+    several = F.from_json(F.col(text), f"array<struct<{TRACK}>>")  # an object alone counts as an array of one
+    return lines.select(F.explode(several).alias("t")).select("t.*").filter("id IS NOT NULL")
