@@ -13,8 +13,8 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -38,16 +38,18 @@ BLANK, LETTER, DIGIT, OTHER = range(4)
 PRIME = 0x9E3779B97F4A7C15
 
 
+@lru_cache(maxsize=1)
 def character_classes() -> np.ndarray:
-    """BLANK, LETTER, DIGIT or OTHER for each code point."""
-    kinds = {"L": LETTER, "N": DIGIT}
+    """BLANK, LETTER, DIGIT or OTHER for each code point, as the tokenizers library itself cuts a text of all of them."""
+    from tokenizers import Regex
+    from tokenizers.pre_tokenizers import Split
+
+    points = np.concatenate([np.arange(0xD800), np.arange(0xE000, 0x110000)])
+    text = "".join(map(chr, points.tolist()))
     out = np.full(0x110000, OTHER, np.uint8)
-    for start, stop in ((0, 0x3400), (0xA000, 0xAC00), (0xD7B0, 0xD800), (0xF900, 0x20000)):
-        out[start:stop] = [kinds.get(unicodedata.category(chr(c))[0], OTHER) for c in range(start, stop)]
-    # Ideographs and Hangul syllables: letters, apart from a few code points that are not assigned.
-    for start, stop in ((0x3400, 0x4DC0), (0x4E00, 0xA000), (0xAC00, 0xD7A4), (0x20000, 0x2A6E0), (0x2A700, 0x2EBE1), (0x2F800, 0x2FA1E), (0x30000, 0x323B0)):
-        out[start:stop] = LETTER
-    out[[*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]] = BLANK
+    for pattern, kind in ((r"\p{L}+", LETTER), (r"\p{N}+", DIGIT), (r"\s+", BLANK)):
+        for _, (start, stop) in Split(Regex(pattern), "removed", invert=True).pre_tokenize_str(text):
+            out[points[start:stop]] = kind
     return out
 
 
@@ -60,12 +62,12 @@ def ragged(start: np.ndarray, length: np.ndarray) -> np.ndarray:
 class WordBpe:
     """Encoder and decoder of a tokenizers BPE file whose pre-tokenizer cuts words out and maps bytes to characters."""
 
-    def __init__(self, spec: str):
+    def __init__(self, spec: str, classes: np.ndarray | None = None):
         data = json.loads(spec)
         model, pre = data["model"], data["pre_tokenizer"]["pretokenizers"]
         if not (model["type"] == "BPE" and pre[0]["type"] == "Split" and pre[0]["invert"] and pre[0]["behavior"] == "Removed" and pre[1]["type"] == "ByteLevel" and not pre[1]["add_prefix_space"] and not data.get("decoder") and pre[0]["pattern"]["Regex"] == PATTERN):
             raise ValueError("only BPE files with this Split pattern, a ByteLevel pre-tokenizer and no decoder are read")
-        self.classes = character_classes()
+        self.classes = character_classes() if classes is None else classes
         self.spec, self.normalizer = spec, None
         self.special = {t["content"]: t["id"] for t in data["added_tokens"]}
         self.special_re = re.compile("|".join(re.escape(s) for s in sorted(self.special, key=len, reverse=True))) if self.special else None
@@ -249,11 +251,13 @@ def encode_and_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", t
 
     digests: the SHA-256 of the ids joined by spaces, and of the decoded text,
     instead of themselves.  tokenizer: path of the file, read on the driver.
-    Null texts count as empty and have no ids.  Special strings in texts are
-    their special ids.  Repeated rows are encoded each.  Other columns are not read.
+    Null and empty texts have no ids; texts of any length are encoded whole.
+    Special strings in texts are their special ids.  Repeated rows, and rows
+    with a null id, are encoded each; an empty table gives no rows.  Other
+    columns are not read, so their names don't matter.
     """
     with open(tokenizer, encoding="utf-8") as f:
-        sent = ship(docs.sparkSession, WordBpe, f.read())
+        sent = ship(docs.sparkSession, WordBpe, f.read(), character_classes())
     sha = lambda s: hashlib.sha256(s).hexdigest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
