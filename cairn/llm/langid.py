@@ -152,43 +152,42 @@ def shares_of(texts: list[str | None], prob: np.ndarray, logp: np.ndarray, lette
     return np.concatenate(found) if found else np.zeros((0, prob.shape[1]))
 
 
-def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", docs_per_language: int = 1500, smoothing: float = 0.2, max_languages: int = 200) -> tuple[list[str], np.ndarray]:
+def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", docs_per_language: int = 1500, smoothing: float = 0.2, max_languages: int = 100) -> tuple[list[str], np.ndarray]:
     """Languages and P(bucket | language), from about docs_per_language labelled rows of each language.
 
     Rows are chosen by the hash of their id at the rate that gives this number
-    in the mean; one counting pass finds the rates.  The model has BUCKETS
-    numbers for each language, whatever the size of docs; it is refused beyond
-    max_languages, as a column with more values hardly holds languages.  Null
-    languages and texts teach nothing; no labelled row gives an empty model.
+    in the mean; one counting pass finds the rates.  The max_languages values
+    of the column with most rows are learnt (of equal ones the first in order),
+    any others teach nothing and are never predicted; so the model has at most
+    BUCKETS * max_languages numbers, whatever docs holds.  Null languages and
+    texts teach nothing; no labelled row gives an empty model.
     """
     labelled = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("_lang"), F.col(text_col).alias("_text"), F.col(id_col).alias("_id"))
-    sizes = {r[0]: r[1] for r in labelled.groupBy("_lang").count().limit(max_languages + 1).collect()}
-    if len(sizes) > max_languages:
-        raise ValueError(f"{lang_col} has more than {max_languages} values; clean it or raise max_languages")
+    sizes = {r[0]: r[1] for r in labelled.groupBy("_lang").count().orderBy(F.desc("count"), "_lang").limit(max_languages).collect()}
     langs = sorted(sizes)
     if not langs:
         return [], np.zeros((BUCKETS, 0))
-    table = local_table(docs.sparkSession, [(k, min(1.0, docs_per_language / n)) for k, n in sizes.items()], "_lang string, _rate double")
+    table = local_table(docs.sparkSession, [(k, i, min(1.0, docs_per_language / sizes[k])) for i, k in enumerate(langs)], "_lang string, _code int, _rate double")
     chance = F.shiftrightunsigned(F.xxhash64(F.col("_id").cast("string")), 11) / float(1 << 53)
-    sample = labelled.join(F.broadcast(table), "_lang").filter(chance < F.col("_rate")).select("_lang", "_text")
+    sample = labelled.join(F.broadcast(table), "_lang").filter(chance < F.col("_rate")).select("_code", "_text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         letters, sums = letter_table(), {}
         for batch in batches:
-            own: dict[str, list[str]] = {}
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                own.setdefault(lang, []).append(text)
-            for lang, texts in own.items():
+            own: dict[int, list[str]] = {}
+            for code, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                own.setdefault(code, []).append(text)
+            for code, texts in own.items():
                 for run in chunks(texts, CHUNK // 4):
                     _, found, counts = trigrams(run, letters)
-                    sums[lang] = sums.get(lang, 0) + np.bincount(found, counts, BUCKETS)
-        for lang, counts in sums.items():
+                    sums[code] = sums.get(code, 0) + np.bincount(found, counts, BUCKETS)
+        for code, counts in sums.items():
             found = np.flatnonzero(counts)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found), pa.string()), pa.array(found, pa.int32()), pa.array(counts[found].astype(np.int64))], ["lang", "bucket", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), code, np.int32)), pa.array(found, pa.int32()), pa.array(counts[found].astype(np.int64))], ["code", "bucket", "n"])
 
-    counted = sample.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    counted = sample.mapInArrow(count, "code int, bucket int, n long").groupBy("code", "bucket").agg(F.sum("n").alias("n")).toPandas()
     prob = np.full((BUCKETS, len(langs)), smoothing)
-    prob[counted["bucket"].to_numpy(), [langs.index(x) for x in counted["lang"]]] += counted["n"].to_numpy()
+    prob[counted["bucket"].to_numpy(), counted["code"].to_numpy()] += counted["n"].to_numpy()
     return langs, prob / prob.sum(axis=0)
 
 
