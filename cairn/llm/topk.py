@@ -26,8 +26,6 @@ from cairn.llm.common import checkpoint
 CELLS = 1 << 20
 #: Phase 1 looks at one in so many candidates.
 PROBE = 8
-#: Once a smaller share of a block's entries than this can still reach the cutoff, they are multiplied one by one.
-SPARSE = 0.15
 LOWEST, HIGHEST = -(1 << 63), (1 << 63) - 1
 
 
@@ -59,50 +57,44 @@ def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
 
 
 class Block:
-    """Vectors in runs of dimensions, with the norms of every run and of all runs from it on."""
+    """Vectors in runs of dimensions, with the norm of each run."""
 
     def __init__(self, vectors: np.ndarray, ids: np.ndarray, lists: int):
         self.vectors, self.ids = vectors, ids
         self.cuts = np.linspace(0, vectors.shape[1], lists + 1).astype(int)
-        squares = np.stack([np.square(vectors[:, a:b].astype(float)).sum(axis=1) for a, b in self.runs()], 1)
-        self.rest = np.sqrt(np.cumsum(squares[:, ::-1], axis=1)[:, ::-1])  # rest[:, j]: of runs j, j + 1, ...
+        self.norms = np.stack([np.sqrt(np.square(vectors[:, a:b].astype(float)).sum(axis=1)) for a, b in self.runs()], 1)
 
     def runs(self):
         return zip(self.cuts[:-1], self.cuts[1:])
 
 
 def sufficient(q: Block, c: Block, cutoff: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray], int]:
-    """(query, candidate, score) of every pair whose score may reach the query's cutoff (NaN: all), by position; and how many products of runs it took."""
-    rows, cols, score, done = None, None, None, 0
+    """(query, candidate, score) of every pair whose score reaches the query's cutoff (NaN: all), by position; and how many entries were collected for it."""
     low = np.where(np.isnan(cutoff), -np.inf, cutoff)
-    # Entries that tell whether looking at all bounds pays.
-    some = np.divmod(np.arange(1024) * 2_654_435_761 % (len(low) * len(c.ids)), len(c.ids))
+    lists = len(q.cuts) - 1
+    # A little below the exact threshold, as it is a rounded quotient.
+    threshold = low / lists - 1e-9 * np.abs(np.where(np.isinf(low), 0, low)) - 1e-6
+    found, partial = np.zeros((len(low), len(c.ids)), bool), []
     for j, (a, b) in enumerate(q.runs()):
-        if rows is None:
-            part = q.vectors[:, a:b] @ c.vectors[:, a:b].T
-            score = part if score is None else score + part
-            done += score.size
+        # No product of a run is above that of the norms.
+        able = q.norms[:, j] * c.norms[:, j].max(initial=0) * (1 + 1e-9) + 1 >= threshold
+        with np.errstate(over="ignore"):
+            least = np.min(np.where(able & (threshold > 1), (threshold - 1) / np.maximum(q.norms[:, j] * (1 + 1e-9), 1e-300), np.where(able, -np.inf, np.inf)), initial=np.inf)
+        wide = c.norms[:, j] >= least
+        whole = able.all() and wide.all()
+        rows, cols = (slice(None), slice(None)) if whole else (np.flatnonzero(able), np.flatnonzero(wide))
+        part = q.vectors[rows, a:b] @ c.vectors[cols, a:b].T
+        partial.append(part if whole else None)
+        hit = part >= threshold[rows][:, None]
+        if whole:
+            found |= hit
         else:
-            score = score + (q.vectors[rows, a:b] * c.vectors[cols, a:b]).sum(axis=1)
-            done += len(rows)
-        if j + 1 == len(q.cuts) - 1:
-            break
-        # A little above the exact bound, as norms are rounded.
-        if rows is None:
-            most = lambda i, x: score[i, x].astype(float) + q.rest[i, j + 1] * (1 + 1e-9) * c.rest[x, j + 1] + 1  # noqa: B023, E731
-            if (most(*some) >= low[some[0]]).mean() < SPARSE:
-                rows, cols = np.nonzero(most(*np.ogrid[: len(low), : len(c.ids)]) >= low[:, None])
-                score = score[rows, cols]
-        else:
-            alive = score.astype(float) + q.rest[rows, j + 1] * (1 + 1e-9) * c.rest[cols, j + 1] + 1 >= low[rows]
-            rows, cols, score = rows[alive], cols[alive], score[alive]
-    if rows is None:
-        rows, cols = np.nonzero(score >= low[:, None])
-        score = score[rows, cols]
-    else:
-        reach = score >= low[rows]
-        rows, cols, score = rows[reach], cols[reach], score[reach]
-    return (rows, cols, score), done
+            i, k = np.nonzero(hit)
+            found[rows[i], cols[k]] = True
+    rows, cols = np.nonzero(found)
+    score = np.add.reduce([p[rows, cols] if p is not None else (q.vectors[rows, a:b] * c.vectors[cols, a:b]).sum(axis=1) for p, (a, b) in zip(partial, q.runs())])
+    reach = score >= low[rows]
+    return (rows[reach], cols[reach], score[reach]), len(rows)
 
 
 def local_lists(q: Block, c: Block, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -149,15 +141,15 @@ def whole_number(x: Column) -> Column:
     return F.when(x >= 2.0**63, F.lit(HIGHEST)).when(x < -(2.0**63), F.lit(LOWEST)).otherwise(F.floor(F.when(F.abs(x) < 2.0**63, x).otherwise(0.0)).cast("long"))
 
 
-def top_k(vectors: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", scale: int = 1024, lists: int = 4, block: int = 16384, query_block: int = 32768, tasks: int | None = None) -> DataFrame:
+def top_k(vectors: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", scale: int = 1024, lists: int = 4, block: int = 65536, query_block: int = 32768, tasks: int | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score): the k candidates of highest integer inner product for every query.
 
     is_query: a condition over vectors.  Components are floor(scale * x).
     Every row but the query's own id is a candidate; ties go to the smaller
     id.  Vectors that are null, or hold a null, NaN or infinite component,
     and rows with a null id take no part.  Vectors of unequal length are
-    padded with zeros.  Rows repeated under one id count once for each id and
-    vector.  Components and scores beyond the range of a long count as its
+    padded with zeros.  Rows repeated under one id are candidates each, and
+    queries each, whose results are ranked together.  Components and scores beyond the range of a long count as its
     nearest value.  Empty tables, and tables without queries, give no rows.
     Other columns are not read, so their names don't matter.
     """
@@ -165,7 +157,7 @@ def top_k(vectors: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", vec
     x = F.transform(F.col(vec_col), lambda v: v.cast("double"))
     sound = F.col(id_col).isNotNull() & F.col(vec_col).isNotNull() & ~F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), is_query.alias("q"), sound.alias("ok"), x.alias("x")).filter("ok")
-    rows = checkpoint(rows.select("id", F.coalesce("q", F.lit(False)).alias("q"), F.transform("x", lambda v: whole_number(v * scale)).alias("v")).distinct())
+    rows = checkpoint(rows.select("id", F.coalesce("q", F.lit(False)).alias("q"), F.transform("x", lambda v: whole_number(v * scale)).alias("v")))
     n, nq = rows.agg(F.count("*"), F.count_if("q")).first()
     tasks = tasks or spark.sparkContext.defaultParallelism
     blocks = max(1, -(-n // block), min(2 * tasks, n // 512))
@@ -187,7 +179,7 @@ def top_k(vectors: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", vec
 
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     local = phase(queries.withColumn("cutoff", F.lit(None).cast("double")), False)
-    cutoff = local.distinct().withColumn("rank", F.row_number().over(order)).filter(F.col("rank") == k).select("query_id", F.col("score").cast("double").alias("cutoff"))
+    cutoff = local.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") == k).select("query_id", F.col("score").cast("double").alias("cutoff"))
     known = checkpoint(queries.join(cutoff, queries["id"] == cutoff["query_id"], "left").select("id", "v", "qb", "cutoff"))
-    exact = phase(known, True).distinct()
+    exact = phase(known, True)
     return exact.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

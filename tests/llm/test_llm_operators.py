@@ -206,8 +206,7 @@ def test_language_id_equals_one_document_at_a_time(spark):
 def test_letters_and_dirty_languages(spark):
     letters = langid.letter_table()
     assert all(letters[c] == (unicodedata.category(chr(c))[0] == "L") for c in (0x41, 0xD7B0, 0xD7FB, 0x32000, 0x323AF, 0x3130, 0x9FFF, 0x2FFFF, 0xE0041))
-    with pytest.raises(ValueError, match="more than 5"):
-        langid.learn(spark.createDataFrame([(i, "text", str(i)) for i in range(9)], "doc_id long, text string, lang string"), max_languages=5)
+    assert langid.learn(spark.createDataFrame([(i, "text", str(i)) for i in range(9)], "doc_id long, text string, lang string"), max_languages=5)[0] == ["0", "1", "2", "3", "4"]
 
 
 def test_sharding(spark, docs, empty):
@@ -246,7 +245,7 @@ def test_top_k(spark):
     assert topk.top_k(spark.createDataFrame([], "vec_id long, embedding array<double>"), F.lit(True)).count() == 0
     whole = {i: np.floor(1024 * np.array(v)).astype(np.int64) for i, v in vec.items()}
     for q in range(0, 400, 100):
-        want = sorted((-int(whole[q] @ whole[i]), i) for i in vec if i != q)[:5]
+        want = sorted((-int(whole[q] @ whole[i]), i) for i in [*vec, 9] if i != q)[:5]
         assert [(-r.score, r.vec_id) for r in sorted((r for r in got if r.query_id == q), key=lambda r: r["rank"])] == want
 
 
@@ -265,17 +264,18 @@ def test_top_k_of_clustered_vectors_and_ties(spark, lists):
         assert [(-r.score, r.vec_id) for r in sorted((r for r in got if r.query_id == q), key=lambda r: r["rank"])] == want
 
 
-def test_cutoff_saves_products():
+def test_uniform_threshold_collects_what_suffices():
     rng = np.random.default_rng(4)
     heart = rng.normal(size=(30, 32)) * 500
-    v = (heart[rng.integers(0, 30, 4000)] + rng.normal(size=(4000, 32)) * 20).astype(np.int64)
-    q = topk.Block(v[:50], np.arange(50), 4)
-    c = topk.Block(v, np.arange(4000), 4)
-    cutoff = np.partition((v[:50] @ v.T).astype(float), -11, axis=1)[:, -11]
-    found, done = topk.sufficient(q, c, cutoff)
-    assert done < 0.7 * 50 * 4000 * 4
-    score = v[:50] @ v.T
-    assert {(a, b) for a, b, _ in zip(*found)} >= {(a, b) for a, b in zip(*np.nonzero(score >= cutoff[:, None]))}
+    for lists, v in ((4, heart[rng.integers(0, 30, 4000)] + rng.normal(size=(4000, 32)) * 20), (2, rng.normal(size=(4000, 32)) * np.exp(rng.normal(size=(4000, 1)) * 2) * 100)):
+        v = v.astype(np.int64)
+        q, c, score = topk.Block(v[:50], np.arange(50), lists), topk.Block(v, np.arange(4000), lists), v[:50] @ v.T
+        for cutoff in (np.partition(score.astype(float), -11, axis=1)[:, -11], np.full(50, np.nan), np.where(np.arange(50) % 2, -5.0, 1e300)):
+            found, collected = topk.sufficient(q, c, cutoff)
+            low = np.where(np.isnan(cutoff), -np.inf, cutoff)
+            assert {(a, b, int(x)) for a, b, x in zip(*found)} == {(a, b, int(score[a, b])) for a, b in zip(*np.nonzero(score >= low[:, None]))}
+            assert len(found[0]) <= collected <= score.size
+        assert topk.sufficient(q, c, np.partition(score.astype(float), -11, axis=1)[:, -11])[1] < 0.4 * score.size
 
 
 def test_top_k_of_huge_components(spark):
