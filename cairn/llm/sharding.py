@@ -125,11 +125,21 @@ def splitters(rows: DataFrame, parts: int, tolerance: float, probes: int) -> tup
     return [k for k, _ in keys], [0, *[n for _, n in keys]], tied
 
 
-def shard(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: str = "text", overhead: int = 8, runs: int = 16, tolerance: float = 0.01, probes: int = 64) -> DataFrame:
+#: Most key ranges of all shards together, whose edges and counts the driver holds.
+MOST_PARTS = 16_384
+
+
+def runs_for(total: int, shards: int, part_bytes: int) -> int:
+    """Key ranges of a shard, such that a range holds about part_bytes; at most MOST_PARTS in all."""
+    return max(1, min(MOST_PARTS // shards, -(-total // (shards * part_bytes))))
+
+
+def shard(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: str = "text", overhead: int = 8, runs: int | None = None, part_bytes: int = 1 << 27, tolerance: float = 0.01, probes: int = 64) -> DataFrame:
     """All columns of docs, moved to their shard, with size, shard and slot: shards of near-equal bytes; slot counts gapless from 0 in each.
 
     size is the UTF-8 length plus overhead.  A shard is cut into `runs` key
-    ranges of near-equal bytes, which are the tasks that order its rows; each
+    ranges of near-equal bytes (None: of about part_bytes each, so their number
+    grows with docs), which are the tasks that order its rows; each
     part's bytes are off by the largest row or tolerance of a part at most.
     Null texts count as empty, null ids are alike.  Very long texts are one row
     like any other.  Rows of one id and one text are interchangeable; where so
@@ -140,6 +150,7 @@ def shard(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: s
     """
     rows = checkpoint(keyed(docs, id_col, text_col, overhead))
     whole = keyed(docs, id_col, text_col, overhead, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    runs = runs or runs_for(rows.agg(F.sum("size")).first()[0] or 0, shards, part_bytes)
     parts = shards * runs
     edges, starts, tied = splitters(rows, parts, tolerance, probes)
     if tied:  # fewer than parts
