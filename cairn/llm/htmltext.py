@@ -24,7 +24,9 @@ from cairn.llm.common import unused
 from cairn.llm.labelled_pages import TRAINING, filled
 
 #: Features of a block, in order.
-FEATURES = ("words", "link_density", "prev_words", "prev_link_density", "next_words", "next_link_density")
+FEATURES = ("words", "link_density", "prev_words", "prev_link_density", "next_words", "next_link_density", "article")
+#: Values of the last one: beside the page's article elements, on a page that has none, inside of one.
+BESIDE, NO_ARTICLE, INSIDE = 0.0, 1.0, 2.0
 
 #: Elements whose content is no text of the page.
 RAW = {"script", "style", "template", "svg", "textarea", "title", "iframe", "select"}
@@ -34,17 +36,20 @@ BLOCK = set(
 CONTAINER = set("article aside blockquote button details dialog div dl fieldset figure footer form header label li main menu nav ol p section table td tr ul".split())
 #: Containers that hold something else than main text, by their element or by a word of their class, id or role.
 OTHER = {"nav", "footer", "aside", "form", "button", "dialog", "menu", "label", "fieldset"}
+#: Elements that hold text themselves: no word of their class makes them something else.
+TEXT = {"p", "li", "td", "blockquote"}
 NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|comments?|cookies?|consent|disqus|newsletter|notices?|popup|promo\w*|related|repl(?:y|ies)|share|sharing|side-?bar|social|sponsor\w*|subscribe)(?=$|[\s_-])",
+    r"(?:^|\s)(?:(?:[\w-]+[_-])?(?:ads?|adverts?|advertisements?|banner|comments?|cookies?|consent|disqus|newsletter|popup|promo|promoted|repl(?:y|ies)|share|sharing|side-?bar|social|sponsored|subscribe)(?:[_-](?:area|bar|box|container|form|links?|list|section|thread|widget))?"
+    r"|(?:related|notices?)(?:[_-](?:articles?|bar|box|content|links?|list|news|pages?|posts?|stories))?)(?=$|\s)",
     re.I,
 )
 TAG = re.compile(r"<(?:!--(?s:.*?)(?:--!?>|\Z)|[!?][^>]*+(?:>|\Z)|(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>|[^>]*+(?:>|\Z)))")
 NAMED = re.compile(r"""\b(?:class|id|role)\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++))""", re.I)
 
 
-def blocks(page: str) -> list[tuple[str, int, int, bool]]:
-    """(text, words, linked words, whether its container holds something else) of every block with a word, in page order."""
-    out: list[tuple[str, int, int, bool]] = []
+def blocks(page: str) -> list[tuple[str, int, int, bool, bool]]:
+    """(text, words, linked words, whether its container holds something else, whether it lies in an article) of every block with a word, in page order."""
+    out: list[tuple[str, int, int, bool, bool]] = []
     stack: list[tuple[str, bool, bool]] = []  # open containers: tag, holds something else, is in an article
     pieces: list[tuple[str, bool]] = []
     head = link = False
@@ -55,7 +60,7 @@ def blocks(page: str) -> list[tuple[str, int, int, bool]]:
             if text:
                 linked = sum(len(entities.unescape(p).split()) for p, a in pieces if a)
                 words = text.count(" ") + 1
-                out.append((text, words, min(words, linked), bool(stack) and stack[-1][1]))
+                out.append((text, words, min(words, linked), bool(stack) and stack[-1][1], bool(stack) and stack[-1][2]))
             pieces.clear()
 
     at, end = 0, len(page)
@@ -100,7 +105,7 @@ def blocks(page: str) -> list[tuple[str, int, int, bool]]:
             if tag == "main":
                 other, article = False, True
             else:
-                other = other or tag in OTHER or (tag == "header" and not article) or any(NAMES.search(n[1] or n[2] or n[3] or "") for n in NAMED.finditer(m[3]))
+                other = other or tag in OTHER or (tag == "header" and not article) or tag not in TEXT and any(NAMES.search(n[1] or n[2] or n[3] or "") for n in NAMED.finditer(m[3]))
                 article = article or tag == "article"
             stack.append((tag, other, article))
     flush()
@@ -110,9 +115,11 @@ def blocks(page: str) -> list[tuple[str, int, int, bool]]:
 def features(found: list[tuple]) -> np.ndarray:
     """One row of FEATURES for each block; a missing neighbour has no words."""
     words = np.array([b[1] for b in found], float)
+    inside = np.array([b[4] for b in found])
+    article = np.where(inside, INSIDE, BESIDE) if inside.any() else np.full(len(found), NO_ARTICLE)
     density = np.array([b[2] / b[1] for b in found])
     pad = lambda x, back: np.concatenate([[0.0], x[:-1]]) if back else np.concatenate([x[1:], [0.0]])
-    return np.stack([words, density, pad(words, True), pad(density, True), pad(words, False), pad(density, False)], 1)
+    return np.stack([words, density, pad(words, True), pad(density, True), pad(words, False), pad(density, False), article], 1)
 
 
 def labelled_table(pages: list[str]) -> np.ndarray:
@@ -121,7 +128,7 @@ def labelled_table(pages: list[str]) -> np.ndarray:
     for page in pages:
         found = blocks(page)
         bare = [text.lstrip("§~") for text, *_ in found]
-        linked = features([(t, len(t.split()), b[2], b[3]) for t, b in zip(bare, found)])
+        linked = features([(t, len(t.split()), *b[2:]) for t, b in zip(bare, found)])
         rows += [[*x, float(b[0].startswith("§"))] for x, b in zip(linked, found) if not b[0].startswith("~")]
     return np.array(rows)
 

@@ -18,7 +18,7 @@ def test_features_by_hand():
         row = []
         for j in (i, i - 1, i + 1):
             row += [words[j], linked[j] / words[j]] if 0 <= j < 4 else [0, 0]
-        want.append(row)
+        want.append([*row, htmltext.NO_ARTICLE])
     assert htmltext.features(htmltext.blocks(page)).tolist() == want
 
 
@@ -59,3 +59,17 @@ def test_very_long_page_and_elements_that_stay():
     assert htmltext.main_text(page, nodes).count("\n") == 50_001
     page = "<h1>Title of it</h1><p>let <math>x</math> be <noscript>shown</noscript> and <object>drawn</object> here</p><p>" + "more words " * 30 + "</p>"
     assert "let x be shown and drawn here" in htmltext.main_text(page, nodes)
+
+
+def test_ordinary_articles_keep_their_text():
+    nodes = htmltext.train(TABLE)
+    text = lambda page: htmltext.main_text(page, nodes)
+    assert text("<article><h1>Note</h1><p>It rained today.</p><p>We stayed home.</p></article>") == "Note\nIt rained today.\nWe stayed home."
+    long = " ".join(["word"] * 40)
+    page = f"<div>My site</div><article><h1>Title</h1><p class='related-work'>{long}</p><h2>Sources</h2><ul><li><a href='/a'>First source</a></li><li><a href='/b'>Second source</a></li></ul><p>The end.</p></article><p>Leave a reply below and tell us what you think of this.</p>"
+    assert text(page) == f"Title\n{long}\nSources\nFirst source\nSecond source\nThe end."
+    page = f"<main><h1>Title</h1><p>{long}</p><div class='related-posts'><p>{long}</p></div><div id='comments'><p>{long}</p></div><form><p>{long}</p></form><p>So it was.</p></main>"
+    assert text(page) == f"Title\n{long}\nSo it was."
+    # Without an article the words and links around a block decide.
+    page = f"<ul><li><a href='/'>Home</a></li><li><a href='/n'>News</a></li></ul><h1>A title of five words</h1><p>{long}</p><p>{long} {long}</p><div>Foot line of some words</div>"
+    assert text(page) == f"A title of five words\n{long}\n{long} {long}"
