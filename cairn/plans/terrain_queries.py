@@ -294,7 +294,7 @@ def vertex_positions(spark, sf_dir):
 
 
 def cell_meshes(spark, sf_dir):
-    """Triangles of the vectors of each label, by their first two components; without SQL."""
+    """Triangles of the vectors of each label, by their first two components."""
     points = read(spark, sf_dir, "embeddings").select(F.col("label").alias("cell"), F.col("vec_id").alias("vid"), F.get("embedding", F.lit(0)).cast("double").alias("x"), F.get("embedding", F.lit(1)).cast("double").alias("y"))
     return mesh.triangulate(points)
 
@@ -579,6 +579,12 @@ c AS (SELECT e.*, x, y, h, x - ox AS dx, y - oy AS dy FROM e JOIN h ON x BETWEEN
 d AS (SELECT *, greatest(abs(dx), abs(dy)) AS k, CASE WHEN abs(dx) >= abs(dy) THEN CASE WHEN dx > 0 THEN 0 ELSE 1 END WHEN dy > 0 THEN 2 ELSE 3 END AS side, CASE WHEN abs(dx) >= abs(dy) THEN dy ELSE dx END AS j FROM c),
 v AS (SELECT d.o, x, y FROM d LEFT JOIN w ON w.o = d.o AND w.side = d.side AND w.k = d.k AND w.p = CASE WHEN d.k > 0 THEN floor(d.j * reach / d.k + 0.5) END WHERE d.k = 0 OR w.horizon IS NULL OR (h - base) / sqrt(CAST(dx * dx + dy * dy AS DOUBLE)) >= w.horizon)
 SELECT o AS observer, CAST(x // 8 AS INTEGER) AS tx, CAST(y // 8 AS INTEGER) AS ty, string_agg((y % 8) * 8 + x % 8, ',' ORDER BY (y % 8) * 8 + x % 8) AS seen FROM v GROUP BY ALL""",
+    "cell_meshes": """WITH p AS (SELECT label AS cell, vec_id AS vid, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y FROM embeddings), s AS (SELECT cell, min(x) AS x0, min(y) AS y0, greatest(max(x) - min(x), max(y) - min(y)) AS span FROM p GROUP BY cell),
+g AS (SELECT cell, min(vid) AS vid, CAST(round((x - x0) / span * 67108864) AS HUGEINT) AS x, CAST(round((y - y0) / span * 67108864) AS HUGEINT) AS y FROM p JOIN s USING (cell) GROUP BY ALL),
+t AS (SELECT a.cell, a.vid AS a, a.x AS a1, a.y AS a2, b.vid AS b, b.x AS b1, b.y AS b2, c.vid AS c, c.x AS c1, c.y AS c2 FROM g a JOIN g b ON b.cell = a.cell AND b.vid > a.vid JOIN g c ON c.cell = a.cell AND c.vid > a.vid AND c.vid <> b.vid WHERE (b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x) > 0),
+u AS (SELECT cell, a, b, c FROM t WHERE NOT EXISTS (SELECT 1 FROM g d WHERE d.cell = t.cell AND (a1 - d.x) * ((b2 - d.y) * ((c1 - d.x) * (c1 - d.x) + (c2 - d.y) * (c2 - d.y)) - ((b1 - d.x) * (b1 - d.x) + (b2 - d.y) * (b2 - d.y)) * (c2 - d.y))
+  - (a2 - d.y) * ((b1 - d.x) * ((c1 - d.x) * (c1 - d.x) + (c2 - d.y) * (c2 - d.y)) - ((b1 - d.x) * (b1 - d.x) + (b2 - d.y) * (b2 - d.y)) * (c1 - d.x)) + ((a1 - d.x) * (a1 - d.x) + (a2 - d.y) * (a2 - d.y)) * ((b1 - d.x) * (c2 - d.y) - (b2 - d.y) * (c1 - d.x)) > 0))
+SELECT cell, row_number() OVER (PARTITION BY cell ORDER BY a, b) - 1 AS tid, a, b, c FROM u""",
     "recode_tiles": f"""{C}, q AS (SELECT vec_id, floor(v * 4000) AS v, (vec_id % 4) / 3e0 AS q FROM c), s AS (SELECT *, CAST(round(pow(2e0, 12 * q)) AS BIGINT) AS step FROM q), d AS (SELECT vec_id, q, v - floor((v + step // 2) / step) * step AS d FROM s)
 SELECT vec_id, CASE WHEN min(q) < 1 THEN 'ok' ELSE 'error' END AS status, CASE WHEN min(q) >= 1 THEN 'quality 1.0 is not in 0 .. 1' END AS error, CASE WHEN min(q) < 1 THEN CAST(count(*) FILTER (d = 0) AS INTEGER) END AS n_identical, CASE WHEN min(q) < 1 THEN round(sqrt(avg(d * d)), 6) END AS rmse FROM d GROUP BY vec_id""",
     "missing_chunks": "WITH p AS (SELECT p_brand, 'dem_' || p_size || '_x' || (p_partkey % 12) || '_y' || ((p_partkey // 12) % 12) AS prefix FROM part) SELECT DISTINCT prefix FROM p WHERE prefix NOT IN (SELECT prefix FROM p WHERE p_brand LIKE 'Brand#1%')",

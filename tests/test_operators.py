@@ -86,3 +86,23 @@ def test_recode_failures_are_rows(spark):
     rows = [(1, [5, 9, 1000], 0.0), (2, [], 0.1), (3, [1], 1.0), (4, [5, 9, 1000], 0.5), (5, None, 0.5)]
     got = {r.tile: r for r in raster.recode(spark.createDataFrame(rows, "tile int, px array<int>, q double"), "px", "q").collect()}
     assert [got[i].status for i in range(1, 6)] == ["ok", "error", "error", "ok", "error"] and got[1].lossy == [5, 9, 1000] and got[4].lossy == [0, 0, 1024 - 1024 % 64]
+
+
+@pytest.mark.parametrize("strip_points", [40, 150])
+@pytest.mark.parametrize("kind", ["random", "clusters", "columns"])
+def test_strips_give_the_triangles_of_the_whole(spark, kind, strip_points):
+    rng = np.random.default_rng(12)
+    x, y = {"random": rng.random((2, 700)), "clusters": rng.normal(size=(2, 700)) * 0.02 + rng.integers(0, 4, 700), "columns": np.stack([rng.integers(0, 9, 700) + rng.random(700) * 1e-9, rng.random(700)])}[kind]
+    frame = spark.createDataFrame([("a", i, float(x[i]), float(y[i])) for i in range(700)] + [("b", i, float(i % 2), float(i)) for i in range(5)] + [(None, 1, 0.0, 0.0), ("a", 9999, float("nan"), 1.0)], "sheet string, vid long, x double, y double").repartition(3)
+    got = mesh.triangulate(frame, "sheet", strip_points=strip_points).collect()
+    turn = lambda t: tuple(t[t.index(min(t)) :] + t[: t.index(min(t))])
+    want = sorted(turn(t) for t in mesh.triangles(x, y).tolist())
+    assert [(r.a, r.b, r.c) for r in sorted((r for r in got if r.sheet == "a"), key=lambda r: r.tid)] == want
+    assert sum(r.sheet == "b" for r in got) == 3 and sorted(r.tid for r in got if r.sheet == "a") == list(range(len(want)))
+
+
+def test_strips_through_a_lattice_fill_it(spark):
+    rows = [("a", i, float(i % 20), float(i // 20)) for i in range(400)]
+    got = mesh.triangulate(spark.createDataFrame(rows, "cell string, vid long, x double, y double"), strip_points=60).collect()
+    area = lambda a, b, c: ((b % 20 - a % 20) * (c // 20 - a // 20) - (b // 20 - a // 20) * (c % 20 - a % 20)) / 2
+    assert len(got) == 2 * 19 * 19 and all(area(r.a, r.b, r.c) == 0.5 for r in got)
