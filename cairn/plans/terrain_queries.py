@@ -15,7 +15,7 @@ from cairn.functions import scalars as S
 from cairn.operators import frames, grids, mesh, picking, raster, reports, spatial, tracks, viewshed
 from cairn.plans import fixtures
 from cairn.plans.proxies import read, track_points
-from cairn.sources import catalogs, geojson, gpx, rasters, shapefile, tiff
+from cairn.sources import catalogs, geojson, gpx, rasters, shapefile, table_functions, tiff
 
 
 def rounded(places, *names):
@@ -143,6 +143,16 @@ def archive_results(spark, sf_dir):
     return found.select("archive", "status", F.regexp_replace("error", "(?s)^not read: .*", "not read").alias("error"), "n_points", (F.col("n_triangles") > 0).alias("meshed"))
 
 
+def archive_tables(spark, sf_dir):
+    """Points and triangles of archives, some of which are broken, by table functions in SQL."""
+    table_functions.register(spark)
+    fixtures.shape_archives(read(spark, sf_dir, "part"), faults=True).createOrReplaceTempView("shape_archives")
+    return spark.sql("""
+        WITH p AS (SELECT archive, count(x) AS n_points, round(sum(x), 4) AS x, round(sum(y), 4) AS y, round(sum(h), 4) AS h, max(error) IS NOT NULL AS broken FROM contour_points(TABLE(SELECT path, content FROM shape_archives)) GROUP BY archive),
+        m AS (SELECT archive, count(a) > 0 AS meshed, max(greatest(a, b, c)) AS last_corner FROM contour_mesh(TABLE(SELECT path, content FROM shape_archives)) GROUP BY archive)
+        SELECT archive, n_points, x, y, h, broken, meshed, last_corner FROM p JOIN m USING (archive)""")
+
+
 def archive_mesh(spark, sf_dir):
     """Triangles and points of each archive's mesh."""
     found = shapefile.members(fixtures.shape_archives(read(spark, sf_dir, "part")))
@@ -426,7 +436,7 @@ def debug_snapshot(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    wgs_to_osgb, osgb_to_wgs, grid_references, half_encode, codebook_encode, normalised_tiles, contour_lines, colours, format_texts, status_texts, routes_and_names, gpx_points, gpx_metadata, archive_points, archive_results, archive_mesh,
+    wgs_to_osgb, osgb_to_wgs, grid_references, half_encode, codebook_encode, normalised_tiles, contour_lines, colours, format_texts, status_texts, routes_and_names, gpx_points, gpx_metadata, archive_points, archive_results, archive_tables, archive_mesh,
     geojson_points, geojson_legacy_points, tiff_windows, tiff_resampled, tiff_patches, half_rasters, tile_catalog, playhead_positions, playhead_asof, svg_paths, catalog_tracks, gesture_velocity, coasting, zoom_steps, wheel_gestures, transitions,
     mirror_repair, raster_windows, names_and_windows, reversed_triangles, vertex_positions, cell_meshes, viewshed_area, recode_tiles, missing_chunks, visible_tiles, observed_tiles, terrain_picks, level_order, map_views,
     camera_offsets, camera_limits, anchored_zoom, screen_pixels, bench_report, count_parity, debug_snapshot,
@@ -529,6 +539,10 @@ SELECT doc, 'me' AS creator, CASE WHEN doc % 5 = 0 THEN first_type ELSE 'rest' E
     "archive_results": """WITH p AS (SELECT p_brand AS archive, CASE WHEN (p_size % 7 <> 0 AND p_size % 5 <> 0) OR p_size % 2 = 0 THEN 1 ELSE 0 END AS high FROM part), a AS (SELECT archive, right(archive, 1) AS d, count(*) AS n, sum(high) AS high FROM p GROUP BY archive),
 e AS (SELECT *, CASE d WHEN '2' THEN 'not read' WHEN '3' THEN 'holds no shapes' WHEN '4' THEN 'record ' || (n - 1) || ' of points.shp is cut off' ELSE CASE WHEN high < 3 THEN high || ' points; 3 are needed' END END AS error FROM a)
 SELECT archive, CASE WHEN error IS NULL THEN 'ok' ELSE 'error' END AS status, error, CASE WHEN d IN ('2', '3', '4') THEN 0 ELSE CAST(high AS BIGINT) END AS n_points, error IS NULL AS meshed FROM e""",
+    "archive_tables": """WITH p AS (SELECT p_brand AS archive, right(p_brand, 1) AS d, p_partkey, p_size, coalesce(CASE WHEN p_size % 7 <> 0 AND p_size % 5 <> 0 THEN p_size * 10e0 END, CASE WHEN p_size % 2 = 0 THEN p_partkey / 2e0 END) AS h FROM part),
+g AS (SELECT archive, d, count(h) AS n, sum(p_partkey) FILTER (h IS NOT NULL) AS x, sum(p_size) FILTER (h IS NOT NULL) AS y, sum(h) AS h FROM p GROUP BY archive, d)
+SELECT archive, CASE WHEN d IN ('2', '3', '4') THEN 0 ELSE n END AS n_points, CASE WHEN d NOT IN ('2', '3', '4') THEN round(CAST(x AS DOUBLE), 4) END AS x, CASE WHEN d NOT IN ('2', '3', '4') THEN round(CAST(y AS DOUBLE), 4) END AS y, CASE WHEN d NOT IN ('2', '3', '4') THEN round(h, 4) END AS h,
+d IN ('2', '3', '4') AS broken, d NOT IN ('2', '3', '4') AND n >= 3 AS meshed, CASE WHEN d NOT IN ('2', '3', '4') AND n >= 3 THEN n - 1 END AS last_corner FROM g""",
     "archive_points": """WITH p AS (SELECT p_brand AS archive, p_partkey, p_size, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS record_ix, coalesce(CASE WHEN p_size % 7 <> 0 AND p_size % 5 <> 0 THEN p_size * 10e0 END, CASE WHEN p_size % 2 = 0 THEN p_partkey / 2e0 END) AS h FROM part)
 SELECT archive, record_ix, CAST(0 AS BIGINT) AS point_ix, CAST(p_partkey AS DOUBLE) AS x, CAST(p_size AS DOUBLE) AS y, h FROM p WHERE h IS NOT NULL""",
     "geojson_points": f"{GEO} SELECT doc, part, CAST(point_ix AS INTEGER) AS point_ix, CAST(doc AS DOUBLE) AS x, CAST(p_size AS DOUBLE) AS y, coalesce(own, z) AS h FROM k JOIN p USING (kind) WHERE coalesce(own, z) IS NOT NULL",

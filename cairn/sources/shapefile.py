@@ -36,6 +36,23 @@ MEMBER = "archive string, stem string, ext string, content binary, error string"
 POINT = "archive string, stem string, record_ix long, point_ix long, x double, y double, z double, error string"
 
 
+#: What an archive that can't be opened raises, and one without shapes.
+UNREADABLE = (zipfile.BadZipFile, zlib.error, EOFError, NotImplementedError, RuntimeError, ValueError)
+
+
+def member_files(content: bytes) -> dict[tuple[str, str], bytes]:
+    """The .shp and .dbf members of an archive by (stem, extension), in small letters; the last of members of one name counts."""
+    found = {}
+    with zipfile.ZipFile(io.BytesIO(content)) as z:
+        for entry in z.infolist():
+            stem, ext = os.path.splitext(os.path.basename(entry.filename).lower())
+            if not entry.is_dir() and ext in (".shp", ".dbf"):
+                found[stem, ext[1:]] = z.read(entry)
+    if not any(ext == "shp" for _, ext in found):
+        raise ValueError("holds no shapes")
+    return found
+
+
 def members(found: DataFrame) -> DataFrame:
     """(archive, stem, ext, content, error) of the .shp and .dbf members of archives (path, content); the last of members of one name counts.
 
@@ -43,18 +60,10 @@ def members(found: DataFrame) -> DataFrame:
     """
 
     def listed(archive: str, content: bytes | None) -> list[tuple]:
-        found = {}
         try:
-            with zipfile.ZipFile(io.BytesIO(content or b"")) as z:
-                for entry in z.infolist():
-                    stem, ext = os.path.splitext(os.path.basename(entry.filename).lower())
-                    if not entry.is_dir() and ext in (".shp", ".dbf"):
-                        found[stem, ext[1:]] = z.read(entry)
-        except (zipfile.BadZipFile, zlib.error, EOFError, NotImplementedError, RuntimeError) as e:
-            return [(archive, None, None, None, f"not read: {e}")]
-        if not any(ext == "shp" for _, ext in found):
-            return [(archive, None, None, None, "holds no shapes")]
-        return [(archive, stem, ext, body, None) for (stem, ext), body in sorted(found.items())]
+            return [(archive, stem, ext, body, None) for (stem, ext), body in sorted(member_files(content or b"").items())]
+        except UNREADABLE as e:
+            return [(archive, None, None, None, str(e) if isinstance(e, ValueError) else f"not read: {e}")]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
