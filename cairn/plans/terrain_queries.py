@@ -16,6 +16,7 @@ from cairn.operators import frames, grids, mesh, picking, raster, reports, spati
 from cairn.plans import fixtures
 from cairn.plans.proxies import read, track_points
 from cairn.sources import catalogs, geojson, gpx, rasters, shapefile, table_functions, tiff
+from cairn.sources.shared import fresh_folder
 
 
 def rounded(places, *names):
@@ -206,6 +207,19 @@ def tiff_patches(spark, sf_dir):
     return found.select("vec_id", "status", F.col("error").isNotNull().alias("failed"), F.size(F.filter("pixels", lambda v: v > -200)).alias("n_valid"), F.round(total, 4).alias("total"))
 
 
+def tile_sink(spark, sf_dir):
+    """Tiles of 48 x 48 samples cut from mosaics, of which the left ones are written first, then all, and what is there after that."""
+    cut = mosaics(spark, sf_dir).option("window", "48x48").load()
+    name = F.concat_ws("_", F.regexp_replace(file_name("path"), r"\.tif$", ""), "left", "top")
+    tiles = cut.select(F.concat(F.lit("x"), "left").alias("layer"), name.alias("name"), "width", "height", "pixels", F.col("xll").alias("left"), (F.col("yll") + 480).alias("top"), F.lit(10.0).alias("pixel"))
+    folder = fresh_folder(spark, "tiles")
+    for part in (tiles.filter("layer = 'x0'"), tiles):
+        part.write.format("tiff").option("block", 16).mode("append").save(folder)
+    back = spark.read.format("tiff").load(folder)
+    total = lambda f: F.round(F.aggregate(F.filter("pixels", lambda v: v > -200), F.lit(0.0), f), 4)
+    return back.select(F.regexp_replace(file_name("path"), r"\.tif$", "").alias("name"), "width", "xll", "yll", total(lambda s, v: s + v).alias("total"))
+
+
 def half_rasters(spark, sf_dir):
     tiles = read(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda v: F.floor(F.abs(v.cast("double")) * 30000).cast("int")).alias("b"))
     found = rasters.half_tiles(fixtures.half_files(tiles, "b"), 8, 8)
@@ -437,7 +451,7 @@ def debug_snapshot(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     wgs_to_osgb, osgb_to_wgs, grid_references, half_encode, codebook_encode, normalised_tiles, contour_lines, colours, format_texts, status_texts, routes_and_names, gpx_points, gpx_metadata, archive_points, archive_results, archive_tables, archive_mesh,
-    geojson_points, geojson_legacy_points, tiff_windows, tiff_resampled, tiff_patches, half_rasters, tile_catalog, playhead_positions, playhead_asof, svg_paths, catalog_tracks, gesture_velocity, coasting, zoom_steps, wheel_gestures, transitions,
+    geojson_points, geojson_legacy_points, tiff_windows, tiff_resampled, tiff_patches, tile_sink, half_rasters, tile_catalog, playhead_positions, playhead_asof, svg_paths, catalog_tracks, gesture_velocity, coasting, zoom_steps, wheel_gestures, transitions,
     mirror_repair, raster_windows, names_and_windows, reversed_triangles, vertex_positions, cell_meshes, viewshed_area, recode_tiles, missing_chunks, visible_tiles, observed_tiles, terrain_picks, level_order, map_views,
     camera_offsets, camera_limits, anchored_zoom, screen_pixels, bench_report, count_parity, debug_snapshot,
 )}
@@ -554,6 +568,8 @@ SELECT 'm' || k || '.tif' AS path, CAST(l AS INTEGER) AS left, CAST(t AS INTEGER
 SELECT 'm' || m || '.tif' AS path, CAST(n % 16 * 8 AS INTEGER) AS left, CAST(n // 16 * 8 AS INTEGER) AS top, CAST(k.pos AS INTEGER) AS pos, round(coalesce(j.v, -200), 6) AS v FROM a CROSS JOIN k LEFT JOIN j ON j.vec_id = m * 256 + n AND j.pos = k.pos""",
     "tiff_patches": f"""{C}, p AS (SELECT vec_id // 256 AS k, (vec_id % 16) * 8 + x AS px, (vec_id % 256 // 16) * 8 + y AS py, v FROM c), q AS (SELECT vec_id, vec_id // 256 AS k, (vec_id % 16) * 8 - 2 AS l, (vec_id % 256 // 16) * 8 - 2 AS t, vec_id % 50 = 3 AS failed FROM embeddings WHERE label = 3)
 SELECT q.vec_id, CASE WHEN failed THEN 'error' ELSE 'ok' END AS status, failed, CASE WHEN NOT failed THEN CAST(count(v) AS INTEGER) END AS n_valid, CASE WHEN NOT failed THEN round(sum(v), 4) END AS total FROM q LEFT JOIN p ON p.k = q.k AND px >= l AND px < l + 12 AND py >= t AND py < t + 12 GROUP BY q.vec_id, failed""",
+    "tile_sink": f"""{C}, p AS (SELECT vec_id // 256 AS k, (vec_id % 16) * 8 + x AS px, (vec_id % 256 // 16) * 8 + y AS py, v FROM c), w AS (SELECT DISTINCT k, l * 48 AS l, t * 48 AS t FROM p, range(3) a(l), range(3) b(t))
+SELECT 'm' || w.k || '_' || l || '_' || t AS name, CAST(48 AS INTEGER) AS width, 80000e0 + 10 * l AS xll, 624040e0 - 10 * (t + 48) AS yll, round(coalesce(sum(v), 0), 4) AS total FROM w LEFT JOIN p ON p.k = w.k AND px // 48 = l // 48 AND py // 48 = t // 48 GROUP BY w.k, l, t""",
     "half_rasters": "SELECT CAST(vec_id AS VARCHAR) AS path, true AS whole, CAST(i - 1 AS INTEGER) AS pos, CAST(floor(abs(CAST(embedding[i] AS DOUBLE)) * 30000) AS INTEGER) AS bits FROM (SELECT vec_id, embedding, unnest(generate_series(1, len(embedding))) AS i FROM embeddings)",
     "tile_catalog": """WITH t AS (SELECT 80000 + 40960 * (p_partkey % 14) AS x, 624040 - 40960 * ((p_partkey // 14) % 16) AS y, CAST(min(p_partkey) AS VARCHAR) AS f FROM part GROUP BY 1, 2)
 SELECT x || ', ' || y AS key, CAST(x AS DOUBLE) AS xllcorner, CAST(y AS DOUBLE) AS yllcorner, CAST(4096 AS INTEGER) AS nrows, f AS source_filename, '{"xllcorner":' || x || '.0,"yllcorner":' || y || '.0,"nrows":4096,"ncols":4096,"source_filename":"' || f || '"}' AS sidecar FROM t""",

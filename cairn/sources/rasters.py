@@ -1,4 +1,4 @@
-"""Rasters from files: half-float tiles, cleaned windows, listings and the tile sink."""
+"""Rasters from files: half-float tiles, cleaned windows, and listings."""
 
 from __future__ import annotations
 
@@ -31,8 +31,3 @@ def listing(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     """(path, name, length) of files whose name fits a pattern, hidden ones left out; contents aren't read."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).select("path", F.element_at(F.split("path", "/"), -1).alias("name"), "length")
     return files.filter(~F.startswith("name", F.lit(".")))
-
-
-def write_tiles(tiles: DataFrame, path: str) -> None:
-    """Tiles as Parquet, packed with zstd, a folder for each layer."""
-    tiles.write.partitionBy("layer").option("compression", "zstd").parquet(path)

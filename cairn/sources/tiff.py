@@ -26,6 +26,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from cairn.sources.tile_sink import TileWriter
+
 #: Tags, types and compressions of the format (fixed values).
 WIDTH, HEIGHT, BITS, COMPRESSION, STRIPS, BANDS, STRIP_ROWS, STRIP_BYTES, PLANES, PREDICTOR, TILE_W, TILE_H, TILES, TILE_BYTES, FORMAT, PIXEL, TIE = 256, 257, 258, 259, 273, 277, 278, 279, 284, 317, 322, 323, 324, 325, 339, 33550, 33922
 TYPES = {1: "B", 2: "c", 3: "H", 4: "I", 5: "II", 6: "b", 8: "h", 9: "i", 11: "f", 12: "d", 13: "I", 16: "Q", 17: "q", 18: "Q"}
@@ -275,7 +277,8 @@ class TiffReader(DataSourceReader):
         listed = [found] if found.type == fs.FileType.File else system.get_file_info(fs.FileSelector(root, recursive=True))
         head = self.path[: self.path.index("://") + 3] if "://" in self.path else "file://"
         name = lambda p: p.rsplit("/", 1)[-1]
-        files = sorted((f.path, f.size) for f in listed if f.type == fs.FileType.File and fnmatch(name(f.path), self.pattern) and name(f.path)[0] not in "._")
+        hidden = lambda p: any(x[0] in "._" for x in p[len(root) :].split("/") if x) if p != root else False
+        files = sorted((f.path, f.size) for f in listed if f.type == fs.FileType.File and fnmatch(name(f.path), self.pattern) and not hidden(f.path))
         parts, held, size = [], [], 0
         for path, n in files:
             uri = head + path
@@ -326,7 +329,7 @@ class TiffReader(DataSourceReader):
 
 
 class TiffSource(DataSource):
-    """Format `tiff`.  Options: window (256x256; whole images), box (left,top,right,bottom: windows of the grid that meet it), target (a size to resample to), fill, band, pathGlobFilter, partitionBytes, mode (PERMISSIVE, FAILFAST)."""
+    """Format `tiff`.  Options: window (256x256; whole images), box (left,top,right,bottom: windows of the grid that meet it), target (a size to resample to), fill, band, pathGlobFilter, partitionBytes, mode (PERMISSIVE, FAILFAST); for writing, see tile_sink: block."""
 
     @classmethod
     def name(cls) -> str:
@@ -338,6 +341,12 @@ class TiffSource(DataSource):
     def reader(self, schema: StructType) -> TiffReader:
         return TiffReader(schema, {k.lower(): v for k, v in self.options.items()})
 
+    def writer(self, schema: StructType, overwrite: bool) -> TileWriter:
+        options = {k.lower(): v for k, v in self.options.items()}
+        if overwrite:
+            raise ValueError("tiles are only added; take another folder or mode append")
+        return TileWriter(schema, options["path"], int(options.get("block", 256)))
+
 
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(TiffSource)
