@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cairn.operators.grids import repaired
+
 
 def exact(c: Column) -> Column:
     """For sums that don't depend on the order of rows."""
@@ -137,3 +139,18 @@ def recode(tiles: DataFrame, pixels: str, quality: str) -> DataFrame:
 
     added = T.StructType.fromDDL("status string, error string, source_bytes long, encoded_bytes long, lossy array<int>").fields
     return tiles.mapInArrow(run, T.StructType([*tiles.schema.fields, *added]))
+
+
+def recode_chain(tiles: DataFrame, pixels: str, width: int, height: int, quality: str) -> DataFrame:
+    """tiles recoded, mended and measured in one pass: the columns of recode(), repair (what was mended in the decoded samples), and those of height_error() and compression_metrics() against the original.
+
+    A tile that fails to recode keeps its status and error, with nulls for the
+    rest; the others go on.  Nothing is shuffled.
+    """
+    coded = recode(tiles, pixels, quality)
+    mended = repaired(coded, "lossy", width, height, F.coalesce(F.col(quality), F.lit(0.0)))
+    ok = F.col("status") == "ok"
+    mended = mended.withColumns({"repair": F.when(ok, F.col("repair")), "pixels": F.size("lossy")})
+    measured = compression_metrics(height_error(mended, pixels, "lossy"))
+    kept = [c for c in coded.columns if c not in ("source_bytes", "encoded_bytes")]
+    return measured.select(*kept, *[F.when(ok, F.col(c)).alias(c) for c in measured.columns if c not in kept])

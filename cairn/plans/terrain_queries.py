@@ -343,6 +343,13 @@ def recode_tiles(spark, sf_dir):
     return out.select("vec_id", "status", "error", F.when(F.col("status") == "ok", F.col("n_identical")).alias("n_identical"), F.round(F.when(F.col("status") == "ok", F.col("rmse")), 6).alias("rmse"))
 
 
+def recode_chain(spark, sf_dir):
+    """Tiles of few heights, so that some decode into what looks mirrored; every fourth quality is none."""
+    tiles = read(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda v: (F.floor(v.cast("double") * 3) * 700).cast("int")).alias("px"), ((F.col("vec_id") % 4) / F.lit(3.0)).alias("q"))
+    out = raster.recode_chain(tiles, "px", 8, 8, "q")
+    return out.select("vec_id", "status", "error", "repair", "n_pixels", "n_identical", *rounded(4, "rmse", "max_abs"), (F.col("source_bytes") > 0).alias("packed"))
+
+
 def missing_chunks(spark, sf_dir):
     p = read(spark, sf_dir, "part").select("p_brand", F.concat(F.lit("dem_"), F.col("p_size").cast("string"), F.lit(".tif")).alias("file"), (F.col("p_partkey") % 12).alias("x"), (F.floor(F.col("p_partkey") / 12) % 12).alias("y"))
     wanted = p.select(formats.chunk_prefix(F.col("file"), F.col("x"), F.col("y")).alias("prefix")).distinct()
@@ -452,7 +459,7 @@ def debug_snapshot(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (
     wgs_to_osgb, osgb_to_wgs, grid_references, half_encode, codebook_encode, normalised_tiles, contour_lines, colours, format_texts, status_texts, routes_and_names, gpx_points, gpx_metadata, archive_points, archive_results, archive_tables, archive_mesh,
     geojson_points, geojson_legacy_points, tiff_windows, tiff_resampled, tiff_patches, tile_sink, half_rasters, tile_catalog, playhead_positions, playhead_asof, svg_paths, catalog_tracks, gesture_velocity, coasting, zoom_steps, wheel_gestures, transitions,
-    mirror_repair, raster_windows, names_and_windows, reversed_triangles, vertex_positions, cell_meshes, viewshed_area, recode_tiles, missing_chunks, visible_tiles, observed_tiles, terrain_picks, level_order, map_views,
+    mirror_repair, raster_windows, names_and_windows, reversed_triangles, vertex_positions, cell_meshes, viewshed_area, recode_tiles, recode_chain, missing_chunks, visible_tiles, observed_tiles, terrain_picks, level_order, map_views,
     camera_offsets, camera_limits, anchored_zoom, screen_pixels, bench_report, count_parity, debug_snapshot,
 )}
 
@@ -591,6 +598,13 @@ SELECT p_partkey, round(b - (b - a) * exp(-20e0 / 90 * least(n, CASE WHEN abs(b
     "wheel_gestures": f"""{M}, g AS (SELECT track, ix, sum(CASE WHEN gap <= 0.08e0 THEN 0 ELSE 1 END) {SO_FAR} AS k FROM m), s AS (SELECT track, k, min(ix) * 1000 AS a, max(ix) * 1000 + 80000 AS b, count(*) AS n FROM g GROUP BY track, k), p AS (SELECT *, lag(b) OVER (PARTITION BY track ORDER BY a) AS before FROM s)
 SELECT track, a AS start_us, b AS end_us, n AS n_steps FROM p WHERE before IS NULL OR a >= before + 180000""",
     "transitions": f"""{M}, d AS (SELECT track, ix, CAST(sum(CAST(coalesce(least(gap, 0.2e0), 0e0) AS DECIMAL(38,10))) {SO_FAR} AS DOUBLE) / 3.5e0 AS p FROM m) SELECT track, ix, round(least(p, 1e0), 6) AS progress, CASE WHEN p >= 1 THEN 0.3e0 ELSE 0.1e0 END AS shown FROM d""",
+    "recode_chain": f"""{C}, o AS (SELECT vec_id, x, y, floor(v * 3) * 700 AS v, (vec_id % 4) / 3e0 AS quality, CAST(round(pow(2e0, 12 * ((vec_id % 4) / 3e0))) AS BIGINT) AS step FROM c), q AS (SELECT vec_id, x, y, quality, floor((v + step // 2) / step) * step AS v FROM o), a AS ({MIRROR.format(dx=0, dy=4, where='a.y < 4')}), t AS ({MIRROR.format(dx=4, dy=0, where='a.x IN (1, 2) AND a.y IN (1, 2)')}), b AS ({MIRROR.format(dx=4, dy=0, where='a.x IN (1, 2) AND a.y IN (5, 6)')}),
+r AS (SELECT vec_id, CASE WHEN t.s > 0.75 AND b.s > 0.75 THEN 'quadrant' WHEN a.s > 0.75 THEN 'half' WHEN (vec_id % 4) / 3e0 >= 0.5 AND (t.s > 0.75 OR b.s > 0.75 OR a.s > 0.55) THEN 'quadrant' ELSE 'none' END AS repair FROM a JOIN t USING (vec_id) JOIN b USING (vec_id)),
+k AS (SELECT vec_id, repair, i AS pos, CASE WHEN repair = 'quadrant' THEN (i % 8) * 3 / 7e0 ELSE i % 8 END AS fx, CASE WHEN repair = 'none' THEN i // 8 ELSE (i // 8) * 3 / 7e0 END AS fy FROM r, range(64) g(i)),
+e AS (SELECT k.vec_id, repair, pos, {EXPAND.replace("c.", "q.")} AS v FROM k JOIN q ON q.vec_id = k.vec_id AND abs(q.x - fx) < 1 AND abs(q.y - fy) < 1 GROUP BY k.vec_id, repair, pos),
+d AS (SELECT e.vec_id, repair, o.quality, o.v - e.v AS d FROM e JOIN o ON o.vec_id = e.vec_id AND o.x = pos % 8 AND o.y = pos // 8), s AS (SELECT vec_id, repair, quality < 1 AS ok, count(*) AS n, count(*) FILTER (d = 0) AS same, sqrt(sum(d * d) / count(*)) AS rmse, max(abs(d)) AS most FROM d GROUP BY vec_id, repair, quality)
+SELECT vec_id, CASE WHEN ok THEN 'ok' ELSE 'error' END AS status, CASE WHEN NOT ok THEN 'quality 1.0 is not in 0 .. 1' END AS error, CASE WHEN ok THEN repair END AS repair, CASE WHEN ok THEN CAST(n AS INTEGER) END AS n_pixels, CASE WHEN ok THEN CAST(same AS INTEGER) END AS n_identical,
+CASE WHEN ok THEN round(rmse, 4) END AS rmse, CASE WHEN ok THEN round(most, 4) END AS max_abs, CASE WHEN ok THEN true END AS packed FROM s""",
     "mirror_repair": f"""{C}, q AS (SELECT vec_id, x, y, floor(v * 3) AS v FROM c), a AS ({MIRROR.format(dx=0, dy=4, where='a.y < 4')}), t AS ({MIRROR.format(dx=4, dy=0, where='a.x IN (1, 2) AND a.y IN (1, 2)')}), b AS ({MIRROR.format(dx=4, dy=0, where='a.x IN (1, 2) AND a.y IN (5, 6)')}),
 r AS (SELECT vec_id, CASE WHEN t.s > 0.75 AND b.s > 0.75 THEN 'quadrant' WHEN a.s > 0.75 THEN 'half' WHEN t.s > 0.75 OR b.s > 0.75 OR a.s > 0.55 THEN 'quadrant' ELSE 'none' END AS repair FROM a JOIN t USING (vec_id) JOIN b USING (vec_id)),
 k AS (SELECT vec_id, repair, i AS pos, CASE WHEN repair = 'quadrant' THEN (i % 8) * 3 / 7e0 ELSE i % 8 END AS fx, CASE WHEN repair = 'none' THEN i // 8 ELSE (i // 8) * 3 / 7e0 END AS fy FROM r, range(64) g(i))
