@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark import Broadcast, cloudpickle
@@ -101,3 +102,11 @@ def shipped(sent: Broadcast):
         build, args = cloudpickle.loads(held["parts"])
         held["value"] = build(*args)
     return held["value"]
+
+
+def small(batches: Iterator[pa.RecordBatch], most: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+    """Batches cut into slices of about `most` bytes, so that what is made of one stays small; a row is never cut."""
+    for batch in batches:
+        rows = max(1, int(most * batch.num_rows / max(1, batch.nbytes)))
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)

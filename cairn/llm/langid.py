@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import local_table, ship, shipped
+from cairn.llm.common import local_table, ship, shipped, small
 
 UNKNOWN = "und"
 #: Trigrams are hashed into 2^16 buckets.
@@ -204,7 +204,7 @@ def predict(docs: DataFrame, langs: list[str], prob: np.ndarray, id_col: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         letters, table, logs = shipped(sent)
-        for batch in batches:
+        for batch in small(batches):
             shares = shares_of(batch.column(1).to_pylist(), table, logs, letters, penalty)
             none = ~shares.any(axis=1) if len(langs) else np.ones(len(shares), bool)
             top = np.where(none, len(langs), shares.argmax(axis=1) if len(langs) else 0)
@@ -226,7 +226,7 @@ def keep_identified(docs: DataFrame, langs: list[str], prob: np.ndarray, text_co
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         letters, table, logs = shipped(sent)
-        for batch in batches:
+        for batch in small(batches):
             yield batch.filter(pa.array(shares_of(batch.column(at).to_pylist(), table, logs, letters, penalty).any(axis=1), pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

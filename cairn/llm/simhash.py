@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cairn.llm.common import checkpoint, join_counted, unused
+from cairn.llm.common import checkpoint, join_counted, small, unused
 
 SEED = 42
 BITS = 64
@@ -301,7 +301,7 @@ def keep_representatives(docs: DataFrame, first: DataFrame, id_col: str, text_co
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             fps = np.array([print_of(t.as_py()) for t in batch.column(at)], np.uint64).view(np.int64)
             yield batch.append_column(own_fp, pa.array(fps))
 
