@@ -131,8 +131,9 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, tiers: tuple[int, ...
     padded to the longest tier.  step_group, from 0, numbers groups of windows
     with equal shares of every tier, to one window, and so of step_tokens ids
     at most on average; a group is off the average by less than one window of
-    every tier.  Null texts count as empty and give one id.  Repeated rows are
-    packed each.  Other columns are not read.
+    every tier.  Null and empty texts give one id; texts of any length are
+    packed whole.  Repeated rows, and rows with a null id, are packed each; an
+    empty table gives no rows.  Other columns are not read.
     """
     with open(tokenizer, encoding="utf-8") as f:
         sent = ship(docs.sparkSession, id_encoder, f.read())
