@@ -48,10 +48,14 @@ def terrain_view(latitude: Column, zoom: Column, bearing: Column, pitch: Column)
 
 
 def spherical(dx: Column, dy: Column, dz: Column) -> Column:
-    """Distance, bearing and pitch of an offset from the target; z is up, bearing 0 lies towards -y."""
+    """Distance, bearing and pitch of an offset from the target; z is up, bearing 0 lies towards -y.
+
+    Straight up and down the bearing is pi, that of 0 and -0, which Spark's atan2 takes for 0 and 0.
+    """
     r = F.sqrt(dx * dx + dy * dy + dz * dz)
     up = F.when(r > 0, clamp(dz / r, -1.0, 1.0)).otherwise(1.0)
-    return F.struct(r.alias("distance"), F.atan2(dx, -dy).alias("bearing"), (math.pi / 2 - F.acos(up)).alias("pitch"))
+    bearing = F.when((dx == 0) & (dy == 0), math.pi).otherwise(F.atan2(dx, -dy))
+    return F.struct(r.alias("distance"), bearing.alias("bearing"), (math.pi / 2 - F.acos(up)).alias("pitch"))
 
 
 def offset(distance: Column, bearing: Column, pitch: Column) -> dict[str, Column]:
@@ -61,14 +65,14 @@ def offset(distance: Column, bearing: Column, pitch: Column) -> dict[str, Column
 
 
 def roll_free_basis(x: Column, y: Column, z: Column, heading: Column) -> Column:
-    """Right and up vectors of a view direction without roll; straight down, right follows the heading."""
+    """Right and up vectors of a view direction without roll; straight down, right follows the heading.  A direction of no length has a null up."""
     flat = x * x + y * y
     steep = flat < 1e-10
     size = F.when(steep, 1.0).otherwise(F.sqrt(flat))
     rx, ry = F.when(steep, F.cos(heading)).otherwise(y / size), F.when(steep, F.sin(heading)).otherwise(-x / size)
     ux, uy, uz = ry * z, -rx * z, rx * y - ry * x
     n = F.sqrt(ux * ux + uy * uy + uz * uz)
-    return F.struct(rx.alias("right_x"), ry.alias("right_y"), (ux / n).alias("up_x"), (uy / n).alias("up_y"), (uz / n).alias("up_z"))
+    return F.struct(rx.alias("right_x"), ry.alias("right_y"), *[F.when(n > 0, u / n).alias(f"up_{c}") for c, u in zip("xyz", (ux, uy, uz))])
 
 
 def clamp_view(distance: Column, pitch: Column, low: Column, high: Column) -> Column:
