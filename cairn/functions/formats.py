@@ -11,6 +11,20 @@ def fixed(v: Column, places: int) -> Column:
     return F.format_string(f"%.{places}f", v)
 
 
+def tenths(v: Column) -> Column:
+    """v with one decimal as C's printf rounds it: by its whole binary value, halves to even.
+
+    Spark's own format goes by the shortest decimals of v, so 0.15 (a bit less
+    as a binary number) gives 0.2 and 26.25 gives 26.3.
+    """
+    a, b = v * 8, v * 2
+    s = a + b  # 10 * v is exactly s + rest
+    rest = (a - (s - (s - a))) + (b - (s - a))
+    low = F.floor(s)
+    nearest = F.when((s - low != 0.5) | (rest == 0), F.rint(s)).when(rest > 0, low + 1.0).otherwise(low.cast("double"))
+    return F.format_string("%.1f", nearest / 10)
+
+
 def format_quality(q: Column) -> Column:
     """0 as `0`; fewer decimals the larger; below a thousandth in powers of ten."""
     power = F.regexp_replace(F.format_string("%.2e", q), r"e([-+])0?(\d+)$", "e$1$2")

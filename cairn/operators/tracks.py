@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cairn.functions.formats import tenths
 from cairn.operators.ordered import as_of, ranked, so_far, with_neighbours
 
 
@@ -85,7 +86,7 @@ def svg_paths(points: DataFrame, width: float, height: float, padding: float = 3
     out = out.withColumn("_scale", F.least(inner_w / F.col("_w"), inner_h / F.col("_h")))
     x = padding + (inner_w - F.col("_w") * F.col("_scale")) / 2 + (lon - F.col("_west")) * F.col("_scale")
     y = padding + (inner_h - F.col("_h") * F.col("_scale")) / 2 + (F.col("_north") - lat) * F.col("_scale")
-    text = F.format_string("%.1f,%.1f", x, y)
+    text = F.concat(tenths(x), F.lit(","), tenths(y))
     # At most `most` points of a track meet here.
     parts = F.array_sort(F.collect_list(F.struct(F.col("point_ix"), F.when(F.col("point_ix") == 0, F.concat(F.lit("M"), text)).otherwise(F.concat(F.lit("L"), text)).alias("p"))))
     path = F.array_join(F.transform(parts, lambda p: p["p"]), "")

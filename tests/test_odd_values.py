@@ -1,9 +1,13 @@
 """Queries against their SQL on small tables of values that fall on edges: straight views, halves, exact touches."""
 
+import random
+
 import duckdb
 import pyarrow as pa
 import pyarrow.parquet as pq
+from cairn.functions import formats
 from cairn.plans.queries import ORACLE_SQL, QUERIES
+from pyspark.sql import functions as F
 from tests_support import rows_of
 
 
@@ -26,3 +30,11 @@ def test_camera_offsets_straight_up_and_of_no_length(spark, tmp_path):
     ids = [19 * k + 9 for k in range(7)] + [0, 1]
     rows = agree(spark, tmp_path, "camera_offsets", "events", {"event_id": ids, "value": [50.0] * len(ids)})
     assert sum("nan" in r for r in rows) == 7
+
+
+def test_one_decimal_by_the_binary_value(spark):
+    """As C's printf, and so Python's, rounds it."""
+    rng = random.Random(4)
+    values = [26.25, 26.35, 0.15, 0.25, 0.35, 0.45, 0.05, 9.95, 99.95, 3.0, 1234567.85, *[rng.randrange(14400) / 20 for _ in range(500)], *[rng.uniform(0, 72) for _ in range(500)]]
+    got = spark.createDataFrame([(v,) for v in values], "v double").select("v", formats.tenths(F.col("v")).alias("t")).collect()
+    assert [(r.v, r.t) for r in got] == [(v, f"{v:.1f}") for v in values]
