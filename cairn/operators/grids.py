@@ -63,9 +63,10 @@ def expand(pixels: Column, width: int, source: tuple[int, int], target: tuple[in
         fy = F.floor(pos / tw) * F.lit(float(sh - 1)) / F.lit(float(max(1, th - 1)))
         x0, y0 = F.floor(fx), F.floor(fy)
         x1, y1 = F.least(x0 + 1, F.lit(sw - 1)), F.least(y0 + 1, F.lit(sh - 1))
-        above = px(x0, y0) * (1 - (fx - x0)) + px(x1, y0) * (fx - x0)
-        below = px(x0, y1) * (1 - (fx - x0)) + px(x1, y1) * (fx - x0)
-        return above * (1 - (fy - y0)) + below * (fy - y0)
+        # Each corner by its own distances, summed from the last to the first, so that results equal the SQL's to the last bit.
+        near = lambda f, k: 1 - F.abs(k - f)
+        one = lambda x, y, i, j: px(x, y) * near(fx, i) * near(fy, j)
+        return one(x1, y1, x0 + 1, y0 + 1) + one(x0, y1, x0, y0 + 1) + one(x1, y0, x0 + 1, y0) + one(x0, y0, x0, y0)
 
     return F.transform(F.sequence(F.lit(0), F.lit(tw * th - 1)), at)
 
