@@ -43,8 +43,11 @@ def stretches(rays: DataFrame, width: float, height: float) -> DataFrame:
     return cut.select(*others, F.col("_a").alias("from"), F.col("_b").alias("to"), middle("x", "vx", width).alias("bx"), middle("y", "vy", height).alias("by"))
 
 
-def first_hit(grid: np.ndarray, ray: np.ndarray, start: float, end: float) -> float | None:
-    """The first time in start .. end at which a ray (x, y, z, vx, vy, vz) is not above the bilinear ground of a grid of samples; None if there is none."""
+def first_hit(grid: np.ndarray, ray: np.ndarray, start: float, end: float, slack: float = 1e-9) -> float | None:
+    """The first time in start .. end at which a ray (x, y, z, vx, vy, vz) is not above the bilinear ground of a grid of samples; None if there is none.
+
+    A root may lie outside of its cell by slack * (1 + time), which is rounding.
+    """
     x, y, z, vx, vy, vz = ray
     times = [np.array([start, end])]
     for at, speed in ((x, vx), (y, vy)):
@@ -70,13 +73,13 @@ def first_hit(grid: np.ndarray, ray: np.ndarray, start: float, end: float) -> fl
     with np.errstate(divide="ignore", invalid="ignore"):
         s = -0.5 * (q + np.where(q < 0, -1, 1) * np.sqrt(q * q - 4 * p * r))
         roots = np.stack([np.where(p != 0, s / p, np.nan), np.where(s != 0, r / s, np.nan)])
-    slack = 1e-9 * (1 + np.abs(b))
-    roots = np.where((roots >= a - slack) & (roots <= b + slack), np.clip(roots, a, b), np.inf)
+    over = slack * (1 + np.abs(b))
+    roots = np.where((roots >= a - over) & (roots <= b + over), np.clip(roots, a, b), np.inf)
     hit = np.where(below, a, roots.min(axis=0)).min()
     return float(hit) if np.isfinite(hit) else None
 
 
-def terrain_picks(rays: DataFrame, tiles: DataFrame, width: int, height: int, far: float, blocks: tuple[int, ...] = (8,)) -> DataFrame:
+def terrain_picks(rays: DataFrame, tiles: DataFrame, width: int, height: int, far: float, blocks: tuple[int, ...] = (8,), slack: float = 1e-9) -> DataFrame:
     """rays (ray, x, y, z, vx, vy, vz) with t, hit_x, hit_y, hit_z and reason (`hit` or `empty-pixel`): the first point of t = 0 .. far that is not above the ground.
 
     x and y in samples, z as the heights; tiles: (tx, ty, pixels), samples row
@@ -84,7 +87,9 @@ def terrain_picks(rays: DataFrame, tiles: DataFrame, width: int, height: int, fa
     div height).  blocks: sizes of the pyramid's blocks over single tiles, in
     tiles, falling.  There is no ground next to nodata and beyond the last
     samples.  Rays with a null part, and those that stay above, have nulls;
-    ray is a key.  A ray that starts below the ground is hit at 0.
+    ray is a key.  A ray that starts below the ground is hit at 0.  slack: by how
+    much of its time a root may miss its cell; with 0 a ray that only touches the
+    ground on a line between cells is hit or not as rounding has it.
     """
     tiles = with_halo(tiles.select(F.col("tx").cast("int").alias("tx"), F.col("ty").cast("int").alias("ty"), F.transform("pixels", lambda v: v.cast("double")).alias("pixels")), width, height)
     cells = [F.col("pixels"), *[F.coalesce(c, F.array().cast("array<double>")) for c in ("_east", "_south", "_corner")]]
@@ -114,7 +119,7 @@ def terrain_picks(rays: DataFrame, tiles: DataFrame, width: int, height: int, fa
                 numbers = np.stack([listed.field(c).to_numpy() for c in ("x", "y", "z", "vx", "vy", "vz", "from", "to")], 1)
                 numbers[:, 0] -= tx * width
                 numbers[:, 1] -= ty * height
-                times = pa.array([first_hit(grid, r[:6], r[6], r[7]) for r in numbers], pa.float64())
+                times = pa.array([first_hit(grid, r[:6], r[6], r[7], slack) for r in numbers], pa.float64())
                 yield pa.RecordBatch.from_arrays([listed.field("ray"), times], ["ray", "t"])
 
     first = met.mapInArrow(hits, T.StructType([key, T.StructField("t", T.DoubleType())])).groupBy("ray").agg(F.min("t").alias("t"))

@@ -3,6 +3,7 @@
 import random
 
 import duckdb
+import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 from cairn.functions import formats
@@ -49,3 +50,13 @@ def test_recode_chain_of_mirrored_tiles(spark, tmp_path):
         tiles.append([part[y % 4][x % 4] for y in range(8) for x in range(8)])
     rows = agree(spark, tmp_path, "recode_chain", "embeddings", {"vec_id": list(range(120)), "embedding": pa.array(tiles, pa.list_(pa.float32()))})
     assert sum("'quadrant'" in r for r in rows) == 90
+
+
+def test_terrain_picks_of_a_ray_that_touches_an_edge(spark, tmp_path):
+    """Ray 37011 meets the line from -135 to 79 at y = 18502 exactly, with lower ground on both sides; the SQL's roots lie beyond their cells by a last bit."""
+    ids = list(range(36976, 37024))
+    tiles = np.full((len(ids), 8, 8), -0.2995)
+    tiles[ids.index(36995), 6, 1:3] = -0.1345, 0.0795
+    assert np.floor(tiles.astype(np.float32).astype(float)[ids.index(36995), 6, 1:3] * 1000).tolist() == [-135, 79]
+    rows = agree(spark, tmp_path, "terrain_picks", "embeddings", {"vec_id": ids, "embedding": pa.array(tiles.reshape(-1, 64).tolist(), pa.list_(pa.float32()))})
+    assert len(rows) == len(ids)
