@@ -23,10 +23,10 @@ LETTERS = "ABCDEFGHJKLMNOPQRSTUVWXYZ"
 N = (AIRY[0] - AIRY[1]) / (AIRY[0] + AIRY[1])
 E2 = 1 - (AIRY[1] / AIRY[0]) ** 2
 #: Coefficients of the meridional arc in (phi - LAT0) and in sines of its multiples.
-ARC = (1 + N + 5 / 4 * N**2 + 5 / 4 * N**3, 3 * N + 3 * N**2 + 21 / 8 * N**3, 15 / 8 * N**2 + 15 / 8 * N**3, 35 / 24 * N**3)
+ARC = (1 + N + 5 / 4 * N**2 + 5 / 4 * N**3, 3 * N + 3 * N**2 + 21 / 8 * N**3, 15 / 8 * (N**2 + N**3), 35 / 24 * N**3)
 
 
-def change_datum(points: DataFrame, lat: str, lon: str, source: tuple, target: tuple, sign: int) -> DataFrame:
+def change_datum(points: DataFrame, lat: str, lon: str, source: tuple, target: tuple, sign: int, rounds: int = 8) -> DataFrame:
     """points with _phi and _lam, radians on the target ellipsoid, of the degrees lat and lon on the source."""
     e2s, e2t = (1 - (b / a) ** 2 for a, b in (source, target))
     s = 1 + sign * SCALE_PPM * 1e-6
@@ -37,16 +37,11 @@ def change_datum(points: DataFrame, lat: str, lon: str, source: tuple, target: t
     out = out.withColumns({"_x": F.col("_nu") * F.cos("_phi") * F.cos("_lam"), "_y": F.col("_nu") * F.cos("_phi") * F.sin("_lam"), "_z": F.col("_nu") * (1 - e2s) * F.sin("_phi")})
     x, y, z = F.col("_x"), F.col("_y"), F.col("_z")
     out = out.withColumns({"_x": tx + x * s - y * rz + z * ry, "_y": ty + x * rz + y * s - z * rx, "_z": tz - x * ry + y * rx + z * s})
-    out = out.withColumn("_p", F.hypot("_x", "_y"))
-    # Bowring's formula for the latitude.
-    a, b = target
-    r = F.hypot("_p", "_z")
-    out = out.withColumn("_beta", F.atan((F.col("_z") * b) / (F.col("_p") * a) * (1 + (a * a / (b * b) - 1) * b / r)))
-    up = F.col("_z") + (a * a / (b * b) - 1) * b * F.pow(F.sin("_beta"), F.lit(3.0))
-    across = F.col("_p") - e2t * a * F.pow(F.cos("_beta"), F.lit(3.0))
-    # A second round takes the last tenth of a micrometre.
-    out = out.withColumn("_beta", F.atan(up / across * (b / a)))
-    return out.withColumns({"_phi": F.atan2(up, across), "_lam": F.atan2("_y", "_x")}).drop("_nu", "_x", "_y", "_z", "_p", "_beta")
+    # Each round gains over two digits of the latitude.
+    across = F.sqrt(F.col("_x") * F.col("_x") + F.col("_y") * F.col("_y"))
+    up = lambda phi: F.col("_z") + e2t * target[0] / F.sqrt(1 - e2t * F.sin(phi) * F.sin(phi)) * F.sin(phi)
+    phi = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), F.atan2("_z", across * (1 - e2t)), lambda phi, _: F.atan2(up(phi), across))
+    return out.withColumns({"_phi": phi, "_lam": F.atan2("_y", "_x")}).drop("_nu", "_x", "_y", "_z")
 
 
 def arc(phi: Column) -> Column:
@@ -58,7 +53,7 @@ def arc(phi: Column) -> Column:
 def radii(out: DataFrame) -> DataFrame:
     """out with the radii of curvature at _phi, and eta squared."""
     w = 1 - E2 * F.sin("_phi") * F.sin("_phi")
-    out = out.withColumns({"_nu": AIRY[0] * F0 / F.sqrt(w), "_rho": AIRY[0] * F0 * (1 - E2) / F.pow(w, F.lit(1.5))})
+    out = out.withColumns({"_nu": AIRY[0] * F0 * F.pow(w, F.lit(-0.5)), "_rho": AIRY[0] * F0 * (1 - E2) * F.pow(w, F.lit(-1.5))})
     return out.withColumn("_eta2", F.col("_nu") / F.col("_rho") - 1)
 
 
@@ -79,7 +74,7 @@ def to_osgb(points: DataFrame, lat: str = "lat", lon: str = "lon") -> DataFrame:
     return out.withColumns({"east": F.round(east, 3), "north": F.round(north, 3)}).drop("_phi", "_lam", "_nu", "_rho", "_eta2")
 
 
-def to_wgs(points: DataFrame, east: str = "east", north: str = "north", rounds: int = 7) -> DataFrame:
+def to_wgs(points: DataFrame, east: str = "east", north: str = "north", rounds: int = 8) -> DataFrame:
     """points with the WGS84 degrees lat and lon of their grid coordinates.
 
     The latitude of a northing takes a fixed number of rounds, which reach
@@ -89,16 +84,15 @@ def to_wgs(points: DataFrame, east: str = "east", north: str = "north", rounds:
     phi = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, lambda p, _: p + (F.col(north) - N0 - arc(p)) / (AIRY[0] * F0))
     out = radii(points.withColumn("_phi", phi))
     tan, sec = F.tan("_phi"), 1 / F.cos("_phi")
-    tan2 = tan * tan
     nu, rho, eta2, d = F.col("_nu"), F.col("_rho"), F.col("_eta2"), F.col(east) - E0
     power = lambda c, n: F.pow(c, F.lit(float(n)))
     lat = (
-        F.col("_phi") - tan / (2 * rho * nu) * power(d, 2) + tan / (24 * rho * power(nu, 3)) * (5 + 3 * tan2 + eta2 - 9 * tan2 * eta2) * power(d, 4)
-        - tan / (720 * rho * power(nu, 5)) * (61 + 90 * tan2 + 45 * tan2 * tan2) * power(d, 6)
+        F.col("_phi") - tan / (2 * rho * nu) * power(d, 2) + tan / (24 * rho * power(nu, 3)) * (5 + 3 * tan * tan + eta2 - 9 * tan * tan * eta2) * power(d, 4)
+        - tan / (720 * rho * power(nu, 5)) * (61 + 90 * tan * tan + 45 * power(tan, 4)) * power(d, 6)
     )
     lon = (
-        LON0 + sec / nu * d - sec / (6 * power(nu, 3)) * (nu / rho + 2 * tan2) * power(d, 3) + sec / (120 * power(nu, 5)) * (5 + 28 * tan2 + 24 * tan2 * tan2) * power(d, 5)
-        - sec / (5040 * power(nu, 7)) * (61 + 662 * tan2 + 1320 * tan2 * tan2 + 720 * tan2 * tan2 * tan2) * power(d, 7)
+        LON0 + sec / nu * d - sec / (6 * power(nu, 3)) * (nu / rho + 2 * tan * tan) * power(d, 3) + sec / (120 * power(nu, 5)) * (5 + 28 * tan * tan + 24 * power(tan, 4)) * power(d, 5)
+        - sec / (5040 * power(nu, 7)) * (61 + 662 * tan * tan + 1320 * power(tan, 4) + 720 * power(tan, 6)) * power(d, 7)
     )
     out = out.withColumns({"_lat": F.degrees(lat), "_lon": F.degrees(lon)}).drop("_phi", "_nu", "_rho", "_eta2")
     out = change_datum(out, "_lat", "_lon", AIRY, WGS84, -1)

@@ -60,3 +60,9 @@ def test_terrain_picks_of_a_ray_that_touches_an_edge(spark, tmp_path):
     assert np.floor(tiles.astype(np.float32).astype(float)[ids.index(36995), 6, 1:3] * 1000).tolist() == [-135, 79]
     rows = agree(spark, tmp_path, "terrain_picks", "embeddings", {"vec_id": ids, "embedding": pa.array(tiles.reshape(-1, 64).tolist(), pa.list_(pa.float32()))})
     assert len(rows) == len(ids)
+
+
+def test_osgb_to_wgs_far_off_the_grid(spark, tmp_path):
+    """Northings far beyond the pole, where the last bits of a latitude show in the result."""
+    keys, customers, prices = zip(*[(1050069, 112618, 94374.05), (1050071, 110774, 93817.01), (1050121, 112325, 436612.67), (1050128, 110215, 71157.92)])
+    agree(spark, tmp_path, "osgb_to_wgs", "orders", {"o_orderkey": keys, "o_custkey": customers, "o_totalprice": prices})
