@@ -26,13 +26,13 @@ def shape_archives(parts: DataFrame, faults: bool = False) -> DataFrame:
 
     def build(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("p_partkey")
-        records, values = [], []
-        for k, size in zip(rows["p_partkey"], rows["p_size"]):
-            records.append(struct.pack("<i3d", 11, k, size, k / 2) if size % 2 == 0 else struct.pack("<i2d", 1, k, size))
-            values.append((b"*" if size % 7 == 0 else b" ") + (b"" if size % 5 == 0 else str(size * 10).encode()).rjust(8))
-        shp = bytes(100) + b"".join(struct.pack(">2i", i + 1, len(r) // 2) + r for i, r in enumerate(records))
+        shp, values = bytearray(100), bytearray()
+        for i, (k, size) in enumerate(zip(rows["p_partkey"], rows["p_size"])):
+            record = struct.pack("<i3d", 11, k, size, k / 2) if size % 2 == 0 else struct.pack("<i2d", 1, k, size)
+            shp += struct.pack(">2i", i + 1, len(record) // 2) + record
+            values += (b"*" if size % 7 == 0 else b" ") + (b"" if size % 5 == 0 else str(size * 10).encode()).rjust(8)
         field = b"Prop_Value\0" + b"N" + bytes(4) + bytes([8]) + bytes(15)
-        dbf = struct.pack("<4xIHH", len(values), 65, 9).ljust(32, b"\0") + field + b"\r" + b"".join(values)
+        dbf = struct.pack("<4xIHH", len(rows), 65, 9).ljust(32, b"\0") + field + b"\r" + values
         out = io.BytesIO()
         with zipfile.ZipFile(out, "w") as z:
             if not faults or key[0][-1] != "3":

@@ -12,6 +12,7 @@ import os
 import struct
 import zipfile
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,6 +33,15 @@ def archives(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content")
 
 
+#: Rows of a file that go to Spark at once.
+SLICE = 20_000
+
+
+def slices(n: int) -> Iterator[slice]:
+    """Parts of n rows, at least one."""
+    return (slice(at, at + SLICE) for at in range(0, max(n, 1), SLICE))
+
+
 MEMBER = "archive string, stem string, ext string, content binary, error string"
 POINT = "archive string, stem string, record_ix long, point_ix long, x double, y double, z double, error string"
 
@@ -91,20 +101,32 @@ def shape_coordinates(shape: bytes) -> np.ndarray:
     return np.column_stack([xy, z])
 
 
-def shape_table(archive: str, stem: str, content: bytes) -> pd.DataFrame:
-    """All points of one .shp file."""
-    at, parts = 100, []
+def record_places(stem: str, content: bytes) -> np.ndarray:
+    """(start, size) of every record of one .shp file, without its header."""
+    at, found = 100, array("q")
     while at < len(content):
         size = 2 * struct.unpack_from(">i", content, at + 4)[0] if at + 8 <= len(content) else -1
         if size < 4 or at + 8 + size > len(content):
-            raise ValueError(f"record {len(parts)} of {stem}.shp is cut off")
-        parts.append(shape_coordinates(content[at + 8 : at + 8 + size]))
+            raise ValueError(f"record {len(found) // 2} of {stem}.shp is cut off")
+        found.extend((at + 8, size))
         at += 8 + size
-    sizes = np.array([len(x) for x in parts], np.int64)
-    xyz = np.concatenate(parts) if parts else np.zeros((0, 3))
-    record = np.repeat(np.arange(len(parts)), sizes)
-    point = np.arange(len(xyz)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    return pd.DataFrame({"archive": archive, "stem": stem, "record_ix": record, "point_ix": point, "x": xyz[:, 0], "y": xyz[:, 1], "z": xyz[:, 2]})
+    return np.array(found, np.int64).reshape(-1, 2)
+
+
+def shape_slices(archive: str, stem: str, content: bytes) -> Iterator[pd.DataFrame]:
+    """All points of one .shp file, those of SLICE records at once; a file that can't be decoded raises before the first."""
+    places, found = record_places(stem, content), []
+    for part in slices(len(places)):
+        parts = [shape_coordinates(content[at : at + size]) for at, size in places[part].tolist()]
+        sizes = np.array([len(x) for x in parts], np.int64)
+        xyz = np.concatenate(parts) if parts else np.zeros((0, 3))
+        found.append((part.start + np.repeat(np.arange(len(parts)), sizes), np.arange(len(xyz)) - np.repeat(np.cumsum(sizes) - sizes, sizes), xyz))
+    return (pd.DataFrame({"archive": archive, "stem": stem, "record_ix": record, "point_ix": point, "x": xyz[:, 0], "y": xyz[:, 1], "z": xyz[:, 2]}) for record, point, xyz in found)
+
+
+def shape_table(archive: str, stem: str, content: bytes) -> pd.DataFrame:
+    """All points of one .shp file."""
+    return pd.concat(list(shape_slices(archive, stem, content)), ignore_index=True)
 
 
 def shapes(found: DataFrame) -> DataFrame:
@@ -118,17 +140,19 @@ def shapes(found: DataFrame) -> DataFrame:
         for frame in frames:
             for archive, stem, content in zip(frame["archive"], frame["stem"], frame["content"]):
                 try:
-                    table, error = shape_table(archive, stem, content), None
+                    tables = shape_slices(archive, stem, content)
                 except (ValueError, struct.error) as e:
-                    table, error = pd.DataFrame({"archive": [archive], "stem": [stem], "record_ix": [-1], "point_ix": [-1], "x": [np.nan], "y": [np.nan], "z": [np.nan]}), str(e)
-                yield table.assign(error=pd.Series([error] * len(table), dtype=object))
+                    yield pd.DataFrame({"archive": [archive], "stem": [stem], "record_ix": [-1], "point_ix": [-1], "x": [np.nan], "y": [np.nan], "z": [np.nan], "error": [str(e)]})
+                    continue
+                for table in tables:
+                    yield table.assign(error=pd.Series([None] * len(table), dtype=object))
 
     faults = found.filter("error IS NOT NULL").select("archive", "stem", "error")
     return found.filter("ext = 'shp'").mapInPandas(run, POINT).unionByName(faults, allowMissingColumns=True)
 
 
-def attribute_table(archive: str, stem: str, content: bytes, field: str) -> pd.DataFrame:
-    """One field of all rows of one .dbf file as text; deleted rows, and all if the field is missing, are null."""
+def attribute_slices(archive: str, stem: str, content: bytes, field: str) -> Iterator[pd.DataFrame]:
+    """One field of all rows of one .dbf file as text, SLICE rows at once; deleted rows, and all if the field is missing, are null."""
     rows, header, width = struct.unpack_from("<IHH", content, 4)
     at, offset, place = 32, 1, None
     while at + 32 <= header and content[at] != 0x0D:
@@ -137,12 +161,19 @@ def attribute_table(archive: str, stem: str, content: bytes, field: str) -> pd.D
             place = (offset, offset + content[at + 16])
         at, offset = at + 32, offset + content[at + 16]
     whole = min(rows, (len(content) - header) // width) if width else 0
-    table = np.frombuffer(content, np.uint8, whole * width, header).reshape(whole, width)
-    raw = pd.Series([None] * whole, dtype=object)
-    if place:
-        cells = np.ascontiguousarray(table[:, place[0] : place[1]]).view(f"S{place[1] - place[0]}").ravel()
-        raw = pd.Series(np.char.decode(cells, "ascii", "replace"), dtype=object).mask(table[:, 0] == ord("*"), None)
-    return pd.DataFrame({"archive": archive, "stem": stem, "record_ix": np.arange(whole), "raw": raw})
+    every = np.frombuffer(content, np.uint8, whole * width, header).reshape(whole, width)
+    for part in slices(whole):
+        table = every[part]
+        raw = pd.Series([None] * len(table), dtype=object)
+        if place:
+            cells = np.ascontiguousarray(table[:, place[0] : place[1]]).view(f"S{place[1] - place[0]}").ravel()
+            raw = pd.Series(np.char.decode(cells, "ascii", "replace"), dtype=object).mask(table[:, 0] == ord("*"), None)
+        yield pd.DataFrame({"archive": archive, "stem": stem, "record_ix": part.start + np.arange(len(table)), "raw": raw})
+
+
+def attribute_table(archive: str, stem: str, content: bytes, field: str) -> pd.DataFrame:
+    """attribute_slices() as one table."""
+    return pd.concat(list(attribute_slices(archive, stem, content, field)), ignore_index=True)
 
 
 def heights(found: DataFrame, field: str = HEIGHT_FIELD) -> DataFrame:
@@ -151,7 +182,7 @@ def heights(found: DataFrame, field: str = HEIGHT_FIELD) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for row in zip(frame["archive"], frame["stem"], frame["content"]):
-                yield attribute_table(*row, field)
+                yield from attribute_slices(*row, field)
 
     read = found.filter("ext = 'dbf'").mapInPandas(run, "archive string, stem string, record_ix long, raw string")
     return read.select("archive", "stem", "record_ix", strict_number(F.col("raw")).alias("height"))
