@@ -27,28 +27,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairn.operators.ordered import ranked
-from cairn.sources.shared import fresh_folder
+from cairn.sources.shared import spread, stored
 
 STEPS = 1 << 26
 FAR = 1 << 40
 
 
-def side(p: tuple, q: tuple, r: tuple) -> int:
-    """Positive if r lies left of the line from p to q."""
-    return (q[0] - p[0]) * (r[1] - p[1]) - (q[1] - p[1]) * (r[0] - p[0])
-
-
-def in_circle(a: tuple, b: tuple, c: tuple, d: tuple) -> bool:
-    """Whether d lies inside the circle of the triangle abc, which turns left."""
-    ax, ay, bx, by, cx, cy = a[0] - d[0], a[1] - d[1], b[0] - d[0], b[1] - d[1], c[0] - d[0], c[1] - d[1]
-    a2, b2, c2 = ax * ax + ay * ay, bx * bx + by * by, cx * cx + cy * cy
-    return ax * (by * c2 - b2 * cy) - ay * (bx * c2 - b2 * cx) + a2 * (bx * cy - by * cx) > 0
-
-
 def snake(xy: np.ndarray) -> np.ndarray:
-    """An order of points that goes up and down the columns of a grid."""
-    n = max(1, int(np.sqrt(len(xy) / 4)))
-    column = np.minimum(xy[:, 0] * n // STEPS, n - 1)
+    """An order of points that goes up and down the columns of a grid; about as high as wide are its cells, whatever the shape of the cloud, and hold four points."""
+    low = xy.min(axis=0)
+    wide, high = (xy.max(axis=0) - low + 1).tolist()
+    n = min(max(1, int(np.sqrt(len(xy) / 4 * wide / high))), len(xy))
+    column = (xy[:, 0] - low[0]) * n // wide
     return np.lexsort((np.where(column % 2, -xy[:, 1], xy[:, 1]), column))
 
 
@@ -61,41 +51,51 @@ def delaunay(xy: np.ndarray) -> tuple[list[tuple[int, int]], dict[int, tuple[int
     across = {0: [None, None, None]}  # neighbour opposite each corner
     last, made = 0, 1
     for v in range(n):
-        at = p[v]
-        while True:  # walk towards the point
-            t = corners[last]
-            for k in range(3):
-                if side(p[t[k - 2]], p[t[k - 1]], at) < 0:
-                    last = across[last][k]
-                    break
+        x, y = p[v]
+        while True:  # walk towards the point, across the edge that has it on its right
+            a, b, c = corners[last]
+            (ax, ay), (bx, by), (cx, cy) = p[a], p[b], p[c]
+            ax, ay, bx, by, cx, cy = ax - x, ay - y, bx - x, by - y, cx - x, cy - y
+            if bx * cy < by * cx:
+                last = across[last][0]
+            elif cx * ay < cy * ax:
+                last = across[last][1]
+            elif ax * by < ay * bx:
+                last = across[last][2]
             else:
                 break
         gone, stack, rim = {last}, [last], []
         while stack:
             here = stack.pop()
-            t = corners[here]
+            t, near = corners[here], across[here]
             for k in range(3):
-                there = across[here][k]
+                there = near[k]
                 if there in gone:
                     continue
-                if there is not None and in_circle(*(p[c] for c in corners[there]), at):
-                    gone.add(there)
-                    stack.append(there)
-                else:
-                    rim.append((t[k - 2], t[k - 1], there))
-        # An edge looked at before its neighbour went is inside.
-        rim = [(a, b, out) for a, b, out in rim if out not in gone]
+                if there is not None:
+                    # Whether the point lies inside the circle of the triangle, which turns left.
+                    a, b, c = corners[there]
+                    (ax, ay), (bx, by), (cx, cy) = p[a], p[b], p[c]
+                    ax, ay, bx, by, cx, cy = ax - x, ay - y, bx - x, by - y, cx - x, cy - y
+                    a2, b2, c2 = ax * ax + ay * ay, bx * bx + by * by, cx * cx + cy * cy
+                    if ax * (by * c2 - b2 * cy) - ay * (bx * c2 - b2 * cx) + a2 * (bx * cy - by * cx) > 0:
+                        gone.add(there)
+                        stack.append(there)
+                        continue
+                rim.append((t[k - 2], t[k - 1], there))
         starts, ends = {}, {}
         for a, b, out in rim:
+            if out in gone:  # an edge looked at before its neighbour went is inside
+                continue
             corners[made], across[made] = (v, a, b), [out, None, None]
             if out is not None:
                 o = corners[out]
                 across[out][next(k for k in range(3) if o[k] not in (a, b))] = made
             starts[a], ends[b] = made, made
             made += 1
-        for a, b, _ in rim:
-            across[starts[a]][1] = starts[b]
-            across[starts[a]][2] = ends[a]
+        for a, new in starts.items():
+            near = across[new]
+            near[1], near[2] = starts[corners[new][2]], ends[a]
         for g in gone:
             del corners[g], across[g]
         last = made - 1
@@ -180,30 +180,23 @@ def triangulate(points: DataFrame, cell: str = "cell", least: int = 3, strip_poi
     boxes = found.groupBy("cell").agg(F.min("x").alias("_x"), F.min("y").alias("_y"), F.when(span > 0, span).otherwise(1.0).alias("_span"), F.count("*").alias("_n")).filter(F.col("_n") >= least)
     grid = lambda c: F.rint((F.col(c) - F.col(f"_{c}")) / F.col("_span") * STEPS).cast("long")
     placed = found.join(boxes, "cell").select("cell", "vid", grid("x").alias("gx"), grid("y").alias("gy"), "_n").groupBy("cell", "gx", "gy").agg(F.min("vid").alias("vid"), F.max("_n").alias("_n"))
+    placed = stored(placed, "mesh-places")
     large = placed.filter(F.col("_n") > strip_points)
     cuts = large.groupBy("cell").agg(F.max("_n").alias("_n"), F.percentile_approx("gx", [k / MOST_STRIPS for k in range(1, MOST_STRIPS)], 10_000).alias("_at"))
     strips = F.least(F.ceil(F.col("_n") / strip_points), F.lit(MOST_STRIPS)).cast("int")
     cuts = cuts.select("cell", F.array_sort(F.array_distinct(F.transform(F.sequence(F.lit(1), strips - 1), lambda k: F.element_at("_at", F.floor(k * MOST_STRIPS / strips).cast("int"))))).alias("_cuts"))
     # A strip holds the grid columns above one cut up to the next.
-    folder = fresh_folder(points.sparkSession, "mesh")
     part = F.coalesce(F.size(F.filter("_cuts", lambda c: c < F.col("gx"))), F.lit(0)).cast("int")
-    read = points.sparkSession.read
-    cuts.write.parquet(f"{folder}/cuts")
-    cuts = read.schema(cuts.schema).parquet(f"{folder}/cuts")
+    cuts = stored(cuts, "mesh-cuts")
     most = (cuts.agg(F.max(F.size("_cuts"))).first()[0] or 0) + 1
     rows = placed.join(cuts, "cell", "left").select("cell", part.alias("_part"), F.lit("point").alias("kind"), F.col("vid").alias("a"), F.col("gx").alias("b"), F.col("gy").alias("c"))
 
-    def at_level(level: int):
-        return lambda key, frame: join_parts(level, key[0], int(key[1]), frame)
-
-    def join_parts(level: int, name, group: int, frame: pd.DataFrame) -> pd.DataFrame:
+    def join_parts(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        name, group = key[0], int(key[1])
         own, edge = frame[frame["kind"] == "point"].drop_duplicates("a").sort_values("a"), frame[frame["kind"] == "edge"]
-        bounds = frame["_cuts"].iloc[0]
-        bounds = [] if bounds is None else list(bounds)
-        first, last = group << level, ((group + 1) << level) - 1
-        low, high = (bounds[first - 1] if first else None), (bounds[last] + 1 if last < len(bounds) else None)
+        low, high = (None if pd.isna(frame[c].iloc[0]) else int(frame[c].iloc[0]) for c in ("_low", "_high"))
         vid, xy = own["a"].to_numpy(np.int64), own[["b", "c"]].to_numpy(np.int64)
-        final, left, rim = merged(vid, xy, edge[["a", "b"]].to_numpy(np.int64), None if low is None else int(low), None if high is None else int(high))
+        final, left, rim = merged(vid, xy, edge[["a", "b"]].to_numpy(np.int64), low, high)
         if low is None and high is None:
             left, rim = left[:0], rim[:0]
         out = np.concatenate([final, np.column_stack([vid[left], xy[left]]), np.column_stack([rim, np.zeros(len(rim), np.int64)])])
@@ -215,15 +208,12 @@ def triangulate(points: DataFrame, cell: str = "cell", least: int = 3, strip_poi
     level, made = 0, None
     while True:
         keyed = rows.withColumn("_part", F.col("_part") if level == 0 else F.shiftright("_part", 1)).join(cuts, "cell", "left")
-        step = keyed.groupBy("cell", "_part").applyInPandas(at_level(level), f"cell {kind}, {ROW}")
-        last = most <= 1 << level
-        if last and level == 0:
-            made = step
-        else:
-            step.write.parquet(f"{folder}/round{level}")
-            step = read.schema(step.schema).parquet(f"{folder}/round{level}")
-            made = step if made is None else made.unionByName(step)
-        if last:
+        # Of the cuts only those on both sides of the group go with its rows.
+        first, after = F.shiftleft("_part", level), F.shiftleft(F.col("_part") + 1, level)
+        keyed = keyed.withColumns({"_low": F.get("_cuts", first - 1), "_high": F.get("_cuts", after - 1) + 1}).drop("_cuts")
+        step = stored(spread(keyed, "cell", "_part").groupBy("cell", "_part").applyInPandas(join_parts, f"cell {kind}, {ROW}"), "mesh-round")
+        made = step if made is None else made.unionByName(step)
+        if most <= 1 << level:
             break
         rows, level = step.filter("kind <> 'triangle'"), level + 1
     made = made.filter("kind = 'triangle'")

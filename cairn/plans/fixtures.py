@@ -13,7 +13,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.sources.shared import fresh_folder
+from cairn.sources.shared import fresh_folder, spread
 
 
 def shape_archives(parts: DataFrame, faults: bool = False) -> DataFrame:
@@ -40,7 +40,7 @@ def shape_archives(parts: DataFrame, faults: bool = False) -> DataFrame:
             z.writestr("data/points.dbf", dbf)
         return pd.DataFrame({"path": [key[0]], "content": [out.getvalue()[::-1] if faults and key[0][-1] == "2" else out.getvalue()]})
 
-    return parts.select("p_brand", "p_partkey", "p_size").groupBy("p_brand").applyInPandas(build, "path string, content binary")
+    return spread(parts.select("p_brand", "p_partkey", "p_size"), "p_brand").groupBy("p_brand").applyInPandas(build, "path string, content binary")
 
 
 def tiff_image(samples: np.ndarray, tile: int, origin: tuple[float, float], pixel: float) -> bytes:

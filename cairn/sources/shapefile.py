@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from cairn.functions.formats import strict_number
 from cairn.operators.mesh import triangulate
+from cairn.sources.shared import stored
 
 HEIGHT_FIELD = "prop_value"
 #: Shape types (fixed values): single points, point lists, lists in parts; the higher ones carry z.
@@ -138,8 +139,10 @@ def shapes(found: DataFrame) -> DataFrame:
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for archive, stem, content in zip(frame["archive"], frame["stem"], frame["content"]):
+            for archive, stem, content, error in zip(frame["archive"], frame["stem"], frame["content"], frame["error"]):
                 try:
+                    if error is not None:
+                        raise ValueError(error)
                     tables = shape_slices(archive, stem, content)
                 except (ValueError, struct.error) as e:
                     yield pd.DataFrame({"archive": [archive], "stem": [stem], "record_ix": [-1], "point_ix": [-1], "x": [np.nan], "y": [np.nan], "z": [np.nan], "error": [str(e)]})
@@ -147,8 +150,7 @@ def shapes(found: DataFrame) -> DataFrame:
                 for table in tables:
                     yield table.assign(error=pd.Series([None] * len(table), dtype=object))
 
-    faults = found.filter("error IS NOT NULL").select("archive", "stem", "error")
-    return found.filter("ext = 'shp'").mapInPandas(run, POINT).unionByName(faults, allowMissingColumns=True)
+    return found.filter("ext = 'shp' OR error IS NOT NULL").mapInPandas(run, POINT)
 
 
 def attribute_slices(archive: str, stem: str, content: bytes, field: str) -> Iterator[pd.DataFrame]:
@@ -190,13 +192,18 @@ def heights(found: DataFrame, field: str = HEIGHT_FIELD) -> DataFrame:
 
 def contour_points(found: DataFrame) -> DataFrame:
     """(archive, stem, record_ix, point_ix, x, y, h) of members(): finite points; the attribute wins over the shape's own z."""
-    return finite_points(shapes(found), found)
+    return finite_points(with_heights(shapes(found), found))
 
 
-def finite_points(shaped: DataFrame, found: DataFrame) -> DataFrame:
-    joined = shaped.filter("error IS NULL").join(heights(found), ["archive", "stem", "record_ix"], "left").withColumn("h", F.coalesce("height", F.nanvl("z", F.lit(None).cast("double"))))
+def with_heights(shaped: DataFrame, found: DataFrame) -> DataFrame:
+    """shapes() with h, the attribute or else the shape's own z."""
+    joined = shaped.join(heights(found), ["archive", "stem", "record_ix"], "left")
+    return joined.select("archive", "stem", "record_ix", "point_ix", "x", "y", F.coalesce("height", F.nanvl("z", F.lit(None).cast("double"))).alias("h"), "error")
+
+
+def finite_points(points: DataFrame) -> DataFrame:
     finite = [F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")) for c in ("x", "y", "h")]
-    return joined.filter(finite[0] & finite[1] & finite[2]).select("archive", "stem", "record_ix", "point_ix", "x", "y", "h")
+    return points.filter(F.col("error").isNull() & finite[0] & finite[1] & finite[2]).select("archive", "stem", "record_ix", "point_ix", "x", "y", "h")
 
 
 def contour_mesh(points: DataFrame) -> DataFrame:
@@ -210,9 +217,9 @@ def results(found: DataFrame, least: int = 3) -> DataFrame:
 
     An archive with one bad file is an error as a whole; its points still count.
     """
-    shaped = shapes(found)
-    points = finite_points(shaped, found)
-    faults = shaped.groupBy("archive").agg(F.min("error").alias("_fault"))
+    read = stored(with_heights(shapes(found), found), "shapes")
+    points = finite_points(read)
+    faults = read.groupBy("archive").agg(F.min("error").alias("_fault"))
     counted = points.groupBy("archive").agg(F.count("*").alias("n_points"))
     meshed = contour_mesh(points).groupBy("archive").agg(F.count("*").alias("n_triangles"))
     out = faults.join(counted, "archive", "left").join(meshed, "archive", "left").fillna(0, ["n_points", "n_triangles"])
